@@ -62,8 +62,8 @@ def with_block(df: DataFrame, keys: Sequence[str], t: str, hot_rows: int | None
     ).drop(*[f"_hot_{k}" for k in keys], "_lo", "_width")
 
 
-# kind -> (block aggregate, prefix over blocks, value inside the block's window)
-_SUMS = {"sum", "count"}
+# Kinds of running results; the second group looks at later rows instead of earlier ones.
+_FORWARD = {"next": "last", "lead": "lag", "next_before": "last_before", "sum_after": "sum"}
 
 
 def running(
@@ -75,93 +75,146 @@ def running(
     descending: bool = False,
     hot_rows: int | None = None,
 ) -> DataFrame:
-    """Unbounded-preceding window results, exact for keys of any size.
+    """Unbounded window results, exact for keys of any size.
 
     ``specs`` maps an output name to ``(kind, column)``:
 
     ``sum`` / ``count`` / ``max`` / ``min``  inclusive running aggregate
-    ``sum_before`` / ``max_before``          the same without the current row
-    ``last``                                 last non-null value so far, inclusive
-    ``last_before``                          last non-null value of earlier rows
+    ``sum_before`` / ``max_before`` / ``min_before``  the same without the current row
+    ``last`` / ``last_before``               last non-null value so far / of earlier rows
     ``lag``                                  value (null or not) of the preceding row
     ``first``                                value of the key's first row
+    ``next`` / ``next_before`` / ``lead`` / ``sum_after``  mirror images over later rows
 
-    Rows are ordered by ``t`` (numeric) and then ``order``; ``descending`` reverses
-    both, which turns ``lag`` into lead and ``last`` into next.
+    Rows are ordered by ``t`` (numeric) and then ``order``; ``descending`` reverses both.
+    Every spec shares one shuffle.
     """
-    base = df
-    for name, (kind, col) in specs.items():
-        value = F.lit(1) if col is None else col
+    return _blocked_pass(with_block(df, keys, t, hot_rows), keys, t, order, specs, descending).drop(
+        "_blk", "_hot"
+    )
+
+
+def chain(
+    df: DataFrame,
+    keys: Sequence[str],
+    t: str,
+    order: Sequence[str],
+    *steps,
+    hot_rows: int | None = None,
+) -> DataFrame:
+    """Several dependent passes over one ordering.
+
+    A step is a spec dict as for :func:`running` or a function from DataFrame to
+    DataFrame (row filters, new columns). Cold keys run all passes after a single
+    shuffle; only hot keys pay for carry rows.
+    """
+    blocked = with_block(df, keys, t, hot_rows)
+    cold = blocked.where(~F.col("_hot"))
+    hot = blocked.where("_hot")
+    for step in steps:
+        if callable(step):
+            cold, hot = step(cold), step(hot)
+            continue
+        base, plan = _with_values(cold, step)
+        cols = [t, *order]
+
+        def window(backwards, cols=cols):
+            return Window.partitionBy(*keys).orderBy(
+                *[F.desc(c) if backwards else F.asc(c) for c in cols]
+            )
+
+        cold = base.withColumns(_results(plan, window)).drop(*[f"_v_{n}" for n in plan])
+        hot = _blocked_pass(hot, keys, t, order, step, False)
+    return cold.unionByName(hot).drop("_blk", "_hot")
+
+
+def _with_values(df: DataFrame, specs):
+    """Add the input column of each spec; returns the normalized kinds."""
+    plan = {}
+    for name, (kind, column) in specs.items():
+        backwards = kind in _FORWARD
+        kind = _FORWARD.get(kind, kind)
+        value = F.lit(1) if column is None else column
         if kind in ("lag", "first"):
             value = F.struct(value.alias("v"))
-        base = base.withColumn(f"_v_{name}", value)
-    base = with_block(base, keys, t, hot_rows)
+        df = df.withColumn(f"_v_{name}", value)
+        plan[name] = (kind, backwards)
+    return df, plan
 
-    ordering = F.struct(t, *order)
-    pick = F.min_by if descending else F.max_by
-    pick_first = F.max_by if descending else F.min_by
-    aggs, prefixes = [], []
-    blocks = Window.partitionBy(*keys).orderBy(F.desc("_blk") if descending else F.asc("_blk"))
-    before = blocks.rowsBetween(UNBOUNDED, -1)
-    for name, (kind, _) in specs.items():
+
+def _results(plan, window) -> dict[str, Column]:
+    outs = {}
+    for name, (kind, backwards) in plan.items():
         v = F.col(f"_v_{name}")
-        base_kind = kind.replace("_before", "")
-        if base_kind in _SUMS:
-            aggs.append(F.sum(v).alias(f"_v_{name}"))
-            prefixes.append(F.sum(f"_v_{name}").over(before).alias(f"_v_{name}"))
-        elif base_kind == "max":
-            aggs.append(F.max(v).alias(f"_v_{name}"))
-            prefixes.append(F.max(f"_v_{name}").over(before).alias(f"_v_{name}"))
-        elif base_kind == "min":
-            aggs.append(F.min(v).alias(f"_v_{name}"))
-            prefixes.append(F.min(f"_v_{name}").over(before).alias(f"_v_{name}"))
-        elif base_kind == "last":
-            aggs.append(pick(v, F.when(v.isNotNull(), ordering)).alias(f"_v_{name}"))
-            prefixes.append(
-                F.last(f"_v_{name}", ignorenulls=True).over(before).alias(f"_v_{name}")
-            )
-        elif base_kind == "lag":
-            aggs.append(pick(v, ordering).alias(f"_v_{name}"))
-            prefixes.append(F.last(f"_v_{name}").over(before).alias(f"_v_{name}"))
-        elif base_kind == "first":
-            aggs.append(pick_first(v, ordering).alias(f"_v_{name}"))
-            prefixes.append(F.first(f"_v_{name}").over(before).alias(f"_v_{name}"))
+        w = window(backwards)
+        frame = w.rowsBetween(UNBOUNDED, -1 if kind.endswith("_before") else 0)
+        what = kind.replace("_before", "")
+        if what in ("sum", "count"):
+            outs[name] = F.sum(v).over(frame)
+        elif what == "max":
+            outs[name] = F.max(v).over(frame)
+        elif what == "min":
+            outs[name] = F.min(v).over(frame)
+        elif what == "last":
+            outs[name] = F.last(v, ignorenulls=True).over(frame)
+        elif what == "lag":
+            outs[name] = F.lag(v).over(w)["v"]
         else:
-            raise ValueError(f"unknown kind {kind}")
+            outs[name] = F.first(v, ignorenulls=True).over(frame)["v"]
+    return outs
 
-    carry = (
-        base.where("_hot")
-        .groupBy(*keys, "_blk")
-        .agg(*aggs)
-        .select(*keys, "_blk", F.lit(0).alias("_tag"), *prefixes)
-    )
-    rows = base.withColumn("_tag", F.lit(1)).unionByName(carry, allowMissingColumns=True)
+
+def _blocked_pass(base, keys, t, order, specs, descending) -> DataFrame:
+    """One pass over blocked rows; hot blocks receive carry rows from the others."""
+    base, plan = _with_values(base, specs)
+    rows = base.withColumn("_tag", F.lit(1))
+    ordering = F.struct(t, *order)
+    for backwards in sorted({b for _, b in plan.values()}):
+        flip = backwards != descending  # this group walks from high t to low t
+        pick, pick_first = (F.min_by, F.max_by) if flip else (F.max_by, F.min_by)
+        blocks = Window.partitionBy(*keys).orderBy(F.desc("_blk") if flip else F.asc("_blk"))
+        before = blocks.rowsBetween(UNBOUNDED, -1)
+        aggs, prefixes = [], []
+        for name, (kind, group) in plan.items():
+            if group != backwards:
+                continue
+            out = f"_v_{name}"
+            v = F.col(out)
+            what = kind.replace("_before", "")
+            if what in ("sum", "count"):
+                agg, prefix = F.sum(v), F.sum(out).over(before)
+            elif what == "max":
+                agg, prefix = F.max(v), F.max(out).over(before)
+            elif what == "min":
+                agg, prefix = F.min(v), F.min(out).over(before)
+            elif what == "last":
+                agg = pick(v, F.when(v.isNotNull(), ordering))
+                prefix = F.last(out, ignorenulls=True).over(before)
+            elif what == "lag":
+                agg, prefix = pick(v, ordering), F.last(out).over(before)
+            elif what == "first":
+                agg, prefix = pick_first(v, ordering), F.first(out).over(before)
+            else:
+                raise ValueError(f"unknown kind {kind}")
+            aggs.append(agg.alias(out))
+            prefixes.append(prefix.alias(out))
+        carry = (
+            base.where("_hot")
+            .groupBy(*keys, "_blk")
+            .agg(*aggs)
+            .select(*keys, "_blk", F.lit(2 if backwards else 0).alias("_tag"), *prefixes)
+        )
+        rows = rows.unionByName(carry, allowMissingColumns=True)
 
     cols = [t, *order]
-    ordered = [F.desc(c) for c in cols] if descending else [F.asc(c) for c in cols]
-    w = Window.partitionBy(*keys, "_blk").orderBy("_tag", *ordered)
-    upto = w.rowsBetween(UNBOUNDED, 0)
-    prior = w.rowsBetween(UNBOUNDED, -1)
-    outs = {}
-    for name, (kind, _) in specs.items():
-        v = F.col(f"_v_{name}")
-        frame = prior if kind.endswith("_before") else upto
-        base_kind = kind.replace("_before", "")
-        if base_kind in _SUMS:
-            out = F.sum(v).over(frame)
-        elif base_kind == "max":
-            out = F.max(v).over(frame)
-        elif base_kind == "min":
-            out = F.min(v).over(frame)
-        elif base_kind == "last":
-            out = F.last(v, ignorenulls=True).over(frame)
-        elif base_kind == "lag":
-            out = F.lag(v).over(w)["v"]
-        else:
-            out = F.first(v, ignorenulls=True).over(upto)["v"]
-        outs[name] = out
-    drop = [f"_v_{n}" for n in specs] + ["_blk", "_hot", "_tag"]
-    return rows.withColumns(outs).where("_tag = 1").drop(*drop)
+
+    def window(backwards: bool):
+        direction = [F.desc(c) if backwards != descending else F.asc(c) for c in cols]
+        tag = F.desc("_tag") if backwards else F.asc("_tag")
+        return Window.partitionBy(*keys, "_blk").orderBy(tag, *direction)
+
+    out = rows.withColumns(_results(plan, window)).where("_tag = 1")
+    return out.drop("_tag", *[f"_v_{n}" for n in specs])
 
 
 def rolling(
@@ -171,14 +224,15 @@ def rolling(
     order: Sequence[str],
     depth: int,
     fn: Callable[[DataFrame, object], DataFrame],
+    after: int = 0,
     hot_rows: int | None = None,
 ) -> DataFrame:
-    """Bounded row-frame windows: ``fn(df, w)`` may look at ``depth`` preceding rows.
+    """Bounded row frames: ``fn(df, w)`` may look ``depth`` rows back and ``after`` ahead.
 
-    Hot keys are re-blocked by exact row number; the last ``depth`` rows of a block
-    are repeated in front of the next one and removed afterwards.
+    Hot keys are re-blocked by exact row number; the rows a neighbouring block needs
+    are repeated there as a halo and removed afterwards.
     """
-    size = max(HOT_ROWS if hot_rows is None else hot_rows, depth + 1)
+    size = max(HOT_ROWS if hot_rows is None else hot_rows, depth + 1, after + 1)
     blocked = with_block(df, keys, t, hot_rows).drop("_blk")
     cold = blocked.where(~F.col("_hot")).withColumn("_blk", F.lit(0).cast("long")).withColumn(
         "_halo", F.lit(False)
@@ -188,16 +242,18 @@ def rolling(
         hot_rows=hot_rows,
     ).withColumn("_rn", F.col("_rn") - 1)
     own = F.floor(F.col("_rn") / F.lit(size)).cast("long")
-    is_tail = (F.col("_rn") % F.lit(size)) >= F.lit(size - depth)
+    spot = F.col("_rn") % F.lit(size)
+
+    def target(block: Column, halo: bool) -> Column:
+        return F.struct(block.alias("b"), F.lit(halo).alias("h"))
+
+    targets = [
+        target(own, False),
+        F.when(spot >= F.lit(size - depth), target(own + 1, True)),
+        F.when(spot < F.lit(after), target(own - 1, True)),
+    ]
     hot = (
-        numbered.withColumn(
-            "_to",
-            F.when(is_tail, F.array(
-                F.struct(own.alias("b"), F.lit(False).alias("h")),
-                F.struct((own + 1).alias("b"), F.lit(True).alias("h")),
-            )).otherwise(F.array(F.struct(own.alias("b"), F.lit(False).alias("h")))),
-        )
-        .withColumn("_to", F.explode("_to"))
+        numbered.withColumn("_to", F.explode(F.array_compact(F.array(*targets))))
         .withColumn("_blk", F.col("_to.b"))
         .withColumn("_halo", F.col("_to.h"))
         .drop("_to", "_rn")
@@ -235,12 +291,17 @@ def rolling_range(
 
 
 def islands(
-    df: DataFrame, keys: Sequence[str], t: str, order: Sequence[str], flag: Column, name: str,
-    hot_rows: int | None = None,
+    df: DataFrame, keys: Sequence[str], t: str, order: Sequence[str], previous: Column,
+    starts: Column, name: str, hot_rows: int | None = None,
 ) -> DataFrame:
-    """Number the runs that start wherever ``flag`` is true (gaps and islands)."""
-    return running(
-        df, keys, t, order, {name: ("sum", F.when(flag, 1).otherwise(0))}, hot_rows=hot_rows
+    """Number the runs of rows (gaps and islands).
+
+    ``starts`` tells where a run begins and may use ``_prev``, the value that
+    ``previous`` had on the preceding row.
+    """
+    return chain(
+        df, keys, t, order, {"_prev": ("lag", previous)},
+        {name: ("sum", F.when(starts, 1).otherwise(0))}, hot_rows=hot_rows,
     )
 
 
