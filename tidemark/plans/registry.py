@@ -34,3 +34,8 @@ def r6(col: Column | str) -> Column:
 def s6(expr: str) -> str:
     """SQL text of :func:`r6`."""
     return f"(round(cast({expr} as double), 6) + 0e0)"
+
+
+def fee5(expr: str) -> str:
+    """SQL text of the per-level taker fee rounding."""
+    return f"cast(round(cast(round({expr}, 9) as decimal(18, 9)), 5) as double)"
