@@ -24,6 +24,7 @@ def local_session(app: str = "tidemark", cores: str = "8", **conf: str) -> Spark
         .appName(app)
         .config("spark.driver.memory", "20g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
