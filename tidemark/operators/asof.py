@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import chain, running
+from tidemark.operators.ordered import Profile, chain, profile, running
 
 
 def _merged(left, right, keys, left_t, right_t, payload, tie, sides):
@@ -32,6 +32,7 @@ def asof_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_t: str, right_t: str,
     payload: Sequence[str], name: str = "asof", strict: bool = False, forward: bool = False,
     tie: Column | None = None, hot_rows: int | None = None,
+    prof: Profile | None = None,
 ) -> DataFrame:
     """Attach to every left row the struct of the latest right row at or before it.
 
@@ -45,7 +46,7 @@ def asof_join(
     merged = _merged(left, right, keys, left_t, right_t, payload, tie, (1, side))
     kind = "next" if forward else "last"
     out = running(
-        merged, keys, "_t", ["_side", "_tie"], {name: (kind, F.col("_r"))}, hot_rows=hot_rows
+        merged, keys, "_t", ["_side", "_tie"], {name: (kind, F.col("_r"))}, hot_rows=hot_rows, prof=prof,
     )
     return out.where("_side = 1").drop("_t", "_side", "_tie", "_r")
 
@@ -53,13 +54,14 @@ def asof_join(
 def neighbours(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_t: str, right_t: str,
     payload: Sequence[str], tie: Column | None = None, hot_rows: int | None = None,
+    prof: Profile | None = None,
 ) -> DataFrame:
     """Both neighbours in one shuffle: ``prev`` (at or before) and ``next`` (strictly after)."""
     tie = F.lit("") if tie is None else tie
     merged = _merged(left, right, keys, left_t, right_t, payload, tie, (1, 0))
     out = running(
         merged, keys, "_t", ["_side", "_tie"],
-        {"prev": ("last", F.col("_r")), "next": ("next", F.col("_r"))}, hot_rows=hot_rows,
+        {"prev": ("last", F.col("_r")), "next": ("next", F.col("_r"))}, hot_rows=hot_rows, prof=prof,
     )
     return out.where("_side = 1").drop("_t", "_side", "_tie", "_r")
 
@@ -67,11 +69,11 @@ def neighbours(
 def nearest_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_t: str, right_t: str,
     payload: Sequence[str], tolerance: Column, name: str = "near", tie: Column | None = None,
-    hot_rows: int | None = None,
+    hot_rows: int | None = None, prof: Profile | None = None,
 ) -> DataFrame:
     """Closest right row in either direction within ``tolerance``; the earlier wins a tie."""
     fields = list(dict.fromkeys([*payload, right_t]))
-    both = neighbours(left, right, keys, left_t, right_t, fields, tie, hot_rows)
+    both = neighbours(left, right, keys, left_t, right_t, fields, tie, hot_rows, prof)
     back = F.col(left_t) - F.col(f"prev.{right_t}")
     ahead = F.col(f"next.{right_t}") - F.col(left_t)
     picked = F.when(
@@ -110,3 +112,12 @@ def versions(df: DataFrame, keys: Sequence[str], t: str, order: Sequence[str], c
         lambda d: d.where(changed).drop("_prev"), {"valid_until": ("lead", F.col(t))},
         hot_rows=hot_rows,
     ).withColumnRenamed(t, "valid_from")
+
+
+def stream_profile(left: DataFrame, right: DataFrame, keys: Sequence[str], left_t: str,
+                   right_t: str, hot_rows: int | None = None) -> Profile:
+    """Profile of both sides together, from (cheap) base tables."""
+    rows = left.select(*keys, F.col(left_t).alias("_t")).unionByName(
+        right.select(*keys, F.col(right_t).alias("_t"))
+    )
+    return profile(rows, keys, "_t", hot_rows)

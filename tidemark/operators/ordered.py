@@ -1,65 +1,83 @@
 """Ordered computations that stay parallel when one key holds most of the rows.
 
-A plain ``Window.partitionBy(key)`` sends all rows of a key to one task. Here a
-key that owns more than a small share of the table is cut into blocks along its
-order column and each block becomes its own window partition. What a block has to
-know of the rows before it (a running total, the last value, the preceding N
-rows) reaches it as extra *carry rows* that sort before the block's own rows.
-Keys that are not hot keep a single block and pay one shuffle, as before.
-
-At most ``MAX_HOT_KEYS`` keys can own more than ``1/MAX_HOT_KEYS`` of the rows,
-so the list of hot keys has a fixed bound whatever the table size; it is the only
-thing broadcast here.
+A plain ``Window.partitionBy(key)`` sends all rows of a key to one task. That is fine
+until a key owns a large share of the table, so every operator here first takes a
+*profile*: the keys with more than ``1/MAX_HOT_KEYS`` of the rows. Usually there are
+none and the operator is one ordinary window. Otherwise the hot keys are cut into
+blocks along their order column and each block becomes its own window partition. What
+a block has to know of the rows before it (a running total, the last value, the
+preceding N rows) reaches it as extra *carry rows* sorted in front of its own rows.
+
+At most ``MAX_HOT_KEYS`` keys can own more than ``1/MAX_HOT_KEYS`` of the rows, so a
+profile has a fixed size bound; it is the only thing collected or broadcast here. A
+profile decides how the work is split, never the result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import checkpointed
+
 MAX_HOT_KEYS = 20_000
 HOT_ROWS = 1_000_000
 
 UNBOUNDED = Window.unboundedPreceding
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], t: str, hot_rows: int | None = None) -> DataFrame:
-    """Keys owning more than max(hot_rows, rows / MAX_HOT_KEYS) rows, with block width."""
+@dataclass(frozen=True)
+class Profile:
+    """Hot keys with the start and width of their blocks; ``hot`` is None if there are none."""
+
+    keys: tuple[str, ...]
+    hot: DataFrame | None
+    rows: int
+
+    def attach(self, df: DataFrame) -> DataFrame:
+        """Left-join the block geometry of hot keys (bounded, hence broadcast)."""
+        on = None
+        for k in self.keys:
+            cond = F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
+            on = cond if on is None else on & cond
+        return df.join(F.broadcast(self.hot), on, "left").drop(*[f"_hot_{k}" for k in self.keys])
+
+    def blocks(self, df: DataFrame, t: str) -> DataFrame:
+        """Add ``_hot`` and the block number ``_blk`` (0 for cold keys)."""
+        hot = F.col("_width").isNotNull()
+        blk = F.when(hot, F.floor((F.col(t) - F.col("_lo")) / F.col("_width"))).otherwise(F.lit(0))
+        return self.attach(df).withColumns(
+            {"_blk": blk.cast("long"), "_hot": hot}
+        ).drop("_lo", "_width")
+
+    def settle(self, df: DataFrame) -> DataFrame:
+        """Materialize between stages, but only where skew makes a recomputation costly."""
+        return df if self.hot is None else checkpointed(df)
+
+
+def profile(df: DataFrame, keys: Sequence[str], t: str, hot_rows: int | None = None) -> Profile:
+    """Count rows per key (map-side combined) and keep the keys above the share limit."""
     floor_rows = HOT_ROWS if hot_rows is None else hot_rows
     stats = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min(t).alias("_lo"), F.max(t).alias("_hi")
     )
     total = stats.agg(F.sum("_n").alias("total")).scalar()
     limit = F.greatest(F.lit(float(floor_rows)), total / F.lit(float(MAX_HOT_KEYS)))
-    return (
+    width = (F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") / F.col("_limit")) + F.lit(1e-9)
+    hot = (
         stats.withColumn("_limit", limit)
         .where(F.col("_n") > F.col("_limit"))
         .select(
             *[F.col(k).alias(f"_hot_{k}") for k in keys],
-            F.col("_lo").alias("_lo"),
-            ((F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") / F.col("_limit")) + F.lit(1e-9))
-            .cast("double")
-            .alias("_width"),
+            F.col("_lo").cast("double").alias("_lo"), width.cast("double").alias("_width"),
         )
     )
-
-
-def with_block(df: DataFrame, keys: Sequence[str], t: str, hot_rows: int | None = None) -> DataFrame:
-    """Add ``_blk`` (block of the row, 0 for cold keys) and ``_hot``."""
-    hot = F.broadcast(hot_keys(df, keys, t, hot_rows))
-    on = None
-    for k in keys:
-        cond = F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
-        on = cond if on is None else on & cond
-    joined = df.join(hot, on, "left")
-    blk = F.when(
-        F.col("_width").isNotNull(), F.floor((F.col(t) - F.col("_lo")) / F.col("_width"))
-    ).otherwise(F.lit(0))
-    return joined.withColumn("_blk", blk.cast("long")).withColumn(
-        "_hot", F.col("_width").isNotNull()
-    ).drop(*[f"_hot_{k}" for k in keys], "_lo", "_width")
+    found = hot.collect()
+    table = df.sparkSession.createDataFrame(found, hot.schema) if found else None
+    return Profile(tuple(keys), table, floor_rows)
 
 
 # Kinds of running results; the second group looks at later rows instead of earlier ones.
@@ -74,6 +92,7 @@ def running(
     specs: dict[str, tuple[str, Column | None]],
     descending: bool = False,
     hot_rows: int | None = None,
+    prof: Profile | None = None,
 ) -> DataFrame:
     """Unbounded window results, exact for keys of any size.
 
@@ -89,9 +108,10 @@ def running(
     Rows are ordered by ``t`` (numeric) and then ``order``; ``descending`` reverses both.
     Every spec shares one shuffle.
     """
-    return _blocked_pass(with_block(df, keys, t, hot_rows), keys, t, order, specs, descending).drop(
-        "_blk", "_hot"
-    )
+    prof = prof or profile(df, keys, t, hot_rows)
+    if prof.hot is None:
+        return _plain_pass(df, keys, t, order, specs, descending)
+    return _blocked_pass(prof.blocks(df, t), keys, t, order, specs, descending).drop("_blk", "_hot")
 
 
 def chain(
@@ -101,31 +121,44 @@ def chain(
     order: Sequence[str],
     *steps,
     hot_rows: int | None = None,
+    prof: Profile | None = None,
 ) -> DataFrame:
     """Several dependent passes over one ordering.
 
     A step is a spec dict as for :func:`running` or a function from DataFrame to
     DataFrame (row filters, new columns). Cold keys run all passes after a single
-    shuffle; only hot keys pay for carry rows.
+    shuffle; hot keys are settled between passes.
     """
-    blocked = with_block(df, keys, t, hot_rows)
-    cold = blocked.where(~F.col("_hot"))
+    prof = prof or profile(df, keys, t, hot_rows)
+
+    def cold_steps(rows: DataFrame) -> DataFrame:
+        for step in steps:
+            rows = step(rows) if callable(step) else _plain_pass(rows, keys, t, order, step, False)
+        return rows
+
+    if prof.hot is None:
+        return cold_steps(df)
+    blocked = prof.blocks(df, t)
     hot = blocked.where("_hot")
     for step in steps:
-        if callable(step):
-            cold, hot = step(cold), step(hot)
-            continue
-        base, plan = _with_values(cold, step)
-        cols = [t, *order]
+        hot = step(hot) if callable(step) else checkpointed(
+            _blocked_pass(hot, keys, t, order, step, False)
+        )
+    return cold_steps(blocked.where(~F.col("_hot")).drop("_blk", "_hot")).unionByName(
+        hot.drop("_blk", "_hot")
+    )
 
-        def window(backwards, cols=cols):
-            return Window.partitionBy(*keys).orderBy(
-                *[F.desc(c) if backwards else F.asc(c) for c in cols]
-            )
 
-        cold = base.withColumns(_results(plan, window)).drop(*[f"_v_{n}" for n in plan])
-        hot = _blocked_pass(hot, keys, t, order, step, False)
-    return cold.unionByName(hot).drop("_blk", "_hot")
+def _plain_pass(df, keys, t, order, specs, descending) -> DataFrame:
+    base, plan = _with_values(df, specs)
+    cols = [t, *order]
+
+    def window(backwards: bool):
+        return Window.partitionBy(*keys).orderBy(
+            *[F.desc(c) if backwards != descending else F.asc(c) for c in cols]
+        )
+
+    return base.withColumns(_results(plan, window)).drop(*[f"_v_{n}" for n in plan])
 
 
 def _with_values(df: DataFrame, specs):
@@ -226,21 +259,24 @@ def rolling(
     fn: Callable[[DataFrame, object], DataFrame],
     after: int = 0,
     hot_rows: int | None = None,
+    prof: Profile | None = None,
 ) -> DataFrame:
     """Bounded row frames: ``fn(df, w)`` may look ``depth`` rows back and ``after`` ahead.
 
     Hot keys are re-blocked by exact row number; the rows a neighbouring block needs
     are repeated there as a halo and removed afterwards.
     """
-    size = max(HOT_ROWS if hot_rows is None else hot_rows, depth + 1, after + 1)
-    blocked = with_block(df, keys, t, hot_rows).drop("_blk")
-    cold = blocked.where(~F.col("_hot")).withColumn("_blk", F.lit(0).cast("long")).withColumn(
-        "_halo", F.lit(False)
+    prof = prof or profile(df, keys, t, hot_rows)
+    if prof.hot is None:
+        return fn(df, Window.partitionBy(*keys).orderBy(t, *order))
+    size = max(prof.rows, depth + 1, after + 1)
+    blocked = prof.blocks(df, t)
+    cold = blocked.where(~F.col("_hot")).drop("_hot").withColumns(
+        {"_blk": F.lit(0).cast("long"), "_halo": F.lit(False)}
     )
-    numbered = running(
-        blocked.where("_hot").drop("_hot"), keys, t, order, {"_rn": ("count", None)},
-        hot_rows=hot_rows,
-    ).withColumn("_rn", F.col("_rn") - 1)
+    numbered = _blocked_pass(
+        blocked.where("_hot"), keys, t, order, {"_rn": ("count", None)}, False
+    ).drop("_blk", "_hot").withColumn("_rn", F.col("_rn") - 1)
     own = F.floor(F.col("_rn") / F.lit(size)).cast("long")
     spot = F.col("_rn") % F.lit(size)
 
@@ -254,13 +290,11 @@ def rolling(
     ]
     hot = (
         numbered.withColumn("_to", F.explode(F.array_compact(F.array(*targets))))
-        .withColumn("_blk", F.col("_to.b"))
-        .withColumn("_halo", F.col("_to.h"))
+        .withColumns({"_blk": F.col("_to.b"), "_halo": F.col("_to.h")})
         .drop("_to", "_rn")
     )
-    rows = cold.drop("_hot").unionByName(hot)
     w = Window.partitionBy(*keys, "_blk").orderBy(t, *order)
-    return fn(rows, w).where(~F.col("_halo")).drop("_halo", "_blk")
+    return fn(cold.unionByName(hot), w).where(~F.col("_halo")).drop("_halo", "_blk")
 
 
 def rolling_range(
@@ -270,21 +304,20 @@ def rolling_range(
     span: float,
     fn: Callable[[DataFrame, object], DataFrame],
     hot_rows: int | None = None,
+    prof: Profile | None = None,
 ) -> DataFrame:
     """Value-range windows ``[t - span, t]``: ``fn(df, w)`` uses ``w.rangeBetween``."""
-    hot = F.broadcast(hot_keys(df, keys, t, hot_rows))
-    on = None
-    for k in keys:
-        cond = F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
-        on = cond if on is None else on & cond
+    prof = prof or profile(df, keys, t, hot_rows)
+    if prof.hot is None:
+        return fn(df, Window.partitionBy(*keys).orderBy(t))
     width = F.greatest(F.col("_width"), F.lit(float(span) + 1.0))
     own = F.coalesce(F.floor((F.col(t) - F.col("_lo")) / width), F.lit(0)).cast("long")
     nxt = F.floor((F.col(t) + F.lit(float(span)) - F.col("_lo")) / width).cast("long")
     rows = (
-        df.join(hot, on, "left")
+        prof.attach(df)
         .withColumn("_own", own)
         .withColumn("_blk", F.explode(F.sequence(own, F.greatest(own, F.coalesce(nxt, own)))))
-        .drop(*[f"_hot_{k}" for k in keys], "_lo", "_width")
+        .drop("_lo", "_width")
     )
     w = Window.partitionBy(*keys, "_blk").orderBy(t)
     return fn(rows, w).where("_blk = _own").drop("_blk", "_own")
@@ -292,7 +325,7 @@ def rolling_range(
 
 def islands(
     df: DataFrame, keys: Sequence[str], t: str, order: Sequence[str], previous: Column,
-    starts: Column, name: str, hot_rows: int | None = None,
+    starts: Column, name: str, hot_rows: int | None = None, prof: Profile | None = None,
 ) -> DataFrame:
     """Number the runs of rows (gaps and islands).
 
@@ -301,7 +334,7 @@ def islands(
     """
     return chain(
         df, keys, t, order, {"_prev": ("lag", previous)},
-        {name: ("sum", F.when(starts, 1).otherwise(0))}, hot_rows=hot_rows,
+        {name: ("sum", F.when(starts, 1).otherwise(0))}, hot_rows=hot_rows, prof=prof,
     )
 
 

@@ -9,7 +9,7 @@ from tidemark.functions import book as bk
 from tidemark.functions import pricing as pr
 from tidemark.functions.stats import normal_cdf_sql, two_sided_p
 from tidemark.operators import asof, graph
-from tidemark.operators.ordered import chain, islands, nearest_rank, rolling, rolling_range, running
+from tidemark.operators.ordered import chain, islands, nearest_rank, profile, rolling, rolling_range, running
 from tidemark.plans.bindings import QT, QUOTES, TRADES
 from tidemark.plans.market import BOOK
 from tidemark.plans.pit import DAY, HOUR, NEAR, nearest_quotes
@@ -170,18 +170,21 @@ def regimes(spark, sf):
         ))
 
     q = tb.quotes(spark, sf).select("market_slug", "event_id", "ts_us", "mid")
-    rows = rolling(q, ["market_slug"], "ts_us", ["event_id"], 20, stats)
+    prof = profile(q, ["market_slug"], "ts_us")
+    rows = rolling(q, ["market_slug"], "ts_us", ["event_id"], 20, stats, prof=prof)
     label = F.when(F.col("sd") < 0.5, "low_volatility").when(
         F.col("sd") > 2.0, "high_volatility"
     ).otherwise("normal")
-    rows = rows.withColumn("regime", label)
+    rows = prof.settle(rows.withColumn("regime", label))
     starts = ~F.col("regime").eqNullSafe(F.col("_prev"))
     isl = islands(
-        rows, ["market_slug"], "ts_us", ["event_id"], F.col("regime"), starts, "isle"
+        rows, ["market_slug"], "ts_us", ["event_id"], F.col("regime"), starts, "isle", prof=prof
     ).groupBy("market_slug", "isle").agg(
         F.min("regime").alias("regime"), F.min("ts_us").alias("start_us"), F.count(F.lit(1)).alias("n")
     )
-    return running(isl, ["market_slug"], "start_us", [], {"end_us": ("lead", F.col("start_us"))})
+    return running(
+        prof.settle(isl), ["market_slug"], "start_us", [], {"end_us": ("lead", F.col("start_us"))}, prof=prof
+    )
 
 
 @query("w04_regime_intervals", f"""with {REG}
@@ -190,9 +193,12 @@ def w04(spark, sf):
     return regimes(spark, sf).where("regime <> 'normal' and end_us is not null").drop("isle")
 
 
-@query("a42_performance_by_regime", f"""with {REG}, {TRADES.split(', ', 1)[1] if False else '''trades as (
+TR42 = """trades as (
  select 'm' || user_id as market_slug, event_id, ts_us, 2e-2 + 96e-2 * value / 500e0 as price, k as size,
-        case when event_type = 'purchase' then 1 else -1 end as sg from ev where event_type in ('purchase', 'signup'))'''},
+        case when event_type = 'purchase' then 1 else -1 end as sg from ev where event_type in ('purchase', 'signup'))"""
+
+
+@query("a42_performance_by_regime", f"""with {REG}, {TR42},
 lab as (select t.*, case when r.regime <> 'normal' and r.end_us is not null and t.ts_us <= r.end_us then r.regime else 'normal' end as regime
  from trades t asof left join reg r on t.market_slug = r.market_slug and t.ts_us >= r.start_us),
 pn as (select *, sg * (5e-1 - price) * size as pnl from lab)
@@ -201,7 +207,10 @@ select regime, count(*) as n, {s6('sum(pnl)')} as total_pnl, {s6('avg(pnl)')} as
 def a42(spark, sf):
     reg = regimes(spark, sf)
     t = asof.asof_join(
-        tb.trades(spark, sf), reg, ["market_slug"], "ts_us", "start_us", ["regime", "end_us"]
+        tb.trades(spark, sf), reg, ["market_slug"], "ts_us", "start_us", ["regime", "end_us"],
+        prof=asof.stream_profile(
+            tb.trades(spark, sf), tb.quotes(spark, sf), ["market_slug"], "ts_us", "ts_us"
+        ),
     )
     inside = (F.col("asof.regime") != "normal") & (F.col("ts_us") <= F.col("asof.end_us"))
     sign = F.when(F.col("taker_side") == "BUY", 1).otherwise(-1)
