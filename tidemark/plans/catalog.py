@@ -1,4 +1,4 @@
 """Imports every query family so that the registry is complete."""
 
-from tidemark.plans import execution, flow, inference, market, pit, scores  # noqa: F401
+from tidemark.plans import execution, feeds, flow, inference, market, pit, scores  # noqa: F401
 from tidemark.plans.registry import QUERIES, SQL  # noqa: F401
