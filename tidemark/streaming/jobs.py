@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -104,34 +105,34 @@ def rebuild_books(stream: DataFrame) -> DataFrame:
     State holds the last sequence number, the epoch and the levels of each ticker seen in
     the session; a session that falls silent times out.
     """
-    schema = "seq bigint, epoch bigint, books map<string,struct<yp:array<double>,ys:array<double>,np:array<double>,ns:array<double>,epoch:bigint,dirty:boolean>>"
+    # the levels of all tickers travel as one JSON text inside the state row
+    schema = "seq bigint, epoch bigint, books string"
 
     def load(raw) -> BookFold:
         book = BookFold()
-        yp, ys, np_, ns, epoch, dirty = raw
-        book.yes, book.no = BookSide(yp, ys), BookSide(np_, ns)
-        book.epoch, book.dirty = epoch, dirty
+        book.yes, book.no = BookSide(*raw[0]), BookSide(*raw[1])
+        book.epoch, book.dirty = raw[2], raw[3]
         return book
 
     def dump(book: BookFold):
-        return (list(book.yes.levels), list(book.yes.levels.values()), list(book.no.levels),
-                list(book.no.levels.values()), book.epoch, book.dirty)
+        sides = [[list(s.levels), list(s.levels.values())] for s in (book.yes, book.no)]
+        return [*sides, book.epoch, book.dirty]
 
     def step(key, batches, state: GroupState):
-        seq, epoch, raw = state.get if state.exists else (None, 0, {})
-        books = {k: load(v) for k, v in dict(raw).items()}
+        seq, epoch, text = state.get if state.exists else (None, 0, "{}")
+        books = {k: load(v) for k, v in json.loads(text).items()}
         rows = pd.concat(list(batches)).sort_values(["ts_us", "event_id"])
         out = []
         for r in rows.itertuples():
             if seq is not None and r.seq != seq + 1:
                 epoch += 1
-            seq = r.seq
+            seq = int(r.seq)
             book = books.setdefault(r.ticker, BookFold())
             done = book.step(_Row(r, epoch))
             if done is not None:
                 out.append(done)
         live = {k: dump(b) for k, b in books.items() if b.epoch is not None}
-        state.update((seq, epoch, live))
+        state.update((seq, epoch, json.dumps(live)))
         yield pd.DataFrame(out, columns=BOOK_COLUMNS)
 
     return stream.groupBy("session").applyInPandasWithState(
@@ -174,12 +175,16 @@ def stale_feeds(stream: DataFrame, silence_ms: int) -> DataFrame:
             state.remove()
             yield pd.DataFrame({"market_slug": [key[0]], "stale_from_ms": [last + silence_ms]})
             return
-        last = max([state.get[0]] if state.exists else [0])
-        for pdf in batches:
-            last = max(last, int(pdf["t_ms"].max()))
+        last = state.get[0] if state.exists else None
+        stale = []
+        for t in sorted(int(t) for pdf in batches for t in pdf["t_ms"]):
+            # the next message may arrive before the timer fires
+            if last is not None and t - last > silence_ms:
+                stale.append(last + silence_ms)
+            last = t if last is None else max(last, t)
         state.update((last,))
         state.setTimeoutTimestamp(max(last + silence_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"market_slug": [], "stale_from_ms": []}).astype({"market_slug": str, "stale_from_ms": "int64"})
+        yield pd.DataFrame({"market_slug": [key[0]] * len(stale), "stale_from_ms": pd.Series(stale, dtype="int64")})
 
     return stream.withWatermark("ts", "1 minute").groupBy("market_slug").applyInPandasWithState(
         step, "market_slug string, stale_from_ms bigint", "last bigint", "append", GroupStateTimeout.EventTimeTimeout
