@@ -56,16 +56,25 @@ def platt_predict(p: Column, intercept: float, slope: float) -> Column:
 def temperature(train: DataFrame) -> DataFrame:
     """Best temperature on the grid 0.10 .. 4.99 by mean negative log likelihood.
 
-    Rows collapse to one per distinct (p, outcome) before they meet the grid.
+    From T = 0.5 on no likelihood term reaches its clip, so the loss is convex in 1/T and
+    a coarse pass followed by the neighbourhood of its minimum is exact; below 0.5 every
+    grid point is evaluated. Both passes are one map-side aggregation of the rows.
     """
-    pooled = train.groupBy("p", "outcome").agg(F.count(F.lit(1)).alias("n"))
-    grid = pooled.withColumn("t", F.explode(F.sequence(F.lit(10), F.lit(499))))
-    q = pr.clamp(pr.sigmoid(pr.logit(F.col("p"), 1e-6) / (F.col("t") / F.lit(100.0))), 1e-12, 1 - 1e-12)
-    nll = -F.when(F.col("outcome") == 1, F.ln(q)).otherwise(F.ln(F.lit(1.0) - q))
-    per = grid.groupBy("t").agg((F.sum(nll * F.col("n")) / F.sum("n")).alias("nll"))
-    return per.agg(F.min(F.struct(F.round("nll", 12).alias("nll"), "t")).alias("m")).select(
-        (F.col("m.t") / F.lit(100.0)).alias("temperature"), F.col("m.nll").alias("nll")
-    )
+    x = pr.logit(F.col("p"), 1e-6)
+
+    def loss(t: int) -> Column:
+        q = pr.clamp(pr.sigmoid(x / F.lit(t / 100.0)), 1e-12, 1 - 1e-12)
+        return F.round(F.avg(-F.when(F.col("outcome") == 1, F.ln(q)).otherwise(F.ln(F.lit(1.0) - q))), 12)
+
+    def best(points: list[int]) -> tuple[float, int]:
+        row = train.agg(*[loss(t).alias(f"t{t}") for t in points]).first()
+        return min((row[f"t{t}"], t) for t in points)
+
+    first = best([*range(10, 50), *range(50, 500, 10), 499])
+    if first[1] >= 50:
+        near = range(max(10, first[1] - 9), min(499, first[1] + 9) + 1)
+        first = min(first, best(list(near)))
+    return train.sparkSession.createDataFrame([(first[1] / 100.0, first[0])], "temperature double, nll double")
 
 
 def ensemble_weights(df: DataFrame, components: list[str], step: int) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.asof import asof_join
 from tidemark.operators.ordered import chain, running
 
 
@@ -123,3 +124,23 @@ def pair_fifo(
         *keys, F.col("_nc").alias("seq"), *[F.col(c).alias(f"close_{c}") for c in payload]
     )
     return left.join(right, [*keys, "seq"], "left")
+
+
+def covered_time(
+    windows: DataFrame, covered: DataFrame, keys: Sequence[str], ws: str, we: str, cs: str, ce: str,
+    name: str = "covered", hot_rows: int | None = None,
+) -> DataFrame:
+    """Time of each window that the union of ``covered`` fills, without pairing the two.
+
+    With C(x) the covered time before x, the answer is C(we) - C(ws); C comes from one
+    running sum over the merged intervals and an as-of probe per window end.
+    """
+    union = union_intervals(covered, keys, cs, ce, hot_rows)
+    length = F.col(ce) - F.col(cs)
+    sums = running(union, keys, cs, [], {"_sum": ("sum_before", length)}, hot_rows=hot_rows)
+    out = windows
+    for end, tag in ((ws, "_c0"), (we, "_c1")):
+        out = asof_join(out, sums, keys, end, cs, [cs, ce, "_sum"], name="_iv", hot_rows=hot_rows)
+        upto = F.coalesce("_iv._sum", F.lit(0)) + F.least(F.col(end), F.col(f"_iv.{ce}")) - F.col(f"_iv.{cs}")
+        out = out.withColumn(tag, F.coalesce(upto, F.lit(0))).drop("_iv")
+    return out.withColumn(name, F.col("_c1") - F.col("_c0")).drop("_c0", "_c1")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import book as bk
@@ -18,6 +17,10 @@ from tidemark.plans.scores import six
 from tidemark.sources import tables as tb
 
 
+PAIRS = """mk as (select distinct market_slug from quotes),
+pairs as (select market_slug as a, lead(market_slug) over (order by cast(substr(market_slug, 2) as bigint)) as b from mk)"""
+
+
 def tie():
     return F.lpad(F.col("event_id").cast("string"), 20, "0")
 
@@ -397,7 +400,7 @@ SHOCK = QT + f""", s as (
 s2 as (select s.*, ln(q.mid / (1e0 - q.mid)) as ls from s asof join quotes q
   on s.market_slug = q.market_slug and s.t0 + 72 * {HOUR} >= q.ts_us),
 r as (select shock_id, t0, ls - l0 as tot, q.ts_us, (ln(q.mid / (1e0 - q.mid)) - l0) as mv from s2
- join quotes q on s2.market_slug = q.market_slug and q.ts_us between t0 and t0 + 72 * {HOUR})"""
+ left join quotes q on s2.market_slug = q.market_slug and q.ts_us between t0 and t0 + 72 * {HOUR})"""
 
 
 @query("w12_incorporation_times", f"""with {SHOCK}
@@ -409,61 +412,97 @@ def w12(spark, sf):
     return reaction_times(spark, sf)
 
 
-def reaction_times(spark, sf):
-    """Time from each shock until given shares of its eventual move were in the price.
-
-    Quotes are attached to the shocks whose 72 h window covers them through hourly
-    cells, so no market is ever paired with all of its quotes.
-    """
+def anchors(spark, sf):
+    """Each shock with its window, the log odds before it and the eventual move."""
     both = at_trade(spark, sf, [0, 72])
     mid = F.col("asof.mid")
-    anchors = both.groupBy("event_id", "market_slug").agg(
+    a = both.groupBy("event_id", "market_slug").agg(
         F.min("ts_us").alias("t0"), F.max(F.when(F.col("horizon") == 0, mid)).alias("m0"),
         F.max(F.when(F.col("horizon") == 72, mid)).alias("ms"),
     ).where("m0 is not null and ms is not null")
-    anchors = anchors.select(
+    return a.select(
         F.col("event_id").alias("shock_id"), "market_slug", "t0",
         (F.col("t0") + 72 * HOUR).alias("t1"), pr.logit(F.col("m0")).alias("l0"),
         (pr.logit(F.col("ms")) - pr.logit(F.col("m0"))).alias("tot"),
     )
-    cell = F.lit(24 * HOUR)
-    lhs = anchors.withColumn("c", F.explode(F.sequence(F.floor(F.col("t0") / cell), F.floor(F.col("t1") / cell))))
-    rhs = tb.quotes(spark, sf).select("market_slug", "ts_us", "mid", F.floor(F.col("ts_us") / cell).alias("c"))
-    rows = lhs.join(rhs, ["market_slug", "c"]).where("ts_us between t0 and t1").withColumn(
-        "mv", pr.logit(F.col("mid")) - F.col("l0")
-    )
-    big = F.abs(F.col("tot")) >= 1e-12
-    frac = F.col("mv") / F.nullif(F.col("tot"), F.lit(0.0))
-    dt = F.col("ts_us") - F.col("t0")
-    return rows.groupBy("shock_id").agg(
-        r6(F.max("tot")).alias("total_move"),
-        F.min(F.when(F.abs(F.col("mv")) >= 0.02, dt)).alias("first_move_us"),
-        *[F.min(F.when(big & (frac >= p / 100), dt)).alias(f"t{p}_us") for p in (10, 25, 50, 75, 90)],
-    )
 
 
-@query("j22_shock_fanout", f"""with {SHOCK}
-select shock_id, count(*) as quotes, {s6('avg(abs(mv))')} as mean_move from r group by 1""")
-def j22(spark, sf):
-    both = at_trade(spark, sf, [0, 72])
-    mid = F.col("asof.mid")
-    anchors = both.groupBy("event_id", "market_slug").agg(
-        F.min("ts_us").alias("t0"), F.max(F.when(F.col("horizon") == 0, mid)).alias("m0"),
-        F.max(F.when(F.col("horizon") == 72, mid)).alias("ms"),
-    ).where("m0 is not null and ms is not null")
-    cell = F.lit(24 * HOUR)
-    lhs = anchors.withColumn("t1", F.col("t0") + 72 * HOUR).withColumn(
-        "c", F.explode(F.sequence(F.floor(F.col("t0") / cell), F.floor(F.col("t1") / cell)))
-    ).select(F.col("event_id").alias("shock_id"), "market_slug", "t0", "t1", "m0", "c")
-    rhs = tb.quotes(spark, sf).select("market_slug", "ts_us", "mid", F.floor(F.col("ts_us") / cell).alias("c"))
-    rows = lhs.join(rhs, ["market_slug", "c"]).where("ts_us between t0 and t1")
-    move = F.abs(pr.logit(F.col("mid")) - pr.logit(F.col("m0")))
-    return rows.groupBy("shock_id").agg(
-        F.count(F.lit(1)).alias("quotes"), r6(F.avg(move)).alias("mean_move")
-    )
+def reaction_times(spark, sf, cell_us=2 * HOUR):
+    """Time from each shock until given shares of its eventual move were in the price.
 
+    A shock meets the (min, max) of each time cell of its window first, a bounded number of
+    rows whatever the quote rate. Only the cell the shock falls in and the first later cell
+    that reaches the level are then searched quote by quote.
+    """
+    c = F.col
+    shares = (10, 25, 50, 75, 90)
+    big = F.abs(c("tot")) >= 1e-12
+    none = F.lit(None).cast("double")
+
+    def level(name, high, low):
+        return F.struct(F.lit(name).alias("name"), high.alias("high"), low.alias("low"))
+
+    wanted = [level("first_move", c("l0") + F.lit(0.02), c("l0") - F.lit(0.02))]
+    for p in shares:
+        at = c("l0") + c("tot") * F.lit(p / 100)
+        wanted.append(level(f"t{p}", F.when(big & (c("tot") > 0), at).otherwise(none),
+                            F.when(big & (c("tot") < 0), at).otherwise(none)))
+    shocks = anchors(spark, sf)
+    probes = shocks.withColumn("w", F.explode(F.array(*wanted))).select(
+        "shock_id", "market_slug", "t0", "t1", "w.*", F.floor(c("t0") / F.lit(cell_us)).alias("c0"),
+    ).where("high is not null or low is not null")
+    quotes = tb.quotes(spark, sf).select(
+        "market_slug", "ts_us", pr.logit(c("mid")).alias("v"), F.floor(c("ts_us") / F.lit(cell_us)).alias("cell")
+    )
+    cells = quotes.groupBy("market_slug", "cell").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    eps = F.lit(1e-9)  # cells are a filter only; the search below decides
+    reach = F.coalesce(c("hi") >= c("high") - eps, F.lit(False)) | F.coalesce(c("lo") <= c("low") + eps, F.lit(False))
+    later = probes.withColumn(
+        "cell", F.explode(F.sequence(c("c0") + 1, F.greatest(c("c0") + 1, F.floor(c("t1") / F.lit(cell_us)))))
+    ).join(cells, ["market_slug", "cell"]).where(reach).groupBy("shock_id", "name").agg(F.min("cell").alias("hit"))
+    search = probes.join(later, ["shock_id", "name"], "left").withColumn(
+        "cell", F.explode(F.array_compact(F.array(c("c0"), c("hit"))))
+    )
+    frac_high = c("v") >= c("high") - F.lit(1e-12)
+    frac_low = c("v") <= c("low") + F.lit(1e-12)
+    found = search.join(quotes, ["market_slug", "cell"]).where(
+        c("ts_us").between(c("t0"), c("t1")) & (F.coalesce(frac_high, F.lit(False)) | F.coalesce(frac_low, F.lit(False)))
+    ).groupBy("shock_id").agg(
+        *[F.min(F.when(c("name") == n, c("ts_us") - c("t0"))).alias(f"{n}_us") for n in ("first_move", *[f"t{p}" for p in shares])]
+    )
+    return shocks.join(found, "shock_id", "left").select(
+        "shock_id", r6("tot").alias("total_move"), "first_move_us", *[f"t{p}_us" for p in shares]
+    )
+
+
+@query("j22_shock_fanout", f"""with {QT}, {PAIRS}, lk as (select event_id as shock_id, ts_us as t0, market_slug from trades union all
+ select t.event_id, t.ts_us, p.b from trades t join pairs p on p.a = t.market_slug where p.b is not null),
+r as (select shock_id, lk.market_slug, count(*) as n, avg(ln(q.mid / (1e0 - q.mid))) as m from lk join quotes q on q.market_slug = lk.market_slug and q.ts_us between t0 and t0 + 72 * {HOUR} group by 1, 2)
+select shock_id, market_slug, n as quotes, {s6('m')} as mean_logit from r""")
+def j22(spark, sf):
+    """Quotes of every linked market in the 72 h after each shock, by prefix sums.
 
-MARK = {1: "1h", 6: "6h", 24: "24h"}
+    Counts and sums up to both ends of the window are as-of probes of running totals, so a
+    busy market is never joined with all of its quotes.
+    """
+    c = F.col
+    pairs = pair_table(spark, sf).withColumnRenamed("a", "market_slug")
+    shocks = tb.trades(spark, sf).select(c("event_id").alias("shock_id"), c("ts_us").alias("t0"), "market_slug")
+    linked = shocks.join(pairs, "market_slug", "left").select(
+        "shock_id", "t0", F.explode(F.array_compact(F.array("market_slug", "b"))).alias("market_slug")
+    ).withColumn("t1", c("t0") + 72 * HOUR)
+    quotes = tb.quotes(spark, sf).select("market_slug", "event_id", c("ts_us").alias("q_us"), pr.logit(c("mid")).alias("l"))
+    sums = running(
+        quotes, ["market_slug"], "q_us", ["event_id"], {"n": ("count", None), "s": ("sum", c("l"))}
+    )
+    order = F.lpad(c("event_id").cast("string"), 20, "0")
+    before = asof.asof_join(linked, sums, ["market_slug"], "t0", "q_us", ["n", "s"], "b0", strict=True, tie=order)
+    both = asof.asof_join(before, sums, ["market_slug"], "t1", "q_us", ["n", "s"], "b1", tie=order)
+    n = F.coalesce("b1.n", F.lit(0)) - F.coalesce("b0.n", F.lit(0))
+    total = F.coalesce("b1.s", F.lit(0.0)) - F.coalesce("b0.s", F.lit(0.0))
+    return both.select("shock_id", "market_slug", n.alias("quotes"), total.alias("t")).where("quotes > 0").select(
+        "shock_id", "market_slug", "quotes", r6(c("t") / c("quotes")).alias("mean_logit")
+    )
 
 
 @query("f24_markouts", f"""with {NEAR}
@@ -483,19 +522,13 @@ def f24(spark, sf):
     ))
 
 
-PAIRS = """mk as (select distinct market_slug from quotes),
-pairs as (select market_slug as a, lead(market_slug) over (order by market_slug) as b from mk)"""
-
-
 def pair_table(spark, sf):
-    """Related markets: each market with its successor in name order."""
+    """Related markets: each market with its successor by number."""
     names = tb.quotes(spark, sf).select("market_slug").distinct().withColumns(
-        {"g": F.lit(1), "n": F.regexp_extract("market_slug", r"(\d+)", 1).cast("bigint")}
-    )
-    w = Window.partitionBy("g").orderBy("market_slug")
-    return names.select(F.col("market_slug").alias("a"), F.lead("market_slug").over(w).alias("b")).where(
-        "b is not null"
+        {"g": F.lit(1), "n": F.substring("market_slug", 2, 20).cast("bigint")}
     )
+    nxt = running(names, ["g"], "n", [], {"b": ("lead", F.col("market_slug"))})
+    return nxt.where("b is not null").select(F.col("market_slug").alias("a"), "b")
 
 
 CORR = f"""{DAILY}, rt as (select market_slug, day, mid / lag(mid) over (partition by market_slug order by day) - 1 as r from dm),

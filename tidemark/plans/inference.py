@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import book as bk
 from tidemark.functions import pricing as pr
 from tidemark.functions import scoring as sc
 from tidemark.operators import calibrate as cal
@@ -13,7 +14,8 @@ from tidemark.operators import scores as op
 from tidemark.operators.ordered import nearest_rank, running
 from tidemark.plans.bindings import FC, SNAP
 from tidemark.plans.execution import SPLITTED, split
-from tidemark.plans.pit import DAY, canonical
+from tidemark.plans.market import BOOK
+from tidemark.plans.pit import AS_OF, DAY, canonical
 from tidemark.plans.registry import query, r6, s6
 from tidemark.plans.scores import RES, SPLIT_US, UNIF, ll, six
 from tidemark.sources import tables as tb
@@ -581,6 +583,22 @@ def m05(spark, sf):
     return six(out)
 
 
+@query("m06_training_table", f"""with {BOOK}, {FC}, lb as (select market_id, max(outcome) as outcome, min(label_known_us) as known from fc group by 1)
+select event_id, {s6('(bb + ba) / 2')} as mid, {s6('(bd - ad) / (bd + ad)')} as imbalance, outcome from bb join lb on lb.market_id = bb.market_slug
+where ts_us <= {AS_OF} and outcome is not null and known <= {AS_OF} and nb > 0 and na > 0""")
+def m06(spark, sf):
+    """Features of the books visible at the cut with the labels known by then."""
+    c = F.col
+    f = bk.features(c("bids"), c("asks"))
+    books = tb.books(spark, sf).where(c("ts_us") <= AS_OF).select(
+        "event_id", c("market_slug").alias("market_id"), f["midpoint"].alias("mid"), f["imbalance"].alias("imbalance")
+    ).where("mid is not null")
+    labels = tb.forecasts(spark, sf).groupBy("market_id").agg(
+        F.max("outcome").alias("outcome"), F.min("label_known_us").alias("known")
+    ).where(c("outcome").isNotNull() & (c("known") <= AS_OF))
+    return six(books.join(labels, "market_id").select("event_id", "mid", "imbalance", "outcome"))
+
+
 @query("m07_ensemble_weights", f"""with {RES}, g as (select i / 20e0 as w from range(21) r(i)), s as (
  select w, round(avg(pow(w * model_p + (1 - w) * mid - outcome, 2)), 12) as brier from res, g group by 1)
 select {s6('brier')} as brier, {s6('w')} as w_model_p, {s6('1 - w')} as w_mid from s order by brier, w limit 1""")

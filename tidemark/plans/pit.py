@@ -458,23 +458,20 @@ def a53(spark, sf):
     return six(intervals.coverage(tb.gaps(spark, sf), ["market_slug"], "start_us", "end_us", W0, W1))
 
 
-@query("j13_gap_overlap", f"""with {GAPS}, lu as (
+@query("j13_gap_overlap", f"""with {UNION}, lu as (
  select 'm' || user_id as market_slug, event_id as window_id, ts_us as ws, ts_us + 6 * {HOUR} as we
  from ev where event_type in ('view', 'click'))
-select window_id, g.event_id as gap_id, least(we, end_us) - greatest(ws, start_us) as overlap_us
-from lu join gaps g using (market_slug) where ws < end_us and start_us < we""")
+select window_id, cast(coalesce(sum(least(we, end_us) - greatest(ws, start_us)) filter (where start_us is not null), 0) as bigint) as overlap_us
+from lu left join uni on lu.market_slug = uni.market_slug and ws < end_us and start_us < we group by 1""")
 def j13(spark, sf):
     windows = tb.quotes(spark, sf).select(
         "market_slug", F.col("event_id").alias("window_id"), F.col("ts_us").alias("ws"),
         (F.col("ts_us") + 6 * HOUR).alias("we"),
     )
-    out = intervals.overlap_join(
-        windows, tb.gaps(spark, sf), ["market_slug"], 6 * HOUR, "ws", "we", "start_us", "end_us"
-    )
-    return out.select(
-        "window_id", F.col("event_id").alias("gap_id"),
-        (F.least("we", "end_us") - F.greatest("ws", "start_us")).alias("overlap_us"),
+    out = intervals.covered_time(
+        windows, tb.gaps(spark, sf), ["market_slug"], "ws", "we", "start_us", "end_us", "overlap_us"
     )
+    return out.select("window_id", "overlap_us")
 
 
 @query("j13_interval_subtraction", f"""with {UNION}, lu as (

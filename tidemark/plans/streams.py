@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import sequences as sq
+from tidemark.operators.asof import asof_join
 from tidemark.operators.ordered import nearest_rank, running
 from tidemark.plans.bindings import DOCS, EV, QT
 from tidemark.plans.feeds import RAW
@@ -158,19 +159,17 @@ def t12(spark, sf):
 @query("t13_fill_quote_match", f"""with {QT} select t.event_id, count(*) as quotes, arg_max(q.event_id, (q.ts_us, q.event_id)) as last_quote from trades t
  join quotes q on t.market_slug = q.market_slug and q.ts_us between t.ts_us - {12 * HOUR} and t.ts_us + {12 * HOUR} group by 1""")
 def t13(spark, sf):
+    """Quotes around each fill: two as-of probes of a running count instead of an interval join."""
     c = F.col
-    cell = F.lit(12 * HOUR)
-    lo, hi = c("ts_us") - 12 * HOUR, c("ts_us") + 12 * HOUR
-    lhs = tb.trades(spark, sf).select("event_id", "market_slug", lo.alias("lo"), hi.alias("hi")).withColumn(
-        "c", F.explode(F.sequence(F.floor(c("lo") / cell), F.floor(c("hi") / cell)))
-    )
-    rhs = tb.quotes(spark, sf).select(
-        "market_slug", c("event_id").alias("q_id"), c("ts_us").alias("q_us"), F.floor(c("ts_us") / cell).alias("c")
-    )
-    rows = lhs.join(rhs, ["market_slug", "c"]).where("q_us between lo and hi")
-    return rows.groupBy("event_id").agg(
-        F.count(F.lit(1)).alias("quotes"), F.max_by("q_id", F.struct("q_us", "q_id")).alias("last_quote")
-    )
+    half = 12 * HOUR
+    order = F.lpad(c("event_id").cast("string"), 20, "0")
+    quotes = tb.quotes(spark, sf).select("market_slug", "event_id", c("ts_us").alias("q_us"))
+    counted = running(quotes, ["market_slug"], "q_us", ["event_id"], {"n": ("count", None)})
+    fills = tb.trades(spark, sf).select("event_id", "market_slug", (c("ts_us") - half).alias("lo"), (c("ts_us") + half).alias("hi"))
+    before = asof_join(fills, counted, ["market_slug"], "lo", "q_us", ["n"], "b0", strict=True, tie=order)
+    both = asof_join(before, counted, ["market_slug"], "hi", "q_us", ["n", "event_id"], "b1", tie=order)
+    n = F.coalesce("b1.n", F.lit(0)) - F.coalesce("b0.n", F.lit(0))
+    return both.select("event_id", n.alias("quotes"), c("b1.event_id").alias("last_quote")).where("quotes > 0")
 
 
 @query("t15_correlation_tracker", f"""with {QT}, {PAIRS}, {CORR}, n as (select *, row_number() over (partition by a, b order by day desc) rn from al)
