@@ -58,17 +58,17 @@ def temperature(train: DataFrame) -> DataFrame:
 
     From T = 0.5 on no likelihood term reaches its clip, so the loss is convex in 1/T and
     a coarse pass followed by the neighbourhood of its minimum is exact; below 0.5 every
-    grid point is evaluated. Both passes are one map-side aggregation of the rows.
+    grid point is evaluated.
     """
-    x = pr.logit(F.col("p"), 1e-6)
-
-    def loss(t: int) -> Column:
-        q = pr.clamp(pr.sigmoid(x / F.lit(t / 100.0)), 1e-12, 1 - 1e-12)
-        return F.round(F.avg(-F.when(F.col("outcome") == 1, F.ln(q)).otherwise(F.ln(F.lit(1.0) - q))), 12)
+    rows = train.select(pr.logit(F.col("p"), 1e-6).alias("x"), "outcome")
+    q = pr.clamp(pr.sigmoid(F.col("x") / (F.col("t") / F.lit(100.0))), 1e-12, 1 - 1e-12)
+    loss = -F.when(F.col("outcome") == 1, F.ln(q)).otherwise(F.ln(F.lit(1.0) - q))
 
     def best(points: list[int]) -> tuple[float, int]:
-        row = train.agg(*[loss(t).alias(f"t{t}") for t in points]).first()
-        return min((row[f"t{t}"], t) for t in points)
+        # rows meet the grid inside the map task; one number per point leaves it
+        grid = rows.withColumn("t", F.explode(F.array(*[F.lit(t) for t in points])))
+        found = grid.groupBy("t").agg(F.round(F.avg(loss), 12).alias("nll")).collect()
+        return min((r["nll"], r["t"]) for r in found)
 
     first = best([*range(10, 50), *range(50, 500, 10), 499])
     if first[1] >= 50:

@@ -363,11 +363,14 @@ def nearest_rank(
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("_c")
     )
-    cum = running(counted, keys, value, [], {"_cum": ("sum", F.col("_c"))}, hot_rows=hot_rows)
-    totals = counted.groupBy(*keys).agg(F.sum("_c").alias("n"))
+    both = running(
+        counted, keys, value, [],
+        {"_cum": ("sum", F.col("_c")), "_rest": ("sum_after", F.col("_c"))}, hot_rows=hot_rows,
+    )
+    both = both.withColumn("n", F.col("_cum") + F.col("_rest") - F.col("_c"))
     hit = {
         name: (F.col("_cum") - F.col("_c") < rank(F.col("n"))) & (rank(F.col("n")) <= F.col("_cum"))
         for name, rank in ranks.items()
     }
     picks = [F.max(F.when(cond, F.col(value))).alias(name) for name, cond in hit.items()]
-    return cum.join(totals, list(keys)).groupBy(*keys, "n").agg(*picks)
+    return both.groupBy(*keys, "n").agg(*picks)
