@@ -460,19 +460,23 @@ def latest_by_market(spark, sf):
 select ec as event_cluster, cat as category, count(*) as legs, {s6('100 - sum(100 * ask) - sum(' + fee5('100e0 * fr * ask * (1e0 - ask)') + ') - count(*) * 100 * 2e-3 - count(*) * 100 * 1e-2')} as net_surplus,
  (max(ts_us) - min(ts_us)) > {30 * DAY} as asynchronous, count(*) filter (where ask >= 1) as unusable from latest group by 1, 2""")
 def f20(spark, sf):
+    return six(basket(latest_by_market(spark, sf), ["event_cluster", "category"], 100.0))
+
+
+def basket(legs, rule, shares, slippage=0.002, penalty=0.01, skew_us=30 * DAY):
+    """Surplus of buying equal shares of every leg of a partition, after fees and buffers."""
     c = F.col
-    shares = F.lit(100.0)
-    fee = bk.taker_fee(shares, c("ask"), c("fee_rate"))
+    q = F.lit(shares)
+    fee = bk.taker_fee(q, c("ask"), c("fee_rate"))
     n = F.count(F.lit(1))
-    return six(latest_by_market(spark, sf).groupBy("event_cluster", "category").agg(
+    return legs.groupBy(*rule).agg(
         n.alias("legs"),
-        (shares - F.sum(shares * c("ask")) - F.sum(fee) - n * shares * F.lit(0.002) - n * shares * F.lit(0.01)).alias("net_surplus"),
-        ((F.max("ts_us") - F.min("ts_us")) > 30 * DAY).alias("asynchronous"),
+        (q - F.sum(q * c("ask")) - F.sum(fee) - n * q * F.lit(slippage) - n * q * F.lit(penalty)).alias("net_surplus"),
+        ((F.max("ts_us") - F.min("ts_us")) > skew_us).alias("asynchronous"),
         F.count_if(c("ask") >= 1).alias("unusable"),
-    ))
+    )
 
 
-KINDS = ["partition", "exclusive", "threshold", "implication", "subsume", "complement"]
 VIOL = """mem as (select ec || '/' || cat as rule, row_number() over (partition by ec, cat order by market_id) as pos, p from latest),
 pr2 as (select rule, count(*) n, sum(p) s, max(p) filter (where pos = 1) a, max(p) filter (where pos = 2) b from mem group by 1),
 v as (select rule, unnest(['partition', 'exclusive', 'threshold', 'implication', 'subsume', 'complement']) as kind,
