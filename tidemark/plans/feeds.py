@@ -490,7 +490,7 @@ def k05_rows(spark, sf):
 @query("k05_stratified_sample", f"""with {TRADES} select market_slug, cast(length(market_slug) as int) as stratum, trades, rn from (select market_slug, count(*) as trades,
  row_number() over (partition by length(market_slug) order by count(*) desc, market_slug) rn from trades group by 1) where rn <= 10""")
 def k05(spark, sf):
-    return k05_rows(spark, sf).select("market_slug", "stratum", "trades", "rn")
+    return k05_rows(spark, sf).select("market_slug", "stratum", "trades", F.col("rn").cast("bigint").alias("rn"))
 
 
 @query("k06_nearest_rank_percentiles", f"""with {EV}, l as (select event_type, k as v, row_number() over (partition by event_type order by k) rn, count(*) over (partition by event_type) n from ev)

@@ -115,24 +115,32 @@ def family_tests(spark, sf):
     """Every test cell of the families F1, F2 and F1-TTR with its bootstrap p-value."""
     c = F.col
     rows = op.resolved_before(tb.snapshots(spark, sf), SPLIT_US)
-    pb = F.concat(F.lit("price"), sc.unit_bin(c("mid")))
-    cat = sc.normalized_category(c("category"))
-    ttr = F.concat(F.lit("TTR["), sc.ttr_bucket(c("hours")), F.lit("]"))
-    spread = F.concat(F.lit("spread["), sc.spread_regime(c("spread")), F.lit("]"))
     resid = c("outcome") - c("mid")
+    # rows collapse to sums per market and class before they are copied into cells
+    sums = rows.groupBy(
+        "event_cluster", "market_id", sc.unit_bin(c("mid")).alias("pb"),
+        sc.normalized_category(c("category")).alias("cat"), sc.ttr_bucket(c("hours")).alias("ttr"),
+        sc.spread_regime(c("spread")).alias("regime"), (c("mid") < 0.1).alias("low"),
+    ).agg(F.sum(resid).alias("r"), F.sum(F.abs(resid)).alias("a"), F.count(F.lit(1)).alias("n"))
+
+    def named(kind, value):
+        return F.concat(F.lit(f"{kind}["), value, F.lit("]"))
 
     def cell(family, name, value):
-        return F.struct(F.lit(family).alias("family"), name.alias("cell"), value.alias("v"))
-
-    tall = rows.select("event_cluster", "market_id", F.explode(F.array_compact(F.array(
-        cell("F1", pb, resid), cell("F1", F.concat(F.lit("category["), cat, F.lit("]")), resid),
-        cell("F1", spread, resid), cell("F1", ttr, resid),
-        cell("F2", F.concat(pb, F.lit("x"), cat), resid),
-        F.when(c("mid") < 0.1, cell("F2", F.lit("pooled"), resid)),
-        cell("F1_TTR", ttr, F.abs(resid)),
-    ))).alias("x")).select("event_cluster", "market_id", "x.*")
+        return F.struct(F.lit(family).alias("family"), name.alias("cell"), value.alias("s"))
+
+    pb = F.concat(F.lit("price"), c("pb"))
+    tall = sums.select("event_cluster", "market_id", "n", F.explode(F.array_compact(F.array(
+        cell("F1", pb, c("r")), cell("F1", named("category", c("cat")), c("r")),
+        cell("F1", named("spread", c("regime")), c("r")), cell("F1", named("TTR", c("ttr")), c("r")),
+        cell("F2", F.concat(pb, F.lit("x"), c("cat")), c("r")),
+        F.when(c("low"), cell("F2", F.lit("pooled"), c("r"))),
+        cell("F1_TTR", named("TTR", c("ttr")), c("a")),
+    ))).alias("x")).select("event_cluster", "market_id", "n", "x.*")
     keys = ["family", "cell"]
-    means = op.cluster_means(tall, c("v"), keys)
+    means = tall.groupBy(*keys, "event_cluster", "market_id").agg(
+        (F.sum("s") / F.sum("n")).alias("v")
+    ).groupBy(*keys, "event_cluster").agg(F.avg("v").alias("v"))
     enough = means.groupBy(*keys).agg(F.count(F.lit(1)).alias("k")).where("k >= 20").drop("k")
     tests = inf.centred_p(means.join(enough, keys), "event_cluster", "v", keys, B)
     return inf.adjust(tests, ["family"], "p_value", "cell")
