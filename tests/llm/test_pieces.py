@@ -63,4 +63,6 @@ def test_frames(spark):
     out = pieces.decode(pieces.encode(df, blob), blob).orderBy("doc_id").collect()
     assert [r.decoded for r in out] == ["Hello  wörld", "", "", "", "a b " * 60_000]
     assert out[1].ids == [1, 2] and out[0].begins[0] == 0 and out[0].ends[-1] == len("Hello  wörld".encode())
+    again = pieces.encode(df, blob, decoded=True).orderBy("doc_id").collect()
+    assert [(r.ids, r.decoded) for r in again] == [(r.ids, r.decoded) for r in out]
     assert pieces.encode(df.limit(0), blob).count() == 0

@@ -2,9 +2,9 @@
 
 A text is normalised by the model's compiled character map: at every place the longest
 mapped prefix is replaced, all else is copied, and each normalised byte remembers the span
-of original bytes it came from. The normalised text is cut where no vocabulary piece can
-reach across, each segment is encoded once per worker and remembered, and every piece is
-projected back to a span of original bytes. Ids equal those of the sentencepiece library
+of original bytes it came from. The library segments the normalised text with its own
+normalisation switched off, and every piece is projected back through the alignment to a
+span of original bytes. Ids equal those of the sentencepiece library on the original text
 with begin and end ids and no sampling.
 
 Defined results: a null text counts as empty (begin and end id only, decoded to "");
@@ -19,13 +19,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidemark.llm.common import slices
+
 SPACE = "▁"
-# Text bytes encoded at a time, and the characters a worker's segment memory may hold.
-SLICE_BYTES = 2_000_000
-MEMORY_CHARS = 8_000_000
+# Text bytes encoded at a time by a worker.
+SLICE_BYTES = 1_000_000
 
 
 def character_map(blob: bytes) -> dict[str, str]:
@@ -112,7 +114,7 @@ class Normaliser:
 
 
 class Pieces:
-    """One model with its segment memory, as a worker holds it."""
+    """One model as a worker holds it."""
 
     def __init__(self, blob: bytes):
         import sentencepiece
@@ -129,85 +131,43 @@ class Pieces:
         spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces = b"", False, False
         self.raw = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         byte, normal = pb.ModelProto.SentencePiece.BYTE, pb.ModelProto.SentencePiece.NORMAL
-        self.bytes_of, self.is_byte, crossing, lines = [], set(), bool(whole), False
+        self.bytes_of, self.is_byte = [], set()
         for i, p in enumerate(model.pieces):
             if p.type == byte:
                 self.is_byte.add(i)
                 self.bytes_of.append(bytes([int(p.piece[3:5], 16)]))
             else:
                 self.bytes_of.append(p.piece.replace(SPACE, " ").encode() if p.type == normal else b"")
-            crossing |= p.type == normal and SPACE in p.piece.lstrip(SPACE)
-            lines |= p.type == normal and "\n" in p.piece
-        if crossing or not spec.escape_whitespaces:
-            self.segments = None
-        else:
-            self.segments = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if lines else f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-        self.forget()
-
-    def forget(self) -> None:
-        self.memory, self.chars = {}, 0
-        self.flat, self.widths, self.first = [], [], [0]
-        for marker in ((self.raw.bos_id(),), (self.raw.eos_id(),)):
-            self.flat += marker
-            self.widths.append(0)
-            self.first.append(len(self.flat))
-
-    def learn(self, segment: str) -> int:
-        """Encode one segment, remember it and return its code."""
-        for i, piece in zip(self.raw.encode(segment), self.raw.encode(segment, out_type=str)):
-            self.flat.append(i)
-            self.widths.append(1 if i in self.is_byte else len(piece.encode()))
-        self.first.append(len(self.flat))
-        self.memory[segment] = code = len(self.first) - 2
-        self.chars += len(segment) + 20
-        return code
+        # Normalised bytes that each piece covers; an unknown piece covers what it is made for.
+        self.width = np.array([1 if i in self.is_byte else len(p.piece.encode()) for i, p in enumerate(model.pieces)], np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Row offsets, ids, and begin and end bytes of each piece in its original text."""
-        if self.chars > MEMORY_CHARS:
-            self.forget()
-        codes, rows, begins, ends = [], [0], [], []
+        bos, eos, unknown = self.raw.bos_id(), self.raw.eos_id(), self.raw.unk_id()
+        offsets, ids, begins, ends = [0], [], [], []
         for text in texts:
+            size = len(text.encode())
             if self.normaliser.plain:
                 norm = (SPACE if text and self.prefix else "") + text.replace(" ", SPACE)
-                raw = np.frombuffer(text.encode(), np.uint8)
-                width = np.where(raw == 32, 3, 1)
-                source = np.repeat(np.arange(len(raw)), width)
+                width = np.where(np.frombuffer(text.encode(), np.uint8) == 32, 3, 1)
+                source = np.repeat(np.arange(size), width)
                 lead = np.zeros(3 if text and self.prefix else 0, np.int64)
-                begin, end = np.concatenate([lead, source]), np.concatenate([lead, source + 1])
+                begin, end = np.concatenate([lead, source, [size]]), np.concatenate([lead, source + 1])
             else:
                 norm, begin, end = self.normaliser(text)
-            found = ([norm] if norm else []) if self.segments is None else self.segments.findall(norm)
-            codes.append(0)
-            known = list(map(self.memory.get, found))
-            if None in known:
-                known = [self.learn(s) if s not in self.memory else self.memory[s] for s in found]
-            codes += known
-            codes.append(1)
-            rows.append(len(codes))
-            begins.append(begin)
-            ends.append(end)
-        first = np.array(self.first, np.int64)
-        codes = np.array(codes, np.int64)
-        count = (first[1:] - first[:-1])[codes]
-        to = np.cumsum(count)
-        pick = np.repeat(first[codes] - (to - count), count) + np.arange(to[-1] if len(to) else 0)
-        ids = np.array(self.flat, np.int32)[pick]
-        offsets = np.concatenate([[0], to])[rows]
-        width = np.array(self.widths, np.int64)[pick]
-        until = np.cumsum(width)
-        since = until - width
-        begin, end = np.concatenate([*begins, [0]]), np.concatenate([*ends, [0]])
-        if len(begin) - 1 != (until[-1] if len(until) else 0):
-            raise ValueError("pieces do not cover the normalised text")
-        # Markers have no width: they stand at the start and at the end of their text.
-        marker = width == 0
-        left = begin[since]
-        right = np.where(marker, left, end[np.maximum(until - 1, 0)])
-        sizes = np.array([len(t.encode()) for t in texts], np.int64)
-        left[offsets[:-1]] = right[offsets[:-1]] = 0
-        left[offsets[1:] - 1] = right[offsets[1:] - 1] = sizes
-        return offsets, ids, left.astype(np.int32), right.astype(np.int32)
+                begin = np.concatenate([begin, [size]])
+            found = np.array(self.raw.encode(norm), np.int64)
+            until = np.cumsum(self.width[found])
+            if unknown in found:
+                until = np.cumsum([1 if i in self.is_byte else len(x.encode()) for i, x in zip(found, self.raw.encode(norm, out_type=str))])
+            if len(found) and until[-1] != len(end):
+                raise ValueError("pieces do not cover the normalised text")
+            since = np.concatenate([[0], until[:-1]]).astype(np.int64) if len(found) else until
+            ids += [[bos], found, [eos]]
+            begins += [[0], begin[since], [size]]
+            ends += [[0], end[until - 1] if len(found) else found, [size]]
+            offsets.append(offsets[-1] + len(found) + 2)
+        return np.array(offsets), *(np.concatenate([*x, []]).astype(np.int32) for x in (ids, begins, ends))
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids, as the library's decode gives it."""
@@ -242,32 +202,26 @@ def _with(df: DataFrame, added: list[T.StructField]) -> tuple[list[str], T.Struc
     return [f.name for f in kept], T.StructType(kept + added)
 
 
-def _cut(texts: list[str]):
-    """Row ranges of about SLICE_BYTES characters."""
-    start = total = 0
-    for i, text in enumerate(texts):
-        if i > start and total + len(text) > SLICE_BYTES:
-            yield start, i
-            start, total = i, 0
-        total += len(text)
-    if start < len(texts):
-        yield start, len(texts)
-
+def encode(df: DataFrame, model: bytes, text: str = "text", decoded: bool = False) -> DataFrame:
+    """All columns, and per piece ``ids``, ``begins`` and ``ends`` (bytes of the original text).
 
-def encode(df: DataFrame, model: bytes, text: str = "text") -> DataFrame:
-    """All columns, and per piece ``ids``, ``begins`` and ``ends`` (bytes of the original text)."""
+    With ``decoded`` the text of the ids is added in the same pass.
+    """
     numbers = T.ArrayType(T.IntegerType(), False)
-    kept, schema = _with(df, [T.StructField(n, numbers) for n in ("ids", "begins", "ends")])
+    added = [T.StructField(n, numbers) for n in ("ids", "begins", "ends")]
+    kept, schema = _with(df, added + ([T.StructField("decoded", T.StringType())] if decoded else []))
 
     def run(batches):
         pieces = _pieces(model)
         for batch in batches:
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            for a, b in _cut(texts):
-                offsets, ids, begins, ends = pieces.encode(texts[a:b])
+            lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+            for a, b in slices(lengths, SLICE_BYTES):
                 part = batch.slice(a, b - a)
+                offsets, ids, begins, ends = pieces.encode([t or "" for t in part.column(text).to_pylist()])
                 columns = [part.column(c) for c in kept] + [_lists(offsets, x) for x in (ids, begins, ends)]
-                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "ids", "begins", "ends"])
+                if decoded:
+                    columns.append(pa.array([pieces.decode(ids[x:y].tolist()) for x, y in zip(offsets, offsets[1:])], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return df.mapInArrow(run, schema)
 

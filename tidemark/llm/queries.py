@@ -8,8 +8,9 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm import pieces, pseudonyms
+from tidemark.llm import curriculum, pieces, pseudonyms, quality, setsketch, shards
 from tidemark.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,7 +39,7 @@ def op9(spark, sf_dir):
     return pseudonyms.pseudonymised(docs, PSEUDONYM_KEY, found="n_found")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _ids_sha256(ids: pa.Array) -> pa.Array:
     """SHA-256 of ids as little-endian unsigned 32-bit integers."""
     flat, starts = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
@@ -52,6 +53,77 @@ def op10(spark, sf_dir):
 
     model = pieces.read_model(public_tokenizers.path(MODEL))
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    both = pieces.decode(pieces.encode(docs, model), model)
+    both = pieces.encode(docs, model, decoded=True)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _ids_sha256("ids").alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op1_quality_classifier")
+def op1(spark, sf_dir):
+    """A calibrated quality score for every document."""
+    docs, labels = read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "labels", "doc_id", "quality")
+    return quality.train_and_score(docs, labels)[0]
+
+
+# Brute force: every pair that shares a shingle, and a walk over the links.
+NEAR_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws
+  from documents),
+s as (select doc_id, unnest(case when coalesce(len(ws), 0) = 0 then []::varchar[] when len(ws) = 1 then ws
+        else list_distinct([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) end) as g from w),
+n as (select doc_id, count(*) as n from s group by 1),
+e as (
+  select a.doc_id as u, b.doc_id as v from s a join s b on a.g = b.g and a.doc_id < b.doc_id
+  join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id
+  where 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+  group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+both_ways as (select u, v from e union all select v, u from e),
+walk as (select doc_id as d, doc_id as r from documents union select v, r from walk join both_ways on u = d),
+least_id as (select d, min(r) as c from walk group by 1)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, c as component_id, doc_id = c as kept
+from documents left join n using (doc_id) join least_id on d = doc_id"""
+
+
+@query("op2_minhash_near_dedup", NEAR_SQL)
+def op2(spark, sf_dir):
+    """Near-duplicate component of every document over 2-word shingles."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return setsketch.near_duplicates(docs, shingle_words=2)
+
+
+@query("op4_shards")
+def op4(spark, sf_dir):
+    """All documents in 24 shards of nearly equal bytes."""
+    out = shards.sharded(read_table(spark, sf_dir, "documents", "doc_id", "text"), 24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+MIX_SQL = r"""
+with d as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+         md5(concat_ws('|', doc_id::varchar, md5(coalesce(text, '')))) as draw from documents),
+s as (select source, sum(size)::bigint as source_size from d group by 1),
+r as (select *, (row_number() over (order by source is null, source) - 1) % 3 as place, source_size * 3e0 as cap from s),
+q as (select *, (place + 1)::double as weight, cap / (place + 1)::double as ratio from r),
+f as (
+  select *, coalesce(sum(cap) over (order by ratio, source is null, source rows between unbounded preceding and 1 preceding), 0e0) as cap_to,
+         sum(weight) over (order by ratio, source is null, source rows between current row and unbounded following) as weight_from,
+         (sum(source_size) over ())::double as total from q),
+l as (select arg_min((total - cap_to) / weight_from, ratio) as level from f where (total - cap_to) / weight_from <= ratio),
+t as (select source, place, source_size, least(cap, (select level from l) * weight) as target from f),
+p as (
+  select d.doc_id, d.size, t.source_size, t.target, t.place,
+         coalesce(sum(d.size) over (partition by d.source order by d.draw, d.doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as start,
+         floor(t.target / nullif(t.source_size, 0))::bigint as passes
+  from d join t on d.source is not distinct from t.source)
+select doc_id, size, source_size, target,
+       coalesce(size * passes + greatest(0, least(size, floor(target)::bigint - passes * source_size - start)), 0)::bigint as taken
+from p"""
+
+
+@query("op5_curriculum_mixing", MIX_SQL)
+def op5(spark, sf_dir):
+    """How many words of every document the mix takes; the position is left to the operator's users."""
+    out = curriculum.mixed(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
