@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm import curriculum, pieces, pseudonyms, quality, setsketch, shards
+from tidemark.llm import curriculum, pieces, pseudonyms, quality, routed_search, setsketch, shards, threshold
 from tidemark.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,29 @@ def op5(spark, sf_dir):
     """How many words of every document the mix takes; the position is left to the operator's users."""
     out = curriculum.mixed(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op7_routed_search")
+def op7(spark, sf_dir):
+    """The 20 nearest found of every twentieth vector."""
+    vectors = routed_search.measured(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return routed_search.search(vectors, vectors.where("id % 20 = 0"), 20)
+
+
+TOP_SQL = r"""
+with v as (
+  select vec_id as id, [floor(256 * x::double)::bigint for x in embedding] as v from embeddings
+  where len(embedding) > 0 and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+p as (
+  select q.id as query_id, c.id as vec_id,
+         list_sum([q.v[i] * c.v[i] for i in range(1, len(q.v) + 1)])::bigint as score
+  from v q join v c on q.id % 50 = 0 and q.id <> c.id)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+from p qualify rank <= 5"""
+
+
+@query("op8_threshold_top_k", TOP_SQL)
+def op8(spark, sf_dir):
+    """The 5 largest integer inner products of every fiftieth vector."""
+    vectors = threshold.scaled(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return threshold.top_k(vectors, vectors.where("id % 50 = 0"), 5)
