@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm import curriculum, pieces, pseudonyms, quality, routed_search, setsketch, shards, threshold
+from tidemark.llm import curriculum, pieces, pseudonyms, quality, routed_search, setsketch, shards, threshold, urls
 from tidemark.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,13 @@ def op8(spark, sf_dir):
     """The 5 largest integer inner products of every fiftieth vector."""
     vectors = threshold.scaled(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
     return threshold.top_k(vectors, vectors.where("id % 50 = 0"), 5)
+
+
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+@query("op3_url_templates")
+def op3(spark, sf_dir):
+    """Verdict of every page's URL by rule or template."""
+    out = urls.judged(read_table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict")
