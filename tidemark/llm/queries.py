@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm import curriculum, pieces, pseudonyms, quality, routed_search, setsketch, shards, threshold, urls
+from tidemark.llm import curriculum, pieces, pseudonyms, quality, routed_search, setsketch, shards, substrings, threshold, urls
 from tidemark.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,24 @@ def op3(spark, sf_dir):
     """Verdict of every page's URL by rule or template."""
     out = urls.judged(read_table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
     return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+REPEAT_SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+p as (select doc_id, unnest(range(1, len(ws) - 18)) as i, ws from w where len(ws) >= 20),
+g as (select doc_id, i, array_to_string(ws[i:i + 19], ' ') as win from p),
+f as (select *, row_number() over (partition by win order by doc_id, i) as k from g),
+c as (select distinct doc_id, i + j as pos from f, range(0, 20) r(j) where k > 1),
+x as (select doc_id, list(pos) as gone from c group by 1),
+kept as (
+  select w.doc_id, len(ws) as n_words, coalesce(len(gone), 0) as n_removed,
+         case when gone is null then ws else [ws[i] for i in range(1, len(ws) + 1) if not list_contains(gone, i)] end as ks
+  from w left join x using (doc_id))
+select doc_id, n_words::bigint as n_words, n_removed::bigint as n_removed, sha256(array_to_string(ks, ' ')) as kept_sha256 from kept"""
+
+
+@query("op6_repeated_passages", REPEAT_SQL)
+def op6(spark, sf_dir):
+    """What is left of every document without the words of passages that start earlier."""
+    out = substrings.without_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
