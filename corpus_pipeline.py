@@ -26,11 +26,12 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component (5-word shingles, similarity 0.8): the smallest id.
 
-    Of repeated rows of that id one stays. Documents without words are kept as they are.
+    Of repeated rows (same id and text) one stays. Documents without words form no group.
     """
     found = setsketch.near_duplicates(docs, shingle_words=5).where("kept and doc_id is not null")
     keep = found.select(F.col("doc_id").alias("kept id"), F.col("n_shingles").alias("kept n")).dropDuplicates(["kept id"])
-    joined = docs.join(keep, F.col("doc_id") == F.col("kept id")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = docs.join(keep, F.col("doc_id") == F.col("kept id")).dropDuplicates(["doc_id", "text"]).select(
+        *[F.col(f"`{c}`") for c in docs.columns])
     return joined.unionByName(docs.where("doc_id is null"))
 
 
