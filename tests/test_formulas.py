@@ -16,7 +16,8 @@ from tidemark.operators import calibrate as cal
 from tidemark.operators import inference as inf
 from tidemark.operators import intervals, scores
 from tidemark.operators.graph import connected_components
-from tidemark.operators.sequences import Adwin, BookSide, PageHinkley
+from tidemark.operators.drift import START, adaptive_window, page_hinkley
+from tidemark.operators.sequences import BookSide
 from tidemark.plans.execution import basket
 from tidemark.plans.inference import mahalanobis
 from tidemark.plans.pit import canonical
@@ -204,7 +205,7 @@ def test_mahalanobis_full_dimension(spark):
     rnd = np.random.default_rng(7)
     x = rnd.normal(size=(200, 5)) @ rnd.normal(size=(5, 5))
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id int, embedding array<double>")
-    got = {r["vec_id"]: r for r in mahalanobis(df, 5).collect()}
+    got = {r["vec_id"]: r for r in mahalanobis(df).collect()}
     inv, mu = np.linalg.inv(np.cov(x.T)), x.mean(axis=0)
     want = np.sqrt(np.einsum("ij,jk,ik->i", x - mu, inv, x - mu))
     assert all(got[i]["score"] == pytest.approx(want[i]) for i in range(200))
@@ -241,12 +242,36 @@ def test_covered_time(spark):
 
 
 def test_detectors():
-    ph = PageHinkley(5.0, min_instances=10, alpha=0.0)
-    flags = [ph.update(0.0) for _ in range(50)] + [ph.update(1.0) for _ in range(50)]
-    assert not any(flags[:50]) and any(flags[50:])
-    ad = Adwin(min_window=5, max_window=100)
-    flags = [ad.update(0.1) for _ in range(60)] + [ad.update(0.9) for _ in range(60)]
-    assert not any(flags[:60]) and any(flags[60:])
+    step = np.array([0.0] * 50 + [1.0] * 50)
+    flags, _ = page_hinkley(step, START, 5.0, warmup=10, slack=0.0)
+    assert not flags[:50].any() and flags[50:].any()
+    state, pieces = START, []
+    for part in np.array_split(step, 7):  # the state carries over
+        out, state = page_hinkley(part, state, 5.0, warmup=10, slack=0.0)
+        pieces.append(out)
+    assert (np.concatenate(pieces) == flags).all()
+    flags, buckets = adaptive_window(np.array([0.1] * 600 + [0.9] * 600), [])
+    assert not flags[:600].any() and flags[600:640].any() and len(buckets) < 60
+    assert all(abs(s / n - 0.9) < 1e-9 for n, s in buckets)
+
+
+def test_adaptive_window_against_a_plain_one(monkeypatch):
+    """With buckets that never merge the borders are all cuts of the window."""
+    monkeypatch.setattr("tidemark.operators.drift.PER_SIZE", 10**9)
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.normal(m, 0.1, 60) for m in (0.2, 0.7, 0.4)])
+    flags, _ = adaptive_window(values, [])
+    window, want = [], []
+    for x in values:
+        window.append(x)
+        n, alarm = len(window), False
+        for cut in range(5, n - 5):
+            gap = abs(np.mean(window[:cut]) - np.mean(window[cut:]))
+            if gap >= math.sqrt(math.log(4 / 0.002) / 2 * (1 / cut + 1 / (n - cut))):
+                window, alarm = window[cut:], True
+                break
+        want.append(alarm)
+    assert flags.tolist() == want and any(want)
 
 
 def test_book_side_rules():

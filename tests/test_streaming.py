@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import drift
 from tidemark.operators import sequences as sq
 from tidemark.plans import streams as st
 from tidemark.sources import rawlog
@@ -92,7 +93,8 @@ def test_late_books_and_drift(spark, sf, tmp_path):
     schema = as_files(ev, str(tmp_path / "drift"))
     drain(to_memory(jobs.detect_drift(stream_of(spark, schema, str(tmp_path / "drift")), 500.0), "drift", tmp_path))
     got = {r["event_id"]: r["drift"] for r in spark.table("drift").collect()}
-    batch = sq.detect_changes(ev, "key", "ts_us", ["event_id"], "value", lambda: sq.PageHinkley(500.0))
+    batch = drift.detect_changes(
+        ev, "key", "ts_us", ["event_id"], "value", lambda x, s: drift.page_hinkley(x, s, 500.0), lambda: drift.START)
     assert got == {r["event_id"]: r["drift"] for r in batch.collect()}
     assert sum(got.values()) > 0
 

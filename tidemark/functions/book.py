@@ -10,9 +10,9 @@ def top(levels: Column, k: int) -> Column:
     return F.slice(levels, 1, k)
 
 
-def depth(levels: Column, k: int) -> Column:
-    """Total size of the best ``k`` levels."""
-    return F.aggregate(top(levels, k), F.lit(0.0), lambda acc, x: acc + x["size"])
+def depth(levels: Column, k: int | None = None) -> Column:
+    """Total size of the best ``k`` levels, of all levels without ``k``."""
+    return F.aggregate(levels if k is None else top(levels, k), F.lit(0.0), lambda acc, x: acc + x["size"])
 
 
 def best(levels: Column) -> Column:

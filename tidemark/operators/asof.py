@@ -18,28 +18,25 @@ from tidemark.operators.ordered import Profile, chain, profile, running
 
 def _merged(left, right, keys, left_t, right_t, payload, tie, sides):
     struct = F.struct(*[F.col(c) for c in payload])
-    lhs = left.withColumns(
-        {"_t": F.col(left_t), "_side": F.lit(sides[0]), "_tie": F.lit(None).cast("string")}
-    )
     rhs = right.select(
-        *keys, F.col(right_t).alias("_t"), F.lit(sides[1]).alias("_side"),
-        tie.cast("string").alias("_tie"), struct.alias("_r"),
+        *keys, F.col(right_t).alias("_t"), F.lit(sides[1]).alias("_side"), tie.alias("_tie"), struct.alias("_r"),
+    )
+    lhs = left.withColumns(
+        {"_t": F.col(left_t), "_side": F.lit(sides[0]), "_tie": F.lit(None).cast(rhs.schema["_tie"].dataType)}
     )
     return lhs.unionByName(rhs, allowMissingColumns=True)
 
 
 def asof_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_t: str, right_t: str,
-    payload: Sequence[str], name: str = "asof", strict: bool = False, forward: bool = False,
-    tie: Column | None = None, hot_rows: int | None = None,
-    prof: Profile | None = None,
+    payload: Sequence[str], name: str = "asof", strict: bool = False, forward: bool = False, *,
+    tie: Column, hot_rows: int | None = None, prof: Profile | None = None,
 ) -> DataFrame:
     """Attach to every left row the struct of the latest right row at or before it.
 
     ``strict`` excludes equal times, ``forward`` takes the first right row at or after.
-    Right rows with equal times are ordered by ``tie`` (compared as text).
+    Right rows with equal times are ordered by ``tie``, in the order of its own type.
     """
-    tie = F.lit("") if tie is None else tie
     # at equal times the right row must be met before the left row unless strict
     meets_first = not strict
     side = (2 if meets_first else 0) if forward else (0 if meets_first else 2)
@@ -53,11 +50,9 @@ def asof_join(
 
 def neighbours(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_t: str, right_t: str,
-    payload: Sequence[str], tie: Column | None = None, hot_rows: int | None = None,
-    prof: Profile | None = None,
+    payload: Sequence[str], *, tie: Column, hot_rows: int | None = None, prof: Profile | None = None,
 ) -> DataFrame:
     """Both neighbours in one shuffle: ``prev`` (at or before) and ``next`` (strictly after)."""
-    tie = F.lit("") if tie is None else tie
     merged = _merged(left, right, keys, left_t, right_t, payload, tie, (1, 0))
     out = running(
         merged, keys, "_t", ["_side", "_tie"],
@@ -68,12 +63,12 @@ def neighbours(
 
 def nearest_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_t: str, right_t: str,
-    payload: Sequence[str], tolerance: Column, name: str = "near", tie: Column | None = None,
+    payload: Sequence[str], tolerance: Column, name: str = "near", *, tie: Column,
     hot_rows: int | None = None, prof: Profile | None = None,
 ) -> DataFrame:
     """Closest right row in either direction within ``tolerance``; the earlier wins a tie."""
     fields = list(dict.fromkeys([*payload, right_t]))
-    both = neighbours(left, right, keys, left_t, right_t, fields, tie, hot_rows, prof)
+    both = neighbours(left, right, keys, left_t, right_t, fields, tie=tie, hot_rows=hot_rows, prof=prof)
     back = F.col(left_t) - F.col(f"prev.{right_t}")
     ahead = F.col(f"next.{right_t}") - F.col(left_t)
     picked = F.when(

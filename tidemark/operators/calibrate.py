@@ -32,7 +32,7 @@ def isotonic_predict(df: DataFrame, steps: DataFrame) -> DataFrame:
     """Left-continuous step prediction ``q``; below the first block its value applies."""
     first = steps.agg(F.min_by("value", "start").alias("v")).scalar()
     probes = df.withColumn("_g", F.lit(1))
-    out = asof_join(probes, steps.withColumn("_g", F.lit(1)), ["_g"], "p", "start", ["value"], name="_s")
+    out = asof_join(probes, steps.withColumn("_g", F.lit(1)), ["_g"], "p", "start", ["value"], name="_s", tie=F.col("value"))
     return out.withColumn("q", F.coalesce("_s.value", first)).drop("_s", "_g")
 
 

@@ -140,7 +140,7 @@ def covered_time(
     sums = running(union, keys, cs, [], {"_sum": ("sum_before", length)}, hot_rows=hot_rows)
     out = windows
     for end, tag in ((ws, "_c0"), (we, "_c1")):
-        out = asof_join(out, sums, keys, end, cs, [cs, ce, "_sum"], name="_iv", hot_rows=hot_rows)
+        out = asof_join(out, sums, keys, end, cs, [cs, ce, "_sum"], name="_iv", tie=F.col(ce), hot_rows=hot_rows)
         upto = F.coalesce("_iv._sum", F.lit(0)) + F.least(F.col(end), F.col(f"_iv.{ce}")) - F.col(f"_iv.{cs}")
         out = out.withColumn(tag, F.coalesce(upto, F.lit(0))).drop("_iv")
     return out.withColumn(name, F.col("_c1") - F.col("_c0")).drop("_c0", "_c1")

@@ -1,4 +1,4 @@
-"""Order-dependent operators: spaced acceptance, book rebuild, change detection.
+"""Order-dependent operators: spaced acceptance and book rebuild.
 
 The folds are small Python helpers; Spark splits the work into independent segments or
 streams rows past a constant-size state, so no whole key is ever held in memory.
@@ -6,8 +6,6 @@ streams rows past a constant-size state, so no whole key is ever held in memory.
 
 from __future__ import annotations
 
-import math
-from collections import deque
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -15,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof_join
-from tidemark.operators.ordered import chain, profile
+from tidemark.operators.ordered import chain
 from tidemark.session import checkpointed
 
 
@@ -32,67 +30,33 @@ def accept_spaced(df: DataFrame, keys: Sequence[str], t: str, row_id: str, windo
                   hot_rows: int | None = None) -> DataFrame:
     """Add ``accepted``: not within ``window`` of the key's last accepted row.
 
-    A gap of ``window`` always starts afresh, so the rows between such gaps are
-    independent segments. Segments small enough for one task are folded; larger ones use
-    next-acceptable pointers and pointer doubling.
+    A gap of ``window`` always starts afresh, so the first row after one is accepted without
+    looking further back. From there every row points to the first row that may follow it,
+    and pointer doubling follows the chain: the rounds grow with the logarithm of its length
+    and no key is ever one task. Times and ids keep their types and orders.
     """
-    fresh = F.col("_prev").isNull() | (F.col(t) - F.col("_prev") >= F.lit(window))
-    seg = chain(
-        df, keys, t, [row_id], {"_prev": ("lag", F.col(t))},
-        {"_seg": ("sum", F.when(fresh, 1).otherwise(0))}, hot_rows=hot_rows,
-    ).drop("_prev")
-    group = [*keys, "_seg"]
-    prof = profile(seg, group, t, hot_rows)
-    small = seg
-    if prof.hot is not None:
-        marked = checkpointed(prof.blocks(seg, t))
-        small = marked.where(~F.col("_hot")).drop("_hot", "_blk")
-    slim = small.select(*group, F.col(t).cast("long").alias("_t"), F.col(row_id).alias("_id"))
-    id_type = dict(slim.dtypes)["_id"]
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        segment, last = None, 0
-        for pdf in batches:
-            flags = []
-            for key, at in zip(zip(*[pdf[g] for g in group]), pdf["_t"]):
-                ok = key != segment or at - last >= window
-                if ok:
-                    segment, last = key, at
-                flags.append(ok)
-            yield pd.DataFrame({"_id": pdf["_id"], "accepted": flags})
-
-    flags = in_order(slim, group, ["_t", "_id"]).mapInPandas(scan, f"_id {id_type}, accepted boolean")
-    if prof.hot is not None:
-        flags = flags.unionByName(
-            _accept_by_pointers(marked.where("_hot"), group, t, row_id, window, hot_rows)
-        )
-    return df.join(flags.withColumnRenamed("_id", row_id), row_id)
-
-
-def _accept_by_pointers(rows, group, t, row_id, window, hot_rows):
-    base = rows.select(*group, F.col(t).alias("_t"), F.col(row_id).alias("_id"))
-    right = base.select(*group, F.col("_t").alias("_rt"), F.col("_id").alias("_rid"))
-    probes = base.withColumn("_want", F.col("_t") + F.lit(window))
+    follows = chain(df.select(*keys, F.col(t).alias("_t"), F.col(row_id).alias("_id")), keys, "_t", ["_id"],
+                    {"_prev": ("lag", F.col("_t"))}, hot_rows=hot_rows)
+    base = checkpointed(follows.withColumn("_fresh", F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") >= F.lit(window))).drop("_prev"))
+    right = base.select(*keys, F.col("_t").alias("_rt"), F.col("_id").alias("_rid"), F.col("_fresh").alias("_rf"))
     nxt = asof_join(
-        probes, right, group, "_want", "_rt", ["_rid"], forward=True,
-        tie=F.lpad(F.col("_rid").cast("string"), 20, "0"), hot_rows=hot_rows,
+        base.withColumn("_want", F.col("_t") + F.lit(window)), right, keys, "_want", "_rt", ["_rid", "_rf"], forward=True,
+        tie=F.col("_rid"), hot_rows=hot_rows,
     )
-    jump = checkpointed(nxt.select(F.col("_id").alias("a"), F.col("asof._rid").alias("b")).where("b is not null"))
-    reached = checkpointed(base.groupBy(*group).agg(F.min_by("_id", F.struct("_t", "_id")).alias("a")).select("a"))
-    count = reached.count()
+    # A pointer to a fresh row adds nothing: that row is accepted anyway.
+    jump = checkpointed(nxt.select(F.col("_id").alias("a"), F.col("asof._rid").alias("b")).where("b is not null and not asof._rf"))
+    reached = base.where("_fresh").select(F.col("_id").alias("a"))
+    count = -1
     while True:
-        step = reached.join(jump, "a").select(F.col("b").alias("a"))
-        reached = checkpointed(reached.union(step).distinct())
+        reached = checkpointed(reached.union(reached.join(jump, "a").select(F.col("b").alias("a"))).distinct())
         n = reached.count()
         if n == count:
             break
         count = n
-        twice = jump.select("a", F.col("b").alias("m")).join(
-            jump.select(F.col("a").alias("m"), "b"), "m"
-        ).select("a", "b")
-        jump = checkpointed(twice)
-    hit = reached.select(F.col("a").alias("_id"), F.lit(True).alias("accepted"))
-    return base.select("_id").join(hit, "_id", "left").select("_id", F.coalesce("accepted", F.lit(False)).alias("accepted"))
+        jump = checkpointed(jump.select("a", F.col("b").alias("m")).join(
+            jump.select(F.col("a").alias("m"), "b"), "m").select("a", "b"))
+    hit = reached.select(F.col("a").alias(row_id), F.lit(True).alias("_hit"))
+    return df.join(hit, row_id, "left").withColumn("accepted", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def gap_epochs(df: DataFrame, connection: Sequence[str], t: str, order: Sequence[str],
@@ -195,77 +159,3 @@ def rebuild_books(rows: DataFrame, connection: Sequence[str], t: str, hot_rows:
         "yes_px", "yes_sz", "no_px", "no_sz",
     )
     return in_order(kept, ["ticker", "segment"], [t, "event_id"]).mapInPandas(scan, BOOK_STATE)
-
-
-class PageHinkley:
-    def __init__(self, threshold: float, min_instances: int = 30, alpha: float = 0.005):
-        self.threshold, self.min_instances, self.alpha = threshold, min_instances, alpha
-        self.reset()
-
-    def reset(self):
-        self.n, self.total, self.cum, self.low = 0, 0.0, 0.0, 0.0
-
-    def update(self, x: float) -> bool:
-        self.n += 1
-        self.total += x
-        if self.n < self.min_instances:
-            return False
-        self.cum += x - self.total / self.n - self.alpha
-        self.low = min(self.low, self.cum)
-        if self.cum - self.low > self.threshold:
-            self.reset()
-            return True
-        return False
-
-    def state(self):
-        return [float(self.n), self.total, self.cum, self.low]
-
-    def restore(self, values):
-        self.n, self.total, self.cum, self.low = int(values[0]), *values[1:4]
-
-
-class Adwin:
-    """Adaptive window: drops the older part when two halves differ beyond the bound."""
-
-    def __init__(self, delta: float = 0.002, min_window: int = 5, max_window: int = 1000):
-        self.delta, self.min_window = delta, min_window
-        self.window: deque = deque(maxlen=max_window)
-
-    def update(self, x: float) -> bool:
-        self.window.append(x)
-        n = len(self.window)
-        if n < 2 * self.min_window:
-            return False
-        values = list(self.window)
-        total, left = sum(values), sum(values[: self.min_window])
-        for cut in range(self.min_window, n - self.min_window):
-            if cut > self.min_window:
-                left += values[cut - 1]
-            m = 1.0 / (1.0 / cut + 1.0 / (n - cut))
-            bound = math.sqrt(math.log(4.0 / self.delta) / (2.0 * m))
-            if abs(left / cut - (total - left) / (n - cut)) >= bound:
-                self.window = deque(values[cut:], maxlen=self.window.maxlen)
-                return True
-        return False
-
-
-def detect_changes(df: DataFrame, key: str, t: str, order: Sequence[str], value: str, make) -> DataFrame:
-    """Rows with ``drift`` from a sequential detector per key.
-
-    Rows are sorted inside hash partitions and streamed in Arrow batches past one detector,
-    so memory is one batch and one state however long a key's history is.
-    """
-    slim = in_order(df.select(key, t, *order, value), [key], [t, *order])
-    schema = ", ".join(f"{n} {ty}" for n, ty in slim.dtypes) + ", drift boolean"
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, detector = object(), None
-        for pdf in batches:
-            flags = []
-            for k, x in zip(pdf[key], pdf[value]):
-                if k != current:
-                    current, detector = k, make()
-                flags.append(detector.update(float(x)))
-            yield pdf.assign(drift=flags)
-
-    return slim.mapInPandas(scan, schema)

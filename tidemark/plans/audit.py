@@ -14,7 +14,7 @@ from tidemark.operators import scores as op
 from tidemark.operators.ordered import chain, nearest_rank, profile, rolling_range, running
 from tidemark.plans.bindings import EV, FILLS, GAPS, LEVELS, LOAD, QT, QUOTES, SNAP, TRADES
 from tidemark.plans.execution import LAT, latest_by_market
-from tidemark.plans.flow import PAIRS, CORR, aligned_returns
+from tidemark.plans.flow import CORR, EVENT_SIZE, PAIRS, aligned_returns, event_of
 from tidemark.plans.inference import draws
 from tidemark.plans.market import BOOK, book_reasons
 from tidemark.plans.pit import AS_OF, AS_OF_DAY, DAY, HOUR, NEAR, VINT, actual_peaks, nearest_quotes, vintages
@@ -179,8 +179,8 @@ def a51(spark, sf):
 
 @query("a45_correlation_adjusted_exposure", f"""with {QT}, {PAIRS}, {CORR}, pc as (select a, b, abs(corr(ra, rb)) c from al group by 1, 2 having count(*) >= 3), {FILLS},
 ps as (select token_id, sum(notional) e from fills where side = 'BUY' group by 1),
-cl as (select substr(a, 1, 3) as cluster, avg(c) as avg_corr from pc where substr(a, 1, 3) = substr(b, 1, 3) and c is not null group by 1),
-ex as (select substr(token_id, 1, 3) as cluster, sum(e) raw from ps group by 1)
+cl as (select cast(substr(a, 2) as bigint) // {EVENT_SIZE} as cluster, avg(c) as avg_corr from pc where c is not null group by 1),
+ex as (select cast(substr(token_id, 2) as bigint) // {EVENT_SIZE} as cluster, sum(e) raw from ps group by 1)
 select cluster, {s6('raw')} as raw, {s6('avg_corr')} as avg_correlation, {s6('raw * (1e0 + avg_corr / 2e0)')} as adjusted from ex join cl using (cluster)""")
 def a45(spark, sf):
     """Cluster exposure scaled by half the mean absolute correlation inside the cluster."""
@@ -188,10 +188,8 @@ def a45(spark, sf):
     pairs = aligned_returns(spark, sf).groupBy("a", "b").agg(
         F.count(F.lit(1)).alias("n"), F.abs(F.corr("ra", "rb")).alias("c")
     ).where("n >= 3 and c is not null")
-    inside = pairs.where(F.substring("a", 1, 3) == F.substring("b", 1, 3)).groupBy(
-        F.substring("a", 1, 3).alias("cluster")
-    ).agg(F.avg("c").alias("avg_correlation"))
-    raw = tb.fills(spark, sf).where("side = 'BUY'").groupBy(F.substring("token_id", 1, 3).alias("cluster")).agg(
+    inside = pairs.groupBy(event_of("a").alias("cluster")).agg(F.avg("c").alias("avg_correlation"))
+    raw = tb.fills(spark, sf).where("side = 'BUY'").groupBy(event_of("token_id").alias("cluster")).agg(
         F.sum("notional").alias("raw")
     )
     return six(raw.join(inside, "cluster").withColumn(
@@ -437,7 +435,7 @@ def a61(spark, sf):
     ))
 
 
-B = 300
+B = 2000
 H_SQL = NEAR + """, sg as (select t.*, case when taker_side = 'BUY' then 1 else -1 end as s from tol t where ok and horizon in (1, 6, 24)),
 ob as (select horizon, market_slug as event_cluster, s * (mid - price) as gross, s * (mid - price) - 5e-3 - 7e-2 * mid * (1e0 - mid) as net from sg),
 cl as (select horizon, event_cluster, sum(net) as sn, sum(gross) as sg, count(*) as n from ob group by 1, 2)"""
@@ -596,7 +594,7 @@ def j27(spark, sf):
     c = F.col
     q = tb.quotes(spark, sf).withColumn("q_us", c("ts_us"))
     probes = tb.trades(spark, sf).withColumn("known_us", F.greatest(c("ts_us"), c("ts_us") + c("size") * 60_000_000))
-    out = asof.asof_join(probes, q, ["market_slug"], "known_us", "q_us", ["event_id", "q_us"], forward=True)
+    out = asof.asof_join(probes, q, ["market_slug"], "known_us", "q_us", ["event_id", "q_us"], forward=True, tie=c("event_id"))
     return out.select("event_id", c("asof.event_id").alias("quote_id"), (c("asof.q_us") - c("known_us")).alias("wait_us"))
 
 
@@ -679,9 +677,9 @@ def s03(spark, sf):
 select taker_side, count(*) as n, {s6('avg(d)')} as mean_move from a group by 1""")
 def x03(spark, sf):
     """A user price function of time is a table of (market, time, price) joined as of."""
-    prices = tb.quotes(spark, sf).select("market_slug", F.col("ts_us").alias("q_us"), F.col("mid").alias("px"))
+    prices = tb.quotes(spark, sf).select("market_slug", F.col("ts_us").alias("q_us"), F.col("mid").alias("px"), F.col("event_id").alias("price_id"))
     probes = asof.at_horizons(tb.trades(spark, sf), "ts_us", [6], HOUR)
-    out = asof.asof_join(probes, prices, ["market_slug"], "target_us", "q_us", ["px"]).where("asof is not null")
+    out = asof.asof_join(probes, prices, ["market_slug"], "target_us", "q_us", ["px"], tie=F.col("price_id")).where("asof is not null")
     return six(out.groupBy("taker_side").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("asof.px") - F.col("price")).alias("mean_move")))
 
 

@@ -608,7 +608,7 @@ def f27(spark, sf):
     c = F.col
     q = tb.quotes(spark, sf).withColumn("q_us", c("ts_us"))
     probes = asof.at_horizons(tb.trades(spark, sf), "ts_us", [0, 24], HOUR)
-    at = asof.asof_join(probes, q, ["market_slug"], "target_us", "q_us", ["mid", "spread", "k"])
+    at = asof.asof_join(probes, q, ["market_slug"], "target_us", "q_us", ["mid", "spread", "k"], tie=c("event_id"))
     pair = at.groupBy("event_id").agg(
         F.max(F.when(c("horizon") == 0, c("asof"))).alias("s"), F.max(F.when(c("horizon") == 24, c("asof"))).alias("x")
     ).where("s is not null and x is not null")
@@ -632,7 +632,7 @@ def f28(spark, sf):
     c = F.col
     q = tb.quotes(spark, sf).withColumn("q_us", c("ts_us"))
     probes = asof.at_horizons(tb.trades(spark, sf), "ts_us", [0, 24], HOUR)
-    at = asof.asof_join(probes, q, ["market_slug"], "target_us", "q_us", ["mid", "spread"])
+    at = asof.asof_join(probes, q, ["market_slug"], "target_us", "q_us", ["mid", "spread"], tie=c("event_id"))
     w = at.groupBy("event_id").agg(
         F.max("taker_side").alias("side"), F.max("size").alias("size"),
         F.max(F.when(c("horizon") == 0, c("asof.mid"))).alias("m0"),
@@ -791,8 +791,8 @@ def j17(spark, sf):
     )
     keys = ["market_slug", "taker_side"]
     far = F.lit(1 << 60)
-    fwd = asof.nearest_join(paper, back, keys, "pt", "bt", ["bid", "bp", "bt"], far)
-    rev = asof.nearest_join(back, paper, keys, "bt", "pt", ["pid"], far).select("bid", c("near.pid").alias("pid"))
+    fwd = asof.nearest_join(paper, back, keys, "pt", "bt", ["bid", "bp", "bt"], far, tie=c("bid"))
+    rev = asof.nearest_join(back, paper, keys, "bt", "pt", ["pid"], far, tie=c("pid")).select("bid", c("near.pid").alias("pid"))
     both = fwd.where("near is not null").select(
         "pid", "pt", "pp", c("near.bid").alias("bid"), c("near.bp").alias("bp"), c("near.bt").alias("bt")
     ).join(rev, ["pid", "bid"])

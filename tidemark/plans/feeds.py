@@ -29,9 +29,10 @@ def s06(spark, sf):
     return rawlog.replay_order(rawlog.envelopes(spark, sf)).select("seq", "day", "source", "position")
 
 
-@query("s07_raw_integrity", f"""with {RAW} select day, count(*) as n, 0::bigint as mismatches from raw group by 1""")
+@query("s07_raw_integrity", f"""with {RAW} select day, count(*) as n, count(*) filter (where cast('0x' || substr(md5(wire), 1, 8) as bigint) % 97 = 0) as mismatches from raw group by 1""")
 def s07(spark, sf):
-    return rawlog.integrity(rawlog.envelopes(spark, sf))
+    """Sealed records of which some were altered afterwards: the scan must count exactly those."""
+    return rawlog.integrity(rawlog.tampered(rawlog.envelopes(spark, sf), "wire"))
 
 
 TREE = RAW + """, p as (select day, sha256(wire) as d, row_number() over (partition by day order by received_ns, seq) - 1 as p from raw),
@@ -54,10 +55,11 @@ def s09(spark, sf):
     return rawlog.manifest(rawlog.envelopes(spark, sf))
 
 
-@query("s10_dual_replay", f"""with {RAW} select count(*) as n, cast(sum(cast('0x' || substr(md5(wire), 1, 8) as bigint)) as bigint) as checksum, true as deterministic from raw""")
+@query("s10_dual_replay", f"""with {RAW} select count(*) as n, cast(sum(cast('0x' || substr(md5(row_number || '|' || wire), 1, 8) as bigint)) as bigint) as checksum, true as deterministic
+from (select wire, row_number() over (partition by day, source order by received_ns, seq) as row_number from raw)""")
 def s10(spark, sf):
     env = rawlog.envelopes(spark, sf)
-    again = rawlog.fingerprint(rawlog.replay_order(env.unionByName(env)))
+    again = rawlog.fingerprint(env.unionByName(env).orderBy(F.desc("seq")))  # repeats, met in another order
     first = rawlog.fingerprint(env)
     same = first.select(F.struct("n", "checksum").alias("a")).scalar()
     return again.withColumn("deterministic", F.struct("n", "checksum") == same)
@@ -159,12 +161,14 @@ def s16(spark, sf):
 
 @query("s17_canonical_books", f"""with {BOOK}
 select event_id, {s6('(bb + ba) / 2')} as mid, {s6('(bd - ad) / (bd + ad)')} as imbalance, {s6('(ba * bd + bb * ad) / (bd + ad)')} as microprice,
- true as verified, strftime(make_timestamp(ts_us), '%Y-%m-%d') as partition from bb where nb > 0 and na > 0 and bb < ba""")
+ cast('0x' || substr(md5(event_id::varchar), 1, 8) as bigint) % 97 <> 0 as verified, strftime(make_timestamp(ts_us), '%Y-%m-%d') as partition from bb where nb > 0 and na > 0 and bb < ba""")
 def s17(spark, sf):
     from tidemark.functions import book as bk
 
     c = F.col
-    raw = book_wires(spark, sf).withColumn("sha256", F.sha2("wire", 256))
+    # Some digests were sealed over another text: those records must come out unverified.
+    other = F.conv(F.substring(F.md5(c("event_id").cast("string")), 1, 8), 16, 10).cast("bigint") % 97 == 0
+    raw = book_wires(spark, sf).withColumn("sha256", F.sha2(F.when(other, F.concat("wire", F.lit("!"))).otherwise(c("wire")), 256))
     ok = wire.accepted(wire.parse_books(raw, "wire"))
     bd, ad = bk.depth(c("bids"), 5), bk.depth(c("asks"), 5)
     micro = (bk.best(c("asks")) * bd + bk.best(c("bids")) * ad) / F.nullif(bd + ad, F.lit(0.0))
@@ -217,19 +221,19 @@ def s19(spark, sf):
 where greatest(published_us, retrieved_us) <= 1704240000000000 group by 1""")
 def s20(spark, sf):
     known = F.greatest("published_us", "retrieved_us")
-    return tb.documents(spark, sf).where(known <= 1_704_240_000_000_000).groupBy("source").agg(
+    return tb.documents(spark, sf, until=1_704_240_000_000_000).where(known <= 1_704_240_000_000_000).groupBy("source").agg(
         F.count(F.lit(1)).alias("n"), F.max(known).alias("newest")
     )
 
 
-REL = """rel as (select item_id, 1704067200000000 + (item_id % 7) * 86400000000 as scheduled_us, string_split(lower(text), ' ')[1] as term from benchmark)"""
+REL = """rel as (select item_id, 1704067200000000 + (item_id % 7) * 86400000000 as scheduled_us, list_distinct(string_split(lower(text), ' ')) as terms from benchmark)"""
 
 
 def releases(spark, sf):
-    """Release calendar: one scheduled release per benchmark item with its search term."""
+    """Release calendar: one scheduled release per benchmark item with all words of its search text."""
     return tb.load(spark, sf, "benchmark").select(
         "item_id", (F.lit(1_704_067_200_000_000) + (F.col("item_id") % 7) * DAY).alias("scheduled_us"),
-        F.get(F.split(F.lower("text"), " "), F.lit(0)).alias("term"),
+        F.array_distinct(F.split(F.lower("text"), " ")).alias("terms"),
     )
 
 
@@ -242,16 +246,23 @@ def s21(spark, sf):
 
 
 @query("s22_release_contracts", f"""with {DOCS}, {REL}
-select item_id, count(distinct doc_id) as contracts from rel join docs on list_contains(string_split(lower(text), ' '), term)
- and published_us // 86400000000 = scheduled_us // 86400000000 group by 1""")
+select item_id, count(distinct doc_id) as contracts from rel join docs on published_us // 86400000000 = scheduled_us // 86400000000
+ and 2 * len(list_intersect(list_distinct(string_split(lower(text), ' ')), terms)) >= len(terms) group by 1""")
 def s22(spark, sf):
-    """Texts with the search term whose slug date is the release date: an equi-join on (term, day)."""
+    """Texts of the release day that hold at least half of the words of the search text.
+
+    An equi-join on (word, day): only words that some release of the day asks for survive it,
+    and the hits per (release, text) are counted.
+    """
     c = F.col
     words = tb.documents(spark, sf).select(
         "doc_id", F.floor(c("published_us") / F.lit(DAY)).alias("day"), F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("term")
     )
-    rel = releases(spark, sf).withColumn("day", F.floor(c("scheduled_us") / F.lit(DAY)))
-    return words.join(rel, ["term", "day"]).groupBy("item_id").agg(F.countDistinct("doc_id").alias("contracts"))
+    rel = releases(spark, sf).select(
+        "item_id", F.floor(c("scheduled_us") / F.lit(DAY)).alias("day"), F.size("terms").alias("asked"), F.explode("terms").alias("term")
+    )
+    hits = words.join(rel, ["term", "day"]).groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("asked").alias("asked"))
+    return hits.where(2 * c("n") >= c("asked")).groupBy("item_id").agg(F.count(F.lit(1)).alias("contracts"))
 
 
 @query("s28_forecast_export", f"""with {FC}, lab as (select distinct 'm' || doc_id as market_id, quality from labels)
@@ -297,7 +308,8 @@ def s30(spark, sf):
 select count(distinct id) as new_rows from h where id not in (select id from h where published_us <= 1704153600000000)""")
 def s32(spark, sf):
     ids = tb.documents(spark, sf).select("published_us", content_id(F.lower(F.trim("text")), F.lower(F.trim("source"))).alias("id"))
-    existing = ids.where("published_us <= 1704153600000000").select("id")
+    existing = tb.documents(spark, sf, until=1_704_153_600_000_000).select(
+        content_id(F.lower(F.trim("text")), F.lower(F.trim("source"))).alias("id"))
     return ids.join(existing, "id", "left_anti").agg(F.countDistinct("id").alias("new_rows"))
 
 
@@ -305,7 +317,7 @@ def s32(spark, sf):
 select id, min(published_us) as first_us from h where published_us > 1704240000000000 and id not in (select id from h where published_us <= 1704240000000000) group by 1""")
 def j11(spark, sf):
     rows = tb.documents(spark, sf).select(content_id("source", F.md5("text")).alias("id"), "published_us")
-    known = rows.where("published_us <= 1704240000000000").select("id")
+    known = tb.documents(spark, sf, until=1_704_240_000_000_000).select(content_id("source", F.md5("text")).alias("id"))
     return rows.where("published_us > 1704240000000000").join(known, "id", "left_anti").groupBy("id").agg(
         F.min("published_us").alias("first_us")
     )
@@ -315,7 +327,7 @@ def j11(spark, sf):
 where exchange_ms between 1704326400000 and 1705276800000 group by 1, 2""")
 def s33(spark, sf):
     part = F.conv(F.substring(F.md5("wire"), 1, 8), 16, 10).cast("bigint")
-    return rawlog.envelopes(spark, sf).where("exchange_ms between 1704326400000 and 1705276800000").groupBy("day", "source").agg(
+    return rawlog.envelopes(spark, sf, 1_704_326_400_000_000, 1_705_276_800_999_999).where("exchange_ms between 1704326400000 and 1705276800000").groupBy("day", "source").agg(
         F.count(F.lit(1)).alias("n"), F.sum(part).alias("checksum")
     )
 
@@ -331,7 +343,7 @@ def s34(spark, sf):
 def s35(spark, sf):
     """The decision log is nested JSON; an export is a filtered read of it."""
     c = F.col
-    log = tb.trades(spark, sf).select(F.to_json(F.struct(
+    log = tb.trades(spark, sf, AS_OF - 5 * DAY, AS_OF).select(F.to_json(F.struct(
         "market_slug", "ts_us", c("taker_side").alias("type"), F.struct("price", "size").alias("state")
     )).alias("line"))
     schema = "market_slug string, ts_us bigint, type string, state struct<price:double,size:bigint>"
@@ -344,7 +356,7 @@ def s35(spark, sf):
 @query("s36_quote_series_window", f"""with {QUOTES} select event_id, ts_us, {s6('best_bid')} as best_bid, {s6('best_ask')} as best_ask from quotes
 where market_slug = 'm7' and ts_us between {AS_OF - 10 * DAY} and {AS_OF + 10 * DAY}""")
 def s36(spark, sf):
-    return six(tb.quotes(spark, sf).where(
+    return six(tb.quotes(spark, sf, AS_OF - 10 * DAY, AS_OF + 10 * DAY, users=[7]).where(
         (F.col("market_slug") == "m7") & F.col("ts_us").between(AS_OF - 10 * DAY, AS_OF + 10 * DAY)
     ).select("event_id", "ts_us", "best_bid", "best_ask"))
 
@@ -585,16 +597,16 @@ def u07(spark, sf):
 
 @query("x06_payload_registry", f"""with {EV} select event_type as kind, count(*) as n, cast(sum(k) as bigint) as total from ev group by 1""")
 def x06(spark, sf):
-    """User extractors: one schema and one column function per record kind."""
-    registry = {
-        kind: ("k bigint", lambda p: p["k"]) for kind in ("click", "error", "purchase", "signup", "view")
-    }
+    """User extractors: one schema and one column function per record kind, and one for all other kinds."""
+    usual = ("k bigint", lambda p: p["k"])
+    registry = {kind: usual for kind in ("click", "error", "purchase", "signup", "view")}
     rows = tb.load(spark, sf, "events").select(F.col("event_type").alias("kind"), "props")
     value = None
     for kind, (schema, fn) in registry.items():
         cond = F.col("kind") == kind
         parsed = fn(F.from_json("props", schema))
         value = F.when(cond, parsed) if value is None else value.when(cond, parsed)
+    value = value.otherwise(usual[1](F.from_json("props", usual[0])))
     return rows.withColumn("v", value).groupBy("kind").agg(F.count("v").alias("n"), F.sum("v").alias("total"))
 
 

@@ -17,12 +17,14 @@ from tidemark.plans.scores import six
 from tidemark.sources import tables as tb
 
 
-PAIRS = """mk as (select distinct market_slug from quotes),
-pairs as (select market_slug as a, lead(market_slug) over (order by cast(substr(market_slug, 2) as bigint)) as b from mk)"""
+# Markets are numbered along their events, this many to an event.
+EVENT_SIZE = 5
+PAIRS = f"""mk as (select distinct market_slug, cast(substr(market_slug, 2) as bigint) as no from quotes),
+pairs as (select x.market_slug as a, y.market_slug as b from mk x join mk y on x.no // {EVENT_SIZE} = y.no // {EVENT_SIZE} and x.no < y.no)"""
 
 
 def tie():
-    return F.lpad(F.col("event_id").cast("string"), 20, "0")
+    return F.col("event_id")
 
 
 def at_trade(spark, sf, hours, forward=False):
@@ -66,7 +68,7 @@ def w02(spark, sf):
     q = tb.quotes(spark, sf).select("market_slug", "event_id", "ts_us", "mid", "spread")
     rows = rolling(q, ["market_slug"], "ts_us", ["event_id"], 21, feats)
     trades = tb.trades(spark, sf).select("market_slug", F.col("ts_us").alias("t_us"))
-    rows = asof.asof_join(rows, trades, ["market_slug"], "ts_us", "t_us", ["t_us"])
+    rows = asof.asof_join(rows, trades, ["market_slug"], "ts_us", "t_us", ["t_us"], tie=F.col("t_us"))
     c = F.col
     span = F.nullif(c("hi") - c("lo"), F.lit(0.0))
     flat = c("hi") == c("lo")
@@ -211,6 +213,7 @@ def a42(spark, sf):
     reg = regimes(spark, sf)
     t = asof.asof_join(
         tb.trades(spark, sf), reg, ["market_slug"], "ts_us", "start_us", ["regime", "end_us"],
+        tie=F.struct("end_us", "regime"),
         prof=asof.stream_profile(
             tb.trades(spark, sf), tb.quotes(spark, sf), ["market_slug"], "ts_us", "ts_us"
         ),
@@ -476,7 +479,7 @@ def reaction_times(spark, sf, cell_us=2 * HOUR):
 
 
 @query("j22_shock_fanout", f"""with {QT}, {PAIRS}, lk as (select event_id as shock_id, ts_us as t0, market_slug from trades union all
- select t.event_id, t.ts_us, p.b from trades t join pairs p on p.a = t.market_slug where p.b is not null),
+ select t.event_id, t.ts_us, p.b from trades t join (select a, b from pairs union all select b, a from pairs) p on p.a = t.market_slug),
 r as (select shock_id, lk.market_slug, count(*) as n, avg(ln(q.mid / (1e0 - q.mid))) as m from lk join quotes q on q.market_slug = lk.market_slug and q.ts_us between t0 and t0 + 72 * {HOUR} group by 1, 2)
 select shock_id, market_slug, n as quotes, {s6('m')} as mean_logit from r""")
 def j22(spark, sf):
@@ -486,16 +489,16 @@ def j22(spark, sf):
     busy market is never joined with all of its quotes.
     """
     c = F.col
-    pairs = pair_table(spark, sf).withColumnRenamed("a", "market_slug")
+    pairs = pair_table(spark, sf)
+    others = pairs.unionByName(pairs.select(c("b").alias("a"), c("a").alias("b"))).withColumnRenamed("a", "market_slug")
     shocks = tb.trades(spark, sf).select(c("event_id").alias("shock_id"), c("ts_us").alias("t0"), "market_slug")
-    linked = shocks.join(pairs, "market_slug", "left").select(
-        "shock_id", "t0", F.explode(F.array_compact(F.array("market_slug", "b"))).alias("market_slug")
-    ).withColumn("t1", c("t0") + 72 * HOUR)
+    linked = shocks.unionByName(shocks.join(others, "market_slug").select("shock_id", "t0", c("b").alias("market_slug"))).withColumn(
+        "t1", c("t0") + 72 * HOUR)
     quotes = tb.quotes(spark, sf).select("market_slug", "event_id", c("ts_us").alias("q_us"), pr.logit(c("mid")).alias("l"))
     sums = running(
         quotes, ["market_slug"], "q_us", ["event_id"], {"n": ("count", None), "s": ("sum", c("l"))}
     )
-    order = F.lpad(c("event_id").cast("string"), 20, "0")
+    order = c("event_id")
     before = asof.asof_join(linked, sums, ["market_slug"], "t0", "q_us", ["n", "s"], "b0", strict=True, tie=order)
     both = asof.asof_join(before, sums, ["market_slug"], "t1", "q_us", ["n", "s"], "b1", tie=order)
     n = F.coalesce("b1.n", F.lit(0)) - F.coalesce("b0.n", F.lit(0))
@@ -522,13 +525,17 @@ def f24(spark, sf):
     ))
 
 
+def event_of(market):
+    """Event of a market, from its number."""
+    return F.floor(F.substring(market, 2, 20).cast("bigint") / F.lit(EVENT_SIZE)).cast("bigint")
+
+
 def pair_table(spark, sf):
-    """Related markets: each market with its successor by number."""
-    names = tb.quotes(spark, sf).select("market_slug").distinct().withColumns(
-        {"g": F.lit(1), "n": F.substring("market_slug", 2, 20).cast("bigint")}
-    )
-    nxt = running(names, ["g"], "n", [], {"b": ("lead", F.col("market_slug"))})
-    return nxt.where("b is not null").select(F.col("market_slug").alias("a"), "b")
+    """Related markets: all pairs inside an event, which its few members bound."""
+    no = F.substring("market_slug", 2, 20).cast("bigint")
+    names = tb.quotes(spark, sf).select("market_slug", no.alias("no"), event_of("market_slug").alias("event")).distinct()
+    other = names.select(F.col("market_slug").alias("b"), F.col("no").alias("no_b"), "event")
+    return names.join(other, "event").where("no < no_b").select(F.col("market_slug").alias("a"), "b")
 
 
 CORR = f"""{DAILY}, rt as (select market_slug, day, mid / lag(mid) over (partition by market_slug order by day) - 1 as r from dm),
@@ -545,20 +552,23 @@ def aligned_returns(spark, sf):
     return pair_table(spark, sf).join(ra, "a").join(rb, ["b", "day"])
 
 
+ROLL = 20
+
+
 @query("w08_rolling_correlation", f"""with {QT}, {PAIRS}, {CORR}, w as (
  select a, b, day, count(*) over p as n, covar_pop(ra, rb) over p / nullif(stddev_pop(ra) over p * stddev_pop(rb) over p, 0) as c from al
- window p as (partition by a, b order by day rows between 9 preceding and current row))
-select a, b, day, {s6('greatest(-1, least(1, c))')} as correlation from w where n = 10""")
+ window p as (partition by a, b order by day rows between {ROLL - 1} preceding and current row))
+select a, b, day, {s6('greatest(-1, least(1, c))')} as correlation from w where n = {ROLL}""")
 def w08(spark, sf):
     def corr(df, w):
-        p = w.rowsBetween(-9, 0)
+        p = w.rowsBetween(1 - ROLL, 0)
         sd = F.stddev_pop("ra").over(p) * F.stddev_pop("rb").over(p)
         return df.withColumns({
             "n": F.count(F.lit(1)).over(p),
             "c": F.covar_pop("ra", "rb").over(p) / F.nullif(sd, F.lit(0.0)),
         })
 
-    rows = rolling(aligned_returns(spark, sf), ["a", "b"], "day", [], 9, corr).where("n = 10")
+    rows = rolling(aligned_returns(spark, sf), ["a", "b"], "day", [], ROLL - 1, corr).where(f"n = {ROLL}")
     return rows.select("a", "b", "day", r6(pr.clamp(F.col("c"), -1.0, 1.0)).alias("correlation"))
 
 
@@ -641,12 +651,9 @@ def ridge_fit(samples, keys, min_events, min_clusters, ridge=1e-3):
     )
 
 
-TYPES = ["click", "error", "purchase", "signup", "view"]
-
-
 @query("a33_conditional_graph", """with ev as (select user_id, event_type, value, cast(ts as date) as d from events),
 u as (select user_id, d, list(distinct event_type) as ts, avg(value) / 500e0 as px from ev group by 1, 2),
-ty as (select unnest(['click', 'error', 'purchase', 'signup', 'view']) as t),
+ty as (select distinct event_type as t from events),
 o as (select x.t as a, y.t as b, list_contains(ts, x.t) as av, list_contains(ts, y.t) as bv, px from u, ty x, ty y where x.t <> y.t),
 c as (select a, b, count(*) n, count(*) filter (where av) na, count(*) filter (where bv) nb, count(*) filter (where av and bv) nab,
  avg(px) as opb from o group by 1, 2)
@@ -656,19 +663,18 @@ select a, b, n as co_occurrences, na as a_true, nb as b_true, (round(nab / na, 6
 def a33(spark, sf):
     day = F.floor(F.col("ts_us") / F.lit(DAY))
     units = tb.event_rows(spark, sf).groupBy("user_id", day.alias("d")).agg(
-        *[F.max((F.col("event_type") == t).cast("int")).alias(t) for t in TYPES],
-        (F.avg("value") / F.lit(500.0)).alias("px"),
-    )
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("av"), F.col(b).alias("bv"))
-        for a in TYPES for b in TYPES if a != b
-    ])).alias("r")
-    counts = units.select("px", pairs).groupBy("r.a", "r.b").agg(
-        F.count(F.lit(1)).alias("co_occurrences"), F.sum("r.av").alias("a_true"),
-        F.sum("r.bv").alias("b_true"), F.sum(F.col("r.av") * F.col("r.bv")).alias("ab"),
-        F.avg("px").alias("observed_p_b"),
-    ).where("co_occurrences >= 30")
+        F.collect_set("event_type").alias("held"), (F.avg("value") / F.lit(500.0)).alias("px"),
+    )
     c = F.col
+    # Counts of single types and of pairs held together; the rest follows from the totals.
+    whole = units.agg(F.count(F.lit(1)).alias("co_occurrences"), F.avg("px").alias("observed_p_b"))
+    single = units.select(F.explode("held").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    held = F.flatten(F.transform("held", lambda a: F.transform("held", lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    together = units.select(F.explode(held).alias("r")).groupBy("r.a", "r.b").agg(F.count(F.lit(1)).alias("ab"))
+    first, second = single.select(c("t").alias("a"), c("n").alias("a_true")), single.select(c("t").alias("b"), c("n").alias("b_true"))
+    # Two event types of the vocabulary that the data hold: a small table by definition.
+    counts = first.join(second, c("a") != c("b")).join(together, ["a", "b"], "left").na.fill(0, ["ab"]).withColumns({
+        x: whole.select(x).scalar() for x in whole.columns}).where("co_occurrences >= 30")
     given = c("ab") / F.nullif(c("a_true"), F.lit(0))
     given_not = (c("b_true") - c("ab")) / F.nullif(c("co_occurrences") - c("a_true"), F.lit(0))
     p_a = c("a_true") / c("co_occurrences")

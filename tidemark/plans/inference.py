@@ -20,7 +20,8 @@ from tidemark.plans.registry import query, r6, s6
 from tidemark.plans.scores import RES, SPLIT_US, UNIF, ll, six
 from tidemark.sources import tables as tb
 
-B = 400
+# Bootstrap replicates of a metric, and of a family of tests over many cells.
+B, FAMILY_B = 2000, 400
 
 
 def pois(u: str) -> str:
@@ -31,9 +32,9 @@ def pois(u: str) -> str:
     return " + ".join(f"(case when {u} >= {s}::double then 1 else 0 end)" for s in steps)
 
 
-def draws(b: int, cluster: str, seed: int = 42) -> str:
+def draws(reps: int, cluster: str, seed: int = 42) -> str:
     u = UNIF.format(t=f"'{seed}|' || b || '|' || {cluster}")
-    return f"(select c.*, b, {pois('u')} as w from (select c.*, b, {u} as u from cl c, range(1, {b + 1}) r(b)) c)"
+    return f"(select c.*, b, {pois('u')} as w from (select c.*, b, {u} as u from cl c, range(1, {reps + 1}) r(b)) c)"
 
 
 CLS = RES + """, cl as (select event_cluster, sum(pow(model_p - outcome, 2)) as s, count(*) as n,
@@ -100,9 +101,9 @@ mm as (select family, cell, event_cluster, market_id, avg(v) v from cells group
 cm as (select family, cell, event_cluster, avg(v) v from mm group by all),
 ob as (select family, cell, avg(v) as effect, count(*) as n_clusters from cm group by 1, 2 having count(*) >= 20),
 cl as (select cm.*, effect, n_clusters from cm join ob using (family, cell)),
-d as {draws(B, 'event_cluster')},
+d as {draws(FAMILY_B, 'event_cluster')},
 bt as (select family, cell, b, sum(w * (v - effect)) / sum(w) as boot, max(effect) as effect, max(n_clusters) as n_clusters from d group by 1, 2, 3),
-ts as (select family, cell, max(effect) as effect, max(n_clusters) as n_clusters, (count(*) filter (where abs(boot) >= abs(effect)) + 1) / {B + 1}e0 as p_value from bt group by 1, 2),
+ts as (select family, cell, max(effect) as effect, max(n_clusters) as n_clusters, (count(*) filter (where abs(boot) >= abs(effect)) + 1) / {FAMILY_B + 1}e0 as p_value from bt group by 1, 2),
 rk as (select *, count(*) over (partition by family) m, row_number() over (partition by family order by p_value, cell) i,
  row_number() over (partition by family order by p_value desc, cell desc) j from ts),
 adj as (select *, least(1, p_value * m) as bonferroni,
@@ -142,7 +143,7 @@ def family_tests(spark, sf):
         (F.sum("s") / F.sum("n")).alias("v")
     ).groupBy(*keys, "event_cluster").agg(F.avg("v").alias("v"))
     enough = means.groupBy(*keys).agg(F.count(F.lit(1)).alias("k")).where("k >= 20").drop("k")
-    tests = inf.centred_p(means.join(enough, keys), "event_cluster", "v", keys, B)
+    tests = inf.centred_p(means.join(enough, keys), "event_cluster", "v", keys, FAMILY_B)
     return inf.adjust(tests, ["family"], "p_value", "cell")
 
 
@@ -374,36 +375,59 @@ def a38(spark, sf):
     ))
 
 
-@query("a39_mahalanobis_flags", """with e as (select vec_id, cast(embedding[1] as double) as x, cast(embedding[2] as double) as y from embeddings),
-m as (select avg(x) mx, avg(y) my, var_samp(x) sxx, var_samp(y) syy, covar_samp(x, y) sxy, count(*) n from e),
-s as (select vec_id, sqrt(((x - mx) * (x - mx) * syy - 2 * (x - mx) * (y - my) * sxy + (y - my) * (y - my) * sxx) / (sxx * syy - sxy * sxy)) as score from e, m),
+# The inverse covariance by Gauss-Jordan steps on the matrix beside the identity.
+INVERSE_SQL = """v as (select vec_id, [cast(x as double) for x in embedding] as v, len(embedding) as d from embeddings),
+dim as (select max(d) as d from v),
+pairs as (select i, j, covar_samp(v[i], v[j]) as c from v, dim, range(1, 1000) a(i), range(1, 1000) b(j) where i <= dim.d and j <= dim.d group by i, j),
+lines as (select i, list(c order by j) as l from pairs group by i),
+gj(k, m) as (
+ select 1, (select list(list_concat(l, [case when x = i then 1e0 else 0e0 end for x in range(1, dim.d + 1)]) order by i) from lines, dim)
+ union all
+ select k + 1, [case when i = k then [y / m[k][k] for y in m[k]] else [m[i][j] - m[i][k] * m[k][j] / m[k][k] for j in range(1, 2 * dim.d + 1)] end for i in range(1, dim.d + 1)]
+ from gj, dim where k <= dim.d),
+inv as (select [x[dim.d + 1:] for x in m] as q from gj, dim where k = dim.d + 1),
+mu as (select list(m order by i) as m from (select i, avg(v[i]) as m from v, dim, range(1, 1000) a(i) where i <= dim.d group by i)),
+s as (select vec_id, sqrt(list_sum([(v[i] - mu.m[i]) * list_sum([q[i][j] * (v[j] - mu.m[j]) for j in range(1, dim.d + 1)]) for i in range(1, dim.d + 1)])) as score
+ from v, mu, inv, dim where v.d = dim.d)"""
+
+
+@query("a39_mahalanobis_flags", f"""with recursive {INVERSE_SQL},
 r as (select *, row_number() over (order by round(score, 9)) rn, count(*) over () n from s)
 select vec_id, round(score, 6) + 0e0 as score, round(score, 9) > (select round(score, 9) from r where rn = least(n, floor(95e-2 * n) + 1)) as flagged from r""")
 def a39(spark, sf):
-    return six(mahalanobis(tb.load(spark, sf, "embeddings"), 2))
+    return six(mahalanobis(tb.load(spark, sf, "embeddings")))
 
 
-def mahalanobis(df, dims, quantile=0.95):
-    """Distance from the mean under the sample covariance; the top tail is flagged.
+def mahalanobis(df, quantile=0.95):
+    """Distance from the mean under the sample covariance of all dimensions; the top tail is flagged.
 
-    Moments are one aggregation; only the d x d matrix visits the driver.
+    Every partition sums its part of the moments, and only those sums (dimensions x
+    dimensions) visit the driver.
     """
     import numpy as np
+    import pandas as pd
+
+    dims = df.agg(F.max(F.size("embedding"))).first()[0]
+    rows = df.where(F.size("embedding") == dims).select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+
+    def moments(batches):
+        total = np.zeros((dims + 1, dims + 1))
+        for pdf in batches:
+            x = np.hstack([np.ones((len(pdf), 1)), np.array(pdf["x"].tolist(), float).reshape(len(pdf), dims)])
+            total += x.T @ x
+        yield pd.DataFrame({"i": range(dims + 1), "line": total.tolist()})
+
+    lines = rows.select("x").mapInPandas(moments, "i int, line array<double>").groupBy("i").agg(
+        F.array(*[F.sum(F.get("line", F.lit(j))) for j in range(dims + 1)]).alias("line")).collect()
+    total = np.array([r["line"] for r in sorted(lines, key=lambda r: r["i"])])
+    n, mean = total[0, 0], total[0, 1:] / total[0, 0]
+    inverse = np.linalg.inv((total[1:, 1:] - n * np.outer(mean, mean)) / (n - 1))
+
+    def distance(x: pd.Series) -> pd.Series:
+        gap = np.array(x.tolist(), float).reshape(len(x), dims) - mean
+        return pd.Series(np.sqrt(((gap @ inverse) * gap).sum(axis=1)))
 
-    cols = [F.get("embedding", F.lit(i)).cast("double") for i in range(dims)]
-    rows = df.select("vec_id", *[x.alias(f"x{i}") for i, x in enumerate(cols)])
-    pairs = [(i, j) for i in range(dims) for j in range(i, dims)]
-    m = rows.agg(
-        *[F.avg(f"x{i}").alias(f"m{i}") for i in range(dims)],
-        *[F.covar_samp(f"x{i}", f"x{j}").alias(f"c{i}_{j}") for i, j in pairs],
-    ).first()
-    cov = np.array([[m[f"c{min(i, j)}_{max(i, j)}"] for j in range(dims)] for i in range(dims)])
-    inv = np.linalg.inv(cov)
-    quad = F.lit(0.0)
-    for i in range(dims):
-        for j in range(dims):
-            quad = quad + F.lit(float(inv[i, j])) * (F.col(f"x{i}") - F.lit(m[f"m{i}"])) * (F.col(f"x{j}") - F.lit(m[f"m{j}"]))
-    scored = rows.select("vec_id", F.sqrt(quad).alias("score"), F.lit(1).alias("g"))
+    scored = rows.select("vec_id", F.pandas_udf(distance, "double")("x").alias("score"), F.lit(1).alias("g"))
     cut = nearest_rank(
         scored.select("g", F.round("score", 9).alias("v")), ["g"], "v",
         {"cut": lambda n: F.least(n, F.floor(F.lit(quantile) * n) + 1)},
@@ -598,7 +622,7 @@ def m06(spark, sf):
     """Features of the books visible at the cut with the labels known by then."""
     c = F.col
     f = bk.features(c("bids"), c("asks"))
-    books = tb.books(spark, sf).where(c("ts_us") <= AS_OF).select(
+    books = tb.books(spark, sf, until=AS_OF).where(c("ts_us") <= AS_OF).select(
         "event_id", c("market_slug").alias("market_id"), f["midpoint"].alias("mid"), f["imbalance"].alias("imbalance")
     ).where("mid is not null")
     labels = tb.forecasts(spark, sf).groupBy("market_id").agg(

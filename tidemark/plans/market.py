@@ -39,21 +39,21 @@ def f05(spark, sf):
 
 
 @query("k04_top_levels", f"""with {LEVELS}
-select event_id, side, {s6('sum(price * size) / sum(size)')} as vwap_top3, {s6('sum(size)')} as size_top3
-from (select *, row_number() over (partition by event_id, side order by i) rn from lv) where rn <= 3 group by 1, 2""")
+select event_id, side, {s6('sum(price * size) / sum(size)')} as vwap_top5, {s6('sum(size)')} as size_top5
+from (select *, row_number() over (partition by event_id, side order by i) rn from lv) where rn <= 5 group by 1, 2""")
 def k04(spark, sf):
     def side(name, col):
-        three = bk.top(F.col(col), 3)
-        cash = F.aggregate(three, F.lit(0.0), lambda a, x: a + x["price"] * x["size"])
-        size = bk.depth(F.col(col), 3)
+        best = bk.top(F.col(col), 5)
+        cash = F.aggregate(best, F.lit(0.0), lambda a, x: a + x["price"] * x["size"])
+        size = bk.depth(F.col(col), 5)
         return F.struct(F.lit(name).alias("side"), cash.alias("cash"), size.alias("size"))
 
     out = tb.books(spark, sf).select(
         "event_id", F.explode(F.array(side("bid", "bids"), side("ask", "asks"))).alias("s")
     ).where("s.size > 0")
     return out.select(
-        "event_id", "s.side", r6(F.col("s.cash") / F.col("s.size")).alias("vwap_top3"),
-        r6("s.size").alias("size_top3"),
+        "event_id", "s.side", r6(F.col("s.cash") / F.col("s.size")).alias("vwap_top5"),
+        r6("s.size").alias("size_top5"),
     )
 
 
@@ -160,7 +160,7 @@ def book_reasons(now_us, max_age_us=10 * DAY, max_spread=0.04, min_depth=100.0):
         (spread.isNull(), "one_sided_book"),
         (spread <= 0, "locked_or_crossed_book"),
         (F.round(spread, 9) > max_spread, "spread_too_wide"),
-        (F.least(bk.depth(c("bids"), 100), bk.depth(c("asks"), 100)) < min_depth, "insufficient_depth"),
+        (F.least(bk.depth(c("bids")), bk.depth(c("asks"))) < min_depth, "insufficient_depth"),
     ]
     return F.array_compact(F.array(*[F.when(cond, F.lit(r)) for cond, r in rules]))
 

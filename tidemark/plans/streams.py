@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import drift
 from tidemark.operators import sequences as sq
 from tidemark.operators.asof import asof_join
 from tidemark.operators.ordered import nearest_rank, running
@@ -19,6 +20,7 @@ from tidemark.sources import rawlog
 from tidemark.sources import tables as tb
 
 SPACE = 48 * HOUR
+PH_LIMIT = 300.0
 SPACED = """ek as (select user_id || '|' || event_type as ky, ts_us, event_id from ev),
 acc(ky, t) as (select ky, min(ts_us) from ek group by 1 union all
  select a.ky, (select min(e.ts_us) from ek e where e.ky = a.ky and e.ts_us >= a.t + {w}) from acc a where a.t is not null)"""
@@ -106,19 +108,28 @@ def t05(spark, sf):
     return six(sq.rebuild_books(ws_rows(spark, sf), ["connection"], "ts_us"))
 
 
-@query("t09_page_hinkley_drift")
+@query("t09_page_hinkley_drift", f"""with recursive {EV}, o as (select user_id as key, value as x, row_number() over (partition by user_id order by ts_us, event_id) as i from ev),
+ph(key, i, n, total, cum, low, drift) as (
+ select key, i - 1, 0, 0e0, 0e0, 0e0, false from o where i = 1 union all
+ select key, i, case when hit then 0 else n end, case when hit then 0e0 else total end, case when hit then 0e0 else cum end, case when hit then 0e0 else low end, hit from (
+  select *, n >= 30 and cum - low > {PH_LIMIT} as hit from (select *, case when n >= 30 then least(low0, cum) else low0 end as low from (
+   select p.key, o.i, p.n + 1 as n, p.total + o.x as total, p.low as low0, case when p.n + 1 >= 30 then p.cum + o.x - (p.total + o.x) / (p.n + 1) - 5e-3 else p.cum end as cum
+   from ph p join o on o.key = p.key and o.i = p.i + 1))))
+select key, count(*) as n, count(*) filter (where drift) as drifts from ph where i > 0 group by 1""")
 def t09(spark, sf):
-    ev = tb.event_rows(spark, sf).withColumn("key", F.col("event_type"))
-    out = sq.detect_changes(ev, "key", "ts_us", ["event_id"], "value", lambda: sq.PageHinkley(2000.0))
+    """Page-Hinkley test of every market's event values."""
+    ev = tb.event_rows(spark, sf).select(F.col("user_id").alias("key"), "ts_us", "event_id", "value")
+    out = drift.detect_changes(ev, "key", "ts_us", ["event_id"], "value", lambda x, s: drift.page_hinkley(x, s, PH_LIMIT), lambda: drift.START)
     return out.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("drift").alias("drifts"))
 
 
 @query("t09_adaptive_window_drift")
 def t09b(spark, sf):
+    """Adaptive-window test of every market's event values; tests compare it with a plain window."""
     ev = tb.event_rows(spark, sf).select(
-        F.col("event_type").alias("key"), "ts_us", "event_id", (F.col("value") / F.lit(500.0)).alias("v")
+        F.col("user_id").alias("key"), "ts_us", "event_id", (F.col("value") / F.lit(500.0)).alias("v")
     )
-    out = sq.detect_changes(ev, "key", "ts_us", ["event_id"], "v", lambda: sq.Adwin(max_window=200))
+    out = drift.detect_changes(ev, "key", "ts_us", ["event_id"], "v", drift.adaptive_window, list)
     return out.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("drift").alias("drifts"))
 
 
@@ -162,7 +173,7 @@ def t13(spark, sf):
     """Quotes around each fill: two as-of probes of a running count instead of an interval join."""
     c = F.col
     half = 12 * HOUR
-    order = F.lpad(c("event_id").cast("string"), 20, "0")
+    order = c("event_id")
     quotes = tb.quotes(spark, sf).select("market_slug", "event_id", c("ts_us").alias("q_us"))
     counted = running(quotes, ["market_slug"], "q_us", ["event_id"], {"n": ("count", None)})
     fills = tb.trades(spark, sf).select("event_id", "market_slug", (c("ts_us") - half).alias("lo"), (c("ts_us") + half).alias("hi"))

@@ -13,9 +13,9 @@ from tidemark.sources import tables as tb
 FANOUT = 1000
 
 
-def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def envelopes(spark: SparkSession, sf_dir: str, since: int | None = None, until: int | None = None) -> DataFrame:
     """Wire text with its clocks, local sequence, self-hash and partition columns."""
-    ev = tb.event_rows(spark, sf_dir)
+    ev = tb.event_rows(spark, sf_dir, since, until)
     wire = F.concat_ws("|", "event_id", "user_id", "event_type", "k")
     return ev.select(
         F.col("event_id").alias("seq"), wire.alias("wire"), F.col("event_type").alias("source"),
@@ -35,6 +35,12 @@ def replay_order(df: DataFrame) -> DataFrame:
     return running(df, ["day", "source"], "received_ns", ["seq"], {"position": ("count", None)})
 
 
+def tampered(df: DataFrame, column: str, every: int = 97) -> DataFrame:
+    """A copy in which one record in ``every`` (by md5 of its text) was altered after it was sealed."""
+    hit = F.conv(F.substring(F.md5(column), 1, 8), 16, 10).cast("bigint") % every == 0
+    return df.withColumn(column, F.when(hit, F.concat(column, F.lit("!"))).otherwise(F.col(column)))
+
+
 def integrity(df: DataFrame) -> DataFrame:
     return df.groupBy("day").agg(
         F.count(F.lit(1)).alias("n"),
@@ -42,16 +48,19 @@ def integrity(df: DataFrame) -> DataFrame:
     )
 
 
-def tree_root(df: DataFrame, keys: Sequence[str], position: str, digest: str, levels: int = 3) -> DataFrame:
+def tree_root(df: DataFrame, keys: Sequence[str], position: str, digest: str) -> DataFrame:
     """Hash tree over an ordered group: FANOUT digests at a time, so no task holds a group.
 
-    Three levels cover 10^9 records per key; the last step joins at most FANOUT digests.
+    The number of levels follows the largest position: at least three, one more per factor
+    of FANOUT beyond, and no step joins more than FANOUT digests.
     """
     rows = df.select(*keys, (F.col(position) - 1).alias("_p"), F.col(digest).alias("_d"))
-    for level in range(levels):
+    top = (rows.agg(F.max("_p")).first()[0] or 0) + 1
+    levels = 3
+    while FANOUT**levels < top:
+        levels += 1
+    for _ in range(levels):
         parent = F.floor(F.col("_p") / F.lit(FANOUT)).cast("bigint")
-        if level == levels - 1:
-            parent = F.lit(0).cast("bigint")
         joined = F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("_p", "_d"))), lambda x: x["_d"]), ""
         )
@@ -75,7 +84,7 @@ def manifest(df: DataFrame) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free fingerprint of a record set after de-duplication: count and digest sum."""
-    unique = df.dropDuplicates(["source", "seq", "wire"])
-    part = F.conv(F.substring(F.md5("wire"), 1, 8), 16, 10).cast("bigint")
-    return unique.agg(F.count(F.lit(1)).alias("n"), F.sum(part).alias("checksum"))
+    """Fingerprint of a replay: repeats dropped, every record hashed with its place in the order."""
+    placed = replay_order(df.dropDuplicates(["source", "seq", "wire"]))
+    part = F.conv(F.substring(F.md5(F.concat_ws("|", "position", "wire")), 1, 8), 16, 10).cast("bigint")
+    return placed.agg(F.count(F.lit(1)).alias("n"), F.sum(part).alias("checksum"))

@@ -26,9 +26,12 @@ PAYLOAD = T.StructType([
 ])
 
 
-def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Receipts of every event: quotes are books, purchases and signups trades, errors gaps."""
-    ev = tb.event_rows(spark, sf_dir)
+def receipts(spark: SparkSession, sf_dir: str, until: int | None = None) -> DataFrame:
+    """Receipts of every event: quotes are books, purchases and signups trades, errors gaps.
+
+    ``until`` prunes the scan for a replay: nothing is received before it happened.
+    """
+    ev = tb.event_rows(spark, sf_dir, until=until)
     kind = (
         F.when(F.col("event_type").isin("view", "click"), "book")
         .when(F.col("event_type").isin("purchase", "signup"), "trade")
@@ -114,6 +117,12 @@ def create_views(df: DataFrame, kinds: list[str]) -> None:
         typed_view(df, kind).createOrReplaceTempView(f"receipts_{kind}")
 
 
+def altered(df: DataFrame, every: int = 97) -> DataFrame:
+    """A copy in which one payload in ``every`` (by md5 of its text) was changed after its hash was stored."""
+    hit = F.conv(F.substring(F.md5("payload"), 1, 8), 16, 10).cast("bigint") % every == 0
+    return df.withColumn("payload", F.when(hit, F.concat("payload", F.lit(" "))).otherwise(F.col("payload")))
+
+
 def verify(df: DataFrame) -> DataFrame:
     """Recompute payload hashes per kind and count the mismatches."""
     return df.groupBy("kind").agg(

@@ -27,9 +27,21 @@ def micros(col: str) -> Column:
     return F.unix_micros(F.col(col).cast("timestamp"))
 
 
-def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event log with its clock in microseconds and ``k`` taken from the props."""
-    return load(spark, sf_dir, "events").select(
+def event_rows(spark: SparkSession, sf_dir: str, since: int | None = None, until: int | None = None,
+               users: list[int] | None = None) -> DataFrame:
+    """The event log with its clock in microseconds and ``k`` taken from the props.
+
+    Bounds (microseconds, inclusive) and users filter the stored columns, so they reach the scan.
+    """
+    rows = load(spark, sf_dir, "events")
+    kind = rows.schema["ts"].dataType
+    if since is not None:
+        rows = rows.where(F.col("ts") >= F.timestamp_micros(F.lit(since)).cast(kind))
+    if until is not None:
+        rows = rows.where(F.col("ts") <= F.timestamp_micros(F.lit(until)).cast(kind))
+    if users is not None:
+        rows = rows.where(F.col("user_id").isin(users))
+    return rows.select(
         "event_id",
         "user_id",
         "event_type",
@@ -39,11 +51,12 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quotes(spark: SparkSession, sf_dir: str, since: int | None = None, until: int | None = None,
+           users: list[int] | None = None) -> DataFrame:
     mid = d(0.02) + d(0.96) * F.col("value") / d(500.0)
     spread = d(0.01) + d(0.01) * (F.col("event_id") % 5)
     return (
-        event_rows(spark, sf_dir)
+        event_rows(spark, sf_dir, since, until, users)
         .where(F.col("event_type").isin("view", "click"))
         .select(
             F.concat(F.lit("m"), F.col("user_id")).alias("market_slug"),
@@ -58,9 +71,9 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trades(spark: SparkSession, sf_dir: str, since: int | None = None, until: int | None = None) -> DataFrame:
     return (
-        event_rows(spark, sf_dir)
+        event_rows(spark, sf_dir, since, until)
         .where(F.col("event_type").isin("purchase", "signup"))
         .select(
             F.concat(F.lit("m"), F.col("user_id")).alias("market_slug"),
@@ -150,9 +163,9 @@ def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def books(spark: SparkSession, sf_dir: str) -> DataFrame:
+def books(spark: SparkSession, sf_dir: str, since: int | None = None, until: int | None = None) -> DataFrame:
     """Five-level order books: arrays of ``struct<price, size>``, best level first."""
-    q = quotes(spark, sf_dir)
+    q = quotes(spark, sf_dir, since, until)
 
     def side(sign: int, best: str, shift: int) -> Column:
         levels = F.transform(
@@ -197,9 +210,13 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def daily_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+def daily_load(spark: SparkSession, sf_dir: str, until_day: int | None = None) -> DataFrame:
     """Hourly load readings per operating day (order values stand in for MW)."""
-    return load(spark, sf_dir, "orders").select(
+    rows = load(spark, sf_dir, "orders")
+    if until_day is not None:
+        end = F.timestamp_micros(F.lit((until_day + 1) * DAY_US)).cast(rows.schema["o_orderdate"].dataType)
+        rows = rows.where(F.col("o_orderdate") < end)
+    return rows.select(
         F.floor(micros("o_orderdate") / DAY_US).cast("bigint").alias("day"),
         (F.col("o_orderkey") % 24).alias("hour"),
         F.col("o_orderkey").alias("doc_id"),
@@ -207,9 +224,15 @@ def daily_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """External claims: text with a source, a publication and a retrieval clock."""
-    return load(spark, sf_dir, "documents").select(
+def documents(spark: SparkSession, sf_dir: str, until: int | None = None) -> DataFrame:
+    """External claims: text with a source, a publication and a retrieval clock.
+
+    ``until`` bounds the publication clock, through the stored id it is derived from.
+    """
+    rows = load(spark, sf_dir, "documents")
+    if until is not None:
+        rows = rows.where(F.col("doc_id") <= (until - 1_704_067_200_000_000) // 600_000_000)
+    return rows.select(
         "doc_id",
         "text",
         "lang",

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.operators.sequences import BOOK_COLUMNS, BOOK_STATE, BookFold, BookSide, PageHinkley
+from tidemark.operators.drift import START, page_hinkley
+from tidemark.operators.sequences import BOOK_COLUMNS, BOOK_STATE, BookFold, BookSide
 
 
 def dedup_messages(stream: DataFrame, event_time: str, keys: list[str], window: str) -> DataFrame:
@@ -153,12 +154,9 @@ class _Row:
 def detect_drift(stream: DataFrame, threshold: float) -> DataFrame:
     """Page-Hinkley per key with its four numbers as state."""
     def step(key, batches, state: GroupState):
-        detector = PageHinkley(threshold)
-        if state.exists:
-            detector.restore(list(state.get))
         rows = pd.concat(list(batches)).sort_values(["ts_us", "event_id"])
-        flags = [detector.update(float(x)) for x in rows["value"]]
-        state.update(tuple(detector.state()))
+        flags, after = page_hinkley(rows["value"].to_numpy(float), state.get if state.exists else START, threshold)
+        state.update(after)
         yield pd.DataFrame({"event_id": rows["event_id"], "drift": flags})
 
     return stream.groupBy("key").applyInPandasWithState(
