@@ -208,3 +208,29 @@ def test_pair_fifo(spark, hot):
             elif queue:
                 want[queue.pop(0)] = i
         assert {o: c for (kk, o), c in pairs.items() if kk == k} == want
+
+
+@pytest.mark.parametrize("shape", ["outlier", "bursts"])
+def test_blocks_are_even(spark, shape):
+    """One far outlier, or nearly all rows in two short bursts: no block over twice its share."""
+    n = 4000
+    if shape == "outlier":
+        times = [*range(n - 1), 10**12]
+    else:
+        times = [i if i % 2 else 10**9 + i for i in range(n - 40)] + [i * 10**7 for i in range(40)]
+    df = spark.createDataFrame([("k", int(t), i) for i, t in enumerate(times)], "k string, t long, id long")
+    prof = o.profile(df, ["k"], "t", 250)
+    sizes = [r["count"] for r in prof.blocks(df, "t").groupBy("_blk").count().collect()]
+    assert sum(sizes) == n and len(sizes) >= 12
+    assert max(sizes) <= 2 * 250
+
+
+def test_borders_in_two_levels():
+    for size in (0, 1, 7, 150, 151, 5000):
+        cuts = [float(i) for i in range(size)]
+        heads, tails = o._two_levels(cuts)
+        assert len(tails) == len(heads) + 1 and len(heads) <= o.BORDERS and all(len(x) <= o.BORDERS for x in tails)
+        rebuilt = []
+        for i, part in enumerate(tails):
+            rebuilt += part + heads[i:i + 1]
+        assert rebuilt == cuts

@@ -119,12 +119,12 @@ def walk_forward(
 ) -> DataFrame:
     """Expanding training folds: label maturity, embargo and cluster purge as table operations.
 
-    A forecast is validation in the one fold its time falls in and training in later folds;
-    clusters that occur in a fold's validation are removed from its training rows.
+    A forecast is validation in the one fold its time falls in and training from the first
+    fold whose cut lies behind its time and its label; clusters that occur in a fold's
+    validation are removed from its training rows. Rows are counted once, by that first
+    fold; folds are running sums of the counts, less those of the purged clusters.
     """
-    folds = -(-(end - first) // window)
     t = F.col("predicted_us")
-    start = F.lit(first) + F.col("fold") * F.lit(window)
     val = canonical.where((t >= first) & (t < end)).withColumn(
         "fold", F.floor((t - F.lit(first)) / F.lit(window)).cast("int")
     )
@@ -133,13 +133,23 @@ def walk_forward(
         F.count(F.lit(1)).alias("candidates"), F.countDistinct("cluster").alias("clusters"),
         F.count_if(F.col("label_known_us").isNotNull() & (F.col("label_known_us") <= end)).alias("scored"),
     )
-    train = canonical.where(F.col("label_known_us").isNotNull()).withColumn(
-        "fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))
-    ).where((t < start - F.lit(embargo)) & (F.col("label_known_us") < start))
-    kept = train.join(purged, ["fold", "cluster"], "left_anti")
-    training = kept.groupBy("fold").agg(
-        F.count(F.lit(1)).alias("training"), F.sum("outcome").alias("positives")
-    )
+    ready = F.greatest(t + F.lit(embargo), F.col("label_known_us"))
+    counts = canonical.where(F.col("label_known_us").isNotNull()).groupBy(
+        F.greatest(F.lit(0), F.floor((ready - F.lit(first)) / F.lit(window)) + 1).cast("int").alias("fold"), "cluster"
+    ).agg(F.count(F.lit(1)).alias("n"), F.sum("outcome").alias("pos"))
+
+    def upto(rows: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+        """Sums of ``n`` and ``pos`` over folds up to each asked one: a row per fold and key."""
+        both = rows.withColumn("ask", F.lit(0)).unionByName(
+            asked.withColumns({"n": F.lit(0), "pos": F.lit(0), "ask": F.lit(1)}))
+        w = Window.partitionBy(*keys).orderBy("fold", "ask").rowsBetween(Window.unboundedPreceding, 0)
+        return both.withColumns({"n": F.sum("n").over(w), "pos": F.sum("pos").over(w)}).where("ask = 1").drop("ask")
+
+    totals = upto(counts.groupBy("fold").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")), candidates.select("fold"), [])
+    removed = upto(counts, purged, ["cluster"]).groupBy("fold").agg(F.sum("n").alias("gone"), F.sum("pos").alias("gone_pos"))
+    training = totals.join(removed, "fold", "left").select(
+        "fold", (F.col("n") - F.coalesce("gone", F.lit(0))).alias("training"),
+        (F.coalesce("pos", F.lit(0)) - F.coalesce("gone_pos", F.lit(0))).alias("positives"))
     out = candidates.join(training, "fold", "left").withColumn("training", F.coalesce("training", F.lit(0)))
     both = (F.col("positives") > 0) & (F.col("positives") < F.col("training"))
     status = (

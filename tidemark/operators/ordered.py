@@ -15,11 +15,13 @@ profile decides how the work is split, never the result.
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.session import checkpointed
 
@@ -31,7 +33,11 @@ UNBOUNDED = Window.unboundedPreceding
 
 @dataclass(frozen=True)
 class Profile:
-    """Hot keys with the start and width of their blocks; ``hot`` is None if there are none."""
+    """Hot keys with the borders of their blocks; ``hot`` is None if there are none.
+
+    Borders are quantiles of the order column, so bursts and outliers do not fill one block.
+    They come in two levels (``_heads``, ``_tails``), which keeps the search per row short.
+    """
 
     keys: tuple[str, ...]
     hot: DataFrame | None
@@ -47,18 +53,67 @@ class Profile:
 
     def blocks(self, df: DataFrame, t: str) -> DataFrame:
         """Add ``_hot`` and the block number ``_blk`` (0 for cold keys)."""
-        hot = F.col("_width").isNotNull()
-        blk = F.when(hot, F.floor((F.col(t) - F.col("_lo")) / F.col("_width"))).otherwise(F.lit(0))
         return self.attach(df).withColumns(
-            {"_blk": blk.cast("long"), "_hot": hot}
-        ).drop("_lo", "_width")
+            {"_blk": block_number(F.col(t)), "_hot": F.col("_heads").isNotNull()}).drop("_heads", "_tails")
+
+    def thinned(self, span: float) -> Profile:
+        """The same keys with borders at least ``span`` apart."""
+        rows = []
+        for r in self.hot.collect():
+            cuts, kept = [c for i, part in enumerate(r["_tails"]) for c in [*part, *r["_heads"][i:i + 1]]], []
+            for c in cuts:
+                if not kept or c - kept[-1] >= span:
+                    kept.append(c)
+            rows.append((*r[:-2], *_two_levels(kept)))
+        return Profile(self.keys, self.hot.sparkSession.createDataFrame(rows, self.hot.schema), self.rows)
 
     def settle(self, df: DataFrame) -> DataFrame:
         """Materialize between stages, but only where skew makes a recomputation costly."""
         return df if self.hot is None else checkpointed(df)
 
 
-_PROFILES: dict = {}
+# Borders of one level, and profiles that the driver remembers.
+BORDERS, REMEMBERED = 150, 64
+_PROFILES: OrderedDict = OrderedDict()
+
+
+def block_number(at: Column) -> Column:
+    """Block of a position on a row with borders; 0 on rows of cold keys. It grows with the position."""
+    passed = F.size(F.filter("_heads", lambda e: e <= at))
+    inside = F.size(F.filter(F.get("_tails", passed), lambda e: e <= at))
+    return F.when(F.col("_heads").isNotNull(), passed * (BORDERS + 1) + inside).otherwise(F.lit(0)).cast("long")
+
+
+def _borders(df: DataFrame, keys: Sequence[str], t: str, sizes: list) -> list[tuple]:
+    """Keys with the quantiles of ``t`` that cut each into its number of pieces.
+
+    Keys are taken by size class, so the quantiles asked of a key are at most four times its
+    pieces and all of them together stay within the bound of a profile.
+    """
+    out, grid = [], 4
+    while sizes:
+        here, sizes = [r for r in sizes if r["_pieces"] <= grid], [r for r in sizes if r["_pieces"] > grid]
+        if here:
+            spark = df.sparkSession
+            fields = [f"_hot_{k}" for k in keys]
+            table = spark.createDataFrame([tuple(r[f] for f in fields) for r in here], ", ".join(f"{f} {dict(df.dtypes)[k]}" for f, k in zip(fields, keys)))
+            on = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
+            match = on[0]
+            for cond in on[1:]:
+                match = match & cond
+            cuts = F.percentile_approx(F.col(t).cast("double"), [i / grid for i in range(1, grid)], max(10_000, 20 * grid))
+            found = df.join(F.broadcast(table), match).groupBy(*fields).agg(cuts.alias("q")).collect()
+            out += [(tuple(r[f] for f in fields), sorted(set(r["q"] or []))) for r in found]
+        grid *= 4
+    return out
+
+
+def _two_levels(cuts: list[float]) -> tuple[list[float], list[list[float]]]:
+    """Sorted borders as heads, and per gap between heads the borders inside it."""
+    step = max(1, -(-len(cuts) // (BORDERS + 1)))
+    at = list(range(step - 1, len(cuts), step))[:BORDERS]
+    starts, ends = [0, *(i + 1 for i in at)], [*at, len(cuts)]
+    return [cuts[i] for i in at], [cuts[a:b] for a, b in zip(starts, ends)]
 
 
 def profile(df: DataFrame, keys: Sequence[str], t: str, hot_rows: int | None = None) -> Profile:
@@ -68,28 +123,27 @@ def profile(df: DataFrame, keys: Sequence[str], t: str, hot_rows: int | None = N
     results, only less even blocks.
     """
     floor_rows = HOT_ROWS if hot_rows is None else hot_rows
-    stats = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(t).alias("_lo"), F.max(t).alias("_hi")
-    )
+    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     slot = (df.sparkSession.sparkContext.applicationId, floor_rows, MAX_HOT_KEYS, stats.semanticHash())
     known = _PROFILES.get(slot)
     if known is not None and known[0].sameSemantics(stats):
+        _PROFILES.move_to_end(slot)
         return known[1]
     total = stats.agg(F.sum("_n").alias("total")).scalar()
     limit = F.greatest(F.lit(float(floor_rows)), total / F.lit(float(MAX_HOT_KEYS)))
-    width = (F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") / F.col("_limit")) + F.lit(1e-9)
-    hot = (
-        stats.withColumn("_limit", limit)
-        .where(F.col("_n") > F.col("_limit"))
-        .select(
-            *[F.col(k).alias(f"_hot_{k}") for k in keys],
-            F.col("_lo").cast("double").alias("_lo"), width.cast("double").alias("_width"),
-        )
-    )
-    found = hot.collect()
-    table = df.sparkSession.createDataFrame(found, hot.schema) if found else None
+    hot = stats.withColumn("_limit", limit).where(F.col("_n") > F.col("_limit")).select(
+        *[F.col(k).alias(f"_hot_{k}") for k in keys], F.ceil(F.col("_n") / F.col("_limit")).cast("int").alias("_pieces"))
+    sizes = hot.collect()
+    table = None
+    if sizes:
+        schema = T.StructType([*hot.schema.fields[:-1], T.StructField("_heads", T.ArrayType(T.DoubleType())),
+                               T.StructField("_tails", T.ArrayType(T.ArrayType(T.DoubleType())))])
+        rows = [(*key, *_two_levels(cuts)) for key, cuts in _borders(df, keys, t, sizes)]
+        table = df.sparkSession.createDataFrame(rows, schema)
     made = Profile(tuple(keys), table, floor_rows)
     _PROFILES[slot] = (stats, made)
+    while len(_PROFILES) > REMEMBERED:
+        _PROFILES.popitem(last=False)
     return made
 
 
@@ -323,15 +377,11 @@ def rolling_range(
     prof = prof or profile(df, keys, t, hot_rows)
     if prof.hot is None:
         return fn(df, Window.partitionBy(*keys).orderBy(t))
-    width = F.greatest(F.col("_width"), F.lit(float(span) + 1.0))
-    own = F.coalesce(F.floor((F.col(t) - F.col("_lo")) / width), F.lit(0)).cast("long")
-    nxt = F.floor((F.col(t) + F.lit(float(span)) - F.col("_lo")) / width).cast("long")
-    rows = (
-        prof.attach(df)
-        .withColumn("_own", own)
-        .withColumn("_blk", F.explode(F.sequence(own, F.greatest(own, F.coalesce(nxt, own)))))
-        .drop("_lo", "_width")
-    )
+    # With borders a span apart a row is needed in its own block and at most the two after it.
+    ends = F.array_distinct(F.array(
+        block_number(F.col(t)), block_number(F.col(t) + F.lit(float(span) / 2)), block_number(F.col(t) + F.lit(float(span)))))
+    rows = prof.thinned(float(span)).attach(df).withColumn("_own", block_number(F.col(t))).withColumn(
+        "_blk", F.explode(ends)).drop("_heads", "_tails")
     w = Window.partitionBy(*keys, "_blk").orderBy(t)
     return fn(rows, w).where("_blk = _own").drop("_blk", "_own")
 

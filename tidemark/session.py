@@ -22,7 +22,7 @@ def local_session(app: str = "tidemark", cores: str = "8", **conf: str) -> Spark
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
-        .config("spark.driver.memory", "20g")
+        .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
