@@ -33,51 +33,107 @@ CHECKS = {
     "probability_bounds": "model_p <= 0 or model_p >= 1",
     "outcome_validity": "outcome is not null and outcome not in (0, 1)",
 }
-AUDIT_SQL = ", ".join(f"count(*) filter (where {v}) as {k}" for k, v in CHECKS.items())
+AUDIT_SQL = ", ".join(f"coalesce({v}, false) as {k}" for k, v in CHECKS.items())
+# Checks whose rows are rejected; the others concern labels, events and clusters.
+REJECTING = [
+    "duplicate_observations", "duplicate_market_timestamp", "impossible_bid_ask", "prices_outside_unit", "negative_sizes",
+    "negative_volume_liquidity", "nan_inf", "malformed_timestamps", "timestamp_reversals", "future_feature_timestamps",
+    "resolution_before_observation", "yes_no_inconsistency", "probability_bounds",
+]
+# The NO book and the feature clock of a snapshot, derived from its own columns; input order is order and line number.
+AUDIT_ROWS = f"""{SNAP}, au as (select *, cast(string_split(rid, '|')[1] as bigint) as o1, cast(string_split(rid, '|')[2] as bigint) as o2,
+  ts_us + cast((26 - bid_size) * {HOUR} as bigint) as feature_us, 1e0 - bid + fee_rate as no_ask, 1e0 - ask - spread / 2e0 as no_bid from snap),
+fl as (select *, {AUDIT_SQL}, isnan(bid) or isnan(ask) or isnan(mid) or isnan(model_p) or isnan(net_edge) as nan_inf,
+  row_number() over (partition by market_id, ts_us order by o1, o2, rid) > 1 as duplicate_market_timestamp,
+  row_number() over (partition by market_id, ts_us, model_p order by o1, o2, rid) > 1 as duplicate_observations,
+  coalesce(ts_us < lag(ts_us) over (partition by market_id order by o1, o2, rid), false) as timestamp_reversals,
+  feature_us > ts_us as future_feature_timestamps,
+  cast(round(bid - (1e0 - no_ask), 9) > 0.02 as int) + cast(round(1e0 - no_bid - ask, 9) > 0.02 as int) as sides,
+  cast(round(bid - (1e0 - no_ask), 9) > 0.02 as int) + cast(round(1e0 - no_bid - ask, 9) > 0.02 as int) > 0 as yes_no_inconsistency from au)"""
+NAMES = [*CHECKS, "nan_inf", "duplicate_market_timestamp", "duplicate_observations", "timestamp_reversals", "future_feature_timestamps"]
 
 
 def audit_rows(snap):
-    """Row flags of every check; duplicates are counted per key, keeping the first row."""
+    """Row flags of every row-level check. Repeats are flagged after the first row in input order."""
+    c = F.col
     flags = {k: F.coalesce(F.expr(v), F.lit(False)) for k, v in CHECKS.items()}
-    nan = [F.isnan(c) for c in ("bid", "ask", "mid", "model_p", "net_edge")]
-    flags["nan_inf"] = nan[0] | nan[1] | nan[2] | nan[3] | nan[4]
-    return snap.withColumns(flags)
-
-
-@query("a55_dataset_audit", f"""with {SNAP}, c as (select {AUDIT_SQL}, count(*) filter (where isnan(bid) or isnan(ask) or isnan(mid) or isnan(model_p) or isnan(net_edge)) as nan_inf from snap),
-d as (select cast(sum(n - 1) as bigint) as dup from (select count(*) n from snap group by market_id, ts_us)),
-e as (select cast(sum(n - 1) as bigint) as dup from (select count(*) n from snap group by market_id, ts_us, model_p)),
-cf as (select count(*) as n from (select market_id from snap group by 1 having count(distinct outcome) > 1)),
-u as (select 'duplicate_market_timestamp' as name, dup as affected from d union all select 'duplicate_observations', dup from e union all select 'conflicting_resolutions', n from cf
- union all select * from (unpivot c on columns(*) into name name value affected))
-select name, affected, affected = 0 as passed from u""")
+    nan = [F.isnan(x) for x in ("bid", "ask", "mid", "model_p", "net_edge")]
+    part = F.split("rid", r"\|")
+    rows = snap.withColumns(flags).withColumns({
+        "nan_inf": nan[0] | nan[1] | nan[2] | nan[3] | nan[4],
+        "o1": part[0].cast("bigint"), "o2": part[1].cast("bigint"),
+        "future_feature_timestamps": c("ts_us") + ((F.lit(26) - c("bid_size")) * F.lit(HOUR)).cast("bigint") > c("ts_us"),
+    })
+    no_ask, no_bid = F.lit(1.0) - c("bid") + c("fee_rate"), F.lit(1.0) - c("ask") - c("spread") / F.lit(2.0)
+    sides = (F.round(c("bid") - (F.lit(1.0) - no_ask), 9) > 0.02).cast("int") + (F.round(F.lit(1.0) - no_bid - c("ask"), 9) > 0.02).cast("int")
+    rows = running(rows, ["market_id"], "o1", ["o2", "rid"], {"_before": ("lag", c("ts_us"))})
+    order = [c("o1"), c("o2"), c("rid")]
+
+    def repeats(*keys):
+        return F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) > 1
+
+    return rows.withColumns({
+        "timestamp_reversals": F.coalesce(c("ts_us") < c("_before"), F.lit(False)), "sides": sides, "yes_no_inconsistency": sides > 0,
+        "duplicate_market_timestamp": repeats("market_id", "ts_us"), "duplicate_observations": repeats("market_id", "ts_us", "model_p"),
+    })
+
+
+@query("a55_dataset_audit", f"""with {AUDIT_ROWS},
+c as (select {", ".join(f"count(*) filter (where {n}) as {n}" for n in NAMES)}, cast(sum(sides) as bigint) as yes_no_inconsistency from fl),
+mk as (select market_id, min(outcome) <> max(outcome) as split from snap group by 1),
+cl as (select event_cluster, count(*) as n, min(outcome) <> max(outcome) as split from snap group by 1),
+u as (select * from (unpivot c on columns(*) into name name value affected)
+ union all select 'conflicting_resolutions', count(*) filter (where split) from mk union all select 'duplicate_event_labels', count(*) filter (where split) from cl)
+select name, affected, affected = 0 as passed from u
+union all select 'cluster_independence', 0, count(*) filter (where n = 1) < count(*) or count(*) = 0 from cl""")
 def a55(spark, sf):
+    """The eighteen checks from two aggregations: row flags, and label ranges per market and cluster."""
+    c = F.col
     snap = tb.snapshots(spark, sf)
-    names = [*CHECKS, "nan_inf"]
-    row = audit_rows(snap).agg(*[F.count_if(n).alias(n) for n in names])
-    out = row.unpivot([], names, "name", "affected")
-
-    def dupes(keys, name):
-        per = snap.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        return per.agg(F.sum(F.col("n") - 1).alias("affected")).select(F.lit(name).alias("name"), "affected")
-
-    conflicts = snap.groupBy("market_id").agg(F.countDistinct("outcome").alias("k")).where("k > 1").agg(
-        F.count(F.lit(1)).alias("affected")
-    ).select(F.lit("conflicting_resolutions").alias("name"), "affected")
-    for part in (dupes(["market_id", "ts_us"], "duplicate_market_timestamp"),
-                 dupes(["market_id", "ts_us", "model_p"], "duplicate_observations"), conflicts):
-        out = out.unionByName(part)
-    return out.withColumn("passed", F.col("affected") == 0)
+    row = audit_rows(snap).agg(*[F.count_if(n).alias(n) for n in NAMES], F.coalesce(F.sum("sides"), F.lit(0)).alias("yes_no_inconsistency"))
+    flags = row.unpivot([], [*NAMES, "yes_no_inconsistency"], "name", "affected").withColumn("passed", c("affected") == 0)
+    markets = snap.groupBy("event_cluster", "market_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("outcome").alias("lo"), F.max("outcome").alias("hi"))
+    # A market lies in one cluster, so its label range there is its own.
+    clusters = markets.groupBy("event_cluster").agg(
+        F.sum("n").alias("n"), (F.min("lo") != F.max("hi")).alias("split"), F.count_if(c("lo") != c("hi")).alias("markets"))
+    whole = clusters.agg(
+        F.coalesce(F.sum("markets"), F.lit(0)).alias("m"), F.count_if("split").alias("e"), F.count_if(c("n") == 1).alias("ones"),
+        F.count(F.lit(1)).alias("k"))
+
+    def check(name, affected, passed):
+        return F.struct(F.lit(name).alias("name"), affected.cast("bigint").alias("affected"), passed.alias("passed"))
+
+    rest = whole.select(F.explode(F.array(
+        check("conflicting_resolutions", c("m"), c("m") == 0), check("duplicate_event_labels", c("e"), c("e") == 0),
+        check("cluster_independence", F.lit(0), (c("ones") < c("k")) | (c("k") == 0)),
+    )).alias("r")).select("r.*")
+    return flags.unionByName(rest)
+
+
+@query("a55_rejected_rows", f"""with {AUDIT_ROWS} select market_id, rid, concat_ws(',', {", ".join(f"case when {n} then '{n}' end" for n in REJECTING)}) as reasons from fl
+where {" or ".join(REJECTING)}""")
+def a55b(spark, sf):
+    """Every rejected row with all its reasons; the accepted rows are the others."""
+    rows = audit_rows(tb.snapshots(spark, sf))
+    reasons = F.concat_ws(",", *[F.when(F.col(n), F.lit(n)) for n in REJECTING])
+    return rows.select("market_id", "rid", reasons.alias("reasons")).where("reasons <> ''")
 
 
 BIAS_SQL = f"""with {FILLS}, x as (select count(*) n, sum(notional) nt, sum(shares * fee_rate * price * (1e0 - price)) fees, sum(slippage * shares) sl,
  count(*) filter (where price <= 0 or price >= 1) bad, count(*) filter (where shares > 50) big from fills),
 cl as (select max(e) / sum(e) as c from (select strategy, sum(notional) e from fills group by 1)),
-ps as (select max(e) / sum(e) as c from (select token_id, sum(notional) e from fills where side = 'BUY' group by 1))
+ps as (select max(e) / sum(e) as c from (select token_id, sum(notional) e from fills where side = 'BUY' group by 1)),
+sv as (select count(*) n, count(*) filter (where bought and not sold) lost from (select token_id, bool_or(side = 'BUY') bought, bool_or(side <> 'BUY') sold from fills group by 1)),
+al as (select count(*) filter (where ts_us < before) as late from (select ts_us, lag(ts_us) over (partition by strategy order by order_id, rid) as before from fills)),
+dy as (select ts_us // {DAY} as d, sum(shares * pnl_per_share) p from fills group by 1), eq as (select d, sum(p) over (order by d) e from dy),
+of as (select max(top - e) / (select sum(notional) from fills) as dd, (select count(*) from fills) as n from (select e, max(e) over (order by d) as top from eq))
 select 'lookahead_bias' as name, 'critical' as severity, bad = 0 as passed, {s6('bad')} as value from x
 union all select 'midpoint_fill_bias', 'critical', big = 0, {s6('big')} from x union all select 'fee_omission', 'critical', fees / nt > 0 or fees = 0, {s6('fees / nt')} from x
 union all select 'slippage_omission', 'warning', true, {s6('sl / n')} from x union all select 'trade_independence', 'warning', c < 0.5, {s6('c')} from cl
-union all select 'concentration', 'warning', c < 0.5, {s6('c')} from ps"""
+union all select 'concentration', 'warning', c < 0.5, {s6('c')} from ps
+union all select 'survivorship_bias', 'info', true, {s6('lost / n')} from sv union all select 'timestamp_alignment', 'critical', late = 0, {s6('late')} from al
+union all select 'overfitting_heuristic', 'warning', not ((dd < 1e-2 and n > 10) or (dd < 2e-2 and n > 100)), {s6('dd')} from of"""
 
 
 def bias_checks(spark, sf):
@@ -105,9 +161,28 @@ def bias_checks(spark, sf):
         g = rows.groupBy(key).agg(F.sum("notional").alias("e")).agg((F.max("e") / F.sum("e")).alias("c"))
         return g.select(F.lit(name).alias("name"), F.lit("warning").alias("severity"), (c("c") < 0.5).alias("passed"), r6("c").alias("value"))
 
-    return out.unionByName(share(fills, "strategy", "trade_independence")).unionByName(
-        share(fills.where("side = 'BUY'"), "token_id", "concentration")
-    )
+    def row(df, name, severity, passed, value):
+        return df.select(check(name, severity, passed, value).alias("r")).select("r.*")
+
+    tokens = fills.groupBy("token_id").agg(F.bool_or(c("side") == "BUY").alias("bought"), F.bool_or(c("side") != "BUY").alias("sold")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(c("bought") & ~c("sold")).alias("lost"))
+    placed = running(fills, ["strategy"], "order_id", ["rid"], {"before": ("lag", c("ts_us"))}).agg(
+        F.count_if(c("ts_us") < c("before")).alias("late"))
+    by_day = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0)  # one row per day
+    equity = fills.groupBy(F.floor(c("ts_us") / F.lit(DAY)).alias("d")).agg(
+        F.sum(c("shares") * c("pnl_per_share")).alias("p"), F.sum("notional").alias("nt"), F.count(F.lit(1)).alias("n"))
+    equity = equity.withColumn("e", F.sum("p").over(by_day)).withColumn("top", F.max("e").over(by_day)).agg(
+        (F.max(c("top") - c("e")) / F.sum("nt")).alias("dd"), F.sum("n").alias("n"))
+    calm = ((c("dd") < 0.01) & (c("n") > 10)) | ((c("dd") < 0.02) & (c("n") > 100))
+    parts = [
+        share(fills, "strategy", "trade_independence"), share(fills.where("side = 'BUY'"), "token_id", "concentration"),
+        row(tokens, "survivorship_bias", "info", F.lit(True), c("lost") / c("n")),
+        row(placed, "timestamp_alignment", "critical", c("late") == 0, c("late")),
+        row(equity, "overfitting_heuristic", "warning", ~calm, c("dd")),
+    ]
+    for part in parts:
+        out = out.unionByName(part)
+    return out
 
 
 @query("a54_bias_checks", BIAS_SQL)
