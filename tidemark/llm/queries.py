@@ -116,17 +116,26 @@ p as (
   select d.doc_id, d.size, t.source_size, t.target, t.place,
          coalesce(sum(d.size) over (partition by d.source order by d.draw, d.doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as start,
          floor(t.target / nullif(t.source_size, 0))::bigint as passes
-  from d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target,
-       coalesce(size * passes + greatest(0, least(size, floor(target)::bigint - passes * source_size - start)), 0)::bigint as taken
-from p"""
+  from d join t on d.source is not distinct from t.source),
+t2 as (
+  select *, coalesce(size * passes + greatest(0, least(size, floor(target)::bigint - passes * source_size - start)), 0)::bigint as taken,
+         least(start / nullif(target, 0), 1e0) as u from p)
+-- Position: inverse of the integrated schedules of early, even and late sources.
+select doc_id, size, source_size, target, taken, case when taken > 0 then round(case place
+  when 0 then 2e0 * u / (15e-1 + sqrt(greatest(225e-2 - 2e0 * u, 0e0)))
+  when 1 then u
+  else case when u <= 3125e-4 / 9375e-4
+    then 2e0 * u / (5e-1 / 9375e-4 + sqrt(pow(5e-1 / 9375e-4, 2) + 2e0 * (25e-2 / 9375e-4 / 5e-1) * u))
+    else 5e-1 + 2e0 * (u - 3125e-4 / 9375e-4) / (75e-2 / 9375e-4 + sqrt(pow(75e-2 / 9375e-4, 2) + 2e0 * (1e0 / 9375e-4 / 5e-1) * (u - 3125e-4 / 9375e-4))) end
+  end, 9) end as position
+from t2"""
 
 
 @query("op5_curriculum_mixing", MIX_SQL)
 def op5(spark, sf_dir):
-    """How many words of every document the mix takes; the position is left to the operator's users."""
+    """How many words of every document the mix takes, and where in training its first word stands."""
     out = curriculum.mixed(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    return out.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
 
 
 @query("op7_routed_search")
