@@ -11,7 +11,7 @@ from tidemark.operators import asof, graph
 from tidemark.operators.ordered import chain, islands, nearest_rank, profile, rolling, rolling_range, running
 from tidemark.plans.bindings import QT, QUOTES, TRADES
 from tidemark.plans.market import BOOK
-from tidemark.plans.pit import DAY, HOUR, NEAR, nearest_quotes
+from tidemark.plans.pit import DAY, HOUR, NEAR, near_sql, nearest_quotes
 from tidemark.plans.registry import query, r6, s6
 from tidemark.plans.scores import six
 from tidemark.sources import tables as tb
@@ -508,12 +508,15 @@ def j22(spark, sf):
     )
 
 
-@query("f24_markouts", f"""with {NEAR}
+MARKOUTS = (1, 2, 6, 12, 24, 48)
+
+
+@query("f24_markouts", f"""with {near_sql(MARKOUTS)}
 select event_id, horizon, case when ok then 'available' else 'unavailable_no_quote' end as status,
  case when ok then {s6('(1e0 - mid) - (1e0 - price)')} end as markout_mid,
  case when ok then {s6('(1e0 - mid - 1e-2) - (1e0 - price) - 7e-2 * (1e0 - mid - 1e-2) * (mid + 1e-2)')} end as markout_exit from tol""")
 def f24(spark, sf):
-    rows = nearest_quotes(spark, sf)
+    rows = nearest_quotes(spark, sf, MARKOUTS)
     m = F.col("near.mid")
     ok = F.col("near").isNotNull()
     no_bid = F.lit(1.0) - m - F.lit(0.01)

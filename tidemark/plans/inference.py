@@ -13,8 +13,8 @@ from tidemark.operators import inference as inf
 from tidemark.operators import scores as op
 from tidemark.operators.ordered import nearest_rank, running
 from tidemark.plans.bindings import FC, SNAP
-from tidemark.plans.execution import SPLITTED, split
-from tidemark.plans.market import BOOK
+from tidemark.plans.execution import OBS, SPLITTED, split
+from tidemark.plans.market import BOOK, EV10, edges
 from tidemark.plans.pit import AS_OF, DAY, canonical
 from tidemark.plans.registry import query, r6, s6
 from tidemark.plans.scores import RES, SPLIT_US, UNIF, ll, six
@@ -66,6 +66,19 @@ def a15(spark, sf):
     ))
 
 
+@query("a22_edge_capture_interval", f"""with {SNAP}, {EV10}, {OBS}, cl as (select event_cluster, sum(pnl) as s, sum(pe) as n from ob where pnl is not null group by 1),
+d as {draws(B, 'event_cluster')}, st as (select b, sum(w * s) / sum(w * n) as stat from d group by 1), o as (select list_sort(list(stat)) s from st)
+select (select count(*) from cl) as clusters, {s6('(select sum(s) / sum(n) from cl)')} as capture_ratio, {s6(f's[{int(0.025 * B) + 1}]')} as ci_lower,
+ {s6(f's[{int(0.975 * B)}]')} as ci_upper from o""")
+def a22i(spark, sf):
+    """Realized over predicted edge with a cluster-bootstrap interval."""
+    c = F.col
+    clusters = edges(tb.snapshots(spark, sf)).where("outcome is not null").groupBy("event_cluster").agg(
+        F.sum(c("outcome") - c("ask")).alias("s"), F.sum("net").alias("n"))
+    out = inf.bootstrap(clusters, "event_cluster", lambda w: F.sum(w * c("s")) / F.sum(w * c("n")), B)
+    return six(out.drop("std_error").withColumnRenamed("estimate", "capture_ratio"))
+
+
 @query("x02_user_metric_bootstrap", boot_sql("sqrt(sum(w * s) / sum(w * n)) - sum(w * a) / sum(w * n)",
                                              "sqrt(sum(s) / sum(n)) - sum(a) / sum(n)"))
 def x02(spark, sf):
@@ -300,7 +313,10 @@ def degradation(rows, noise_sd=0.1, seed=42):
     )
 
 
-@query("a31_gaussian_noise")
+@query("a31_gaussian_noise", f"""with {RES}, u as (select *, {UNIF.format(t="'42|' || market_id || '|' || ts_us || '|' || rid")} as u1, {UNIF.format(t="'43|' || market_id || '|' || ts_us || '|' || rid")} as u2 from res),
+z as (select *, greatest(1e-2, least(99e-2, model_p + 1e-1 * sqrt(-2e0 * ln(1e0 - u1)) * cos(6.283185307179586e0 * u2))) as noisy from u)
+select 'baseline' as test, count(*) as n, {s6('avg(pow(model_p - outcome, 2))')} as brier from res
+union all select 'gaussian_noise', count(*), {s6('avg(pow(noisy - outcome, 2))')} from z""")
 def a31n(spark, sf):
     return six(degradation(op.resolved(tb.snapshots(spark, sf))).where("test in ('gaussian_noise', 'baseline')"))
 

@@ -175,8 +175,10 @@ def j04(spark, sf):
     )
 
 
-NEAR = QT + f""", pr as (
- select t.*, h as horizon, t.ts_us + h * {HOUR} as target from trades t, (select unnest([1, 6, 24]) as h)),
+def near_sql(horizons) -> str:
+    """SQL of the quote nearest to each trade at each horizon (hours)."""
+    return QT + f""", pr as (
+ select t.*, h as horizon, t.ts_us + h * {HOUR} as target from trades t, (select unnest({list(horizons)}) as h)),
 b as (select p.*, q.event_id bid_, q.ts_us bts, q.mid bm from pr p
  asof left join quotes q on p.market_slug = q.market_slug and p.target >= q.ts_us),
 n as (select b.*, q.event_id nid, q.ts_us nts, q.mid nm from b
@@ -189,6 +191,9 @@ near as (select event_id, market_slug, horizon, price, taker_side, size,
 tol as (select *, gap_us <= 12 * {HOUR} as ok from near)"""
 
 
+NEAR = near_sql((1, 6, 24))
+
+
 def nearest_quotes(spark, sf, horizons=(1, 6, 24), tol_hours=12):
     q = tb.quotes(spark, sf).withColumn("q_us", F.col("ts_us"))
     probes = asof.at_horizons(tb.trades(spark, sf), "ts_us", list(horizons), HOUR)
