@@ -13,8 +13,9 @@ registers are about as likely as the sets are similar.
 4. Edges are verified on the full sets: first the best one of every representative, then
    those that still join different components.
 5. Pairs that met in a bucket through its smallest id, and are still in different
-   components, are verified on the full sets in blocks; a block returns a spanning set of
-   links, not its pairs. Members of the largest component of a cell meet only the others.
+   components, are verified on the full sets in blocks: a cell holds a component's hubs and
+   all that met them. A block returns a spanning set of links, not its pairs, and members
+   of the largest component of a cell meet only the others.
    So a link between different texts is lost only if the two share no bucket at all, which
    at the threshold has probability (1 - 0.8^5)^40, about one in ten million.
 
@@ -233,17 +234,22 @@ def _unit(percent: int, size: int):
 
 
 def _cells(edges: DataFrame, parts: DataFrame, texts: DataFrame, percent: int, size: int, block: int) -> DataFrame:
-    """Links between members of a cell (all that met a hub in a bucket) in different components."""
+    """Links between members of a cell that are in different components.
+
+    A cell is a component with its hubs and all that met one of them in a bucket.
+    """
     named = parts.select(F.col("id").alias("part_id"), "component")
-    members = edges.select(F.col("b").alias("cell"), F.col("a").alias("id")).unionByName(
-        edges.select(F.col("b").alias("cell"), F.col("b").alias("id")).distinct())
-    members = members.join(named, F.col("id") == F.col("part_id"), "left").select(
-        "cell", "id", F.coalesce("component", F.col("id")).alias("component"))
+    hubs = edges.select("b").distinct().join(named, F.col("b") == F.col("part_id"), "left").select(
+        "b", F.coalesce("component", F.col("b")).alias("cell"))
+    members = edges.select("a", "b").join(hubs, "b").select("cell", F.col("a").alias("id")).unionByName(
+        hubs.select("cell", F.col("b").alias("id"))).distinct()
+    members = checkpointed(members.join(named, F.col("id") == F.col("part_id"), "left").select(
+        "cell", "id", F.coalesce("component", F.col("id")).alias("component")))
     sizes = members.groupBy("cell", "component").agg(F.count(F.lit(1)).alias("n"))
     cells = sizes.groupBy("cell").agg(
         F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.max("n").alias("main_n"), F.sum("n").alias("n"),
         F.count(F.lit(1)).alias("components"))
-    # A cell of a hub and one member was settled by its edge.
+    # A cell of one hub and one member was settled by its edge.
     cells = cells.where("components > 1 and n > 2").select(
         "cell", "main", F.ceil(F.col("main_n") / block).cast("int").alias("main_blocks"),
         F.ceil((F.col("n") - F.col("main_n")) / block).cast("int").alias("other_blocks"))
