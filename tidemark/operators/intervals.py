@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof_join
@@ -32,22 +32,34 @@ def overlap_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], width: int,
     ls: str, le: str, rs: str, re: str,
 ) -> DataFrame:
-    """Pairs with ``ls < re and rs < le``: equi-join on time cells of ``width`` plus residual.
+    """Pairs with ``ls < re and rs < le``: equi-join on time cells plus residual.
 
-    A pair meets in every cell it shares; it is kept only in the cell where the later of
-    the two starts falls, so no distinct is needed.
+    Cells come in levels of ``width`` times a power of two. An interval enters the cells of
+    its own level, the first whose cells are as long as itself, and of the levels above it,
+    at most two each, so its copies grow with the logarithm of the longest interval. A pair
+    is kept at the higher of its two own levels, in the cell where the later start falls,
+    so no distinct is needed.
     """
-    w = F.lit(width)
-
-    def cells(df: DataFrame, s: str, e: str) -> DataFrame:
-        first = F.floor(F.col(s) / w).cast("long")
-        return df.withColumn("_cell", F.explode(F.sequence(first, F.floor(F.col(e) / w).cast("long"))))
-
-    joined = cells(left, ls, le).join(cells(right, rs, re), [*keys, "_cell"])
+    longest = max(df.agg(F.max(F.col(e) - F.col(s))).first()[0] or 0 for df, s, e in ((left, ls, le), (right, rs, re)))
+    top = 0
+    while width * 2**top < longest:
+        top += 1
+
+    def cell(at: Column) -> Column:
+        return F.floor(at / (F.lit(float(width)) * F.pow(F.lit(2.0), F.col("_level")))).cast("long")
+
+    def cells(df: DataFrame, s: str, e: str, own: str) -> DataFrame:
+        level = F.lit(0)
+        for v in range(top):
+            level = level + (F.col(e) - F.col(s) > width * 2**v).cast("int")
+        placed = df.withColumn(own, level).withColumn("_level", F.explode(F.sequence(F.col(own), F.lit(top))))
+        return placed.withColumn("_cell", F.explode(F.sequence(cell(F.col(s)), cell(F.col(e)))))
+
+    joined = cells(left, ls, le, "_own_l").join(cells(right, rs, re, "_own_r"), [*keys, "_level", "_cell"])
     return joined.where(
-        (F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le))
-        & (F.col("_cell") == F.floor(F.greatest(ls, rs) / w))
-    ).drop("_cell")
+        (F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le)) & (F.col("_level") == F.greatest("_own_l", "_own_r"))
+        & (F.col("_cell") == cell(F.greatest(ls, rs)))
+    ).drop("_cell", "_level", "_own_l", "_own_r")
 
 
 def clip(df: DataFrame, start: str, end: str, lo: int, hi: int) -> DataFrame:

@@ -135,12 +135,12 @@ BOOK_COLUMNS = [c.split()[0] for c in BOOK_STATE.split(", ")]
 
 
 def rebuild_books(rows: DataFrame, connection: Sequence[str], t: str, hot_rows: int | None = None) -> DataFrame:
-    """Book state after every snapshot and delta.
+    """Book state after every snapshot and delta; a repeated frame (session and number) counts once.
 
     One ordered pass over the connection gives the gap epoch. A snapshot forgets all that
     came before it, so each (ticker, snapshot) segment is rebuilt on its own.
     """
-    staged = gap_epochs(rows, connection, t, ["event_id"], hot_rows)
+    staged = gap_epochs(rows.dropDuplicates([*connection, "session", "seq"]), connection, t, ["event_id"], hot_rows)
     first = F.when(F.col("kind") == "snapshot", 1).otherwise(0)
     segments = chain(staged, ["ticker"], t, ["event_id"], {"segment": ("sum", first)}, hot_rows=hot_rows)
 

@@ -125,6 +125,8 @@ def rebuild_books(stream: DataFrame) -> DataFrame:
         rows = pd.concat(list(batches)).sort_values(["ts_us", "event_id"])
         out = []
         for r in rows.itertuples():
+            if seq is not None and r.seq <= seq:
+                continue  # a frame that was applied before
             if seq is not None and r.seq != seq + 1:
                 epoch += 1
             seq = int(r.seq)
