@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,6 +136,24 @@ def _described(docs: DataFrame, window: int, short: int) -> DataFrame:
         run, "doc_id long, n_words long, sha binary, anchors array<long>")
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """``t_id`` and the text compressed: texts are shuffled twice, and most of that is their size."""
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                packed = [None if t is None else press.compress(t.encode("utf-8", "surrogatepass")) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("t_id"), pa.array(packed, pa.binary())], names=["t_id", "text"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("t_id"), "text").mapInArrow(run, "t_id long, text binary")
+
+
+def _unpacked(packed: bytes | None) -> str | None:
+    return None if packed is None else zstandard.ZstdDecompressor().decompress(packed).decode("utf-8", "surrogatepass")
+
+
 def _candidates(found: list[str], hasher: Hasher, repeated: list[int], window: int, short: int) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes, and which windows have a repeated anchor."""
     h = hasher(found)
@@ -151,7 +170,7 @@ def _fresh_windows(passages: DataFrame, window: int, short: int, shard_words: in
             ids = batch.column("doc_id").to_pylist()
             out = ([], [], [])
             for i, doc_id in enumerate(ids):
-                h, mask = _candidates(words(batch.column("text")[i].as_py()), hasher, batch.column("repeated")[i].as_py(), window, short)
+                h, mask = _candidates(words(_unpacked(batch.column("text")[i].as_py())), hasher, batch.column("repeated")[i].as_py(), window, short)
                 if not mask.any():
                     continue
                 digests = _runs(h, window)
@@ -184,7 +203,7 @@ def _cut(passages: DataFrame, window: int, short: int) -> DataFrame:
         for batch in batches:
             rows = []
             for i in range(batch.num_rows):
-                found = words(batch.column("text")[i].as_py())
+                found = words(_unpacked(batch.column("text")[i].as_py()))
                 _, mask = _candidates(found, hasher, batch.column("repeated")[i].as_py(), window, short)
                 mask[np.array(batch.column("firsts")[i].as_py() or [], np.int64)] = False
                 edges = np.zeros(len(found) + 1, np.int64)
@@ -211,8 +230,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT, s
     shared = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     repeated = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("repeated"))
     sought = repeated.join(marked.where("not copy").select(F.col("doc_id").alias("o_id"), "sha"), F.col("doc_id") == F.col("o_id")).drop("o_id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("t_id"), "text")
-    passages = checkpointed(texts.join(sought, F.col("t_id") == F.col("doc_id")).select("doc_id", "sha", "text", "repeated"))
+    # Used twice below in one plan: both uses read the same shuffle, and the second join finds it placed by id.
+    passages = _packed(docs).join(sought, F.col("t_id") == F.col("doc_id")).select("doc_id", "sha", "text", "repeated")
     new = _fresh_windows(passages, window, short, shard_words)
     firsts = new.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("at")).groupBy(
         F.col("at.doc_id").alias("f_id")).agg(F.collect_list("at.start").alias("firsts"))
