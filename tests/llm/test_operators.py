@@ -133,7 +133,7 @@ def test_suffix_automaton():
     text = [rng.randrange(3) for _ in range(300)]
     machine = substrings.SuffixAutomaton()
     for t, symbol in enumerate(text):
-        seen = machine.extend(symbol)
+        seen = machine.extend([symbol])[0]
         longest = max((k for k in range(t + 1) if any(text[j - k + 1:j + 1] == text[t - k + 1:t + 1] for j in range(k - 1, t))), default=0)
         assert seen == longest
 

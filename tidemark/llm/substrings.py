@@ -38,36 +38,41 @@ WINDOW, SHORT, SHARD_WORDS = 20, 5, 50_000
 
 
 class SuffixAutomaton:
-    """Online suffix automaton; ``extend`` returns how long a suffix was seen before."""
+    """Online suffix automaton over integers."""
 
     def __init__(self):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length, self.last = [-1], [0], 0
 
-    def extend(self, symbol: int) -> int:
-        moves, link, length = self.next, self.link, self.length
-        new, at = len(moves), self.last
-        moves.append({})
-        length.append(length[at] + 1)
-        link.append(0)
-        while at != -1 and symbol not in moves[at]:
-            moves[at][symbol] = new
-            at = link[at]
-        if at != -1:
-            to = moves[at][symbol]
-            if length[at] + 1 == length[to]:
-                link[new] = to
-            else:
-                twin = len(moves)
-                moves.append(dict(moves[to]))
-                length.append(length[at] + 1)
-                link.append(link[to])
-                while at != -1 and moves[at].get(symbol) == to:
-                    moves[at][symbol] = twin
-                    at = link[at]
-                link[to] = link[new] = twin
-        self.last = new
-        return length[link[new]]
+    def extend(self, symbols: list[int]) -> list[int]:
+        """Append symbols; for each, the length of the longest suffix ending there that was seen before."""
+        moves, link, length, last = self.next, self.link, self.length, self.last
+        seen = []
+        for symbol in symbols:
+            new, at = len(moves), last
+            moves.append({})
+            length.append(length[at] + 1)
+            link.append(0)
+            while at != -1 and symbol not in moves[at]:
+                moves[at][symbol] = new
+                at = link[at]
+            if at != -1:
+                to = moves[at][symbol]
+                if length[at] + 1 == length[to]:
+                    link[new] = to
+                else:
+                    twin = len(moves)
+                    moves.append(moves[to].copy())
+                    length.append(length[at] + 1)
+                    link.append(link[to])
+                    while at != -1 and moves[at].get(symbol) == to:
+                        moves[at][symbol] = twin
+                        at = link[at]
+                    link[to] = link[new] = twin
+            last = new
+            seen.append(length[link[new]])
+        self.last = last
+        return seen
 
 
 class Hasher:
@@ -97,22 +102,31 @@ def _runs(h: np.ndarray, size: int) -> np.ndarray:
     return mix64(out)
 
 
-def _places(h: np.ndarray, window: int, short: int) -> np.ndarray:
-    """Distinct anchors of a document; one that stands in several places is given twice, as it repeats already."""
-    if len(h) < window:
-        return np.zeros(0, np.uint64)
-    grams, wide = _runs(h, short), window - short + 1
-    at = np.unique(np.lib.stride_tricks.sliding_window_view(grams, wide).argmin(axis=1) + np.arange(len(grams) - wide + 1))
-    values, count = np.unique(grams[at], return_counts=True)
-    return np.concatenate([values, values[count > 1]])
+def _window_least(values: np.ndarray, width: int) -> np.ndarray:
+    """Smallest value of every ``width`` consecutive ones, by doubling."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        values = np.minimum(values[:len(values) - step], values[step:])
+        done += step
+    return values
 
 
 def window_anchors(h: np.ndarray, window: int, short: int) -> np.ndarray:
     """Anchor of every window: its smallest short-run hash."""
     if len(h) < window:
         return np.zeros(0, np.uint64)
-    grams = _runs(h, short)
-    return np.lib.stride_tricks.sliding_window_view(grams, window - short + 1).min(axis=1)
+    return _window_least(_runs(h, short), window - short + 1)
+
+
+def _places(h: np.ndarray, window: int, short: int) -> np.ndarray:
+    """Distinct anchors of a document; one whose run stands in several places is given twice, as it repeats already."""
+    anchors = window_anchors(h, window, short)
+    if not len(anchors):
+        return anchors
+    values = np.unique(anchors[np.concatenate([[True], anchors[1:] != anchors[:-1]])])
+    runs, count = np.unique(_runs(h, short), return_counts=True)
+    return np.concatenate([values, values[count[np.searchsorted(runs, values)] > 1]])
 
 
 def _described(docs: DataFrame, window: int, short: int) -> DataFrame:
@@ -179,9 +193,8 @@ def _fresh_windows(passages: DataFrame, window: int, short: int, shard_words: in
                     if held > shard_words:
                         shard, held = SuffixAutomaton(), 0
                     separator -= 1  # matches never cross passages: no word hash is negative
-                    shard.extend(separator)
                     stretch = h[first:after + window - 1].tolist()
-                    seen = np.array([shard.extend(word) for word in stretch], np.int64)
+                    seen = np.array(shard.extend([separator, *stretch])[1:], np.int64)
                     held += len(stretch)
                     new = first + np.flatnonzero(seen[window - 1:] < window)
                     out[0].append(digests[new])
