@@ -349,6 +349,24 @@ def test_template_tree(spark):
     assert all(abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
 
 
+@pytest.mark.parametrize("times", [1, 10])
+def test_unlabelled_templates_stand_apart_on_any_host(spark, times):
+    sizes = {"en": 15, "de": 13, "fr": 14, "es": 11}
+    paths = [f"{lang}/{word}/{i}" for lang, n in sizes.items() for i in range(n * times) for word in ("news", "shop")]
+    # A position with many distinct segments, three of them labelled as blocked, and labels beyond the depth.
+    names = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(80)]
+    paths += [f"u/{name}/{i}" for name in names for i in range(times)]
+    paths += [f"a/b/c/d/e/{tail}/{i}" for tail in ("bad", "good") for i in range(5 * times)]
+    rules = [*RULES, *[(f"net/u/{name}/", "block") for name in names[:3]], ("net/a/b/c/d/e/bad/", "block")]
+    df = spark.createDataFrame([(i, f"http://t.example.net/{p}") for i, p in enumerate(paths)], "page_id long, url string")
+    got = {r.page_id: r for r in urls.judged(df, rules).collect()}
+    blocked = ("es/", "fr/", "a/b/c/d/e/bad/", *[f"u/{name}/" for name in names[:3]])
+    assert len(got) == len(paths)
+    for i, path in enumerate(paths):
+        assert got[i].verdict == ("block" if path.startswith(blocked) else "allow"), path
+        assert got[i].purity == urls.PRIOR or got[i].rule, path
+
+
 def vectors(n=300, dims=8, seed=5):
     rng = np.random.default_rng(seed)
     rows = [(i, rng.normal(size=dims).tolist()) for i in range(n)]
