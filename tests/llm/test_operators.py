@@ -466,6 +466,38 @@ def test_pseudonyms(spark):
     assert pseudonyms.pseudonymised(df.limit(0), "k").count() == 0
 
 
+def test_pseudonyms_beside_other_values(spark):
+    def card(digits):
+        body = digits[0] + permuted(digits[1:-1], "k", "card")
+        return body + str(-sum(int(d) if i % 2 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(body))) % 10)
+
+    whole, phone = card("4111111111111111"), permuted("5551234567", "k", "phone")
+    spaced, dashed = " ".join(whole[i:i + 4] for i in range(0, 16, 4)), "-".join((phone[:3], phone[3:6], phone[6:]))
+    long = "eyJhbGciOi" * 30
+    cases = [
+        ("card 4111 1111 1111 1111 12/25", f"card {spaced} 12/25", 1),
+        ("4111111111111111 123", f"{whole} 123", 1),
+        ("2024 4111 1111 1111 1111 2025", f"2024 {spaced} 2025", 1),
+        ("4111111111111111 4111 1111 1111 1111", f"{whole} {spaced}", 2),
+        ("4111111111111111 12a", f"{whole} 12a", 1),
+        ("555-123-4567 2024", f"{dashed} 2024", 1),
+        ("555 123 4567 2023", f"{dashed.replace('-', ' ')} 2023", 1),
+        ("4111111111111111 555-123-4567", f"{whole} {dashed}", 2),
+        ("(555-123-4567)", f"({dashed})", 1),
+        ("token=" + long, "token=" + permuted(long, "k", "secret"), 1),
+        ("1 2 3 4 5 6 7 8 9 10 11 12", "1 2 3 4 5 6 7 8 9 10 11 12", 0),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)] + [
+        (100, "at 2024-01-05T10:00:00Z"), (101, "at 2024-01-05"), (102, "7777777 2024-01-05T10:00"), (103, "4111 1111 1111 1111 8.8.4.4"),
+        (104, "7 " * 20_000)], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.found) for r in pseudonyms.pseudonymised(df, "k", found="found").collect()}
+    for i, (_, text, found) in enumerate(cases):
+        assert got[i] == (text, found), cases[i][0]
+    date = got[101][0][3:]
+    assert date != "2024-01-05" and got[100] == (f"at {date}T10:00:00Z", 1) and got[102] == (f"7777777 {date}T10:00", 1)
+    assert got[103][0].startswith(spaced + " ") and not got[103][0].endswith(" 8.8.4.4") and got[103][1] == 2
+
+
 def test_number_permutations_are_bijections(spark):
     n = pseudonyms.DAY_HIGH * pseudonyms.DAY_LOW
     ids = spark.range(n).select(pseudonyms.permute_number(F.col("id"), pseudonyms.DAY_HIGH, pseudonyms.DAY_LOW, "k", "date").alias("p"))

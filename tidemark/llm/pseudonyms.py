@@ -7,6 +7,11 @@ other, character by character within its class (digit, lower, upper letter), or
 addition where the format has a numeric range. It is a bijection, so equal values stay equal
 across documents and different values stay different.
 
+A run of digit groups may hold more than a card number (an expiry year, a phone number). It
+is cut at its groups: from the left, the longest stretch of 13 to 19 digits with a valid check
+digit is a card number; what is left is searched for phone and social security numbers.
+Stretches after the run's first group start at a group of four digits or more.
+
 Kinds: payment card numbers (check digit valid; separators free, first digit kept, check
 digit recomputed), social security numbers, phone numbers (country digits kept), IPv4
 addresses, calendar dates 1900-01-01 to 2100-01-02 (ISO, or month/day/year), e-mail
@@ -29,16 +34,21 @@ FIRST_DAY, DAY_HIGH, DAY_LOW = "1900-01-01", 319, 229
 AREAS, GROUPS, SERIALS = 898, 99, 9999
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
-SECRET = r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api[_-]?key)\x20{0,2}[=:]\x20{0,2}[\"']?[A-Za-z0-9+/_.~-]{6,256}+"
+SECRET = r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api[_-]?key)\x20{0,2}[=:]\x20{0,2}[\"']?[A-Za-z0-9+/_.~-]{6,}+"
 ACCESS = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-ISO_DATE = r"(?<![\w.+/-])\d{4}-\d{2}-\d{2}(?![\w/-])"
+ISO_DATE = r"(?<![\w.+/-])\d{4}-\d{2}-\d{2}(?!(?!T\d)[\w/-])"
 US_DATE = r"(?<![\w.+/-])\d{1,2}/\d{1,2}/\d{4}(?![\w/-])"
 SSN = r"(?<![\w.+-])\d{3}-\d{2}-\d{4}(?![\w-])"
 IPV4 = r"(?<![\w.+-])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)"
-PHONE = (r"(?<![\w.+(-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,3}"
+PHONE = (r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,3}"
          r"|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w-])")
 CARD = r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])"
-ANY = "|".join((EMAIL, SECRET, ACCESS, ISO_DATE, US_DATE, SSN, IPV4, CARD, PHONE))
+# Values of other kinds that may stand beside a card number: a run of digit groups ends before them.
+OTHER = (r"(?!\d{4}-\d{2}-\d{2}(?!\d)|\d{1,2}/\d{1,2}/\d{4}|\d{3}-\d{2}-\d{4}(?![\w-])|\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
+         r"|\d{3}(?:-\d{3}-|\.\d{3}\.)\d{4}(?![\w-])|[A-Za-z0-9._%+-]{1,64}+@)")
+GROUP = r"\d++(?!\w|-(?!\d))"
+RUN = rf"(?<![\w.+-])(?=\d(?:[ -]?\d){{12}}){OTHER}{GROUP}(?:(?:-|\x20{OTHER}){GROUP})*+"
+ANY = "|".join((EMAIL, SECRET, ACCESS, ISO_DATE, US_DATE, SSN, IPV4, RUN, PHONE))
 
 
 def _let(value: Column, use) -> Column:
@@ -141,6 +151,38 @@ def _card(value: Column, key: str) -> tuple[Column, Column]:
     return value.rlike(f"^(?:{CARD})$") & (_luhn_sum(digits) % 10 == 0), _refill(value, moved)
 
 
+def _run_parts(run: Column) -> Column:
+    """A run of digit groups cut into card numbers, phone numbers, social security numbers and the text between."""
+    def marked(groups: Column) -> Column:
+        def stretch(i: Column, n: Column) -> Column:
+            return F.array_join(F.slice(groups, i, n), "")
+
+        def card(n: Column, i: Column) -> Column:
+            return _let(_digits(stretch(i, n)), lambda d: F.length(d).between(13, 19) & (_luhn_sum(d) % 10 == 0))
+
+        def step(acc: Column, i: Column) -> Column:
+            group = F.get(groups, i - 1)
+            may = (i >= acc["next"]) & ((i == 1) | (F.length(_digits(group)) >= 4))
+            sizes = F.when(may, F.filter(F.sequence(F.lit(1), F.least(F.lit(19), F.size(groups) - i + 1)), lambda n: card(n, i)))
+
+            def taken(n: Column) -> Column:
+                found = F.regexp_replace(stretch(i, n), "^([ -]?)(.*)$", "$1;$2;")
+                return F.struct(
+                    F.when(n.isNotNull(), F.concat(acc["text"], found)).when(i >= acc["next"], F.concat(acc["text"], group))
+                    .otherwise(acc["text"]).alias("text"),
+                    F.coalesce(i + n, acc["next"]).alias("next"))
+
+            return _let(F.array_max(sizes), taken)
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(groups)), F.struct(F.lit("").alias("text"), F.lit(1).alias("next")), step,
+                           lambda acc: acc["text"])
+
+    parts = F.split(_let(F.regexp_extract_all(run, F.lit("[ -]?[0-9]+"), F.lit(0)), marked), ";")
+    # Every second part is a card number.
+    return F.flatten(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.array(p)).otherwise(
+        F.split(F.regexp_replace(p, f"{SSN}|{PHONE}", ";$0;"), ";"))))
+
+
 def _ssn(value: Column, key: str) -> tuple[Column, Column]:
     area, group, serial = (F.substr(value, F.lit(a), F.lit(b)).cast("int") for a, b in ((1, 3), (5, 2), (8, 4)))
     valid = value.rlike(f"^(?:{SSN})$") & area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
@@ -202,11 +244,15 @@ def pseudonymised(df: DataFrame, key: str, text: str = "text", found: str | None
     """All columns with ``text`` pseudonymised; ``found``, if named, counts the replaced values."""
     source = F.col(f"`{text}`")
     values = F.regexp_extract_all(source, F.lit(ANY), F.lit(0))
-    pairs = F.transform(values, lambda v: F.struct(v.alias("was"), pseudonym(v, key).alias("now")))
+
+    def parts(v: Column) -> Column:
+        return F.when(v.rlike(f"^(?:{RUN})$"), _run_parts(v)).otherwise(F.array(v))
+
+    pairs = F.transform(values, lambda v: F.transform(parts(v), lambda p: F.struct(p.alias("was"), pseudonym(p, key).alias("now"))))
 
     def rebuilt(p: Column) -> Column:
-        joined = F.zip_with(F.split(source, ANY), p, lambda b, v: F.concat(b, F.coalesce(v["now"], F.lit(""))))
-        changed = F.aggregate(p, F.lit(0), lambda n, v: n + F.when(v["was"] == v["now"], 0).otherwise(1))
+        joined = F.zip_with(F.split(source, ANY), p, lambda b, v: F.concat(b, F.coalesce(F.array_join(v["now"], ""), F.lit(""))))
+        changed = F.aggregate(F.flatten(p), F.lit(0), lambda n, v: n + F.when(v["was"] == v["now"], 0).otherwise(1))
         return F.struct(F.array_join(joined, "").alias("text"), changed.alias("n"))
 
     # No candidate can do without one of these characters: other texts are left alone at once.
