@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm import curriculum, pieces, pseudonyms, quality, routed_search, setsketch, shards, substrings, threshold, urls
+from tidemark.llm import curriculum, lines, manifest, pieces, pseudonyms, quality, routed_search, setsketch, shards, substrings, threshold, urls
 from tidemark.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +193,68 @@ def op6(spark, sf_dir):
     """What is left of every document without the words of passages that start earlier."""
     out = substrings.without_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+# Brute force: every level of every source's tree, then the path of every leaf step by step. The CRC is the
+# reflected polynomial applied bit by bit: a character, then eight shifts (-1).
+MERKLE_SQL = r"""
+with recursive d as (
+  select doc_id, source, lang, n_chars, text, coalesce(xor(list_reduce(
+      list_prepend(4294967295::bigint, flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: list_prepend(ascii(c)::bigint, [-1::bigint for i in range(8)])))),
+      lambda a, x: case when x >= 0 then xor(a, x) when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end), 4294967295) % 5 = 0, false) as bad from documents),
+f as (
+  select doc_id, source, bad, unnest([text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')]) as t, unnest([0, 1]) as which, lang, n_chars from d),
+h as (
+  select doc_id, source, bad, which, sha256(concat(
+    coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'),
+    coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-'), coalesce(strlen(t) || ':' || t, '-'))) as h from f),
+l as (select doc_id, source, max(h) filter (which = 0) as leaf, max(h) filter (which = bad::int) as folded from h group by 1, 2),
+s as (select source, count(*) as n, row_number() over (order by source is not null, source) - 1 as tree from l group by 1),
+p as (select doc_id, tree, n, row_number() over (partition by tree order by doc_id is not null, doc_id) - 1 as pos, leaf, folded from l join s on l.source is not distinct from s.source),
+low as (
+  select tree, 0 as level, pos, n, leaf as h from p
+  union all
+  select tree, level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' order by pos)) from low where n > 1 group by tree, level, pos // 16, n),
+up as (
+  select -1::bigint as tree, 0 as level, tree as pos, (select count(*) from s) as n, h from low where n = 1
+  union all
+  select tree, level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' order by pos)) from up where n > 1 group by tree, level, pos // 16, n),
+runs as (select tree, level, pos // 16 as run, list(h order by pos) as hs from (from low union all from up) where n > 1 group by all),
+climb as (
+  select doc_id, tree, 0 as level, pos, n, folded, '' as proof, tree as home from p
+  union all
+  select doc_id, case when top then -1 else c.tree end, case when top then 0 else c.level + 1 end, case when top then c.tree else c.pos // 16 end,
+         case when top then (select count(*) from s) else (c.n + 15) // 16 end,
+         case when top then c.folded else sha256(array_to_string(list_transform(hs, lambda x, i: case when i = c.pos % 16 + 1 then c.folded else x end), '')) end,
+         case when top then c.proof else c.proof || array_to_string([x for x, i in hs if i <> c.pos % 16 + 1], '') end, home
+  from (select *, n = 1 as top from climb where n > 1 or tree >= 0) c left join runs r on not top and r.tree = c.tree and r.level = c.level and r.run = c.pos // 16)
+select p.doc_id, leaf, low.h as subroot, up.h as root, sha256(proof) as proof_sha256, climb.folded as folded_root, climb.folded = up.h as verified
+from p join climb on climb.doc_id is not distinct from p.doc_id and climb.home = p.tree and climb.tree = -1 and climb.n = 1
+join low on low.tree = p.tree and low.n = 1 join up on up.n = 1"""
+
+
+@query("op12_merkle_manifest", MERKLE_SQL)
+def op12(spark, sf_dir):
+    """Leaf, roots, proof and the check of every document against the root."""
+    out = manifest.proofs(read_table(spark, sf_dir, "documents", *manifest.FIELDS))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+LINES_SQL = r"""
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+l as (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from d),
+k as (select doc_id, i, translate(trim(ls[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+c as (select key, max(doc_id) as stays from k where length(key) >= 40 group by 1 having count(distinct doc_id) >= 5),
+g as (select doc_id, list(i) as gone from k join c using (key) where doc_id <> stays group by 1)
+select d.doc_id, len(ls)::bigint as n_lines, coalesce(len(gone), 0)::bigint as n_dropped,
+       sha256(array_to_string(case when gone is null then ls else [x for x, i in ls if not list_contains(gone, i)] end, chr(10))) as kept_sha256
+from d left join g using (doc_id)"""
+
+
+@query("op13_repeated_lines", LINES_SQL)
+def op13(spark, sf_dir):
+    """What is left of every document without lines that stand in five documents or more."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    out = lines.kept_lines(docs, lines.keep_bitmaps(docs))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
