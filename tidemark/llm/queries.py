@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm import curriculum, lines, manifest, pieces, pseudonyms, quality, routed_search, setsketch, shards, substrings, threshold, urls
+from tidemark.llm import collocations, curriculum, lines, manifest, pieces, pseudonyms, quality, routed_search, setsketch, shards, substrings, threshold, urls
 from tidemark.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -258,3 +258,30 @@ def op13(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     out = lines.kept_lines(docs, lines.keep_bitmaps(docs))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+PHRASE_SQL = r"""
+with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?
+-]')) as piece from d),
+w as (select lang, regexp_extract_all(piece, '[^ 	]+') as ws from p),
+t as (select lang, sum(len(ws))::bigint as n from w group by 1),
+g as (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) as i from w, range(1, 5) r(k)),
+f as (select lang, k, array_to_string(ws[i:i + k - 1], ' ') as phrase, any_value(ws[i:i + k - 1]) as words, count(*)::bigint as a from g group by 1, 2, 3 having count(*) >= 30),
+x as (select lang, phrase, words, a, k, unnest(range(1, k)) as cut from f where k > 1),
+s as (
+  select x.lang, x.phrase, x.a, cut, l.a as l, r.a as r, ((2000000::hugeint * x.a) // (l.a + r.a))::bigint as score
+  from x join f l on l.lang = x.lang and l.phrase = array_to_string(x.words[1:cut], ' ') join f r on r.lang = x.lang and r.phrase = array_to_string(x.words[cut + 1:], ' ')),
+c as (select * from s qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+q as (select lang, words, a, k, unnest(range(2, k)) as m from f where k > 2),
+o as (select lang, array_to_string(words[i:i + m - 1], ' ') as phrase, max(a) as longer from (select *, unnest(range(1, k - m + 2)) as i from q) group by 1, 2),
+b as (
+  select c.*, row_number() over (partition by c.lang order by score desc, a desc, c.phrase) as rank
+  from c left join o on o.lang = c.lang and o.phrase = c.phrase where longer is null or 100::hugeint * longer < 80::hugeint * a)
+select lang, rank::bigint as rank, phrase, a, l, r, n, score from b join t using (lang) where rank <= 2000"""
+
+
+@query("op11_collocations", PHRASE_SQL)
+def op11(spark, sf_dir):
+    """The 2,000 best phrases of every language, with the counts behind their score."""
+    return collocations.collocations(read_table(spark, sf_dir, "documents", "lang", "text"))
