@@ -180,16 +180,18 @@ def proofs(docs: DataFrame) -> DataFrame:
     leaves, runs, root = built
     with _unlimited_rows(spark):
         climbed = checkpointed(spark.sql(CLIMB, leaves=leaves, runs=runs))
-    led = climbed.where("size(path) > 0").select("row", F.col("path")[0]["run"].alias("head"), F.col("path")[0]["place"].alias("at"), F.slice("path", F.lit(2), F.size("path")).alias("rest"))
-    heads = led.groupBy("head").agg(F.first("rest").alias("rest"))
+    rows = leaves.select("row", "doc_id", "leaf").join(climbed.select(
+        F.col("row").alias("c_row"), "folded", "subroot", F.get("path", F.lit(0)).alias("first")),
+        F.col("row") == F.col("c_row"))
+    heads = climbed.where("size(path) > 0").groupBy(F.col("path")[0]["run"].alias("head")).agg(F.first(F.slice("path", F.lit(2), F.size("path"))).alias("rest"))
     steps = heads.select("head", F.posexplode("rest").alias("i", "step"))
     met = steps.join(runs.select("node", "copy", "children"), (F.col("step.run") == F.col("node")) & (F.pmod(F.xxhash64("head"), F.col("step.copies")) == F.col("copy")))
     above = met.groupBy("head").agg(F.array_sort(F.collect_list(F.struct("i", _siblings(F.col("children"), F.col("step.place")).alias("s")))).alias("found")).select(
         F.col("head").alias("a_head"), F.array_join(F.transform("found", lambda x: x["s"]), "").alias("above"))
-    proven = led.join(runs.where("copy = 0").select("node", "children"), F.col("head") == F.col("node")).join(above, F.col("head") == F.col("a_head"), "left").select(
-        F.col("row").alias("p_row"), F.concat(_siblings(F.col("children"), F.col("at")), F.coalesce("above", F.lit(""))).alias("proof"))
-    out = leaves.select("row", "doc_id", "leaf").join(climbed.select(F.col("row").alias("c_row"), "folded", "subroot"), F.col("row") == F.col("c_row")).join(
-        proven, F.col("row") == F.col("p_row"), "left")
+    # The long texts meet the rows in the last join only, a run's once for its leaves.
+    texts = runs.where("copy = 0").select("node", "children").join(above, F.col("node") == F.col("a_head"), "left")
+    out = rows.join(texts, F.col("first.run") == F.col("node"), "left")
     folded = F.lower(F.hex("folded"))
-    return out.select("doc_id", "leaf", F.coalesce("subroot", F.lit(root)).alias("subroot"), F.lit(root).alias("root"), F.coalesce("proof", F.lit("")).alias("proof"),
+    proof = F.concat(_siblings(F.col("children"), F.col("first.place")), F.coalesce("above", F.lit("")))
+    return out.select("doc_id", "leaf", F.coalesce("subroot", F.lit(root)).alias("subroot"), F.lit(root).alias("root"), F.coalesce(proof, F.lit("")).alias("proof"),
                       folded.alias("folded_root"), (folded == root).alias("verified"))
