@@ -14,6 +14,7 @@ from tidemark.functions.hashing import normal, poisson_one, uniform
 from tidemark.functions.stats import normal_cdf, two_sided_p
 from tidemark.operators import calibrate as cal
 from tidemark.operators import inference as inf
+from tidemark.operators import resampling as rs
 from tidemark.operators import intervals, scores
 from tidemark.operators.graph import connected_components
 from tidemark.operators.drift import START, adaptive_window, page_hinkley
@@ -141,7 +142,7 @@ def test_bootstrap_covers_the_mean(spark):
     rnd = random.Random(5)
     rows = [(f"c{i}", rnd.gauss(1.0, 0.5), 1) for i in range(60)]
     df = spark.createDataFrame(rows, "event_cluster string, s double, n int")
-    out = inf.bootstrap(df, "event_cluster", lambda w: F.sum(w * F.col("s")) / F.sum(w * F.col("n")), 500).first()
+    out = rs.bootstrap(df, "event_cluster", ["s", "n"], F.try_divide, 500).first()
     se = np.std([r[1] for r in rows]) / math.sqrt(60)
     assert out["ci_lower"] < out["estimate"] < out["ci_upper"]
     assert out["std_error"] == pytest.approx(se, rel=0.25)

@@ -1,77 +1,15 @@
-"""Cluster-aware inference: bootstrap, corrections, family tests, folds and controls."""
+"""Inference on tables of tests and samples: corrections, folds, distribution distances."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.hashing import poisson_one, uniform
 from tidemark.operators.ordered import running
 
 
-def replicate(clusters: DataFrame, cluster: str, replicates: int, seed: int) -> DataFrame:
-    """Each cluster summary with its resampling weight ``w`` in every replicate ``b``.
-
-    Weights are Poisson(1) counts drawn from a digest of (seed, replicate, cluster), so
-    whole clusters are resampled, no replicate needs its own shuffle of rows, and the
-    draws do not depend on partitioning. Work is replicates x clusters, never rows.
-    """
-    grid = F.explode(F.sequence(F.lit(1), F.lit(replicates)))
-    drawn = clusters.withColumn("b", grid)
-    return drawn.withColumn("w", poisson_one(uniform(seed, F.col("b"), F.col(cluster))))
-
-
-def bootstrap(
-    clusters: DataFrame, cluster: str, metric: Callable[[Column], Column], replicates: int = 2000,
-    seed: int = 42, level: float = 0.95, keys: Sequence[str] = (),
-) -> DataFrame:
-    """Point estimate and percentile interval of a metric over cluster summaries.
-
-    ``metric`` maps the weight column to an aggregate expression, for example
-    ``lambda w: F.sum(w * F.col("s")) / F.sum(w * F.col("n"))``; any user metric that is
-    a function of weighted sums fits.
-    """
-    point = clusters.groupBy(*keys).agg(metric(F.lit(1.0)).alias("estimate"), F.count(F.lit(1)).alias("clusters"))
-    draws = replicate(clusters, cluster, replicates, seed).groupBy(*keys, "b").agg(metric(F.col("w")).alias("stat"))
-    # one array of `replicates` numbers per key
-    stats = draws.groupBy(*keys).agg(F.sort_array(F.collect_list("stat")).alias("s"))
-    lo = int((1 - level) / 2 * replicates)
-    hi = max(0, min(int((1 - (1 - level) / 2) * replicates) - 1, replicates - 1))
-    if keys:
-        joined = point.join(stats, list(keys))
-    else:
-        joined = point.withColumn("s", stats.scalar())
-    err = F.aggregate(
-        "s", F.lit(0.0), lambda a, x: a + (x - F.col("estimate")) * (x - F.col("estimate")),
-        lambda a: F.sqrt(a / F.size("s")),
-    )
-    return joined.select(
-        *keys, "clusters", "estimate", F.get("s", F.lit(lo)).alias("ci_lower"),
-        F.get("s", F.lit(hi)).alias("ci_upper"), err.alias("std_error"),
-    )
-
-
-def centred_p(clusters: DataFrame, cluster: str, value: str, keys: Sequence[str],
-              replicates: int = 2000, seed: int = 42) -> DataFrame:
-    """Mean of cluster values with a two-sided null-centred bootstrap p-value per key."""
-    observed = clusters.groupBy(*keys).agg(
-        F.avg(value).alias("effect"), F.count(F.lit(1)).alias("n_clusters")
-    )
-    drawn = replicate(clusters.join(observed, list(keys)), cluster, replicates, seed)
-    centred = F.col("w") * (F.col(value) - F.col("effect"))
-    boots = drawn.groupBy(*keys, "b").agg(
-        (F.sum(centred) / F.nullif(F.sum("w"), F.lit(0))).alias("boot"),
-        F.first("effect").alias("effect"), F.first("n_clusters").alias("n_clusters"),
-    )
-    extreme = F.count_if(F.abs("boot") >= F.abs("effect"))
-    return boots.groupBy(*keys).agg(
-        F.first("effect").alias("effect"), F.first("n_clusters").alias("n_clusters"),
-        ((extreme + F.lit(1.0)) / F.lit(replicates + 1.0)).alias("p_value"),
-    )
-
-
 def adjust(tests: DataFrame, keys: Sequence[str], p: str, name: str) -> DataFrame:
     """Bonferroni, Holm and Benjamini-Hochberg adjustments of a table of tests.
 
@@ -93,27 +31,6 @@ def adjust(tests: DataFrame, keys: Sequence[str], p: str, name: str) -> DataFram
     }).drop("_m", "_i", "_j")
 
 
-def permuted(df: DataFrame, group: Sequence[str], replicates: int, seed: int, row: Sequence[str],
-             value: str) -> DataFrame:
-    """Rows paired with ``value`` of another row of the same group, per replicate ``rep``.
-
-    Row numbers by a hash draw are joined with row numbers by identity: a permutation
-    that needs two ordered passes and one equi-join, and no group in memory.
-    """
-    reps = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    keys = ["rep", *group]
-    drawn = reps.withColumns({
-        "_u": uniform(seed, F.col("rep"), *[F.col(c) for c in row]),
-        "_v": uniform(seed + 1, *[F.col(c) for c in row]),
-    })
-    left = running(drawn, keys, "_v", row, {"_rn": ("count", None)})
-    right = running(
-        drawn.select(*keys, "_u", *row, F.col(value).alias("permuted")), keys, "_u", row,
-        {"_rn": ("count", None)},
-    ).select(*keys, "_rn", "permuted")
-    return left.drop("_u", "_v").join(right, [*keys, "_rn"]).drop("_rn")
-
-
 def walk_forward(
     canonical: DataFrame, first: int, end: int, window: int, embargo: int = 0, minimum: int = 4,
 ) -> DataFrame:

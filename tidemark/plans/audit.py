@@ -10,6 +10,7 @@ from tidemark.functions import pricing as pr
 from tidemark.functions import scoring as sc
 from tidemark.operators import asof
 from tidemark.operators import inference as inf
+from tidemark.operators import resampling as rs
 from tidemark.operators import scores as op
 from tidemark.operators.ordered import chain, nearest_rank, profile, rolling_range, running
 from tidemark.plans.bindings import EV, FILLS, GAPS, LEVELS, LOAD, QT, QUOTES, SNAP, TRADES
@@ -534,13 +535,10 @@ def a62(spark, sf):
         "horizon", c("market_slug").alias("event_cluster"), gross.alias("gross"),
         (gross - F.lit(0.005) - F.lit(0.07) * m * (F.lit(1.0) - m)).alias("net"),
     ).groupBy("horizon", "event_cluster").agg(F.sum("net").alias("sn"), F.sum("gross").alias("sg"), F.count(F.lit(1)).alias("n"))
-    ci = inf.bootstrap(cl, "event_cluster", lambda w: F.sum(w * c("sn")) / F.sum(w * c("n")), B, keys=["horizon"])
-    draws_ = inf.replicate(cl, "event_cluster", B, 42).groupBy("horizon", "b").agg(
-        (F.sum(c("w") * c("sn")) / F.sum(c("w") * c("n"))).alias("m")
-    )
-    p = draws_.groupBy("horizon").agg((F.count_if(c("m") <= 0) / F.count(F.lit(1))).alias("p_raw"))
+    ci = rs.bootstrap(cl, "event_cluster", ["sn", "n"], F.try_divide, B, keys=["horizon"]).withColumn(
+        "p_raw", F.size(F.filter("stats", lambda m: m <= 0)) / F.size("stats"))
     g = cl.groupBy("horizon").agg(F.sum("n").alias("labelled"), (F.sum("sg") / F.sum("n")).alias("gross"))
-    t = ci.join(p, "horizon").join(g, "horizon").withColumnRenamed("estimate", "net").withColumn("fam", F.lit(1))
+    t = ci.join(g, "horizon").withColumnRenamed("estimate", "net").withColumn("fam", F.lit(1))
     t = inf.adjust(t, ["fam"], "p_raw", "horizon")
     decision = F.when((c("holm") < 0.05) & (c("net") > 0), "SUPPORTED").otherwise("CONTINUE")
     return six(t.select(

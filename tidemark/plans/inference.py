@@ -10,6 +10,7 @@ from tidemark.functions import pricing as pr
 from tidemark.functions import scoring as sc
 from tidemark.operators import calibrate as cal
 from tidemark.operators import inference as inf
+from tidemark.operators import resampling as rs
 from tidemark.operators import scores as op
 from tidemark.operators.ordered import nearest_rank, running
 from tidemark.plans.bindings import FC, SNAP
@@ -20,21 +21,9 @@ from tidemark.plans.registry import query, r6, s6
 from tidemark.plans.scores import RES, SPLIT_US, UNIF, ll, six
 from tidemark.sources import tables as tb
 
-# Bootstrap replicates of a metric, and of a family of tests over many cells.
-B, FAMILY_B = 2000, 400
-
-
-def pois(u: str) -> str:
-    """SQL text of the Poisson(1) inversion."""
-    steps = ["0.36787944117144233", "0.7357588823428847", "0.9196986029286058", "0.9810118431238462",
-             "0.9963401531726563", "0.9994058151824183", "0.999916758850712", "0.9999897508033253",
-             "0.999998874797402"]
-    return " + ".join(f"(case when {u} >= {s}::double then 1 else 0 end)" for s in steps)
-
-
-def draws(reps: int, cluster: str, seed: int = 42) -> str:
-    u = UNIF.format(t=f"'{seed}|' || b || '|' || {cluster}")
-    return f"(select c.*, b, {pois('u')} as w from (select c.*, b, {u} as u from cl c, range(1, {reps + 1}) r(b)) c)"
+# Bootstrap replicates, permutations of a control and repeats of a permuted feature.
+B, PERMUTATIONS, REPEATS = 2000, 100, 5
+draws = rs.weights_sql
 
 
 CLS = RES + """, cl as (select event_cluster, sum(pow(model_p - outcome, 2)) as s, count(*) as n,
@@ -60,10 +49,7 @@ def cluster_sums(spark, sf):
 
 @query("a15_cluster_bootstrap", boot_sql("sum(w * s) / sum(w * n)", "sum(s) / sum(n)"))
 def a15(spark, sf):
-    c = F.col
-    return six(inf.bootstrap(
-        cluster_sums(spark, sf), "event_cluster", lambda w: F.sum(w * c("s")) / F.sum(w * c("n")), B
-    ))
+    return six(rs.bootstrap(cluster_sums(spark, sf), "event_cluster", ["s", "n"], F.try_divide, B).drop("stats"))
 
 
 @query("a22_edge_capture_interval", f"""with {SNAP}, {EV10}, {OBS}, cl as (select event_cluster, sum(pnl) as s, sum(pe) as n from ob where pnl is not null group by 1),
@@ -75,18 +61,17 @@ def a22i(spark, sf):
     c = F.col
     clusters = edges(tb.snapshots(spark, sf)).where("outcome is not null").groupBy("event_cluster").agg(
         F.sum(c("outcome") - c("ask")).alias("s"), F.sum("net").alias("n"))
-    out = inf.bootstrap(clusters, "event_cluster", lambda w: F.sum(w * c("s")) / F.sum(w * c("n")), B)
-    return six(out.drop("std_error").withColumnRenamed("estimate", "capture_ratio"))
+    out = rs.bootstrap(clusters, "event_cluster", ["s", "n"], F.try_divide, B)
+    return six(out.drop("std_error", "stats").withColumnRenamed("estimate", "capture_ratio"))
 
 
 @query("x02_user_metric_bootstrap", boot_sql("sqrt(sum(w * s) / sum(w * n)) - sum(w * a) / sum(w * n)",
                                              "sqrt(sum(s) / sum(n)) - sum(a) / sum(n)"))
 def x02(spark, sf):
-    def metric(w):
-        n = F.sum(w * F.col("n"))
-        return F.sqrt(F.sum(w * F.col("s")) / n) - F.sum(w * F.col("a")) / n
+    def metric(s, a, n):
+        return F.sqrt(F.try_divide(s, n)) - F.try_divide(a, n)
 
-    return six(inf.bootstrap(cluster_sums(spark, sf), "event_cluster", metric, B))
+    return six(rs.bootstrap(cluster_sums(spark, sf), "event_cluster", ["s", "a", "n"], metric, B).drop("stats"))
 
 
 @query("a16_paired_comparison", f"""with {RES}, cl as (select event_cluster, sum(pow(mid - outcome, 2) - pow(model_p - outcome, 2)) as s, count(*) as n from res group by 1),
@@ -99,8 +84,8 @@ def a16(spark, sf):
     clusters = op.resolved(tb.snapshots(spark, sf)).groupBy("event_cluster").agg(
         F.sum(delta).alias("s"), F.count(F.lit(1)).alias("n")
     )
-    out = inf.bootstrap(clusters, "event_cluster", lambda w: F.sum(w * c("s")) / F.sum(w * c("n")), B)
-    return six(out.withColumn("enough_clusters", c("clusters") >= 20).drop("std_error"))
+    out = rs.bootstrap(clusters, "event_cluster", ["s", "n"], F.try_divide, B)
+    return six(out.withColumn("enough_clusters", c("clusters") >= 20).drop("std_error", "stats"))
 
 
 FAM = f"""ev0 as (select *, least(cast(floor(mid * 10e0) as int), 9) as pb, lower(trim(category)) as cat, outcome - mid as resid from snap
@@ -114,9 +99,9 @@ mm as (select family, cell, event_cluster, market_id, avg(v) v from cells group
 cm as (select family, cell, event_cluster, avg(v) v from mm group by all),
 ob as (select family, cell, avg(v) as effect, count(*) as n_clusters from cm group by 1, 2 having count(*) >= 20),
 cl as (select cm.*, effect, n_clusters from cm join ob using (family, cell)),
-d as {draws(FAMILY_B, 'event_cluster')},
+d as {draws(B, 'event_cluster')},
 bt as (select family, cell, b, sum(w * (v - effect)) / sum(w) as boot, max(effect) as effect, max(n_clusters) as n_clusters from d group by 1, 2, 3),
-ts as (select family, cell, max(effect) as effect, max(n_clusters) as n_clusters, (count(*) filter (where abs(boot) >= abs(effect)) + 1) / {FAMILY_B + 1}e0 as p_value from bt group by 1, 2),
+ts as (select family, cell, max(effect) as effect, max(n_clusters) as n_clusters, (count(*) filter (where abs(boot) >= abs(effect)) + 1) / {B + 1}e0 as p_value from bt group by 1, 2),
 rk as (select *, count(*) over (partition by family) m, row_number() over (partition by family order by p_value, cell) i,
  row_number() over (partition by family order by p_value desc, cell desc) j from ts),
 adj as (select *, least(1, p_value * m) as bonferroni,
@@ -156,7 +141,7 @@ def family_tests(spark, sf):
         (F.sum("s") / F.sum("n")).alias("v")
     ).groupBy(*keys, "event_cluster").agg(F.avg("v").alias("v"))
     enough = means.groupBy(*keys).agg(F.count(F.lit(1)).alias("k")).where("k >= 20").drop("k")
-    tests = inf.centred_p(means.join(enough, keys), "event_cluster", "v", keys, FAMILY_B)
+    tests = rs.centred_p(means.join(enough, keys), "event_cluster", "v", keys, B)
     return inf.adjust(tests, ["family"], "p_value", "cell")
 
 
@@ -228,35 +213,30 @@ def a18(spark, sf):
     return six(g.withColumn("label", label))
 
 
-def perm_sql(name, part):
-    p = f"partition by rep{', ' + part if part else ''}"
-    key = f" and a.{part} = b.{part}" if part else ""
-    u = UNIF.format(t="'5|' || rep || '|' || market_id || '|' || ts_us || '|' || rid")
-    v = UNIF.format(t="'6|' || market_id || '|' || ts_us || '|' || rid")
-    return f"""{name}0 as (select s.*, rep, {u} as u, {v} as v from res s, range(1, 4) r(rep)),
-{name}1 as (select *, row_number() over ({p} order by v, market_id, ts_us, rid) rv, row_number() over ({p} order by u, market_id, ts_us, rid) ru from {name}0),
-{name} as (select a.rep, pow(a.model_p - b.outcome, 2) as se from {name}1 a join {name}1 b on a.rep = b.rep and a.rv = b.ru{key})"""
+def squared(p: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (p - y) ** 2
+
+
+IDENT = ["market_id", "ts_us", "rid"]
+CONTROLS = [("permuted_labels", []), ("category_permutation", ["category"]), ("cluster_shuffle", ["event_cluster"])]
+CONTROL_SQL = ", ".join(rs.permuted_sql(name, "res", group[0] if group else "1", IDENT, ["model_p"], ["outcome"], PERMUTATIONS, 5) for name, group in CONTROLS)
 
 
-@query("a30_negative_controls", f"""with {RES}, {perm_sql('pa', '')}, {perm_sql('pc', 'category')}, {perm_sql('pk', 'event_cluster')}, sh as (
+@query("a30_negative_controls", f"""with recursive {RES}, {CONTROL_SQL}, sh as (
  select pow(lag(model_p, 1, model_p) over (partition by market_id order by ts_us, rid) - outcome, 2) as se from res),
-x as (select 'permuted_labels' as control, avg(se) as b from pa union all select 'category_permutation', avg(se) from pc
- union all select 'cluster_shuffle', avg(se) from pk union all select 'temporal_shift', avg(se) from sh)
+x as ({" union all ".join(f"select '{name}' as control, avg(pow(model_p - m_outcome, 2)) as b from {name}" for name, _ in CONTROLS)}
+ union all select 'temporal_shift', avg(se) from sh)
 select control, {s6('b')} as control_brier, {s6('(select avg(pow(model_p - outcome, 2)) from res)')} as real_brier,
  (select avg(pow(model_p - outcome, 2)) from res) < b - 0.01 as passed from x""")
 def a30(spark, sf):
+    """Brier score with labels permuted 100 times over all rows, in categories and in clusters, and with late forecasts."""
     c = F.col
-    rows = op.resolved(tb.snapshots(spark, sf)).select(
-        "market_id", "category", "event_cluster", "ts_us", "rid", "model_p", "outcome"
-    )
+    rows = op.resolved(tb.snapshots(spark, sf)).select("market_id", "category", "event_cluster", "ts_us", "rid", "model_p", "outcome")
     real = rows.agg(F.avg(sc.squared_error(c("model_p"), c("outcome")))).scalar()
     out = None
-    for name, group in [("permuted_labels", []), ("category_permutation", ["category"]),
-                        ("cluster_shuffle", ["event_cluster"])]:
-        p = inf.permuted(rows, group, 3, 5, ["market_id", "ts_us", "rid"], "outcome")
-        part = p.agg(F.avg(sc.squared_error(c("model_p"), c("permuted"))).alias("b")).select(
-            F.lit(name).alias("control"), "b"
-        )
+    for name, group in CONTROLS:
+        p = rs.permuted_losses(rows, group, IDENT, ["model_p"], ["outcome"], squared, PERMUTATIONS, 5)
+        part = p.agg((F.sum("loss") / F.sum("n")).alias("b")).select(F.lit(name).alias("control"), "b")
         out = part if out is None else out.unionByName(part)
     late = running(rows, ["market_id"], "ts_us", ["rid"], {"prev": ("lag", c("model_p"))})
     shifted = late.agg(
@@ -487,41 +467,32 @@ def a41(spark, sf):
     return six(inf.stability_index(inf.binned_shares(df, "v", F.col("is_val"), 10, lo, hi)))
 
 
-@query("a67_permutation_importance", f"""with {RES}, b as (select *, {UNIF.format(t="'9|' || market_id || '|' || ts_us || '|' || rid")} as u,
- {UNIF.format(t="'10|' || market_id || '|' || ts_us || '|' || rid")} as v from res),
-r as (select *, row_number() over (order by u, market_id, ts_us, rid) ru, row_number() over (order by v, market_id, ts_us, rid) rv from b),
-p as (select a.*, q.mid as pm, q.model_p as pp, q.spread as ps from r a join r q on a.rv = q.ru),
-s as (select unnest(['base', 'mid', 'model_p', 'spread']) as feature, unnest([6e-1 * model_p + 4e-1 * mid - spread, 6e-1 * model_p + 4e-1 * pm - spread,
- 6e-1 * pp + 4e-1 * mid - spread, 6e-1 * model_p + 4e-1 * mid - ps]) as f, outcome from p), g as (select feature, avg(pow(f - outcome, 2)) br from s group by 1)
-select feature, {s6('br')} as brier, {s6("br - (select br from g where feature = 'base')")} as importance from g""")
+FEATURES = ["mid", "model_p", "spread"]
+
+
+@query("a67_permutation_importance", f"""with recursive {RES}, {rs.permuted_sql('pf', 'res', '1', IDENT, ['outcome', *FEATURES], FEATURES, REPEATS, 9)},
+s as (select unnest({FEATURES}) as feature, unnest([6e-1 * model_p + 4e-1 * m_mid - spread, 6e-1 * m_model_p + 4e-1 * mid - spread, 6e-1 * model_p + 4e-1 * mid - m_spread]) as f, outcome from pf),
+g as (select feature, avg(pow(f - outcome, 2)) br from s group by 1), b as (select avg(pow(6e-1 * model_p + 4e-1 * mid - spread - outcome, 2)) as base from res)
+select feature, {s6('base')} as baseline, {s6('br')} as permuted, {s6('br - base')} as importance, case when br > base then 'positive' else 'negative' end as direction,
+ br - base < -5e-2 as leak from g, b""")
 def a67(spark, sf):
-    """Loss of a fixed linear scorer when one feature is permuted over the rows."""
+    """Loss of a fixed linear scorer when one feature is permuted over the rows, five times."""
     c = F.col
-    from tidemark.functions.hashing import uniform
-
-    rows = op.resolved(tb.snapshots(spark, sf)).select("market_id", "ts_us", "rid", "mid", "model_p", "spread", "outcome")
-    ident = ["market_id", "ts_us", "rid"]
-    drawn = rows.withColumns({
-        "g": F.lit(1), "u": uniform(9, *[c(x) for x in ident]), "v": uniform(10, *[c(x) for x in ident]),
-    })
-    left = running(drawn, ["g"], "v", ident, {"rn": ("count", None)})
-    right = running(drawn, ["g"], "u", ident, {"rn": ("count", None)}).select(
-        "rn", c("mid").alias("pm"), c("model_p").alias("pp"), c("spread").alias("ps")
-    )
-    both = left.join(right, "rn")
+    rows = op.resolved(tb.snapshots(spark, sf)).select(*IDENT, *FEATURES, "outcome")
 
-    def score(p, m, s):
-        return F.lit(0.6) * c(p) + F.lit(0.4) * c(m) - c(s)
+    def score(mid, model_p, spread):
+        return 0.6 * model_p + 0.4 * mid - spread
 
-    entries = {
-        "base": score("model_p", "mid", "spread"), "mid": score("model_p", "pm", "spread"),
-        "model_p": score("pp", "mid", "spread"), "spread": score("model_p", "mid", "ps"),
-    }
-    g = both.select("outcome", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("feature"), v.alias("f")) for k, v in entries.items()
-    ])).alias("x")).groupBy("x.feature").agg(F.avg(sc.squared_error(c("x.f"), c("outcome"))).alias("brier"))
-    base = F.max(F.when(c("feature") == "base", c("brier"))).over(Window.partitionBy(F.lit(1)))
-    return six(g.withColumn("importance", c("brier") - base))
+    def losses(mid, model_p, spread, outcome, other_mid, other_p, other_spread):
+        scores = [score(other_mid, model_p, spread), score(mid, other_p, spread), score(mid, model_p, other_spread)]
+        return np.stack([(s - outcome) ** 2 for s in scores])
+
+    permuted = rs.permuted_losses(rows, [], IDENT, [*FEATURES, "outcome"], FEATURES, losses, REPEATS, 9)
+    base = rows.agg(F.avg(sc.squared_error(score(c("mid"), c("model_p"), c("spread")), c("outcome")))).scalar()
+    g = permuted.groupBy("kind").agg((F.sum("loss") / F.sum("n")).alias("permuted")).withColumn("baseline", base)
+    g = g.withColumns({"feature": F.get(F.array(*[F.lit(x) for x in FEATURES]), c("kind")), "importance": c("permuted") - c("baseline")})
+    return six(g.select("feature", "baseline", "permuted", "importance", F.when(c("importance") > 0, "positive").otherwise("negative").alias("direction"),
+                        (c("importance") < -0.05).alias("leak")))
 
 
 CAN = FC + """, canon as (select market_id, arg_min(p, (predicted_us, rid)) as p, min(predicted_us) as predicted_us, min(label_known_us) as label_known_us,
