@@ -88,7 +88,10 @@ def _level(nodes: DataFrame, level: int) -> tuple[DataFrame, DataFrame, DataFram
     and ``own``, a leaf's payload.
     """
     run = F.floor(F.col("pos") / FAN_OUT).cast("long")
-    here = checkpointed(nodes.withColumn("run", run).withColumn("parent_leaves", F.sum("leaves").over(W.partitionBy("tree", "run"))))
+    placed = nodes.withColumn("run", run).withColumn("parent_leaves", F.sum("leaves").over(W.partitionBy("tree", "run")))
+    # A level holds a sixteenth of the rows below it, so it needs a sixteenth of the files.
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    here = checkpointed(placed.coalesce(max(1, parts // FAN_OUT ** level)))
     parent = F.concat_ws("/", F.col("tree").cast("string"), F.lit(str(level + 1)), F.col("run").cast("string"))
     open_ = here.where("n > 1")
     linked = open_.select("node", "hash", "leaves", "children", "own", parent.alias("parent"), F.pmod("pos", F.lit(FAN_OUT)).cast("int").alias("place"),
@@ -120,6 +123,7 @@ def build(docs: DataFrame) -> tuple[DataFrame, DataFrame, str] | None:
     ``place``, ``parent_copies``. Runs, in copies: ``node``, ``copy``, ``children``, ``upper`` and
     the same link. The root's link is null.
     """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     fields = [F.col(c) for c in FIELDS]
     lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -147,7 +151,7 @@ def build(docs: DataFrame) -> tuple[DataFrame, DataFrame, str] | None:
     runs = nodes.where("children is not null").select(
         "node", "children", "parent", "place", "parent_copies", F.col("node").startswith("-1/").alias("upper"),
         F.explode(F.sequence(F.lit(0).cast("long"), _copies("leaves") - 1)).alias("copy"))
-    return start, checkpointed(runs), top.first()["hash"]
+    return start, checkpointed(runs.coalesce(parts)), top.first()["hash"]
 
 
 # One step up: the run that holds the node, its other digests around the folded one.
