@@ -10,12 +10,13 @@ from tidemark.functions import pricing as pr
 from tidemark.functions import scoring as sc
 from tidemark.operators import asof
 from tidemark.operators import inference as inf
+from tidemark.operators import pairs
 from tidemark.operators import resampling as rs
 from tidemark.operators import scores as op
 from tidemark.operators.ordered import chain, nearest_rank, profile, rolling_range, running
 from tidemark.plans.bindings import EV, FILLS, GAPS, LEVELS, LOAD, QT, QUOTES, SNAP, TRADES
 from tidemark.plans.execution import LAT, latest_by_market
-from tidemark.plans.flow import CORR, EVENT_SIZE, PAIRS, aligned_returns, event_of
+from tidemark.plans.flow import CORR, PAIRS, daily_returns, events_of
 from tidemark.plans.inference import draws
 from tidemark.plans.market import BOOK, book_reasons
 from tidemark.plans.pit import AS_OF, AS_OF_DAY, DAY, HOUR, NEAR, VINT, actual_peaks, nearest_quotes, vintages
@@ -253,24 +254,19 @@ def a51(spark, sf):
     ))
 
 
-@query("a45_correlation_adjusted_exposure", f"""with {QT}, {PAIRS}, {CORR}, pc as (select a, b, abs(corr(ra, rb)) c from al group by 1, 2 having count(*) >= 3), {FILLS},
+@query("a45_correlation_adjusted_exposure", f"""with {QT}, {PAIRS}, {CORR}, pc as (select event, a, b, abs(corr(ra, rb)) c from al group by 1, 2, 3 having count(*) >= 3), {FILLS},
 ps as (select token_id, sum(notional) e from fills where side = 'BUY' group by 1),
-cl as (select cast(substr(a, 2) as bigint) // {EVENT_SIZE} as cluster, avg(c) as avg_corr from pc where c is not null group by 1),
-ex as (select cast(substr(token_id, 2) as bigint) // {EVENT_SIZE} as cluster, sum(e) raw from ps group by 1)
-select cluster, {s6('raw')} as raw, {s6('avg_corr')} as avg_correlation, {s6('raw * (1e0 + avg_corr / 2e0)')} as adjusted from ex join cl using (cluster)""")
+cl as (select event, avg(c) as avg_corr from pc where c is not null group by 1),
+ex as (select event, sum(e) raw from ps join ek on market_slug = token_id group by 1)
+select event as cluster, {s6('raw')} as raw, {s6('avg_corr')} as avg_correlation, {s6('raw * (1e0 + avg_corr / 2e0)')} as adjusted from ex join cl using (event)""")
 def a45(spark, sf):
-    """Cluster exposure scaled by half the mean absolute correlation inside the cluster."""
+    """Exposure of an event scaled by half the mean absolute correlation inside it."""
     c = F.col
-    pairs = aligned_returns(spark, sf).groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("n"), F.abs(F.corr("ra", "rb")).alias("c")
-    ).where("n >= 3 and c is not null")
-    inside = pairs.groupBy(event_of("a").alias("cluster")).agg(F.avg("c").alias("avg_correlation"))
-    raw = tb.fills(spark, sf).where("side = 'BUY'").groupBy(event_of("token_id").alias("cluster")).agg(
-        F.sum("notional").alias("raw")
-    )
-    return six(raw.join(inside, "cluster").withColumn(
-        "adjusted", c("raw") * (F.lit(1.0) + c("avg_correlation") / F.lit(2.0))
-    ))
+    inside = pairs.mean_correlation(daily_returns(spark, sf))
+    spent = tb.fills(spark, sf).where("side = 'BUY'").groupBy(c("token_id").alias("market_slug")).agg(F.sum("notional").alias("e"))
+    raw = spent.join(events_of(spark, sf), "market_slug").groupBy("event").agg(F.sum("e").alias("raw"))
+    return six(raw.join(inside, "event").select(
+        c("event").alias("cluster"), "raw", "avg_correlation", (c("raw") * (F.lit(1.0) + c("avg_correlation") / F.lit(2.0))).alias("adjusted")))
 
 
 @query("a57_horizon_summary", f"""with {RES}, h as (select *, case when hours < 24 then 12 when hours < 168 then 72 else 500 end as horizon, round(spread, 9) > 0.045 as missing from snap)

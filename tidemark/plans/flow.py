@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import book as bk
 from tidemark.functions import pricing as pr
 from tidemark.functions.stats import normal_cdf_sql, two_sided_p
-from tidemark.operators import asof, graph
+from tidemark.operators import asof, graph, pairs
 from tidemark.operators.ordered import chain, islands, nearest_rank, profile, rolling, rolling_range, running
 from tidemark.plans.bindings import QT, QUOTES, TRADES
 from tidemark.plans.market import BOOK
@@ -17,10 +17,12 @@ from tidemark.plans.scores import six
 from tidemark.sources import tables as tb
 
 
-# Markets are numbered along their events, this many to an event.
-EVENT_SIZE = 5
-PAIRS = f"""mk as (select distinct market_slug, cast(substr(market_slug, 2) as bigint) as no from quotes),
-pairs as (select x.market_slug as a, y.market_slug as b from mk x join mk y on x.no // {EVENT_SIZE} = y.no // {EVENT_SIZE} and x.no < y.no)"""
+# Rolling windows, the bars they count, and the correlation that makes a pair worth a row or a link.
+WINDOWS, BAR, STRONG, LINKED = (20, 50), 12 * HOUR, 0.7, 0.3
+# The event of a market is the nation of the customer whose number it bears.
+EVENT = "ek as (select 'm' || c_custkey as market_slug, c_nationkey as event from customer)"
+PAIRS = EVENT + """, mk as (select distinct market_slug, event, cast(substr(market_slug, 2) as bigint) as no from quotes join ek using (market_slug)),
+pairs as (select x.market_slug as a, y.market_slug as b, x.event from mk x join mk y on x.event = y.event and x.no < y.no)"""
 
 
 def tie():
@@ -478,19 +480,21 @@ def reaction_times(spark, sf, cell_us=2 * HOUR):
     )
 
 
-@query("j22_shock_fanout", f"""with {QT}, {PAIRS}, lk as (select event_id as shock_id, ts_us as t0, market_slug from trades union all
- select t.event_id, t.ts_us, p.b from trades t join (select a, b from pairs union all select b, a from pairs) p on p.a = t.market_slug),
+@query("j22_shock_fanout", f"""with {QT}, {PAIRS}, {DAILY}, rt as (select market_slug, day, mid / lag(mid) over (partition by market_slug order by day) - 1 as r from dm),
+pc as (select a, b from pairs join rt x on x.market_slug = a join rt y on y.market_slug = b and y.day = x.day where x.r is not null and y.r is not null group by 1, 2
+ having count(*) >= 3 and abs(corr(x.r, y.r)) >= {LINKED}), lk as (select event_id as shock_id, ts_us as t0, market_slug from trades union all
+ select t.event_id, t.ts_us, p.b from trades t join (select a, b from pc union all select b, a from pc) p on p.a = t.market_slug),
 r as (select shock_id, lk.market_slug, count(*) as n, avg(ln(q.mid / (1e0 - q.mid))) as m from lk join quotes q on q.market_slug = lk.market_slug and q.ts_us between t0 and t0 + 72 * {HOUR} group by 1, 2)
 select shock_id, market_slug, n as quotes, {s6('m')} as mean_logit from r""")
 def j22(spark, sf):
-    """Quotes of every linked market in the 72 h after each shock, by prefix sums.
+    """Quotes of the shock's market and of those linked to it by correlation in the 72 h after each shock, by prefix sums.
 
     Counts and sums up to both ends of the window are as-of probes of running totals, so a
     busy market is never joined with all of its quotes.
     """
     c = F.col
-    pairs = pair_table(spark, sf)
-    others = pairs.unionByName(pairs.select(c("b").alias("a"), c("a").alias("b"))).withColumnRenamed("a", "market_slug")
+    links = correlated(spark, sf).select("a", "b")
+    others = links.unionByName(links.select(c("b").alias("a"), c("a").alias("b"))).withColumnRenamed("a", "market_slug")
     shocks = tb.trades(spark, sf).select(c("event_id").alias("shock_id"), c("ts_us").alias("t0"), "market_slug")
     linked = shocks.unionByName(shocks.join(others, "market_slug").select("shock_id", "t0", c("b").alias("market_slug"))).withColumn(
         "t1", c("t0") + 72 * HOUR)
@@ -528,70 +532,55 @@ def f24(spark, sf):
     ))
 
 
-def event_of(market):
-    """Event of a market, from its number."""
-    return F.floor(F.substring(market, 2, 20).cast("bigint") / F.lit(EVENT_SIZE)).cast("bigint")
+def events_of(spark, sf):
+    """Market and its event: the nation of the customer whose number the market bears."""
+    return tb.load(spark, sf, "customer").select(F.concat(F.lit("m"), "c_custkey").alias("market_slug"), F.col("c_nationkey").alias("event"))
 
 
-def pair_table(spark, sf):
-    """Related markets: all pairs inside an event, which its few members bound."""
-    no = F.substring("market_slug", 2, 20).cast("bigint")
-    names = tb.quotes(spark, sf).select("market_slug", no.alias("no"), event_of("market_slug").alias("event")).distinct()
-    other = names.select(F.col("market_slug").alias("b"), F.col("no").alias("no_b"), "event")
-    return names.join(other, "event").where("no < no_b").select(F.col("market_slug").alias("a"), "b")
+def member_series(rows, spark, sf, t, value):
+    """Series of the markets of events: ``event``, ``member``, ``order``, ``t``, ``value``."""
+    return rows.where(value.isNotNull()).join(events_of(spark, sf), "market_slug").select(
+        "event", F.col("market_slug").alias("member"), F.substring("market_slug", 2, 20).cast("bigint").alias("order"), t.cast("long").alias("t"), value.alias("value"))
 
 
-CORR = f"""{DAILY}, rt as (select market_slug, day, mid / lag(mid) over (partition by market_slug order by day) - 1 as r from dm),
-al as (select a, b, x.day, x.r as ra, y.r as rb from pairs join rt x on x.market_slug = a join rt y on y.market_slug = b and y.day = x.day
- where x.r is not null and y.r is not null)"""
-
-
-def aligned_returns(spark, sf):
-    r = daily_mids(spark, sf).where("pm is not null").select(
-        "market_slug", "day", (F.col("mid") / F.col("pm") - F.lit(1.0)).alias("r")
-    )
-    ra = r.withColumnsRenamed({"market_slug": "a", "r": "ra"})
-    rb = r.withColumnsRenamed({"market_slug": "b", "r": "rb"})
-    return pair_table(spark, sf).join(ra, "a").join(rb, ["b", "day"])
+def daily_returns(spark, sf):
+    return member_series(daily_mids(spark, sf), spark, sf, F.col("day"), F.col("mid") / F.col("pm") - F.lit(1.0))
 
 
-ROLL = 20
+CORR = f"""{DAILY}, rt as (select market_slug, day, mid / lag(mid) over (partition by market_slug order by day) - 1 as r from dm),
+al as (select a, b, pairs.event, x.day, x.r as ra, y.r as rb from pairs join rt x on x.market_slug = a join rt y on y.market_slug = b and y.day = x.day
+ where x.r is not null and y.r is not null)"""
 
 
-@query("w08_rolling_correlation", f"""with {QT}, {PAIRS}, {CORR}, w as (
- select a, b, day, count(*) over p as n, covar_pop(ra, rb) over p / nullif(stddev_pop(ra) over p * stddev_pop(rb) over p, 0) as c from al
- window p as (partition by a, b order by day rows between {ROLL - 1} preceding and current row))
-select a, b, day, {s6('greatest(-1, least(1, c))')} as correlation from w where n = {ROLL}""")
+@query("w08_rolling_correlation", f"""with {QT}, {PAIRS}, bm as (select market_slug, ts_us // {BAR} as bar, arg_max(mid, (ts_us, event_id)) as mid from quotes group by 1, 2),
+rg as (select event, min(bar) as b0, max(bar) as b1 from bm join mk using (market_slug) group by 1),
+gr as (select market_slug, mk.event, unnest(range(b0, b1 + 1)) as bar from mk join rg on rg.event = mk.event),
+lf as (select g.market_slug, g.event, g.bar, m.mid from gr g asof left join bm m on m.market_slug = g.market_slug and g.bar >= m.bar),
+rt as (select *, mid / lag(mid) over (partition by market_slug order by bar) - 1 as r from lf),
+al as (select a, b, x.bar, x.r as ra, y.r as rb from pairs join rt x on x.market_slug = a join rt y on y.market_slug = b and y.bar = x.bar where x.r is not null and y.r is not null),
+w as ({" union all ".join(f"select a, b, bar, {w} as win, count(*) over p as n, covar_pop(ra, rb) over p / nullif(stddev_pop(ra) over p * stddev_pop(rb) over p, 0) as c from al window p as (partition by a, b order by bar rows between {w - 1} preceding and current row)" for w in WINDOWS)})
+select a, b, bar, cast(win as int) as "window", {s6('greatest(-1, least(1, c))')} as correlation from w where n = win and abs(c) >= {STRONG}""")
 def w08(spark, sf):
-    def corr(df, w):
-        p = w.rowsBetween(1 - ROLL, 0)
-        sd = F.stddev_pop("ra").over(p) * F.stddev_pop("rb").over(p)
-        return df.withColumns({
-            "n": F.count(F.lit(1)).over(p),
-            "c": F.covar_pop("ra", "rb").over(p) / F.nullif(sd, F.lit(0.0)),
-        })
-
-    rows = rolling(aligned_returns(spark, sf), ["a", "b"], "day", [], ROLL - 1, corr).where(f"n = {ROLL}")
-    return rows.select("a", "b", "day", r6(pr.clamp(F.col("c"), -1.0, 1.0)).alias("correlation"))
+    """Rolling correlation of half-day returns inside events, windows 20 and 50, where it is strong."""
+    bar = F.floor(F.col("ts_us") / F.lit(BAR)).cast("long")
+    bars = tb.quotes(spark, sf).groupBy("market_slug", bar.alias("bar")).agg(F.max_by("mid", F.struct("ts_us", "event_id")).alias("mid"))
+    out = pairs.rolling_correlations(member_series(bars, spark, sf, F.col("bar"), F.col("mid")), WINDOWS, STRONG)
+    return out.select("a", "b", "bar", "window", r6("correlation").alias("correlation"))
 
 
 @query("j10_correlated_pairs", f"""with {QT}, {PAIRS}, {CORR}
-select a, b, count(*) as n, {s6('corr(ra, rb)')} as correlation from al group by 1, 2 having count(*) >= 3 and abs(corr(ra, rb)) >= 0.3""")
+select a, b, event, count(*) as n, {s6('corr(ra, rb)')} as correlation from al group by 1, 2, 3 having count(*) >= 3 and abs(corr(ra, rb)) >= {LINKED}""")
 def j10(spark, sf):
     return correlated(spark, sf)
 
 
-def correlated(spark, sf, threshold=0.3):
-    pairs = aligned_returns(spark, sf).groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("n"), F.corr("ra", "rb").alias("c")
-    )
-    return pairs.where((F.col("n") >= 3) & (F.abs(F.col("c")) >= threshold)).select(
-        "a", "b", "n", r6("c").alias("correlation")
-    )
+def correlated(spark, sf, threshold=LINKED):
+    found = pairs.correlated_pairs(daily_returns(spark, sf), threshold)
+    return found.select("a", "b", "event", "n", r6("correlation").alias("correlation"))
 
 
 @query("u05_correlation_clusters", f"""with recursive {QT}, {PAIRS}, {CORR}, e as (
- select a, b from al group by 1, 2 having count(*) >= 3 and abs(corr(ra, rb)) >= 0.3),
+ select a, b from al group by 1, 2 having count(*) >= 3 and abs(corr(ra, rb)) >= {LINKED}),
 u as (select a, b from e union select b, a from e),
 reach(x, y) as (select a, a from u union select r.x, u.b from reach r join u on r.y = u.a)
 select x as token, min(y) as cluster from reach group by 1""")
@@ -612,46 +601,9 @@ h as (select *, sqrt(greatest(0, yy - 2 * alpha * y - 2 * beta * xy + alpha * al
 select a, b, cast(n as bigint) as events, k as clusters, {s6('alpha')} as alpha, {s6('beta')} as beta, {s6('rs')} as residual_scale,
  {s6('sqrt(greatest(0, 1.001e0 / det * case when rs > 0 then rs * rs else 1 end))')} as std_error from h""")
 def a37(spark, sf):
-    mv = daily_mids(spark, sf).where("pm is not null").select(
-        "market_slug", "day", (F.col("mid") - F.col("pm")).alias("dp")
-    )
-    src = mv.withColumnsRenamed({"market_slug": "a", "dp": "sx"})
-    tgt = mv.withColumnsRenamed({"market_slug": "b", "dp": "ty"})
-    samples = pair_table(spark, sf).join(src, "a").join(tgt, ["b", "day"]).where("day < 19750")
-    return six(ridge_fit(samples.withColumn("cl", F.floor(F.col("day") / 7)), ["a", "b"], 8, 3))
-
-
-def ridge_fit(samples, keys, min_events, min_clusters, ridge=1e-3):
-    """Cluster-weighted ridge line per key in closed form from per-cluster sums.
-
-    Every cluster carries the same total weight; expects columns sx, ty and cl.
-    """
-    c = F.col
-    per = samples.groupBy(*keys, "cl").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("sx").alias("x"), F.avg("ty").alias("y"),
-        F.avg(c("sx") * c("sx")).alias("xx"), F.avg(c("sx") * c("ty")).alias("xy"),
-        F.avg(c("ty") * c("ty")).alias("yy"),
-    )
-    s = per.groupBy(*keys).agg(
-        F.sum("n").alias("events"), F.count(F.lit(1)).alias("clusters"),
-        *[F.avg(v).alias(v) for v in ("x", "y", "xx", "xy", "yy")],
-    ).where((c("events") >= min_events) & (c("clusters") >= min_clusters))
-    a00, a11 = F.lit(1.0 + ridge), c("xx") + F.lit(ridge)
-    s = s.withColumn("det", a00 * a11 - c("x") * c("x")).withColumns({
-        "alpha": (a11 * c("y") - c("x") * c("xy")) / c("det"),
-        "beta": (a00 * c("xy") - c("x") * c("y")) / c("det"),
-    })
-    rss = (
-        c("yy") - F.lit(2.0) * c("alpha") * c("y") - F.lit(2.0) * c("beta") * c("xy")
-        + c("alpha") * c("alpha") + F.lit(2.0) * c("alpha") * c("beta") * c("x")
-        + c("beta") * c("beta") * c("xx")
-    )
-    s = s.withColumn("residual_scale", F.sqrt(F.greatest(F.lit(0.0), rss)))
-    scale = F.when(c("residual_scale") > 0, c("residual_scale") * c("residual_scale")).otherwise(1.0)
-    return s.select(
-        *keys, "events", "clusters", "alpha", "beta", "residual_scale",
-        F.sqrt(F.greatest(F.lit(0.0), a00 / c("det") * scale)).alias("std_error"),
-    )
+    """Ridge line of each market's daily move on each other one's in its event; weeks are the clusters."""
+    moves = member_series(daily_mids(spark, sf).where("day < 19750"), spark, sf, F.col("day"), F.col("mid") - F.col("pm"))
+    return six(pairs.ridge_pairs(moves, lambda days: days // 7, 8, 3).drop("event"))
 
 
 @query("a33_conditional_graph", """with ev as (select user_id, event_type, value, cast(ts as date) as d from events),

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import drift
+from tidemark.operators import drift, pairs
 from tidemark.operators import sequences as sq
 from tidemark.operators.asof import asof_join
 from tidemark.operators.ordered import nearest_rank, running
 from tidemark.plans.bindings import DOCS, EV, QT
 from tidemark.plans.feeds import RAW
-from tidemark.plans.flow import CORR, PAIRS, aligned_returns
+from tidemark.plans.flow import CORR, PAIRS, daily_returns
 from tidemark.plans.market import BOOK
 from tidemark.plans.pit import DAY, HOUR
 from tidemark.plans.registry import query, r6, s6
@@ -188,11 +188,9 @@ def t13(spark, sf):
 @query("t15_correlation_tracker", f"""with {QT}, {PAIRS}, {CORR}, n as (select *, row_number() over (partition by a, b order by day desc) rn from al)
 select a, b, count(*) as n, {s6('corr(ra, rb)')} as correlation from n where rn <= 8 group by 1, 2 having count(*) = 8""")
 def t15(spark, sf):
-    w = Window.partitionBy("a", "b").orderBy(F.desc("day"))
-    last = aligned_returns(spark, sf).withColumn("rn", F.row_number().over(w)).where("rn <= 8")
-    return last.groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("n"), r6(F.corr("ra", "rb")).alias("correlation")
-    ).where("n = 8")
+    """Correlation of every pair of an event over its eight newest common days."""
+    out = pairs.latest_correlations(daily_returns(spark, sf), 8)
+    return out.select("a", "b", "n", r6(F.when(~F.isnan("correlation"), F.col("correlation"))).alias("correlation"))
 
 
 @query("t16_raw_sink_dedup", f"""with {RAW} select day, source, count(*) as n, min(seq) as first_seq from raw group by 1, 2""")
