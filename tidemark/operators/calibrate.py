@@ -4,28 +4,61 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import pricing as pr
 from tidemark.operators.asof import asof_join
+from tidemark.operators.ordered import running
+from tidemark.session import checkpointed
 
 
-def isotonic_steps(train: DataFrame) -> DataFrame:
+HULL_ROWS, HULL_FAN = 50_000, 16
+
+
+def lower_hull(w: np.ndarray, s: np.ndarray) -> list[int]:
+    """Indices of the vertices of the greatest convex minorant of points sorted by ``w``."""
+    held: list[int] = []
+    for i in range(len(w)):
+        while len(held) > 1 and (s[held[-1]] - s[held[-2]]) * (w[i] - w[held[-2]]) >= (s[i] - s[held[-2]]) * (w[held[-1]] - w[held[-2]]):
+            held.pop()
+        held.append(i)
+    return held
+
+
+def isotonic_steps(train: DataFrame, rows: int = HULL_ROWS, hot_rows: int | None = None) -> DataFrame:
     """Isotonic fit as a step table (start, value).
 
-    Equal probabilities are pooled first, so the fit sees one weighted row per distinct
-    probability.
+    Equal probabilities are pooled first. The fit is the slope of the convex minorant of the
+    cumulative outcomes over the cumulative counts: running sums give its points, blocks of
+    neighbouring points keep their own hull's vertices, and hulls of neighbouring blocks are
+    merged, sixteen at a time, until one is left. Only vertices move, and what the last merge
+    holds is the fit itself. An empty table has no steps.
     """
-    pooled = train.groupBy("p").agg(
-        F.avg(F.col("outcome").cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("weight")
-    )
-    model = IsotonicRegression(featuresCol="p", labelCol="y", weightCol="weight").fit(pooled)
-    steps = list(zip(model.boundaries.toArray().tolist(), model.predictions.toArray().tolist()))
-    return train.sparkSession.createDataFrame(steps, "start double, value double")
+    pooled = train.groupBy("p").agg(F.sum(F.col("outcome").cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("n")).withColumn("_g", F.lit(1))
+    points = running(pooled, ["_g"], "p", [], {"s": ("sum", F.col("y")), "w": ("sum", F.col("n")), "k": ("count", None), "after": ("lead", F.col("p"))}, hot_rows=hot_rows)
+    # The origin starts the first step, at the smallest probability.
+    origin = pooled.agg(F.min("p").alias("after"), F.count(F.lit(1)).alias("_n")).where("_n > 0").select(
+        F.lit(0.0).alias("w"), F.lit(0.0).alias("s"), "after", F.lit(0).cast("long").alias("block"))
+    hull = points.select("w", "s", "after", F.floor(F.col("k") / rows).cast("long").alias("block")).unionByName(origin)
+
+    def vertices(table: pa.Table) -> pa.Table:
+        table = table.sort_by("w")
+        return table.take(pa.array(lower_hull(table.column("w").to_numpy(), table.column("s").to_numpy())))
+
+    blocks = pooled.count() // rows + 1
+    while True:
+        hull = checkpointed(hull.groupBy("block").applyInArrow(vertices, hull.schema))
+        if blocks == 1:
+            break
+        blocks = -(-blocks // HULL_FAN)
+        hull = hull.withColumn("block", F.floor(F.col("block") / HULL_FAN).cast("long"))
+    ends = running(hull.withColumn("_g", F.lit(1)), ["_g"], "w", [], {"w2": ("lead", F.col("w")), "s2": ("lead", F.col("s"))}, hot_rows=hot_rows)
+    return ends.where("w2 is not null").select(F.col("after").alias("start"), ((F.col("s2") - F.col("s")) / (F.col("w2") - F.col("w"))).alias("value"))
 
 
 def isotonic_predict(df: DataFrame, steps: DataFrame) -> DataFrame:
