@@ -250,90 +250,110 @@ def candidates(encoded: DataFrame, frequent: DataFrame, min_count: int) -> DataF
 class DoubleArrayTrie:
     """Phrases of codes as a double array: the child of state s by symbol x is ``base[s] + x`` if ``check`` there is s.
 
-    State 0 is the root; symbols count from 1 in the order of the codes.
+    A word's number is two symbols, quotient and remainder by ``radix``, so families of children
+    stay within ``radix`` slots and pack well. State 0 is the root; symbols count from 1.
     """
 
     def __init__(self, phrases: np.ndarray):
         self.phrases = phrases[np.lexsort(phrases.T[::-1])]
         self.codes = np.unique(phrases[phrases != 0])
-        symbols = np.where(self.phrases != 0, np.searchsorted(self.codes, self.phrases) + 1, 0)
-        n, gap = len(self.codes), len(self.codes) + 1
-        self.base, self.check = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self._reach(2 * gap + 1024)
-        self.used = self.check >= 0
+        self.radix = 1 << -(-max(1, len(self.codes).bit_length()) // 2)
+        number = np.searchsorted(self.codes, self.phrases)
+        digits = np.stack([number // self.radix + 1, number % self.radix + 1], axis=2) * (self.phrases != 0)[:, :, None]
+        symbols = digits.reshape(len(self.phrases), 2 * MAX_WORDS)
         # Slots start beyond the largest symbol, so every base is positive.
-        self.used[:gap] = True
-        self.low = gap
+        self.gap = self.radix + 2
+        self.base, self.check, self.used = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool)
+        self._reach(4 * self.gap)
+        self.used[:self.gap] = True
         state = np.zeros(len(symbols), np.int64)
-        for depth in range(MAX_WORDS):
+        for depth in range(2 * MAX_WORDS):
             inside = np.flatnonzero(symbols[:, depth])
             if not len(inside):
                 break
-            edges, at = np.unique(state[inside] * (n + 2) + symbols[inside, depth], return_inverse=True)
-            parent, symbol = edges // (n + 2), edges % (n + 2)
-            state[inside] = self._placed(parent, symbol)[at]
-        self.end = np.full(len(self.base), -1, np.int64)
+            edges, at = np.unique(state[inside] * self.gap + symbols[inside, depth], return_inverse=True)
+            state[inside] = self._placed(edges // self.gap, edges % self.gap)[at]
+        self._reach(len(self.used) + self.gap)
+        self.end = np.full(len(self.base), -1, np.int32)
         self.end[state] = np.arange(len(state))
-        self._reach(len(self.base) + gap)
-        self.end = np.concatenate([self.end, np.full(len(self.base) - len(self.end), -1, np.int64)])
         del self.used
 
     def _reach(self, size: int):
-        more = max(0, size - len(self.base))
-        self.base = np.concatenate([self.base, np.zeros(more, np.int64)])
-        self.check = np.concatenate([self.check, np.full(more, -1, np.int64)])
-        if hasattr(self, "used"):
-            self.used = np.concatenate([self.used, np.zeros(more, bool)])
+        more = max(0, int(size) - len(self.base))
+        self.base = np.concatenate([self.base, np.zeros(more, np.int32)])
+        self.check = np.concatenate([self.check, np.full(more, -1, np.int32)])
+        self.used = np.concatenate([self.used, np.zeros(more, bool)])
 
     def _placed(self, parent: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """States of the children, given as sorted (parent, symbol): largest families first, single children into what is left."""
+        """States of the children, given as sorted (parent, symbol).
+
+        Families that fill a quarter of their span are put in a row. The others are placed from
+        the largest size down: each round draws a base for every family left, and those whose
+        slots are free and not drawn by an earlier family stay. There is room enough that about
+        one draw in a hundred fits. Single children take the slots that are left.
+        """
         starts = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]]))
         size = np.diff(np.append(starts, len(parent)))
         out = np.empty(len(parent), np.int64)
-        for g in np.argsort(-size, kind="stable")[:np.count_nonzero(size > 1)].tolist():
-            a, b = starts[g], starts[g] + size[g]
-            base = self._fit(symbol[a:b])
-            out[a:b] = base + symbol[a:b]
-            self.used[out[a:b]] = True
-            self.base[parent[a]] = base
+        draw = np.random.default_rng(0)
+
+        def settle(families, base, slot, family, child):
+            out[child] = slot
+            self.used[slot] = True
+            self.base[parent[starts[families]]] = base
+
+        def children(families):
+            family = np.repeat(np.arange(len(families)), size[families])
+            before = np.concatenate([[0], np.cumsum(size[families])[:-1]])
+            return family, np.repeat(starts[families] - before, size[families]) + np.arange(len(family))
+
+        full = np.flatnonzero(size >= self.radix // 4 + 2)
+        if len(full):
+            first, last = symbol[starts[full]], symbol[starts[full] + size[full] - 1]
+            ends = len(self.base) + np.cumsum(last - first + 1)
+            base = np.concatenate([[len(self.base)], ends[:-1]]) - first
+            self._reach(ends[-1])
+            family, child = children(full)
+            settle(full, base, base[family] + symbol[child], family, child)
+        for low in [1 << k for k in range(self.radix.bit_length(), 0, -1)]:
+            left = np.flatnonzero((size >= low) & (size < 2 * low) & (size < self.radix // 4 + 2))
+            if not len(left):
+                continue
+            share = 1 - 100 ** (-1 / (1.5 * low))
+            self._reach((self.used.sum() + size[left].sum()) / share + 2 * self.gap)
+            while len(left):
+                base = draw.integers(self.gap, len(self.base) - self.gap, len(left)) - symbol[starts[left]]
+                family, child = children(left)
+                slot = base[family] + symbol[child]
+                _, first = np.unique(slot, return_index=True)
+                late = np.ones(len(slot), bool)
+                late[first] = False
+                failed = np.zeros(len(left), bool)
+                failed[family[late | self.used[slot]]] = True
+                good = ~failed[family]
+                settle(left[~failed], base[~failed], slot[good], family[good], child[good])
+                left = left[failed]
         single = starts[size == 1]
-        self._reach(len(self.used) + len(single))
-        free = self.low + np.flatnonzero(~self.used[self.low:])[:len(single)]
+        self._reach(len(self.used) + max(0, len(single) - np.count_nonzero(~self.used)))
+        free = np.flatnonzero(~self.used)[:len(single)]
         out[single] = free
         self.used[free] = True
         self.base[parent[single]] = free - symbol[single]
         self.check[out] = parent
         return out
 
-    def _fit(self, symbols: np.ndarray) -> int:
-        """First base at which all symbols' slots are free."""
-        at = self.low
-        while True:
-            self._reach(at + 256 + int(symbols[-1]) + 1)
-            free = at + np.flatnonzero(~self.used[at:at + 256])
-            if at == self.low and len(free) < 16:
-                self.low = at + 256
-            if len(free):
-                bases = free - symbols[0]
-                fits = np.ones(len(bases), bool)
-                for part in range(0, len(symbols), 64):
-                    fits &= ~self.used[bases[:, None] + symbols[None, part:part + 64]].any(axis=1)
-                    if not fits.any():
-                        break
-                if fits.any():
-                    return int(bases[fits.argmax()])
-            at += 256
-
     def count(self, codes: np.ndarray, starts: int, total: np.ndarray):
         """Add how often each state is met by phrases that start at the first ``starts`` positions."""
         at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        symbols = np.where(self.codes[at] == codes, at + 1, 0)
-        place, state = np.arange(starts), np.zeros(starts, np.int64)
-        for depth in range(MAX_WORDS):
-            following = self.base[state] + symbols[place + depth]
+        known = self.codes[at] == codes
+        symbols = [np.where(known, at // self.radix + 1, 0), at % self.radix + 1]
+        place, state = np.flatnonzero(known[:starts]), np.zeros(np.count_nonzero(known[:starts]), np.int64)
+        for depth in range(2 * MAX_WORDS):
+            following = self.base[state] + symbols[depth % 2][place + depth // 2]
             kept = self.check[following] == state
-            place, state = place[kept], following[kept]
-            total += np.bincount(state, minlength=len(total))
+            place, state = place[kept], following[kept].astype(np.int64)
+            if depth % 2:
+                total += np.bincount(state, minlength=len(total))
 
 
 def _counting_pass(encoded: DataFrame, shared) -> DataFrame:
