@@ -1,4 +1,4 @@
 """Imports every query family so that the registry is complete."""
 
-from tidemark.plans import audit, execution, feeds, flow, hypotheses, inference, market, pit, scores, streams  # noqa: F401
+from tidemark.plans import audit, evidence, execution, feeds, flow, hypotheses, inference, market, pit, scores, streams  # noqa: F401
 from tidemark.plans.registry import QUERIES, SQL  # noqa: F401

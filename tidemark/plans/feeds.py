@@ -245,26 +245,6 @@ def s21(spark, sf):
     ).agg(F.count(F.lit(1)).alias("releases"), F.min("item_id").alias("first_id"))
 
 
-@query("s22_release_contracts", f"""with {DOCS}, {REL}
-select item_id, count(distinct doc_id) as contracts from rel join docs on published_us // 86400000000 = scheduled_us // 86400000000
- and 2 * len(list_intersect(list_distinct(string_split(lower(text), ' ')), terms)) >= len(terms) group by 1""")
-def s22(spark, sf):
-    """Texts of the release day that hold at least half of the words of the search text.
-
-    An equi-join on (word, day): only words that some release of the day asks for survive it,
-    and the hits per (release, text) are counted.
-    """
-    c = F.col
-    words = tb.documents(spark, sf).select(
-        "doc_id", F.floor(c("published_us") / F.lit(DAY)).alias("day"), F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("term")
-    )
-    rel = releases(spark, sf).select(
-        "item_id", F.floor(c("scheduled_us") / F.lit(DAY)).alias("day"), F.size("terms").alias("asked"), F.explode("terms").alias("term")
-    )
-    hits = words.join(rel, ["term", "day"]).groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("asked").alias("asked"))
-    return hits.where(2 * c("n") >= c("asked")).groupBy("item_id").agg(F.count(F.lit(1)).alias("contracts"))
-
-
 @query("s28_forecast_export", f"""with {FC}, lab as (select distinct 'm' || doc_id as market_id, quality from labels)
 select fc.market_id, rid, predicted_us, {s6('p')} as probability, quality as outcome from fc left join lab using (market_id)""")
 def s28(spark, sf):
