@@ -355,47 +355,68 @@ def a48(spark, sf):
     ))
 
 
-AUT = """au as (select *, model_p - mid as pe, case when model_p > mid then exit_p - ask else bid - exit_p end as re from (
-  select *, coalesce(outcome, mid) as exit_p from snap)),
-au2 as (select *, re * bid_size - fee_rate as pnl, case when model_p > mid then exit_p > ask else exit_p < bid end as ok from au),
-au3 as (select *, case when pnl >= 0 then 'none' when not ok then 'forecast_error' when category = 'PROMO' then 'stale_external_information'
-  when round(spread, 9) > 0.03 then 'microstructure_false_signal' when abs(pe) > 0 and 1 - abs(re) / abs(pe) > 0.5 then 'execution_slippage'
-  when abs(pnl) < abs(pe) * 1e-1 then 'fee_drag' else 'unknown' end as failure from au2)"""
+# The failure classes in the order in which they are tested.
+FAILURES = ["forecast_error", "stale_external_information", "microstructure_false_signal", "execution_slippage", "fee_drag", "model_overconfidence",
+            "correlation_concentration", "resolution_ambiguity", "late_information", "calibration_error"]
+AUT = f"""au as (select *, model_p - mid as pe, case when model_p > mid then exit_p - ask else bid - exit_p end as re,
+  list_reverse_sort([model_p, mid, bid, ask, greatest(0, 1 - spread * 10e0)])[2] as second from (select *, coalesce(outcome, mid) as exit_p from snap)),
+cb as (select least(floor(model_p * 10e0), 9) as decile, abs(avg(model_p - outcome)) as miscalibration from snap where outcome is not null group by 1),
+au2 as (select au.*, re * bid_size - fee_rate as pnl, case when model_p > mid then exit_p > ask else exit_p < bid end as ok, coalesce(miscalibration, 0) as miscalibration
+ from au left join cb on decile = least(floor(model_p * 10e0), 9)),
+au3 as (select *, case when pnl >= 0 then [] else list_filter([case when not ok then 'forecast_error' end, case when category = 'PROMO' then 'stale_external_information' end,
+  case when round(spread, 9) > 0.03 then 'microstructure_false_signal' end, case when abs(pe) > 0 and round(1 - abs(re) / abs(pe), 9) > 0.5 then 'execution_slippage' end,
+  case when round(abs(pnl) - abs(pe) * 1e-1, 9) < 0 then 'fee_drag' end, case when model_p > 0.8 and not ok then 'model_overconfidence' end,
+  case when round(second, 9) > 0.6 then 'correlation_concentration' end, case when outcome is null then 'resolution_ambiguity' end,
+  case when exit_p <> mid and category = 'PROMO' then 'late_information' end, case when round(miscalibration, 9) > 0.1 then 'calibration_error' end], lambda x: x is not null) end as classes from au2),
+au4 as (select *, case when pnl >= 0 then 'none' else coalesce(classes[1], 'unknown') end as failure from au3)"""
 
 
 def autopsies(spark, sf):
-    """Losing trades with the first matching failure class."""
+    """Trades with every failure class that fits a loss, and the first of them in order.
+
+    External information is taken to change for promotional markets, a component's second
+    highest vote counts as concentration, an exit without settlement as ambiguous, and the
+    calibration error is that of the model's decile over all settled rows.
+    """
     c = F.col
     long = c("model_p") > c("mid")
-    rows = tb.snapshots(spark, sf).withColumn("exit_p", F.coalesce(c("outcome").cast("double"), c("mid")))
+    snaps = tb.snapshots(spark, sf)
+    rows = snaps.withColumn("exit_p", F.coalesce(c("outcome").cast("double"), c("mid")))
     realized = F.when(long, c("exit_p") - c("ask")).otherwise(c("bid") - c("exit_p"))
+    votes = F.array("model_p", "mid", "bid", "ask", F.greatest(F.lit(0.0), F.lit(1.0) - c("spread") * F.lit(10.0)))
     rows = rows.withColumns({
-        "pe": c("model_p") - c("mid"), "re": realized,
+        "pe": c("model_p") - c("mid"), "re": realized, "second": F.get(F.sort_array(votes, asc=False), F.lit(1)), "decile": sc.unit_bin(c("model_p")),
         "ok": F.when(long, c("exit_p") > c("ask")).otherwise(c("exit_p") < c("bid")),
     }).withColumn("pnl", c("re") * c("bid_size") - c("fee_rate"))
+    # At most ten rows, one per decile.
+    deciles = snaps.where("outcome is not null").groupBy(sc.unit_bin(c("model_p")).alias("decile")).agg(F.abs(F.avg(c("model_p") - c("outcome"))).alias("miscalibration"))
+    rows = rows.join(F.broadcast(deciles), "decile", "left")
     captured = F.abs(c("re")) / F.nullif(F.abs(c("pe")), F.lit(0.0))
-    failure = (
-        F.when(c("pnl") >= 0, "none").when(~c("ok"), "forecast_error")
-        .when(c("category") == "PROMO", "stale_external_information")
-        .when(F.round("spread", 9) > 0.03, "microstructure_false_signal")
-        .when((F.abs(c("pe")) > 0) & (F.lit(1.0) - captured > 0.5), "execution_slippage")
-        .when(F.abs(c("pnl")) < F.abs(c("pe")) * F.lit(0.1), "fee_drag").otherwise("unknown")
-    )
-    return rows.withColumn("failure", failure)
+    external = c("category") == "PROMO"
+    tests = [
+        ~c("ok"), external, F.round("spread", 9) > 0.03, (F.abs(c("pe")) > 0) & (F.round(F.lit(1.0) - captured, 9) > 0.5),
+        F.round(F.abs(c("pnl")) - F.abs(c("pe")) * F.lit(0.1), 9) < 0, (c("model_p") > 0.8) & ~c("ok"), F.round("second", 9) > 0.6,
+        c("outcome").isNull(), (c("exit_p") != c("mid")) & external, F.round(F.coalesce("miscalibration", F.lit(0.0)), 9) > 0.1]
+    fits = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in zip(FAILURES, tests)]))
+    rows = rows.withColumn("classes", F.when(c("pnl") >= 0, F.array().cast("array<string>")).otherwise(fits))
+    return rows.withColumn("failure", F.when(c("pnl") >= 0, "none").otherwise(F.coalesce(F.get("classes", F.lit(0)), F.lit("unknown"))))
 
 
 @query("p10_failure_classes", f"""with {SNAP}, {AUT}
-select market_id, rid, failure, {s6('pnl')} as pnl from au3 where pnl < 0""")
+select market_id, rid, failure, array_to_string(classes, ',') as classes, {s6('pnl')} as pnl from au4 where pnl < 0""")
 def p10(spark, sf):
-    return six(autopsies(spark, sf).where("pnl < 0").select("market_id", "rid", "failure", "pnl"))
+    return six(autopsies(spark, sf).where("pnl < 0").select("market_id", "rid", "failure", F.array_join("classes", ",").alias("classes"), "pnl"))
 
 
-@query("a49_autopsy_summary", f"""with {SNAP}, {AUT}
-select failure, count(*) as n, {s6('sum(pnl)')} as total_pnl, {s6('avg(pnl)')} as avg_pnl, count(distinct market_id) as markets,
- {s6('avg(cast(pnl > 0 as int))')} as win_rate from au3 group by 1""")
+@query("a49_autopsy_summary", f"""with {SNAP}, {AUT},
+cl as (select market_id, pnl, failure, unnest(case when pnl >= 0 then ['none'] when len(classes) = 0 then ['unknown'] else classes end) as class from au4)
+select class, count(*) as n, count(*) filter (where class = failure) as first_n, {s6('sum(pnl)')} as total_pnl, {s6('avg(pnl)')} as avg_pnl, count(distinct market_id) as markets,
+ {s6('avg(cast(pnl > 0 as int))')} as win_rate from cl group by 1""")
 def a49(spark, sf):
-    return six(autopsies(spark, sf).groupBy("failure").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("pnl").alias("total_pnl"), F.avg("pnl").alias("avg_pnl"),
+    """Losses by class: how many trades fit it, and how many it explains first."""
+    classes = F.when(F.col("pnl") >= 0, F.array(F.lit("none"))).when(F.size("classes") == 0, F.array(F.lit("unknown"))).otherwise(F.col("classes"))
+    return six(autopsies(spark, sf).select("market_id", "pnl", "failure", F.explode(classes).alias("class")).groupBy("class").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("class") == F.col("failure")).alias("first_n"), F.sum("pnl").alias("total_pnl"), F.avg("pnl").alias("avg_pnl"),
         F.countDistinct("market_id").alias("markets"),
         F.avg((F.col("pnl") > 0).cast("int")).alias("win_rate"),
     ))
