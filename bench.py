@@ -1,8 +1,9 @@
 """Headline benchmark: prints one JSON line with seconds per query.
 
 Reads ``BENCH_SF_DIR`` (default /root/testdata/sf0.1) and runs on
-``local[BENCH_CPUS]``. Every query is materialized in full through a noop sink. Times are
-cold: one run per query, with the time to build its plan, and no remembered key profiles.
+``local[BENCH_CPUS]``. Every query is materialized in full through a noop sink. ``queries``
+and ``value`` are cold: the first run of a query, with the time to build its plan, and no
+remembered key profiles. ``warm`` are the times of a second run.
 """
 
 from __future__ import annotations
@@ -30,15 +31,16 @@ def main() -> None:
     spark = local_session("bench", cores=cpus)
     spark.sparkContext.setLogLevel("OFF")
     catalog.QUERIES["a01_brier"](spark, sf_dir).write.format("noop").mode("overwrite").save()
-    times = {}
+    times, warm = {}, {}
     for name in HEADLINE:
         ordered._PROFILES.clear()
-        t0 = time.time()
-        catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.time() - t0, 3)
+        for held in (times, warm):
+            t0 = time.time()
+            catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            held[name] = round(time.time() - t0, 3)
     print(json.dumps({
         "metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
-        "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")),
+        "queries": times, "warm": warm, "sf": os.path.basename(sf_dir.rstrip("/")),
     }))
 
 

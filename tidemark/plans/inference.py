@@ -373,7 +373,7 @@ def a38(spark, sf):
 
 # The inverse covariance by Gauss-Jordan steps on the matrix beside the identity.
 INVERSE_SQL = """v as (select vec_id, [cast(x as double) for x in embedding] as v, len(embedding) as d from embeddings),
-dim as (select max(d) as d from v),
+dim as (select d from v where d is not null group by d order by count(*) desc, d limit 1),
 pairs as (select i, j, covar_samp(v[i], v[j]) as c from v, dim, range(1, 1000) a(i), range(1, 1000) b(j) where i <= dim.d and j <= dim.d group by i, j),
 lines as (select i, list(c order by j) as l from pairs group by i),
 gj(k, m) as (
@@ -389,7 +389,8 @@ s as (select vec_id, sqrt(list_sum([(v[i] - mu.m[i]) * list_sum([q[i][j] * (v[j]
 
 @query("a39_mahalanobis_flags", f"""with recursive {INVERSE_SQL},
 r as (select *, row_number() over (order by round(score, 9)) rn, count(*) over () n from s)
-select vec_id, round(score, 6) + 0e0 as score, round(score, 9) > (select round(score, 9) from r where rn = least(n, floor(95e-2 * n) + 1)) as flagged from r""")
+select vec_id, round(score, 6) + 0e0 as score, round(score, 9) > (select round(score, 9) from r where rn = least(n, floor(95e-2 * n) + 1)) as flagged from r
+union all select vec_id, null, null from v, dim where v.d is null or v.d <> dim.d""")
 def a39(spark, sf):
     return six(mahalanobis(tb.load(spark, sf, "embeddings")))
 
@@ -397,14 +398,19 @@ def a39(spark, sf):
 def mahalanobis(df, quantile=0.95):
     """Distance from the mean under the sample covariance of all dimensions; the top tail is flagged.
 
+    The most common length counts (of equally common ones the shortest); vectors of another
+    length, and nulls, have no score and stay in the result with nulls.
     Every partition sums its part of the moments, and only those sums (dimensions x
     dimensions) visit the driver.
     """
     import numpy as np
     import pandas as pd
 
-    dims = df.agg(F.max(F.size("embedding"))).first()[0]
-    rows = df.where(F.size("embedding") == dims).select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    length = F.when(F.col("embedding").isNotNull(), F.size("embedding"))
+    common = df.where(length.isNotNull()).groupBy(length.alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
+    dims = common["d"] if common else 0
+    others = df.where(length.isNull() | (length != dims)).select("vec_id", F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("flagged"))
+    rows = df.where(length == dims).select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
 
     def moments(batches):
         total = np.zeros((dims + 1, dims + 1))
@@ -430,7 +436,7 @@ def mahalanobis(df, quantile=0.95):
     ).select("cut").scalar()
     return scored.withColumn("cut", cut).select(
         "vec_id", "score", (F.round("score", 9) > F.col("cut")).alias("flagged")
-    )
+    ).unionByName(others)
 
 
 KS = f"""a as (select model_p * (case when is_val then 97e-2 else 1e0 end) as v, is_val from sp),
