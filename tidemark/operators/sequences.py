@@ -1,4 +1,4 @@
-"""Order-dependent operators: spaced acceptance and book rebuild.
+"""Order-dependent operators: spaced acceptance, gap epochs and the book fold of a stream.
 
 The folds are small Python helpers; Spark splits the work into independent segments or
 streams rows past a constant-size state, so no whole key is ever held in memory.
@@ -6,9 +6,8 @@ streams rows past a constant-size state, so no whole key is ever held in memory.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,30 +131,3 @@ class BookFold:
 
 
 BOOK_COLUMNS = [c.split()[0] for c in BOOK_STATE.split(", ")]
-
-
-def rebuild_books(rows: DataFrame, connection: Sequence[str], t: str, hot_rows: int | None = None) -> DataFrame:
-    """Book state after every snapshot and delta; a repeated frame (session and number) counts once.
-
-    One ordered pass over the connection gives the gap epoch. A snapshot forgets all that
-    came before it, so each (ticker, snapshot) segment is rebuilt on its own.
-    """
-    staged = gap_epochs(rows.dropDuplicates([*connection, "session", "seq"]), connection, t, ["event_id"], hot_rows)
-    first = F.when(F.col("kind") == "snapshot", 1).otherwise(0)
-    segments = chain(staged, ["ticker"], t, ["event_id"], {"segment": ("sum", first)}, hot_rows=hot_rows)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, book = None, BookFold()
-        for pdf in batches:
-            states = []
-            for row in pdf.itertuples(index=False):
-                if (row.ticker, row.segment) != current:
-                    current, book = (row.ticker, row.segment), BookFold()
-                states.append(book.step(row))
-            yield pd.DataFrame([s for s in states if s is not None], columns=BOOK_COLUMNS)
-
-    kept = segments.where("segment > 0").select(
-        "ticker", "segment", t, "event_id", "kind", "epoch", "side", "price", "delta",
-        "yes_px", "yes_sz", "no_px", "no_sz",
-    )
-    return in_order(kept, ["ticker", "segment"], [t, "event_id"]).mapInPandas(scan, BOOK_STATE)

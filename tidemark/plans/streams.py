@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import drift, pairs
+from tidemark.operators import books, drift, pairs
 from tidemark.operators import sequences as sq
 from tidemark.operators.asof import asof_join
 from tidemark.operators.ordered import nearest_rank, running
@@ -107,7 +107,7 @@ select event_id, ticker, {s6('bid')} as best_bid, {s6('1e0 - 55e-2')} as best_as
 def t05(spark, sf):
     """Rebuild of a feed that delivers some frames twice."""
     rows = ws_rows(spark, sf)
-    return six(sq.rebuild_books(rows.unionByName(rows.where("event_id % 13 = 0")), ["connection"], "ts_us"))
+    return six(books.rebuild_books(rows.unionByName(rows.where("event_id % 13 = 0")), ["connection"], "ts_us"))
 
 
 @query("t09_page_hinkley_drift", f"""with recursive {EV}, o as (select user_id as key, value as x, row_number() over (partition by user_id order by ts_us, event_id) as i from ev),
