@@ -194,7 +194,7 @@ def test_candidates_over_several_tries(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     encoded, vocabulary = collocations.encoded_words(docs)
     frequent = vocabulary.where("n >= 8")
-    found = collocations.candidates(encoded, frequent, 8)
+    found = collocations.candidates(encoded, frequent, 8, 5000)
     whole = collocations.phrase_counts(encoded, found, 8)
     parts = collocations.phrase_counts(encoded, found, 8, trie_phrases=25)
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect())) and whole.count() > 50

@@ -5,8 +5,8 @@
    are found by grouping, and the pass is repeated with another seed, so codes are exact.
 2. Candidates are Apriori-safe. A phrase of k words counts only where both its parts of k - 1
    words are still alive. The alive parts stand in a bit set of fixed size, whose false
-   positives only let more through; digests of the phrases are counted per task, summed, and
-   keep those that reach the threshold, an upper bound of the phrase's count.
+   positives only let more through. Digests of the phrases are counted per task, packed by
+   ranges and summed; those that reach the threshold stay, an upper bound of a phrase's count.
 3. Candidates are dealt over shards of bounded size. A shard becomes a double-array trie that
    is broadcast; numpy advances the states of all positions of a slice together, a level at a
    time, and bincounts the states it meets. The sums over tasks are the exact counts.
@@ -36,7 +36,7 @@ from tidemark.llm.common import blocks_for, checkpointed, mix64, slices
 
 MIN_COUNT, MAX_WORDS, TOP, COVER = 30, 4, 2000, 80
 FILTER_BITS, TRIE_PHRASES = 25, 400_000
-SLICE_TOKENS, CUT_BYTES, MERGE_KEYS = 1_000_000, 4_000_000, 2_000_000
+SLICE_TOKENS, CUT_BYTES, MERGE_KEYS, RANGE_WORDS, COUNT_BLOCK = 1_000_000, 4_000_000, 2_000_000, 4_000_000, 10_000
 # A byte that no UTF-8 text holds stands for the end of a piece.
 _END = b"\xff"
 # A-Z lower-cased, tab as space, punctuation and line breaks as the end of a piece.
@@ -151,10 +151,18 @@ def encoded_words(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         seed += 1
 
 
-def _filter_bits(keys: DataFrame) -> np.ndarray:
-    """Bit set of the low ``FILTER_BITS`` bits of ``key``, at most that many bits whatever the number of keys."""
-    low = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    rows = keys.select(F.shiftright(low, 15).alias("block"), low.bitwiseAND(F.lit(32767)).alias("bit")).groupBy("block").agg(
+def key_bits(words: int) -> int:
+    """Leading bits of a digest that a phrase is counted by: about a thousand values per word of the corpus.
+
+    Phrases that share them only raise each other's bound.
+    """
+    return min(60, max(FILTER_BITS, max(1, words).bit_length() + 10))
+
+
+def _filter_bits(keys: DataFrame, bits: int) -> np.ndarray:
+    """Bit set of the leading ``FILTER_BITS`` bits of ``key``, at most that many bits whatever the number of keys."""
+    lead = F.shiftright("key", bits - FILTER_BITS)
+    rows = keys.select(F.shiftright(lead, 15).alias("block"), lead.bitwiseAND(F.lit(32767)).alias("bit")).groupBy("block").agg(
         F.bitmap_construct_agg("bit").alias("bits")).collect()
     out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     for r in rows:
@@ -162,15 +170,29 @@ def _filter_bits(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def _alive(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    low = keys & ((1 << FILTER_BITS) - 1)
-    return (bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 > 0
+def _leading(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _alive(keys: np.ndarray, held: np.ndarray) -> np.ndarray:
+    lead = _leading(keys, FILTER_BITS)
+    return (held[lead >> 3] >> (lead & 7).astype(np.uint8)) & 1 > 0
 
 
 def _next_keys(keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Digest of a phrase from the digest of all but its last word, and that word."""
     with np.errstate(over="ignore"):
-        return mix64(keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + codes.view(np.uint64)).view(np.int64)
+        return mix64(keys * np.uint64(0x9E3779B97F4A7C15) + codes)
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0 as compressed byte planes, so that their leading zeros cost nothing."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)
 
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -178,72 +200,99 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return found, np.bincount(at, weights=np.concatenate(counts), minlength=len(found)).astype(np.int64)
 
 
-def _candidate_pass(encoded: DataFrame, k: int, shared) -> DataFrame:
-    """From the alive phrases of k - 1 words: their spellings, and digests of k words with counts per task.
+def _candidate_pass(encoded: DataFrame, k: int, shared, bits: int, buckets: int) -> DataFrame:
+    """From the alive phrases of k - 1 words: their spellings, and counts of k words per task.
 
-    Rows are ``level, key, n`` and the codes ``c1`` to ``c4``: those of a spelling (n is 0), else all zero.
+    Counts are sorted digests, cut into ranges and packed as differences: ``bucket``, ``keys``,
+    ``counts``. Spellings have ``key`` and the codes ``c1`` to ``c4``.
     """
+    names = ["bucket", "keys", "counts", "key", *CODES]
+    types = [pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * (1 + MAX_WORDS)]
+
+    def batch_of(n, given):
+        return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(n, t) for c, t in zip(names, types)], names=names)
 
     def run(batches):
-        bits = shared.value
-        keys, counts, held = [], [], 0
+        held = shared.value
+        keys, counts, waiting = [], [], 0
         spelled: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def rows(level, key, n, codes):
-            columns = [np.full(len(key), level, np.int32), key, n, *(codes[i] if i < len(codes) else np.zeros(len(key), np.int64) for i in range(MAX_WORDS))]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["level", "key", "n", *CODES])
+        def ranges(found, n):
+            edge = np.searchsorted(found, np.array([b * (1 << bits) // buckets for b in range(buckets + 1)], np.int64))
+            full = np.flatnonzero(np.diff(edge))
+            parts = [(found[edge[b]:edge[b + 1]], n[edge[b]:edge[b + 1]]) for b in full]
+            return batch_of(len(full), {"bucket": full, "keys": [_packed(np.diff(f, prepend=0)) for f, _ in parts], "counts": [_packed(c) for _, c in parts]})
+
+        def words_of(parts):
+            found = np.concatenate([p[0] for p in parts])
+            words = np.concatenate([p[1] for p in parts], axis=1)
+            rows, first = np.unique(words, axis=1, return_index=True)
+            return batch_of(rows.shape[1], {"key": found[first], **{c: rows[i] if i < len(rows) else np.zeros(rows.shape[1], np.int64) for i, c in enumerate(CODES)}})
 
         for batch in batches:
             for codes, starts in _windows(batch.column("packed")):
-                key, whole = codes, codes != 0
+                plain = codes.view(np.uint64)
+                key, whole = plain, codes != 0
                 for j in range(1, k - 1):
-                    key = _next_keys(key[:-1], codes[j:])
+                    key = _next_keys(key[:-1], plain[j:])
                     whole = whole[:-1] & (codes[j:] != 0)
-                alive = whole & _alive(key, bits)
+                alive = whole & _alive(key, held)
                 if k > 2:
                     at = np.flatnonzero(alive[:starts])
                     found, first = np.unique(key[at], return_index=True)
-                    spelled.append((found, np.stack([codes[at[first] + j] for j in range(k - 1)])))
+                    spelled.append((_leading(found, bits), np.stack([codes[at[first] + j] for j in range(k - 1)])))
+                    if sum(len(f) for f, _ in spelled) > MERGE_KEYS:
+                        yield words_of(spelled)
+                        spelled = []
                 if k <= MAX_WORDS:
                     at = np.flatnonzero(alive[:starts] & alive[1:starts + 1])
-                    found, n = np.unique(_next_keys(key[at], codes[at + k - 1]), return_counts=True)
+                    found, n = np.unique(_leading(_next_keys(key[at], plain[at + k - 1]), bits), return_counts=True)
                     keys.append(found)
                     counts.append(n)
-                    held += len(found)
-                    if held > 2 * MERGE_KEYS:
+                    waiting += len(found)
+                    if waiting > 2 * MERGE_KEYS:
                         found, n = _merged(keys, counts)
-                        keys, counts, held = [found], [n], len(found)
-                        if held > MERGE_KEYS:
-                            yield rows(k, found, n, [])
-                            keys, counts, held = [], [], 0
-                if sum(len(f) for f, _ in spelled) > MERGE_KEYS:
-                    for found, words in spelled:
-                        yield rows(k - 1, found, np.zeros(len(found), np.int64), list(words))
-                    spelled = []
+                        keys, counts, waiting = [found], [n], len(found)
+                        if waiting > MERGE_KEYS:
+                            yield ranges(found, n)
+                            keys, counts, waiting = [], [], 0
         if keys:
-            found, n = _merged(keys, counts)
-            yield rows(k, found, n, [])
+            yield ranges(*_merged(keys, counts))
         if spelled:
-            found, first = np.unique(np.concatenate([f for f, _ in spelled]), return_index=True)
-            yield rows(k - 1, found, np.zeros(len(found), np.int64), list(np.concatenate([w for _, w in spelled], axis=1)[:, first]))
+            yield words_of(spelled)
 
-    return encoded.select("packed").mapInArrow(run, "level int, key long, n long, " + ", ".join(f"{c} long" for c in CODES))
+    kinds = ["int", "binary", "binary", *["long"] * (1 + MAX_WORDS)]
+    return encoded.select("packed").mapInArrow(run, ", ".join(f"{c} {t}" for c, t in zip(names, kinds)))
 
 
-def candidates(encoded: DataFrame, frequent: DataFrame, min_count: int) -> DataFrame:
-    """Codes ``c1`` to ``c4`` (zero beyond the last) of every phrase that may stand ``min_count`` times."""
-    context = encoded.sparkSession.sparkContext
-    alive = frequent.select(F.col("code").alias("key"))
+def _counted(min_count: int):
+    """Digests of a range that are counted ``min_count`` times over all tasks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found, n = _merged([np.cumsum(_unpacked(x.as_py())) for x in table.column("keys")], [_unpacked(x.as_py()) for x in table.column("counts")])
+        return pa.table({"key": pa.array(found[n >= min_count], pa.int64())})
+
+    return run
+
+
+def candidates(encoded: DataFrame, frequent: DataFrame, min_count: int, words: int) -> DataFrame:
+    """Codes ``c1`` to ``c4`` (zero beyond the last) of every phrase that may stand ``min_count`` times.
+
+    ``words`` is the size of the corpus; it sets the length of digests and the number of ranges.
+    """
+    spark = encoded.sparkSession
+    bits, buckets = key_bits(words), max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks_for(words, RANGE_WORDS))
+    # Codes are signed; as unsigned numbers their leading bits sort and filter like the digests'.
+    alive = frequent.select(F.shiftrightunsigned("code", 64 - bits).alias("key"))
     out = None
     for k in range(2, MAX_WORDS + 2):
-        shared = context.broadcast(_filter_bits(alive))
-        found = checkpointed(_candidate_pass(encoded, k, shared).groupBy("level", "key", *CODES).agg(F.sum("n").alias("n")).where(
-            (F.col("level") < k) | (F.col("n") >= min_count)))
+        shared = spark.sparkContext.broadcast(_filter_bits(alive, bits))
+        found = checkpointed(_candidate_pass(encoded, k, shared, bits, buckets))
         shared.unpersist()
         if k > 2:
-            spelled = found.where(F.col("level") == k - 1).join(alive, "key", "left_semi").select(*CODES)
+            spelled = found.where("key is not null").join(alive, "key", "left_semi").select(*CODES).distinct()
             out = spelled if out is None else out.unionByName(spelled)
-        alive = found.where(F.col("level") == k).select("key")
+        alive = checkpointed(found.where("bucket is not null").select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(_counted(min_count), "key long"))
     return checkpointed(out)
 
 
@@ -357,7 +406,7 @@ class DoubleArrayTrie:
 
 
 def _counting_pass(encoded: DataFrame, shared) -> DataFrame:
-    """Counts of the trie's phrases, one row per phrase and task."""
+    """Counts of the trie's phrases per task, packed in blocks of phrases."""
 
     def run(batches):
         trie = shared.value
@@ -365,26 +414,42 @@ def _counting_pass(encoded: DataFrame, shared) -> DataFrame:
         for batch in batches:
             for codes, starts in _windows(batch.column("packed")):
                 trie.count(codes, starts, total)
-        met = np.flatnonzero((total > 0) & (trie.end >= 0))
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*trie.phrases[trie.end[met]].T, total[met])], names=[*CODES, "n"])
+        counts = np.zeros(len(trie.phrases), np.int64)
+        ends = np.flatnonzero(trie.end >= 0)
+        counts[trie.end[ends]] = total[ends]
+        blocks = [(b, _packed(counts[at:at + COUNT_BLOCK])) for b, at in enumerate(range(0, len(counts), COUNT_BLOCK)) if counts[at:at + COUNT_BLOCK].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in blocks], pa.int32()), pa.array([c for _, c in blocks], pa.binary())], names=["block", "counts"])
+
+    return encoded.select("packed").mapInArrow(run, "block int, counts binary")
+
+
+def _summed(shared, min_count: int):
+    """Phrases of a block with their counts over all tasks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        total = sum(_unpacked(x.as_py()) for x in table.column("counts"))
+        met = np.flatnonzero(total >= min_count)
+        phrases = shared.value.phrases[table.column("block")[0].as_py() * COUNT_BLOCK + met]
+        return pa.table({**{c: pa.array(phrases[:, i], pa.int64()) for i, c in enumerate(CODES)}, "a": pa.array(total[met], pa.int64())})
 
-    return encoded.select("packed").mapInArrow(run, ", ".join(f"{c} long" for c in CODES) + ", n long")
+    return run
 
 
 def phrase_counts(encoded: DataFrame, found: DataFrame, min_count: int, trie_phrases: int = TRIE_PHRASES) -> DataFrame:
     """Codes and exact count ``a`` of the candidates that stand ``min_count`` times, one bounded trie at a time."""
     context = encoded.sparkSession.sparkContext
     shards = blocks_for(found.count(), trie_phrases)
+    schema = ", ".join(f"{c} long" for c in CODES) + ", a long"
     out = None
     for shard in range(shards):
         held = found.where(F.pmod(F.xxhash64(*CODES), F.lit(shards)) == shard).toArrow()
         if not held.num_rows:
             continue
         shared = context.broadcast(DoubleArrayTrie(np.stack([held.column(c).to_numpy() for c in CODES], axis=1)))
-        counts = checkpointed(_counting_pass(encoded, shared).groupBy(*CODES).agg(F.sum("n").alias("a")).where(F.col("a") >= min_count))
+        counts = checkpointed(_counting_pass(encoded, shared).groupBy("block").applyInArrow(_summed(shared, min_count), schema))
         shared.unpersist()
         out = counts if out is None else out.unionByName(counts)
-    return encoded.sparkSession.createDataFrame([], ", ".join(f"{c} long" for c in CODES) + ", a long") if out is None else out
+    return encoded.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def _spelled(counts: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -401,7 +466,8 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, co
     encoded, vocabulary = encoded_words(docs)
     totals = vocabulary.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = checkpointed(vocabulary.where(F.col("n") >= min_count))
-    counts = phrase_counts(encoded, candidates(encoded, frequent, min_count), min_count)
+    words = totals.agg(F.sum("n")).first()[0] or 0
+    counts = phrase_counts(encoded, candidates(encoded, frequent, min_count, words), min_count)
     found = checkpointed(_spelled(counts, frequent))
     f = frequent.select("lang", F.col("word").alias("part"), F.col("n").alias("f")).unionByName(
         found.select("lang", F.col("phrase").alias("part"), F.col("a").alias("f")))
