@@ -203,31 +203,30 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 def _candidate_pass(encoded: DataFrame, k: int, shared, bits: int, buckets: int) -> DataFrame:
     """From the alive phrases of k - 1 words: their spellings, and counts of k words per task.
 
-    Counts are sorted digests, cut into ranges and packed as differences: ``bucket``, ``keys``,
-    ``counts``. Spellings have ``key`` and the codes ``c1`` to ``c4``.
+    Both are sorted by digest, cut into ranges and packed: ``bucket``, ``keys`` as differences,
+    and ``counts`` or the spellings' ``words``, code by code.
     """
-    names = ["bucket", "keys", "counts", "key", *CODES]
-    types = [pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * (1 + MAX_WORDS)]
-
-    def batch_of(n, given):
-        return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(n, t) for c, t in zip(names, types)], names=names)
+    names = ["bucket", "keys", "counts", "words"]
 
     def run(batches):
         held = shared.value
         keys, counts, waiting = [], [], 0
         spelled: list[tuple[np.ndarray, np.ndarray]] = []
+        borders = np.array([b * (1 << bits) // buckets for b in range(buckets + 1)], np.int64)
 
-        def ranges(found, n):
-            edge = np.searchsorted(found, np.array([b * (1 << bits) // buckets for b in range(buckets + 1)], np.int64))
+        def ranges(found, values):
+            """Rows of sorted digests; ``values`` has a line of counts or a line per word."""
+            edge = np.searchsorted(found, borders)
             full = np.flatnonzero(np.diff(edge))
-            parts = [(found[edge[b]:edge[b + 1]], n[edge[b]:edge[b + 1]]) for b in full]
-            return batch_of(len(full), {"bucket": full, "keys": [_packed(np.diff(f, prepend=0)) for f, _ in parts], "counts": [_packed(c) for _, c in parts]})
+            packed = [[_packed(np.diff(found[edge[b]:edge[b + 1]], prepend=0)), _packed(values[..., edge[b]:edge[b + 1]].ravel().view(np.uint64))] for b in full]
+            columns = [pa.array(full, pa.int32()), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary()), pa.nulls(len(full), pa.binary())]
+            return pa.RecordBatch.from_arrays(columns if values.ndim == 1 else [*columns[:2], columns[3], columns[2]], names=names)
 
-        def words_of(parts):
-            found = np.concatenate([p[0] for p in parts])
-            words = np.concatenate([p[1] for p in parts], axis=1)
-            rows, first = np.unique(words, axis=1, return_index=True)
-            return batch_of(rows.shape[1], {"key": found[first], **{c: rows[i] if i < len(rows) else np.zeros(rows.shape[1], np.int64) for i, c in enumerate(CODES)}})
+        def spellings(parts):
+            words, first = np.unique(np.concatenate([p[1] for p in parts], axis=1), axis=1, return_index=True)
+            found = np.concatenate([p[0] for p in parts])[first]
+            order = np.argsort(found, kind="stable")
+            return ranges(found[order], words[:, order])
 
         for batch in batches:
             for codes, starts in _windows(batch.column("packed")):
@@ -242,7 +241,7 @@ def _candidate_pass(encoded: DataFrame, k: int, shared, bits: int, buckets: int)
                     found, first = np.unique(key[at], return_index=True)
                     spelled.append((_leading(found, bits), np.stack([codes[at[first] + j] for j in range(k - 1)])))
                     if sum(len(f) for f, _ in spelled) > MERGE_KEYS:
-                        yield words_of(spelled)
+                        yield spellings(spelled)
                         spelled = []
                 if k <= MAX_WORDS:
                     at = np.flatnonzero(alive[:starts] & alive[1:starts + 1])
@@ -259,18 +258,30 @@ def _candidate_pass(encoded: DataFrame, k: int, shared, bits: int, buckets: int)
         if keys:
             yield ranges(*_merged(keys, counts))
         if spelled:
-            yield words_of(spelled)
+            yield spellings(spelled)
 
-    kinds = ["int", "binary", "binary", *["long"] * (1 + MAX_WORDS)]
-    return encoded.select("packed").mapInArrow(run, ", ".join(f"{c} {t}" for c, t in zip(names, kinds)))
+    return encoded.select("packed").mapInArrow(run, "bucket int, keys binary, counts binary, words binary")
 
 
-def _counted(min_count: int):
-    """Digests of a range that are counted ``min_count`` times over all tasks."""
+def _counted(k: int, min_count: int):
+    """Of a range: digests of k words that are counted ``min_count`` times over all tasks (codes null), and the spellings of k - 1 words, once each."""
 
     def run(table: pa.Table) -> pa.Table:
-        found, n = _merged([np.cumsum(_unpacked(x.as_py())) for x in table.column("keys")], [_unpacked(x.as_py()) for x in table.column("counts")])
-        return pa.table({"key": pa.array(found[n >= min_count], pa.int64())})
+        keys, counts, words = (table.column(c).to_pylist() for c in ("keys", "counts", "words"))
+        held = [np.zeros(0, np.int64)]
+        if any(c is not None for c in counts):
+            found, n = _merged([np.cumsum(_unpacked(x)) for x, c in zip(keys, counts) if c is not None], [_unpacked(c) for c in counts if c is not None])
+            held = [found[n >= min_count]]
+        spelled = np.zeros((MAX_WORDS, 0), np.int64)
+        if any(w is not None for w in words):
+            given = np.concatenate([_unpacked(w).reshape(k - 1, -1) for w in words if w is not None], axis=1)
+            known = np.concatenate([np.cumsum(_unpacked(x)) for x, w in zip(keys, words) if w is not None])
+            given, first = np.unique(given, axis=1, return_index=True)
+            held.append(known[first])
+            spelled = np.concatenate([given, np.zeros((MAX_WORDS - k + 1, given.shape[1]), np.int64)])
+        empty = pa.nulls(len(held[0]), pa.int64())
+        return pa.table({"key": pa.array(np.concatenate(held), pa.int64()), **{
+            c: pa.chunked_array([empty, pa.array(spelled[i], pa.int64())]) for i, c in enumerate(CODES)}})
 
     return run
 
@@ -287,12 +298,13 @@ def candidates(encoded: DataFrame, frequent: DataFrame, min_count: int, words: i
     out = None
     for k in range(2, MAX_WORDS + 2):
         shared = spark.sparkContext.broadcast(_filter_bits(alive, bits))
-        found = checkpointed(_candidate_pass(encoded, k, shared, bits, buckets))
+        found = checkpointed(_candidate_pass(encoded, k, shared, bits, buckets).groupBy("bucket").applyInArrow(
+            _counted(k, min_count), "key long, " + ", ".join(f"{c} long" for c in CODES)))
         shared.unpersist()
         if k > 2:
-            spelled = found.where("key is not null").join(alive, "key", "left_semi").select(*CODES).distinct()
+            spelled = found.where("c1 is not null").join(alive, "key", "left_semi").select(*CODES)
             out = spelled if out is None else out.unionByName(spelled)
-        alive = checkpointed(found.where("bucket is not null").select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(_counted(min_count), "key long"))
+        alive = found.where("c1 is null").select("key")
     return checkpointed(out)
 
 
