@@ -37,6 +37,7 @@ from tidemark.llm.common import blocks_for, checkpointed, mix64, slices
 MIN_COUNT, MAX_WORDS, TOP, COVER = 30, 4, 2000, 80
 FILTER_BITS, TRIE_PHRASES = 25, 400_000
 SLICE_TOKENS, CUT_BYTES, MERGE_KEYS, RANGE_WORDS, COUNT_BLOCK = 1_000_000, 4_000_000, 2_000_000, 4_000_000, 10_000
+LOW_CODE = (1 << 32) - 1
 # A byte that no UTF-8 text holds stands for the end of a piece.
 _END = b"\xff"
 # A-Z lower-cased, tab as space, punctuation and line breaks as the end of a piece.
@@ -204,7 +205,7 @@ def _candidate_pass(encoded: DataFrame, k: int, shared, bits: int, buckets: int)
     """From the alive phrases of k - 1 words: their spellings, and counts of k words per task.
 
     Both are sorted by digest, cut into ranges and packed: ``bucket``, ``keys`` as differences,
-    and ``counts`` or the spellings' ``words``, code by code.
+    and ``counts`` or the spellings' ``words``, the low halves of their codes.
     """
     names = ["bucket", "keys", "counts", "words"]
 
@@ -226,7 +227,7 @@ def _candidate_pass(encoded: DataFrame, k: int, shared, bits: int, buckets: int)
             words, first = np.unique(np.concatenate([p[1] for p in parts], axis=1), axis=1, return_index=True)
             found = np.concatenate([p[0] for p in parts])[first]
             order = np.argsort(found, kind="stable")
-            return ranges(found[order], words[:, order])
+            return ranges(found[order], words[:, order] & LOW_CODE)
 
         for batch in batches:
             for codes, starts in _windows(batch.column("packed")):
@@ -274,11 +275,10 @@ def _counted(k: int, min_count: int):
             held = [found[n >= min_count]]
         spelled = np.zeros((MAX_WORDS, 0), np.int64)
         if any(w is not None for w in words):
-            given = np.concatenate([_unpacked(w).reshape(k - 1, -1) for w in words if w is not None], axis=1)
-            known = np.concatenate([np.cumsum(_unpacked(x)) for x, w in zip(keys, words) if w is not None])
-            given, first = np.unique(given, axis=1, return_index=True)
-            held.append(known[first])
-            spelled = np.concatenate([given, np.zeros((MAX_WORDS - k + 1, given.shape[1]), np.int64)])
+            given = np.concatenate([np.concatenate([np.cumsum(_unpacked(x))[None], _unpacked(w).reshape(k - 1, -1)]) for x, w in zip(keys, words) if w is not None], axis=1)
+            given = np.unique(given, axis=1)
+            held.append(given[0])
+            spelled = np.concatenate([given[1:], np.zeros((MAX_WORDS - k + 1, given.shape[1]), np.int64)])
         empty = pa.nulls(len(held[0]), pa.int64())
         return pa.table({"key": pa.array(np.concatenate(held), pa.int64()), **{
             c: pa.chunked_array([empty, pa.array(spelled[i], pa.int64())]) for i, c in enumerate(CODES)}})
@@ -286,6 +286,14 @@ def _counted(k: int, min_count: int):
     return run
 
 
+def _whole_codes(spelled: DataFrame, frequent: DataFrame, words: int) -> DataFrame:
+    """Codes from their low halves: those of every frequent word that has it, so one phrase may become several candidates."""
+    codes = frequent.select(F.col("code").bitwiseAND(F.lit(LOW_CODE)).alias("low"), F.col("code").alias("full"))
+    for c in CODES[:words]:
+        spelled = spelled.join(codes, F.col(c) == F.col("low")).drop(c, "low").withColumnRenamed("full", c)
+    return spelled.select(*CODES)
+
+
 def candidates(encoded: DataFrame, frequent: DataFrame, min_count: int, words: int) -> DataFrame:
     """Codes ``c1`` to ``c4`` (zero beyond the last) of every phrase that may stand ``min_count`` times.
 
@@ -302,7 +310,7 @@ def candidates(encoded: DataFrame, frequent: DataFrame, min_count: int, words: i
             _counted(k, min_count), "key long, " + ", ".join(f"{c} long" for c in CODES)))
         shared.unpersist()
         if k > 2:
-            spelled = found.where("c1 is not null").join(alive, "key", "left_semi").select(*CODES)
+            spelled = _whole_codes(found.where("c1 is not null").join(alive, "key", "left_semi").select(*CODES).distinct(), frequent, k - 1)
             out = spelled if out is None else out.unionByName(spelled)
         alive = found.where("c1 is null").select("key")
     return checkpointed(out)
