@@ -131,11 +131,11 @@ def s39r(spark, sf):
         "rejects", F.when(F.get_json_object("wire", "$.size").cast("long") <= 0, F.array(F.lit("no_size"))).otherwise(F.array().cast("array<string>")))
 
     def report(feed, raw, parsed):
-        status = F.when(~c("intact"), F.array(F.lit("hash_mismatches"))).when(F.size("rejects") == 0, F.array(F.lit("accepted"))).otherwise(
-            F.transform("rejects", lambda r: F.concat(F.lit("rejected:"), r)))
-        kinds = parsed.select(F.explode(status).alias("metric")).groupBy("metric").agg(F.count(F.lit(1)).alias("value"))
+        kinds = parsed.where("intact").select(F.explode("rejects").alias("kind")).groupBy(F.concat(F.lit("rejected:"), "kind").alias("metric")).agg(F.count(F.lit(1)).alias("value"))
+        sound = parsed.agg(F.count_if(~c("intact")).alias("hash_mismatches"), F.count_if(c("intact") & (F.size("rejects") == 0)).alias("accepted")).unpivot(
+            [], ["hash_mismatches", "accepted"], "metric", "value")
         seen = raw.agg(F.count(F.lit(1)).alias("seen"), (F.count(F.lit(1)) - F.countDistinct("sha256")).alias("duplicates")).unpivot([], ["seen", "duplicates"], "metric", "value")
-        return kinds.unionByName(seen).select(F.lit(feed).alias("feed"), "metric", "value")
+        return kinds.unionByName(sound).unionByName(seen).select(F.lit(feed).alias("feed"), "metric", "value")
 
     kept = once.where(c("intact") & (F.size("rejects") == 0)).select("market_slug", F.round((bk.best(c("asks")) - bk.best(c("bids"))) * 10000).alias("spread"),
                                                                     (bk.depth(c("bids"), 5) + bk.depth(c("asks"), 5)).alias("depth"), F.lit(1).alias("g"))
