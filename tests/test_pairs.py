@@ -100,6 +100,37 @@ def test_an_event_of_ten_thousand_markets(spark):
     assert got == want and {(f"m{i}", f"m{i + 5000}") for i in range(40)} <= got
 
 
+@pytest.mark.parametrize("block", [7, 256])
+def test_forest_connects_what_the_links_connect(spark, block):
+    series = spark.createDataFrame(sparse_series(), SCHEMA)
+    links = pairs.correlated_pairs(series, 0.5).select("a", "b").collect()
+    forest = pairs.correlated_forest(series, 0.5, block=block).collect()
+
+    def components(edges):
+        root = {}
+
+        def top(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for r in edges:
+            root[top(r.a)] = top(r.b)
+        groups = defaultdict(set)
+        for x in list(root):
+            groups[top(x)].add(x)
+        return {frozenset(g) for g in groups.values()}
+
+    assert components(forest) == components(links)
+    assert len(forest) < len(links)
+
+
+def test_a_small_event_takes_few_copies(spark):
+    """A series is copied once per block of its event: an event of two thousand is one block."""
+    rows = spark.range(4000).selectExpr("1 event", "concat('m', id) member", "id `order`", "1L t", "1.0D value")
+    assert pairs._dealt(rows, pairs.BLOCK_MEMBERS).count() == 8000
+
+
 def test_ridge_lines(spark):
     rows = sparse_series()
     want = {}
