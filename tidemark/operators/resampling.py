@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -179,6 +180,12 @@ def bijection(size: int, keys: Sequence[int]) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=512)
+def drawn_bijection(size: int, seed: int, rep: int) -> np.ndarray:
+    """The permutation of one replicate; a group's blocks have two sizes, so a worker draws it twice for all of them."""
+    return bijection(size, round_keys(seed, rep))
+
+
 def ranked_blocks(df: DataFrame, group: Sequence[str], row: Sequence[str], columns: Sequence[str], seed: int,
                   block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rows of each group in an order drawn by digest, dealt to blocks whose sizes differ by one at most.
@@ -220,17 +227,19 @@ def permuted_losses(df: DataFrame, group: Sequence[str], row: Sequence[str], sta
     turn = F.floor(uniform(seed, F.col("rep"), F.lit("turn")) * F.col("_count")).cast("long")
     sent = turns.withColumn("_to", F.col("_first") + F.pmod(F.col("_block") - F.col("_first") - turn, F.col("_count")))
     sent = sent.select(*[F.col(g).alias(f"_g_{g}") for g in group], "_to", "rep", *[f"_m_{m}" for m in move])
-    keys = [round_keys(seed, rep) for rep in range(1, replicates + 1)]
     stay, move = list(stay), list(move)
 
+    def numbers(table: pa.Table, name: str, i: int) -> np.ndarray:
+        return table.column(name)[i].values.to_numpy(zero_copy_only=False).astype(float)
+
     def run(own: pa.Table, others: pa.Table) -> pa.Table:
-        here = [np.array(own.column(c)[0].as_py(), float) for c in stay]
+        here = [numbers(own, c, 0) for c in stay]
         size = own.column("_size")[0].as_py()
         reps = others.column("rep").to_pylist()
         out = []
         for i, rep in enumerate(reps):
-            at = bijection(size, keys[rep - 1])
-            lost = np.atleast_2d(loss(*here, *[np.array(others.column(f"_m_{m}")[i].as_py(), float)[at] for m in move])).sum(axis=1)
+            at = drawn_bijection(size, seed, rep)
+            lost = np.atleast_2d(loss(*here, *[numbers(others, f"_m_{m}", i)[at] for m in move])).sum(axis=1)
             out += [(rep, kind, float(x), size) for kind, x in enumerate(lost)]
         kinds = zip(("rep", "kind", "loss", "n"), zip(*out), (pa.int32(), pa.int32(), pa.float64(), pa.int64()))
         return pa.table({name: pa.array(values, of) for name, values, of in kinds})

@@ -231,7 +231,8 @@ select control, {s6('b')} as control_brier, {s6('(select avg(pow(model_p - outco
 def a30(spark, sf):
     """Brier score with labels permuted 100 times over all rows, in categories and in clusters, and with late forecasts."""
     c = F.col
-    rows = op.resolved(tb.snapshots(spark, sf)).select("market_id", "category", "event_cluster", "ts_us", "rid", "model_p", "outcome")
+    # Labels travel once per replicate: a byte each.
+    rows = op.resolved(tb.snapshots(spark, sf)).select("market_id", "category", "event_cluster", "ts_us", "rid", "model_p", c("outcome").cast("byte").alias("outcome"))
     real = rows.agg(F.avg(sc.squared_error(c("model_p"), c("outcome")))).scalar()
     out = None
     for name, group in CONTROLS:
