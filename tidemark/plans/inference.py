@@ -268,6 +268,7 @@ def degradation(rows, noise_sd=0.1, seed=42):
 
     c = F.col
     base = rows.select("market_id", "category", "ts_us", "rid", "model_p", "mid", "outcome")
+    # One row per category; a shuffle by category would put all rows into as few tasks as there are categories.
     cats = base.groupBy("category").agg(F.avg("model_p").alias("m")).select(
         "category",
         F.lead("m").over(Window.partitionBy(F.lit(1)).orderBy("category")).alias("nxt"),
@@ -277,7 +278,7 @@ def degradation(rows, noise_sd=0.1, seed=42):
         base, ["market_id"], "ts_us", ["rid"], 5,
         lambda d, w: d.withColumn("l5", F.lag("model_p", 5).over(w)),
     )
-    full = running(lagged, ["market_id"], "ts_us", ["rid"], {"oldest": ("first", c("model_p"))}).join(cats, "category")
+    full = running(lagged, ["market_id"], "ts_us", ["rid"], {"oldest": ("first", c("model_p"))}).join(F.broadcast(cats), "category")
     ident = [c("market_id"), c("ts_us"), c("rid")]
     noisy = pr.clamp(
         c("model_p") + F.lit(noise_sd) * normal(uniform(seed, *ident), uniform(seed + 1, *ident)), 0.01, 0.99
