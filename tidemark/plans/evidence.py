@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -15,6 +13,7 @@ from tidemark.plans.feeds import RAW
 from tidemark.plans.pit import DAY, HOUR, UNION, VINT, W0, W1, actual_peaks, vintages
 from tidemark.plans.registry import query, r6, s6
 from tidemark.plans.scores import six
+from tidemark.session import checkpointed
 from tidemark.sources import rawlog
 from tidemark.sources import tables as tb
 
@@ -159,8 +158,11 @@ from ev_ e left join mv using (doc_id) left join ac using (doc_id)""")
 def j26r(spark, sf):
     """Every revision surprise with its at-the-money rung, first move, repricing and edge at the first quote after receipt.
 
-    The rung is the nearest strike, by the same nearest join that finds nearest times. Moves are
-    looked for in the days' extremes of the rung first; only the day of the crossing is opened.
+    The rung is the nearest strike, by the same nearest join that finds nearest times. Quotes are
+    first reduced to one row per rung and capture time. What is asked of them depends on rung,
+    direction and day of publication (or time of receipt) only, so each such question is answered
+    once, however many revisions ask it. Moves are looked for in the days' extremes of the rung
+    first; only the day of the crossing is opened.
     """
     c = F.col
     prev = running(vintages(spark, sf), ["delivery_day"], "publish_day", ["doc_id"], {"pp": ("lag", c("peak"))})
@@ -169,22 +171,30 @@ def j26r(spark, sf):
     price = (c("l_quantity") - F.lit(0.5)) / F.lit(50.0)
     captured = tb.micros("l_shipdate")
     ladder = tb.load(spark, sf, "lineitem").select(
-        captured.alias("cap"), F.floor(captured / DAY).cast("long").alias("cap_day"), (F.floor(captured / DAY) + c("l_linenumber") % 7).cast("long").alias("delivery_day"),
+        captured.alias("cap"), (F.floor(captured / DAY) + c("l_linenumber") % 7).cast("long").alias("delivery_day"),
         (F.lit(80000.0) * (F.lit(1) + c("l_suppkey") % 5)).alias("strike"), price.alias("mid"), (price + F.lit(0.01) + c("l_discount") / F.lit(2.0)).alias("ask"),
         (F.lit(51.0) - c("l_quantity")).alias("size"), F.concat_ws("|", "l_orderkey", "l_linenumber").alias("qid"))
-    rungs = ladder.select("delivery_day", "strike").distinct().withColumn("rung", c("strike"))
-    money = asof.nearest_join(events, rungs, ["delivery_day"], "peak", "rung", ["strike"], F.lit(1e18), "atm", tie=c("strike")).where("atm is not null").withColumn(
-        "strike", c("atm.strike")).drop("atm")
     key = ["delivery_day", "strike"]
-    based = asof.asof_join(money, ladder.withColumn("q_us", c("cap")), key, "pub", "q_us", ["mid"], "base", strict=True, tie=c("qid"))
-    acted = asof.asof_join(based, ladder.withColumn("q_us", c("cap")), key, "rcv", "q_us", ["ask", "size"], "act", forward=True, tie=c("qid"))
-    extremes = ladder.groupBy(*key, "cap_day").agg(F.max("mid").alias("hi"), F.min("mid").alias("lo"))
-    gain = F.round((F.when(c("dir") == 1, c("hi")).otherwise(c("lo")) - c("base.mid")) * c("dir"), 9)
-    crossings = reduce(lambda a, b: a.unionByName(b), [
-        acted.select("doc_id", *key, "dir", "pub", "base").join(extremes, key).where((c("cap_day") >= F.floor(c("pub") / DAY)) & (gain >= limit)).groupBy("doc_id", *key, "dir", "base").agg(
-            F.min("cap_day").alias("cap_day")).withColumns({"kind": F.lit(kind), "limit": F.lit(limit)}) for kind, limit in (("t1", MOVE), ("t2", REPRICE))])
-    opened = crossings.join(ladder.select(*key, "cap_day", "cap", "mid"), [*key, "cap_day"]).where(F.round((c("mid") - c("base.mid")) * c("dir"), 9) >= c("limit"))
-    moved = opened.groupBy("doc_id").agg(*[F.min(F.when(c("kind") == k, c("cap"))).alias(k) for k in ("t1", "t2")])
+    # The last quote of a time for who looks back, the first for who looks ahead.
+    points = checkpointed(ladder.groupBy(*key, "cap").agg(
+        F.max("mid").alias("hi"), F.min("mid").alias("lo"), F.max_by("mid", "qid").alias("mid"), F.min_by(F.struct("ask", "size"), "qid").alias("offer")))
+    rungs = points.select(*key).distinct().withColumn("rung", c("strike"))
+    money = checkpointed(asof.nearest_join(events, rungs, ["delivery_day"], "peak", "rung", ["strike"], F.lit(1e18), "atm", tie=c("strike")).where("atm is not null").withColumn(
+        "strike", c("atm.strike")).drop("atm"))
+    quoted = points.withColumn("q_us", c("cap"))
+    based = asof.asof_join(money.select(*key, "pub").distinct(), quoted, key, "pub", "q_us", ["mid"], "base", strict=True, tie=c("cap"))
+    acted = asof.asof_join(money.select(*key, "rcv").distinct(), quoted, key, "rcv", "q_us", ["offer"], "act", forward=True, tie=c("cap"))
+    base = checkpointed(based.select(*key, "pub", c("base.mid").alias("base")))
+    asked = money.select(*key, "pub", "dir").distinct().join(base, [*key, "pub"]).where("base is not null")
+    cap_day = F.floor(c("cap") / DAY).cast("long")
+    extremes = points.groupBy(*key, cap_day.alias("cap_day")).agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"))
+    gain = F.round((F.when(c("dir") == 1, c("hi")).otherwise(c("lo")) - c("base")) * c("dir"), 9)
+    kinds = [("t1", MOVE), ("t2", REPRICE)]
+    crossed = asked.join(extremes, key).where(c("cap_day") >= F.floor(c("pub") / DAY)).groupBy(*key, "pub", "dir", "base").agg(
+        *[F.min(F.when(gain >= limit, c("cap_day"))).alias(k) for k, limit in kinds])
+    days = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(limit).alias("limit"), c(k).alias("cap_day")) for k, limit in kinds])
+    opened = crossed.select(*key, "pub", "dir", "base", F.inline(days)).join(points.withColumn("cap_day", cap_day), [*key, "cap_day"]).where(gain >= c("limit"))
+    moved = opened.groupBy(*key, "pub", "dir").agg(*[F.min(F.when(c("kind") == k, c("cap"))).alias(k) for k, _ in kinds])
     lead = c("delivery_day") - c("publish_day")
     v, a = vintages(spark, sf), actual_peaks(spark, sf)
     errors = v.join(a, v["delivery_day"] == a["day"]).where(lead.between(0, 6)).groupBy(lead.alias("lead")).agg(
@@ -193,7 +203,8 @@ def j26r(spark, sf):
     def fair(peak):
         return F.lit(1.0) - normal_cdf((c("strike") - (c(peak) + c("bias"))) / c("sd"))
 
-    out = acted.join(moved, "doc_id", "left").withColumn("lead", lead).join(errors, "lead", "left")
+    out = money.join(moved, [*key, "pub", "dir"], "left").join(acted.select(*key, "rcv", c("act.offer").alias("act")), [*key, "rcv"], "left").withColumn(
+        "lead", lead).join(errors, "lead", "left")
     second = F.lit(1_000_000)
     return out.select(
         "doc_id", "delivery_day", r6(c("peak") - c("pp")).alias("delta_peak"), "strike", r6(fair("pp")).alias("p_old"), r6(fair("peak")).alias("p_new"),
