@@ -18,9 +18,87 @@ from tidemark.operators.ordered import running
 # Cumulative Poisson(1) probabilities for 0..8.
 _POISSON = np.array([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
                      0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.999998874797402])
+# The smallest 32-bit draw that reaches each of them.
+_POISSON_DRAWS = np.ceil(_POISSON * 4294967296.0).astype(np.uint32)
+# Start, turns and sines of MD5 (RFC 1321).
+_MD5_START = np.array([0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476], np.uint32)
+_MD5_TURNS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_MD5_SINES = np.floor(np.abs(np.sin(np.arange(1, 65, dtype=np.float64))) * 4294967296.0).astype(np.uint32)
+# Digests computed at a time: their arrays stay in a core's cache.
+DIGESTS = 16_384
 # A multiplier and the Mersenne prime of a Lehmer generator, the permutations' round function.
 LEHMER, MERSENNE, ROUNDS = 1583458089, 2147483647, 4
-VECTOR_BLOCK, HELD_BYTES, BLOCK_ROWS = 250, 64_000_000, 4096
+VECTOR_BLOCK, HELD_BYTES, BLOCK_ROWS, STRETCH = 250, 64_000_000, 4096, 128
+
+
+def _short_digests(heads: np.ndarray, tails: np.ndarray, size: int) -> np.ndarray:
+    """MD5 of every head joined to every tail, as four numbers: all messages have ``size`` bytes and fit one block.
+
+    Both are rows of 64 bytes with zeros where the other stands; the rounds run over all messages at a time.
+    """
+    end = np.zeros(64, np.uint8)
+    end[size] = 0x80
+    end[56:64] = np.frombuffer((8 * size).to_bytes(8, "little"), np.uint8)
+    left, right = heads.view("<u4"), (tails | end).view("<u4")
+    text = [right[:, None, i] if not left[:, i].any() else left[None, :, i] | right[:, None, i] for i in range(16)]
+    shape = (len(tails), len(heads))
+    a, b, c, d = (np.full(shape, x, np.uint32) for x in _MD5_START)
+    f, g = np.empty(shape, np.uint32), np.empty(shape, np.uint32)
+    for i in range(64):
+        turn, at = i // 16, (i, 5 * i + 1, 3 * i + 5, 7 * i)[i // 16] % 16
+        if turn == 0:
+            np.bitwise_xor(c, d, out=f)
+            np.bitwise_and(f, b, out=f)
+            np.bitwise_xor(f, d, out=f)
+        elif turn == 1:
+            np.bitwise_xor(b, c, out=f)
+            np.bitwise_and(f, d, out=f)
+            np.bitwise_xor(f, c, out=f)
+        elif turn == 2:
+            np.bitwise_xor(b, c, out=f)
+            np.bitwise_xor(f, d, out=f)
+        else:
+            np.invert(d, out=f)
+            np.bitwise_or(f, b, out=f)
+            np.bitwise_xor(f, c, out=f)
+        np.add(f, a, out=f)
+        np.add(f, text[at] + _MD5_SINES[i], out=f)
+        by = np.uint32(_MD5_TURNS[turn][i % 4])
+        np.left_shift(f, by, out=g)
+        np.right_shift(f, np.uint32(32) - by, out=f)
+        np.bitwise_or(f, g, out=f)
+        np.add(f, b, out=f)
+        a, d, c, b, f = d, c, b, f, a
+    return np.stack([x + y for x, y in zip((a, b, c, d), _MD5_START)], axis=-1)
+
+
+def _digest_draws(names: Sequence[str | None], seed: int, count: int) -> np.ndarray:
+    """The 32-bit numbers of the MD5 digests of (seed, 0 .. count - 1, name), four per digest, for every name."""
+    out = np.empty((len(names), count, 4), ">u4")
+    heads: dict[int, list[tuple[int, bytes]]] = {}
+    for b in range(count):
+        heads.setdefault(len(head := f"{seed}|{b}|".encode()), []).append((b, head))
+    longest = max(heads, default=0)
+    sizes: dict[int, list[int]] = {}
+    texts = [None if name is None else name.encode() for name in names]
+    for i, text in enumerate(texts):
+        if text is not None and longest + len(text) <= 55:
+            sizes.setdefault(len(text), []).append(i)
+        else:
+            digests = b"".join(hashlib.md5("|".join([str(seed), str(b), *([] if text is None else [names[i]])]).encode()).digest() for b in range(count))
+            out[i] = np.frombuffer(digests, ">u4").reshape(count, 4)
+    for size, members in sizes.items():
+        body = np.frombuffer(b"".join(texts[i] for i in members), np.uint8).reshape(len(members), size)
+        for at, group in heads.items():
+            head = np.zeros((len(group), 64), np.uint8)
+            head[:, :at] = np.frombuffer(b"".join(h for _, h in group), np.uint8).reshape(-1, at)
+            tail = np.zeros((len(members), 64), np.uint8)
+            tail[:, at:at + size] = body
+            step, first = max(1, DIGESTS // len(group)), group[0][0]
+            for i in range(0, len(members), step):
+                # A digest is its numbers from the low byte up; a draw reads those bytes from the high one down.
+                out[members[i:i + step], first:first + len(group)] = _short_digests(head, tail[i:i + step], at + size).byteswap()
+    return out
 
 
 def cluster_weights(names: Sequence[str | None], replicates: int, seed: int) -> np.ndarray:
@@ -28,11 +106,11 @@ def cluster_weights(names: Sequence[str | None], replicates: int, seed: int) ->
 
     A digest of (seed, replicate // 4, cluster) gives four of them, so the draws depend on nothing else.
     """
-    digests = b"".join(
-        hashlib.md5("|".join([str(seed), str(b), *([] if name is None else [name])]).encode()).digest()
-        for name in names for b in range(-(-replicates // 4)))
-    draws = np.frombuffer(digests, ">u4").reshape(len(names), -1)[:, :replicates] / 4294967296.0
-    return np.searchsorted(_POISSON, draws, side="right").astype(np.int8)
+    draws = _digest_draws(names, seed, -(-replicates // 4)).astype(np.uint32).reshape(len(names), -1)[:, :replicates]
+    out = np.zeros(draws.shape, np.int8)
+    for least in _POISSON_DRAWS:
+        out += draws >= least
+    return out
 
 
 def _local_groups(batch: pa.RecordBatch, names: Sequence[str]) -> tuple[np.ndarray, list[tuple]]:
@@ -85,23 +163,23 @@ def replicate_sums(clusters: DataFrame, cluster: str, keys: Sequence[str], value
             weights = np.stack([drawn[n] for (n,) in names])
             group, found = _local_groups(batch, keys)
             order = np.argsort(group, kind="stable")
-            data = [np.nan_to_num(batch.column(v).to_numpy(zero_copy_only=False)[order]) for v in values]
+            data = np.stack([np.nan_to_num(batch.column(v).to_numpy(zero_copy_only=False)[order]) for v in values])
             group, who = group[order], who[order]
-            for at in range(0, len(order), 512):
-                g, w = group[at:at + 512], weights[who[at:at + 512]]
-                starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-                sums = [np.add.reduceat(w * x[at:at + 512, None], starts, axis=0) for x in data]
-                for j, s in enumerate(starts):
+            for at in range(0, len(order), STRETCH):
+                g, w = group[at:at + STRETCH], weights[who[at:at + STRETCH]].astype(np.float64)
+                starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]])).tolist()
+                for s, e in zip(starts, starts[1:]):
                     total = held.setdefault(found[g[s]], np.zeros((len(values), replicates)))
-                    for i in range(len(values)):
-                        total[i] += sums[i][j]
+                    total += data[:, at + s:at + e] @ w[s:e]
                 if len(held) * replicates * len(values) * 8 > HELD_BYTES:
                     yield written(held, schema)
                     held = {}
         if held:
             yield written(held, schema)
 
-    partial = rows.repartition("_cluster").sortWithinPartitions("_cluster").mapInArrow(run, vectors)
+    # Many draws per row: partitions are not joined for being small in bytes.
+    tasks = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partial = rows.repartition(tasks, "_cluster").sortWithinPartitions("_cluster").mapInArrow(run, vectors)
     # Without keys all rows are one group; the block alone tells partial vectors apart.
     sums = partial.groupBy(*keys, "_block").applyInArrow(_vector_sum(keys, values), vectors)
     ordered = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", *values))).alias("_v"))

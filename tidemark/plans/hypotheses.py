@@ -26,6 +26,7 @@ from tidemark.plans.inference import B
 from tidemark.plans.pit import DAY, HOUR
 from tidemark.plans.registry import query, s6
 from tidemark.plans.scores import six
+from tidemark.session import checkpointed
 from tidemark.sources import tables as tb
 
 SHORT, MIDDLE, LONG, TOLERANCE = 1, 5, 30, 12
@@ -93,7 +94,7 @@ def a62h(spark, sf):
     return six(evaluated(observations(tb.books(spark, sf), tb.trades(spark, sf))))
 
 
-def book_series(books):
+def book_series(books, prof=None):
     """Two-sided books with the features that condition a hypothesis."""
     c = F.col
     two = books.where((F.size("bids") > 0) & (F.size("asks") > 0))
@@ -105,9 +106,9 @@ def book_series(books):
         moves = df.withColumn("lr", F.ln(c("mid") / F.lag("mid").over(w)))
         return moves.withColumn("vol", F.coalesce(F.stddev_samp("lr").over(w.rowsBetween(-30, -1)), F.lit(0.0))).drop("lr")
 
-    moved = rolling(base, ["market_slug"], "ts_us", ["event_id"], 31, volatility)
+    moved = rolling(base, ["market_slug"], "ts_us", ["event_id"], 31, volatility, prof=prof)
     earlier = rolling_range(moved, ["market_slug"], "ts_us", MIDDLE * HOUR, lambda df, w: df.withColumn(
-        "d0", F.first(c("ad") - c("bd")).over(w.rangeBetween(-MIDDLE * HOUR, 0))))
+        "d0", F.first(c("ad") - c("bd")).over(w.rangeBetween(-MIDDLE * HOUR, 0))), prof=prof)
     ends = base.groupBy("market_slug").agg(F.min("ts_us").alias("t0"), F.max("ts_us").alias("t1"))
     tte = F.when(c("t1") > c("t0"), (c("ts_us") - c("t0")) / (c("t1") - c("t0"))).otherwise(0.5)
     return earlier.join(ends, "market_slug").withColumns({"tte": tte, "depth": c("bd") + c("ad")}).drop("t0", "t1")
@@ -117,10 +118,12 @@ def observations(books, trades):
     """One row per signal with a book near its horizon: ``no``, cluster, gross move, future mid and spread, controls.
 
     Every signal probes the book series once, at its own horizon, so each book and trade meets
-    the series in one ordered pass.
+    the series in one ordered pass. All passes share one profile of the markets, and the series
+    is written once for all that read it.
     """
     c = F.col
-    series = book_series(books)
+    prof = asof.stream_profile(books, trades, ["market_slug"], "ts_us", "ts_us")
+    series = checkpointed(book_series(books, prof))
     quotes = series.select("market_slug", "event_id", c("ts_us").alias("q_us"), "mid", "spread")
 
     def signals(df, kinds):
@@ -131,13 +134,13 @@ def observations(books, trades):
         "no", "s", "h", "market_slug", "ts_us", c("mid").alias("start"), "spread", "depth", "mid", "tte", "vol")
     signed = trades.withColumn("flow1", F.when(c("taker_side") == "BUY", c("size")).otherwise(-c("size")))
     flows = rolling_range(signed, ["market_slug"], "ts_us", SHORT * HOUR, lambda df, w: df.withColumn(
-        "flow", F.sum("flow1").over(w.rangeBetween(-SHORT * HOUR, 0))))
-    met = asof.asof_join(flows, quotes, ["market_slug"], "ts_us", "q_us", ["mid"], "at", tie=c("event_id")).where("at is not null")
+        "flow", F.sum("flow1").over(w.rangeBetween(-SHORT * HOUR, 0))), prof=prof)
+    met = asof.asof_join(flows, quotes, ["market_slug"], "ts_us", "q_us", ["mid"], "at", tie=c("event_id"), prof=prof).where("at is not null")
     made = signals(met, [(3, c("flow").cast("double")), (4, F.when(c("taker_side") == "BUY", -1.0).otherwise(1.0))]).select(
         "no", "s", "h", "market_slug", "ts_us", c("at.mid").alias("start"))
     probes = own.unionByName(made, allowMissingColumns=True).withColumn("target_us", c("ts_us") + c("h").cast("long") * F.lit(HOUR))
     near = asof.nearest_join(probes, quotes.withColumnsRenamed({"mid": "fm", "spread": "fs"}), ["market_slug"], "target_us", "q_us", ["fm", "fs"],
-                             F.lit(TOLERANCE * HOUR), tie=c("event_id")).where("near is not null")
+                             F.lit(TOLERANCE * HOUR), tie=c("event_id"), prof=prof).where("near is not null")
     day = F.floor(c("ts_us") / F.lit(DAY))
     return near.select("no", "market_slug", day.alias("day"), F.concat_ws("|", "market_slug", day).alias("cluster"), (c("s") * (c("near.fm") - c("start"))).alias("gross"),
                        c("near.fm").alias("fm"), c("near.fs").alias("fs"), "spread", "depth", "mid", "tte", "vol")
@@ -174,12 +177,13 @@ def controls(net):
 def evaluated(rows, replicates=B):
     """Effect, interval, corrected p value, controls and decision of every hypothesis of both sets."""
     c = F.col
+    rows = checkpointed(rows)
     cost = F.lit(HALF_SPREAD) * c("fs")
     nets = {"H": c("gross") - cost - F.lit(FLAT_FEE) * c("fm"), "P": c("gross") - cost - F.lit(CURVED_FEE) * c("fm") * (F.lit(1.0) - c("fm"))}
     net = rows.withColumn("x", F.explode(F.array(*[F.struct(F.lit(k).alias("family"), v.alias("net")) for k, v in nets.items()]))).select("*", "x.*").drop("x")
     keys = ["family", "no"]
-    clusters = net.groupBy(*keys, "cluster").agg(F.sum("net").alias("sn"), F.sum("gross").alias("sg"), F.count(F.lit(1)).alias("n"),
-                                                 F.first("market_slug").alias("market"), F.first("day").alias("day"))
+    clusters = checkpointed(net.groupBy(*keys, "cluster").agg(F.sum("net").alias("sn"), F.sum("gross").alias("sg"), F.count(F.lit(1)).alias("n"),
+                                                 F.first("market_slug").alias("market"), F.first("day").alias("day")))
     found = clusters.groupBy(*keys).agg(F.sum("n").alias("labelled"), F.countDistinct("market").alias("tickers"), F.countDistinct("day").alias("days"),
                                         (F.sum("sg") / F.sum("n")).alias("gross"))
     worse = F.filter("stats", lambda m: F.when(c("no") == 4, m >= 0).otherwise(m <= 0))
