@@ -403,19 +403,21 @@ def islands(
 
 def nearest_rank(
     df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Callable[[Column], Column]],
-    hot_rows: int | None = None,
+    hot_rows: int | None = None, weight: str | None = None, prof: Profile | None = None,
 ) -> DataFrame:
     """Exact order statistics: ``ranks`` maps a name to f(n) giving a 1-based rank.
 
+    ``weight`` names a column that tells how many equal rows a row stands for.
+
     Values are counted first, so repeated values cost one row; the running count over
     distinct values then locates each rank. No group is collected.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("_c")
+        (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_c")
     )
     both = running(
         counted, keys, value, [],
-        {"_cum": ("sum", F.col("_c")), "_rest": ("sum_after", F.col("_c"))}, hot_rows=hot_rows,
+        {"_cum": ("sum", F.col("_c")), "_rest": ("sum_after", F.col("_c"))}, hot_rows=hot_rows, prof=prof,
     )
     both = both.withColumn("n", F.col("_cum") + F.col("_rest") - F.col("_c"))
     hit = {

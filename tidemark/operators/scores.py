@@ -10,6 +10,7 @@ from pyspark.sql.functions import col
 
 from tidemark.functions import scoring as sc
 from tidemark.operators.ordered import running
+from tidemark.session import checkpointed
 
 
 
@@ -293,26 +294,39 @@ def consensus(df: DataFrame) -> DataFrame:
 
     Order statistics come from counted values and running counts, never from a
     collected list. The median is the usual one, the deviation takes the upper middle.
+    Values are counted once. Without hot markets the counts are dealt by market once and windows
+    do the rest where the market is; hot markets are cut into blocks.
     """
-    from tidemark.operators.ordered import nearest_rank
+    from tidemark.operators.ordered import nearest_rank, profile
 
+    market, w, v = ["market_id"], F.col("w"), F.col("v")
     base = df.where(col("model_p").isNotNull())
-    stats = base.groupBy("market_id").agg(
-        F.count(F.lit(1)).alias("members"), F.avg(col("model_p")).alias("mean"),
-        F.stddev_samp(col("model_p")).alias("std"), F.min(col("model_p")).alias("lo"), F.max(col("model_p")).alias("hi"),
-    )
-    middle = nearest_rank(
-        base, ["market_id"], "model_p",
-        {"m1": lambda n: F.floor((n - 1) / 2) + 1, "m2": lambda n: F.floor(n / 2) + 1},
-    ).select("market_id", ((F.col("m1") + F.col("m2")) / F.lit(2.0)).alias("median"))
-    deviations = base.join(middle, "market_id").select(
-        "market_id", F.abs(col("model_p") - F.col("median")).alias("dev")
-    )
-    mad = nearest_rank(
-        deviations, ["market_id"], "dev", {"mad": lambda n: F.floor(n / 2) + 1}
-    ).select("market_id", "mad")
+    prof = profile(base, market, "model_p")
+    counted = base.groupBy("market_id", col("model_p").alias("v")).agg(F.count(F.lit(1)).alias("w"))
+    ranks = {"m1": lambda n: F.floor((n - 1) / 2) + 1, "m2": lambda n: F.floor(n / 2) + 1}
+    if prof.hot is None:
+        whole = Window.partitionBy(*market)
+        so_far = F.sum("w").over(whole.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+        summed = counted.withColumns({"cum": so_far, "members": F.sum("w").over(whole), "mean": F.sum(v * w).over(whole) / F.sum("w").over(whole)})
+        around = summed.withColumns({
+            name: F.max(F.when((F.col("cum") - w < rank(F.col("members"))) & (rank(F.col("members")) <= F.col("cum")), v)).over(whole) for name, rank in ranks.items()})
+    else:
+        counted = checkpointed(counted)
+        sums = counted.groupBy("market_id").agg(F.sum("w").alias("members"), (F.sum(v * w) / F.sum("w")).alias("mean"))
+        middle = nearest_rank(counted, market, "v", ranks, weight="w", prof=prof).select("market_id", "m1", "m2")
+        around = counted.join(sums.join(middle, "market_id"), "market_id")
+    around = around.withColumn("median", (F.col("m1") + F.col("m2")) / F.lit(2.0)).withColumn("dev", F.abs(v - F.col("median")))
+    if prof.hot is None:
+        around = around.withColumn("near", F.sum("w").over(whole.orderBy("dev").rowsBetween(Window.unboundedPreceding, 0)))
+        mad = F.min(F.when(F.col("near") >= ranks["m2"](F.col("members")), F.col("dev")))
+    else:
+        found = nearest_rank(around, market, "dev", {"mad": ranks["m2"]}, weight="w").select("market_id", "mad")
+        around, mad = around.join(found, "market_id"), F.max("mad")
+    square = (v - F.col("mean")) * (v - F.col("mean"))
     return (
-        stats.where("members > 1").join(middle, "market_id").join(mad, "market_id")
+        around.groupBy("market_id", "members", "mean", "median").agg(
+            F.sqrt(F.sum(square * w) / F.nullif(F.col("members") - 1, F.lit(0))).alias("std"), F.min("v").alias("lo"), F.max("v").alias("hi"), mad.alias("mad"))
+        .where("members > 1")
         .withColumn("disagreement", F.col("hi") - F.col("lo"))
     )
 
