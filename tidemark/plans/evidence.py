@@ -50,7 +50,9 @@ def contained(terms, texts):
     counted against the texts' words; no text is copied per candidate.
     """
     c = F.col
-    words = texts.select("slug", "date", F.explode("held").alias("word"))
+    # Only texts of an asked date can hold a term; the dates are those of the releases.
+    dated = texts.join(terms.select("date").distinct(), "date", "left_semi")
+    words = checkpointed(dated.select("slug", "date", F.explode("held").alias("word")))
     asked = terms.select("term_id", F.explode("term").alias("word")).distinct()
     seen = words.join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     rare = asked.join(seen, "word").groupBy("term_id").agg(F.min(F.struct("df", "word")).alias("rare"), F.count(F.lit(1)).alias("known"))
