@@ -239,6 +239,21 @@ def test_training_order(docs):
     assert curriculum.in_training_order(docs.limit(0)).count() == 0
 
 
+def test_quality_sums_are_few(spark, monkeypatch):
+    """Matrices of a fixed size are made per block of rows, not per partition."""
+    rng = random.Random(5)
+    rows = [([rng.random() for _ in quality.STATISTICS], i % 2, i % 4 // 2) for i in range(90)]
+    train = spark.createDataFrame(rows, "stats array<double>, good long, fold int").repartition(30).cache()
+    parts, run = [], type(train).mapInArrow
+    monkeypatch.setattr(type(train), "mapInArrow", lambda df, *a, **b: parts.append(df.rdd.getNumPartitions()) or run(df, *a, **b))
+    model = quality.fit(train, "stats", "good", "fold")
+    assert parts[0] == 1
+    monkeypatch.setattr(quality, "BLOCK", 4)
+    again = quality.fit(train, "stats", "good", "fold")
+    assert parts[2] == 23 and (model.weights == again.weights).all() and (model.levels == again.levels).all()
+    train.unpersist()
+
+
 def test_quality(docs, spark):
     rng = random.Random(6)
     rows, labels = [], []

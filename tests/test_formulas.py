@@ -15,13 +15,14 @@ from tidemark.functions.stats import normal_cdf, two_sided_p
 from tidemark.operators import calibrate as cal
 from tidemark.operators import inference as inf
 from tidemark.operators import resampling as rs
-from tidemark.operators import intervals, scores
+from tidemark.operators import graph, intervals, scores
 from tidemark.operators.graph import connected_components
 from tidemark.operators.drift import START, adaptive_window, page_hinkley
 from tidemark.operators.sequences import BookSide
 from tidemark.plans.execution import basket
 from tidemark.plans.inference import mahalanobis
 from tidemark.plans.pit import canonical
+from tidemark.session import checkpointed
 
 
 def one(spark, expr):
@@ -234,6 +235,17 @@ def test_components(spark):
     assert got == {x: find(x) for x in parent}
 
 
+def test_components_of_stars_need_no_round(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(graph, "checkpointed", lambda df: stored.append(1) or checkpointed(df))
+    stars = spark.createDataFrame([(i, i % 3) for i in range(3, 40)] + [(5, 2), (1, 1)], "a long, b long")
+    assert {r["node"]: r["component"] for r in connected_components(stars, "a", "b").collect()} == {i: i % 3 for i in range(40)}
+    assert len(stored) == 1  # the edges only
+    chain = spark.createDataFrame([(4, 3), (3, 2), (9, 8), (7, 9)], "a long, b long")
+    got = {r["node"]: r["component"] for r in connected_components(chain, "a", "b").collect()}
+    assert got == {4: 2, 3: 2, 2: 2, 9: 7, 8: 7, 7: 7} and len(stored) > 2
+
+
 def test_covered_time(spark):
     w = spark.createDataFrame([("a", 1, 10, 50), ("a", 2, 0, 5), ("b", 3, 0, 100), ("a", 4, 45, 80)], "k string, id int, ws long, we long")
     g = spark.createDataFrame([("a", 12, 20), ("a", 18, 30), ("a", 40, 60), ("b", 50, 60)], "k string, s long, e long")

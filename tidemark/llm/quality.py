@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import checkpointed, words
+from tidemark.llm.common import blocks_for, checkpointed, words
 
 STATISTICS = (
     "log_chars", "log_words", "word_length", "word_length_spread", "distinct_words", "top_word", "distinct_pairs",
@@ -35,6 +35,8 @@ STATISTICS = (
 )
 FEATURES, GRID, SEED = 320, 4096, 20260
 RIDGE, WIDTH = 1.0, 5.0
+# Rows whose sums a task makes, about.
+BLOCK = 8192
 
 
 def _kinds() -> np.ndarray:
@@ -177,7 +179,8 @@ def fit(train: DataFrame, stats: str, good: str, fold: str) -> Model:
                 [pa.array([f * width + i for i in range(width)], pa.int32()),
                  pa.array([[*gram[f, i], moment[f, i]] for i in range(width)], pa.list_(pa.float64()))], names=["line", "sums"])
 
-    partial = train.select(stats, good, fold).mapInArrow(sums, "line int, sums array<double>")
+    # A task's matrices take 1.9 MB whatever its rows are, so tasks that hold few rows are put together.
+    partial = train.select(stats, good, fold).coalesce(blocks_for(n, BLOCK)).mapInArrow(sums, "line int, sums array<double>")
     total = partial.groupBy("line").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(width + 1)]).alias("sums"))
     lines = {r["line"]: r["sums"] for r in total.collect()}
     both = np.array([[lines[f * width + i] for i in range(width)] for f in (0, 1)])

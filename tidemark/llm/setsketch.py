@@ -188,8 +188,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Da
     return both.where(_linked(percent, size, F.col("text_a"), F.col("text_b"))).select("a", "b")
 
 
-def _components(links: DataFrame) -> DataFrame:
-    """``id`` and ``component`` of every linked representative."""
+def _components(links: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """``id`` and ``component`` of every linked representative; parts: components already found, which new links join."""
+    links = links.select("a", "b")
+    if parts is not None:
+        links = checkpointed(links)
+        if links.isEmpty():
+            return parts
+        links = links.unionByName(parts.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")))
     found = connected_components(links, "a", "b")
     return checkpointed(found.select(F.col("node").alias("id"), F.col("component")).dropDuplicates(["id"]))
 
@@ -292,15 +298,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     involved = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
     texts = checkpointed(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(involved, "id", "left_semi").dropDuplicates(["id"]))
     best = likely.groupBy("a").agg(F.max_by("b", F.struct("similar", -F.col("b"))).alias("b"))
-    links = checkpointed(_verified(best, texts, percent, shingle_words))
-    parts = _components(links)
+    parts = _components(_verified(best, texts, percent, shingle_words))
     one, two = (parts.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
     rest = likely.join(best, ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left").where(
         F.coalesce("c_a", "a") != F.coalesce("c_b", "b"))
-    links = checkpointed(links.unionByName(_verified(rest, texts, percent, shingle_words)))
-    parts = _components(links)
-    links = links.unionByName(_cells(edges, parts, texts, percent, shingle_words, block))
-    parts = _components(checkpointed(links))
+    parts = _components(_verified(rest, texts, percent, shingle_words), parts)
+    parts = _components(_cells(edges, parts, texts, percent, shingle_words, block), parts)
     named = classes.join(parts, "id", "left").select(
         F.col("digest").alias("class"), F.coalesce("component", F.col("id")).alias("root"))
     out = described.join(named, (F.col("digest") == F.col("class")) & (F.col("n") > 0), "left")
