@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +129,25 @@ def test_repeated_passages(docs):
     del seen
 
 
+def test_words_are_split_and_hashed_by_slice():
+    """The same words as the pattern's, in one array; a distinct word is hashed once."""
+    texts = [None, "", " \t\n", "a b  a\x0b\x0cb\r\n", " é\x1cx\x85y\xa0z\u2003 a", "\x00 \x1f a", "日本\u3000 é\u0301"]
+    asked = []
+
+    class Counting(substrings.Hasher):
+        def __call__(self, found):
+            asked.extend(found)
+            return super().__call__(found)
+
+    column = pa.array([*texts, "skipped"]).slice(0, len(texts))
+    flat, bounds, h = substrings._coded(column, Counting())
+    want = [common.words(t) for t in texts]
+    assert [flat[a:b].to_pylist() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())] == want
+    assert sorted(asked) == sorted({w for t in want for w in t})
+    assert h.tolist() == substrings.Hasher()([w for t in want for w in t]).tolist()
+    assert substrings._joined(flat, bounds).to_pylist() == [" ".join(t) for t in want]
+
+
 def test_suffix_automaton():
     rng = random.Random(2)
     text = [rng.randrange(3) for _ in range(300)]

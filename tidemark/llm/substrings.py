@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, mix64, slices, words
+from tidemark.llm.common import checkpointed, mix64, slices
 
 WINDOW, SHORT, SHARD_WORDS = 20, 5, 50_000
 
@@ -92,6 +92,24 @@ class Hasher:
         return np.array(codes, np.uint64)
 
 
+def _coded(texts: pa.Array, hasher: Hasher) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words of all texts in one array, the bounds of each text's words in it, and their hashes.
+
+    Arrow's ASCII white space is the set of six characters that separate words. A distinct word is hashed once.
+    """
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    flat, bounds = split.flatten(), split.offsets.to_numpy()
+    filled = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at an end leaves an empty part
+    flat, bounds = flat.filter(pa.array(filled)), np.concatenate([[0], np.cumsum(filled)])[bounds - bounds[0]]
+    coded = flat.dictionary_encode()
+    return flat, bounds, hasher(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+
+
+def _joined(flat: pa.Array, bounds: np.ndarray) -> pa.Array:
+    """Each text's words with one space between."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat), " ")
+
+
 def _runs(h: np.ndarray, size: int) -> np.ndarray:
     """Hash of every run of ``size`` consecutive words."""
     n = len(h) - size + 1
@@ -121,11 +139,12 @@ def window_anchors(h: np.ndarray, window: int, short: int) -> np.ndarray:
 
 def _places(h: np.ndarray, window: int, short: int) -> np.ndarray:
     """Distinct anchors of a document; one whose run stands in several places is given twice, as it repeats already."""
-    anchors = window_anchors(h, window, short)
-    if not len(anchors):
-        return anchors
+    if len(h) < window:
+        return np.zeros(0, np.uint64)
+    found = _runs(h, short)
+    anchors = _window_least(found, window - short + 1)
     values = np.unique(anchors[np.concatenate([[True], anchors[1:] != anchors[:-1]])])
-    runs, count = np.unique(_runs(h, short), return_counts=True)
+    runs, count = np.unique(found, return_counts=True)
     return np.concatenate([values, values[count[np.searchsorted(runs, values)] > 1]])
 
 
@@ -136,12 +155,10 @@ def _described(docs: DataFrame, window: int, short: int) -> DataFrame:
             lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
             for a, b in slices(lengths, 1_000_000):
                 part = batch.slice(a, b - a)
-                count, sha, anchors = [], [], []
-                for text in part.column("text").to_pylist():
-                    found = words(text)
-                    count.append(len(found))
-                    sha.append(hashlib.sha256(" ".join(found).encode("utf-8", "surrogatepass")).digest())
-                    anchors.append(_places(hasher(found), window, short).view(np.int64))
+                flat, bounds, h = _coded(part.column("text"), hasher)
+                count = np.diff(bounds)
+                sha = [hashlib.sha256(t).digest() for t in _joined(flat, bounds).cast(pa.binary()).to_pylist()]
+                anchors = [_places(h[i:j], window, short).view(np.int64) for i, j in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(count, pa.int64()), pa.array(sha, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))],
                     names=["doc_id", "n_words", "sha", "anchors"])
@@ -164,15 +181,31 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("t_id"), "text").mapInArrow(run, "t_id long, text binary")
 
 
-def _unpacked(packed: bytes | None) -> str | None:
-    return None if packed is None else zstandard.ZstdDecompressor().decompress(packed).decode("utf-8", "surrogatepass")
+def _unpacked(batch: pa.RecordBatch):
+    """First row and texts of consecutive parts of a batch of packed rows, about 2 MB of text each."""
+    press, start, held, size = zstandard.ZstdDecompressor(), 0, [], 0
+    for i, packed in enumerate(batch.column("text").to_pylist()):
+        held.append(None if packed is None else press.decompress(packed))
+        size += len(held[-1] or b"")
+        if size > 2_000_000 or i + 1 == batch.num_rows:
+            yield start, pa.array(held, pa.binary()).view(pa.string())
+            start, held, size = i + 1, [], 0
+
 
+def _candidates(h: np.ndarray, repeated: np.ndarray, window: int, short: int) -> np.ndarray:
+    """Which windows have a repeated anchor."""
+    return np.isin(window_anchors(h, window, short), repeated.view(np.uint64))
 
-def _candidates(found: list[str], hasher: Hasher, repeated: list[int], window: int, short: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes, and which windows have a repeated anchor."""
-    h = hasher(found)
-    anchors = window_anchors(h, window, short)
-    return h, np.isin(anchors, np.array(repeated, np.int64).view(np.uint64))
+
+def _passages(batch: pa.RecordBatch, hasher: Hasher, window: int, short: int):
+    """Words and bounds of each part of a batch, and row, word hashes and candidate windows of its texts."""
+    repeated = batch.column("repeated")
+    for start, texts in _unpacked(batch):
+        flat, bounds, h = _coded(texts, hasher)
+        rows = []
+        for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]), start):
+            rows.append((i, h[a:b], _candidates(h[a:b], repeated[i].values.to_numpy(), window, short)))
+        yield flat, bounds, rows
 
 
 def _fresh_windows(passages: DataFrame, window: int, short: int, shard_words: int) -> DataFrame:
@@ -183,10 +216,10 @@ def _fresh_windows(passages: DataFrame, window: int, short: int, shard_words: in
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             out = ([], [], [])
-            for i, doc_id in enumerate(ids):
-                h, mask = _candidates(words(_unpacked(batch.column("text")[i].as_py())), hasher, batch.column("repeated")[i].as_py(), window, short)
+            for i, h, mask in (row for _, _, rows in _passages(batch, hasher, window, short) for row in rows):
                 if not mask.any():
                     continue
+                doc_id = ids[i]
                 digests = _runs(h, window)
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
                 for first, after in zip(edge[::2].tolist(), edge[1::2].tolist()):
@@ -214,19 +247,22 @@ def _cut(passages: DataFrame, window: int, short: int) -> DataFrame:
     def run(batches):
         hasher = Hasher()
         for batch in batches:
-            rows = []
-            for i in range(batch.num_rows):
-                found = words(_unpacked(batch.column("text")[i].as_py()))
-                _, mask = _candidates(found, hasher, batch.column("repeated")[i].as_py(), window, short)
-                mask[np.array(batch.column("firsts")[i].as_py() or [], np.int64)] = False
-                edges = np.zeros(len(found) + 1, np.int64)
-                np.add.at(edges, np.flatnonzero(mask), 1)
-                np.add.at(edges, np.flatnonzero(mask) + window, -1)
-                covered = np.cumsum(edges)[:-1] > 0
-                rows.append((int(covered.sum()), " ".join(w for w, gone in zip(found, covered.tolist()) if not gone)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("sha"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())],
-                names=["doc_id", "sha", "n_removed", "kept_text"])
+            firsts = batch.column("firsts")
+            for flat, bounds, rows in _passages(batch, hasher, window, short):
+                kept = np.ones(len(flat), bool)
+                for (i, h, mask), start in zip(rows, bounds):
+                    if firsts[i].is_valid:
+                        mask[firsts[i].values.to_numpy()] = False
+                    edges = np.zeros(len(h) + 1, np.int64)
+                    at = np.flatnonzero(mask)
+                    edges[at] += 1
+                    edges[at + window] -= 1
+                    kept[start:start + len(h)] = np.cumsum(edges)[:-1] == 0
+                left = np.concatenate([[0], np.cumsum(kept)])[bounds]
+                part = batch.slice(rows[0][0], len(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("sha"), pa.array(np.diff(bounds) - np.diff(left), pa.int64()), _joined(flat.filter(pa.array(kept)), left)],
+                    names=["doc_id", "sha", "n_removed", "kept_text"])
 
     return passages.mapInArrow(run, "doc_id long, sha binary, n_removed long, kept_text string")
 
