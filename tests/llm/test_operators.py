@@ -148,6 +148,25 @@ def test_words_are_split_and_hashed_by_slice():
     assert substrings._joined(flat, bounds).to_pylist() == [" ".join(t) for t in want]
 
 
+def test_anchors_of_a_slice_are_found_at_once(monkeypatch):
+    """The anchors of all texts of a slice, by one pass over its words; one in several places of a text twice."""
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, k, n).astype(np.uint64) for k, n in ((2, 90), (1, 70), (9, 0), (9, 19), (9, 20), (10**6, 300), (3, 400), (9, 4))]
+    h, bounds = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    runs, calls = substrings._runs, []
+    want = []
+    for t in texts:
+        short = runs(t, 5).tolist() if len(t) >= 20 else []
+        places = {min(range(i, i + 16), key=lambda p: (short[p], p)) for i in range(len(t) - 19)}
+        want.append(sorted(v for v, n in Counter(short[p] for p in places).items() for _ in range(min(n, 2))))
+    monkeypatch.setattr(substrings, "_runs", lambda *a: calls.append(a) or runs(*a))
+    got = substrings._anchors(h, bounds, 20, 5)
+    assert len(calls) == 1
+    assert [sorted(v % 2**64 for v in row) for row in got.to_pylist()] == want
+    assert substrings._anchors(h[:7], np.array([0, 7]), 20, 5).to_pylist() == [[]]
+    assert substrings._anchors(h[:0], np.array([0]), 20, 5).to_pylist() == []
+
+
 def test_suffix_automaton():
     rng = random.Random(2)
     text = [rng.randrange(3) for _ in range(300)]

@@ -25,9 +25,9 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,20 +76,10 @@ class SuffixAutomaton:
 
 
 class Hasher:
-    """64-bit hashes of words, remembered up to a bound."""
+    """64-bit hashes of words, the same in every process."""
 
-    def __init__(self):
-        self.known: dict[str, int] = {}
-
-    def __call__(self, found: list[str]) -> np.ndarray:
-        if len(self.known) > 200_000:
-            self.known.clear()
-        codes = list(map(self.known.get, found))
-        if None in codes:
-            for i, w in enumerate(found):
-                if codes[i] is None:
-                    codes[i] = self.known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        return np.array(codes, np.uint64)
+    def __call__(self, found: list[str] | np.ndarray) -> np.ndarray:
+        return pd.util.hash_array(np.asarray(found, object), categorize=False)
 
 
 def _coded(texts: pa.Array, hasher: Hasher) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -102,7 +92,7 @@ def _coded(texts: pa.Array, hasher: Hasher) -> tuple[pa.Array, np.ndarray, np.nd
     filled = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at an end leaves an empty part
     flat, bounds = flat.filter(pa.array(filled)), np.concatenate([[0], np.cumsum(filled)])[bounds - bounds[0]]
     coded = flat.dictionary_encode()
-    return flat, bounds, hasher(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+    return flat, bounds, hasher(coded.dictionary.to_numpy(zero_copy_only=False))[coded.indices.to_numpy()]
 
 
 def _joined(flat: pa.Array, bounds: np.ndarray) -> pa.Array:
@@ -121,31 +111,45 @@ def _runs(h: np.ndarray, size: int) -> np.ndarray:
 
 
 def _window_least(values: np.ndarray, width: int) -> np.ndarray:
-    """Smallest value of every ``width`` consecutive ones, by doubling."""
-    done = 1
+    """Place of the first smallest value of every ``width`` consecutive ones, by doubling."""
+    places, done = np.arange(len(values)), 1
     while done < width:
         step = min(done, width - done)
-        values = np.minimum(values[:len(values) - step], values[step:])
+        left, right = places[:len(places) - step], places[step:]
+        places = np.where(values[right] < values[left], right, left)
         done += step
-    return values
+    return places
+
 
+def _windows(h: np.ndarray, bounds: np.ndarray, window: int, short: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the windows that lie within one text, the text of each, and the places and hashes of their anchors.
 
-def window_anchors(h: np.ndarray, window: int, short: int) -> np.ndarray:
-    """Anchor of every window: its smallest short-run hash."""
+    A window's anchor is the first of its smallest short runs. ``h`` holds the words of consecutive texts.
+    """
     if len(h) < window:
-        return np.zeros(0, np.uint64)
-    return _window_least(_runs(h, short), window - short + 1)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    count = np.diff(bounds)
+    starts = np.flatnonzero(np.arange(window, len(h) + 1) <= np.repeat(bounds[1:], count)[:len(h) - window + 1])
+    rows = np.repeat(np.arange(len(count)), np.maximum(count - window + 1, 0))
+    runs = _runs(h, short)
+    places = _window_least(runs, window - short + 1)[starts]
+    return starts, rows, places, runs[places]
 
 
-def _places(h: np.ndarray, window: int, short: int) -> np.ndarray:
-    """Distinct anchors of a document; one whose run stands in several places is given twice, as it repeats already."""
-    if len(h) < window:
-        return np.zeros(0, np.uint64)
-    found = _runs(h, short)
-    anchors = _window_least(found, window - short + 1)
-    values = np.unique(anchors[np.concatenate([[True], anchors[1:] != anchors[:-1]])])
-    runs, count = np.unique(found, return_counts=True)
-    return np.concatenate([values, values[count[np.searchsorted(runs, values)] > 1]])
+def _anchors(h: np.ndarray, bounds: np.ndarray, window: int, short: int) -> pa.Array:
+    """Anchors of each text; one that stands in several places is given twice, as it repeats already.
+
+    Equal windows of one text have equal anchors in different places.
+    """
+    _, rows, places, anchors = _windows(h, bounds, window, short)
+    new = np.flatnonzero(np.diff(places, prepend=-1))
+    rows, anchors = rows[new], anchors[new]
+    order = np.lexsort((anchors, rows))
+    rows, anchors = rows[order], anchors[order]
+    kept = np.ones(len(rows), bool)
+    kept[2:] = (rows[2:] != rows[:-2]) | (anchors[2:] != anchors[:-2])
+    ends = np.searchsorted(rows[kept], np.arange(len(bounds)))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(anchors[kept].view(np.int64)))
 
 
 def _described(docs: DataFrame, window: int, short: int) -> DataFrame:
@@ -156,11 +160,9 @@ def _described(docs: DataFrame, window: int, short: int) -> DataFrame:
             for a, b in slices(lengths, 1_000_000):
                 part = batch.slice(a, b - a)
                 flat, bounds, h = _coded(part.column("text"), hasher)
-                count = np.diff(bounds)
                 sha = [hashlib.sha256(t).digest() for t in _joined(flat, bounds).cast(pa.binary()).to_pylist()]
-                anchors = [_places(h[i:j], window, short).view(np.int64) for i, j in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(count, pa.int64()), pa.array(sha, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))],
+                    [part.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), pa.array(sha, pa.binary()), _anchors(h, bounds, window, short)],
                     names=["doc_id", "n_words", "sha", "anchors"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
@@ -175,7 +177,7 @@ def _packed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
-                packed = [None if t is None else press.compress(t.encode("utf-8", "surrogatepass")) for t in part.column("text").to_pylist()]
+                packed = [None if t is None else press.compress(t) for t in part.column("text").cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("t_id"), pa.array(packed, pa.binary())], names=["t_id", "text"])
 
     return docs.select(F.col("doc_id").cast("long").alias("t_id"), "text").mapInArrow(run, "t_id long, text binary")
@@ -192,20 +194,18 @@ def _unpacked(batch: pa.RecordBatch):
             start, held, size = i + 1, [], 0
 
 
-def _candidates(h: np.ndarray, repeated: np.ndarray, window: int, short: int) -> np.ndarray:
-    """Which windows have a repeated anchor."""
-    return np.isin(window_anchors(h, window, short), repeated.view(np.uint64))
-
-
 def _passages(batch: pa.RecordBatch, hasher: Hasher, window: int, short: int):
-    """Words and bounds of each part of a batch, and row, word hashes and candidate windows of its texts."""
-    repeated = batch.column("repeated")
+    """For each part of a batch: its first row, the words, bounds and word hashes of its texts, and the starts and rows of candidate windows.
+
+    An anchor that repeats is among those of every text it stands in, so one set serves all texts of a part.
+    """
     for start, texts in _unpacked(batch):
         flat, bounds, h = _coded(texts, hasher)
-        rows = []
-        for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]), start):
-            rows.append((i, h[a:b], _candidates(h[a:b], repeated[i].values.to_numpy(), window, short)))
-        yield flat, bounds, rows
+        repeated = np.unique(batch.column("repeated").slice(start, len(texts)).flatten().to_numpy())
+        starts, rows, places, anchors = _windows(h, bounds, window, short)
+        new = np.flatnonzero(np.diff(places, prepend=-1))
+        held = np.repeat(np.isin(anchors[new], repeated.view(np.uint64)), np.diff(new, append=len(places)))
+        yield start, flat, bounds, h, starts[held], rows[held]
 
 
 def _fresh_windows(passages: DataFrame, window: int, short: int, shard_words: int) -> DataFrame:
@@ -214,55 +214,52 @@ def _fresh_windows(passages: DataFrame, window: int, short: int, shard_words: in
     def run(batches):
         hasher, shard, held, separator = Hasher(), SuffixAutomaton(), 0, 0
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            out = ([], [], [])
-            for i, h, mask in (row for _, _, rows in _passages(batch, hasher, window, short) for row in rows):
-                if not mask.any():
+            ids = batch.column("doc_id").to_numpy()
+            for at, _, bounds, h, starts, rows in _passages(batch, hasher, window, short):
+                if not len(starts):
                     continue
-                doc_id = ids[i]
-                digests = _runs(h, window)
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-                for first, after in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                codes, seen = h.tolist(), []
+                edge = np.flatnonzero(np.diff(starts) > 1)  # the last starts of a text are no windows: passages end there
+                for first, last in zip(starts[np.concatenate([[0], edge + 1])].tolist(), starts[np.concatenate([edge, [-1]])].tolist()):
                     if held > shard_words:
                         shard, held = SuffixAutomaton(), 0
                     separator -= 1  # matches never cross passages: no word hash is negative
-                    stretch = h[first:after + window - 1].tolist()
-                    seen = np.array(shard.extend([separator, *stretch])[1:], np.int64)
+                    stretch = codes[first:last + window]
+                    seen += shard.extend([separator, *stretch])[window:]
                     held += len(stretch)
-                    new = first + np.flatnonzero(seen[window - 1:] < window)
-                    out[0].append(digests[new])
-                    out[1].append(np.full(len(new), doc_id, np.int64))
-                    out[2].append(new)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([*out[0], np.zeros(0, np.uint64)]).view(np.int64)),
-                pa.array(np.concatenate([*out[1], np.zeros(0, np.int64)]).astype(np.int64)),
-                pa.array(np.concatenate([*out[2], np.zeros(0, np.int64)]).astype(np.int32))], names=["digest", "doc_id", "start"])
+                new = np.array(seen) < window
+                starts, rows = starts[new], rows[new]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_runs(h, window)[starts].view(np.int64)), pa.array(ids[at + rows]), pa.array(starts - bounds[rows], pa.int32())],
+                    names=["digest", "doc_id", "start"])
 
     return passages.sortWithinPartitions("doc_id").mapInArrow(run, "digest long, doc_id long, start int")
 
 
 def _cut(passages: DataFrame, window: int, short: int) -> DataFrame:
-    """Removed words and kept text of documents with candidates, given their first windows."""
+    """Removed words and kept text of documents that lose some, given the first windows of each."""
 
     def run(batches):
         hasher = Hasher()
         for batch in batches:
-            firsts = batch.column("firsts")
-            for flat, bounds, rows in _passages(batch, hasher, window, short):
-                kept = np.ones(len(flat), bool)
-                for (i, h, mask), start in zip(rows, bounds):
-                    if firsts[i].is_valid:
-                        mask[firsts[i].values.to_numpy()] = False
-                    edges = np.zeros(len(h) + 1, np.int64)
-                    at = np.flatnonzero(mask)
-                    edges[at] += 1
-                    edges[at + window] -= 1
-                    kept[start:start + len(h)] = np.cumsum(edges)[:-1] == 0
+            for at, flat, bounds, h, starts, rows in _passages(batch, hasher, window, short):
+                part = batch.slice(at, len(bounds) - 1)
+                firsts = part.column("firsts")
+                repeats = np.zeros(len(h) + 1, bool)
+                repeats[starts] = True
+                count = pc.fill_null(pc.list_value_length(firsts), 0).to_numpy(zero_copy_only=False)
+                first = np.repeat(bounds[:-1], count) + firsts.flatten().to_numpy()
+                repeats[first[first < np.repeat(bounds[1:], count)]] = False
+                starts = np.flatnonzero(repeats)
+                edges = np.zeros(len(h) + 1, np.int64)
+                edges[starts] += 1
+                edges[starts + window] -= 1
+                kept = np.cumsum(edges)[:-1] == 0
                 left = np.concatenate([[0], np.cumsum(kept)])[bounds]
-                part = batch.slice(rows[0][0], len(rows))
+                removed = pa.array(np.diff(bounds) - np.diff(left), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("sha"), pa.array(np.diff(bounds) - np.diff(left), pa.int64()), _joined(flat.filter(pa.array(kept)), left)],
-                    names=["doc_id", "sha", "n_removed", "kept_text"])
+                    [part.column("doc_id"), part.column("sha"), removed, _joined(flat.filter(pa.array(kept)), left)],
+                    names=["doc_id", "sha", "n_removed", "kept_text"]).filter(pc.greater(removed, 0))
 
     return passages.mapInArrow(run, "doc_id long, sha binary, n_removed long, kept_text string")
 
@@ -285,7 +282,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT, s
     firsts = new.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("at")).groupBy(
         F.col("at.doc_id").alias("f_id")).agg(F.collect_list("at.start").alias("firsts"))
     cut = _cut(passages.join(firsts, F.col("doc_id") == F.col("f_id"), "left").select("doc_id", "sha", "text", "repeated", "firsts"), window, short)
-    changed = cut.where("n_removed > 0").dropDuplicates(["doc_id", "sha"]).unionByName(marked.where("copy").join(
+    changed = cut.dropDuplicates(["doc_id", "sha"]).unionByName(marked.where("copy").join(
         real.select(F.col("doc_id").alias("n_id"), F.col("sha").alias("n_sha"), F.col("n_words").alias("n_removed")).distinct(),
         (F.col("doc_id") == F.col("n_id")) & (F.col("sha") == F.col("n_sha"))).select("doc_id", "sha", "n_removed", F.lit("").alias("kept_text")))
     changed = changed.select(F.col("doc_id").alias("c_id"), F.col("sha").alias("c_sha"), "n_removed", "kept_text")
