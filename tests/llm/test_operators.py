@@ -167,6 +167,38 @@ def test_anchors_of_a_slice_are_found_at_once(monkeypatch):
     assert substrings._anchors(h[:0], np.array([0]), 20, 5).to_pylist() == []
 
 
+def test_repeats_in_texts_that_share_an_id(spark):
+    """Each text keeps its own words; windows of one id are told apart by (id, start)."""
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(25)) for k in "abcd")
+    long = " ".join(f"x{i}" for i in range(200)) + " " + b
+    rows = [(1, a), (5, long), (5, f"{a} y"), (5, c), (7, f"q {a}"), (7, f"{c} r {b}"), (7, a), (9, f"z {b}"), (11, f"u v {d}"), (11, f"w {d}")]
+    first, seen = {}, [(i, t, t.split()) for i, t in rows]
+    for i, _, w in seen:
+        for s in range(len(w) - 19):
+            key = tuple(w[s:s + 20])
+            first[key] = min(first.get(key, (i, s)), (i, s))
+    want = []
+    for i, _, w in seen:
+        gone = {p for s in range(len(w) - 19) if first[tuple(w[s:s + 20])] < (i, s) for p in range(s, s + 20)}
+        want.append((i, len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone) if gone else None))
+    for order in (rows, rows[::-1]):
+        got = substrings.without_repeats(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert sorted(map(str, [(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got])) == sorted(map(str, want))
+
+
+def test_windows_with_one_long_digest_are_told_apart():
+    """Digests have 96 bits: a clash of the first 64 removes nothing."""
+    h = np.random.default_rng(8).integers(0, 2**63, 40).astype(np.uint64)
+    digest, more = substrings._digests(h, 20)
+    assert (digest.dtype, more.dtype) == (np.int64, np.int32) and len(set(more.tolist())) == len(more) == 21
+    other = h.copy()
+    with np.errstate(over="ignore"):  # the same sum by the first factor
+        other[0] += np.uint64(1)
+        other[1] -= np.uint64(0x9E3779B97F4A7C15)
+    clash, apart = substrings._digests(other, 20)
+    assert clash[0] == digest[0] and apart[0] != more[0]
+
+
 def test_suffix_automaton():
     rng = random.Random(2)
     text = [rng.randrange(3) for _ in range(300)]

@@ -7,7 +7,7 @@
 3. Tasks stream their documents' candidate passages, in id order, through the suffix
    automaton of a bounded reference shard, the passages streamed before: its matching
    statistics tell which windows were seen in the shard, and those are not sent on.
-4. Windows new to their shard meet across shards by digest, with partial minima before the
+4. Windows new to their shard meet across shards by 96-bit digest, with partial minima before the
    shuffle, so a passage of any frequency is one row per task. A candidate window that is
    not the first of its kind by (id, start) removes the words it covers.
 
@@ -100,16 +100,21 @@ def _joined(flat: pa.Array, bounds: np.ndarray) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat), " ")
 
 
-def _runs(h: np.ndarray, size: int) -> np.ndarray:
+def _runs(h: np.ndarray, size: int, factor: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """Hash of every run of ``size`` consecutive words."""
     n = len(h) - size + 1
     out = np.full(n, size, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(size):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + h[i:i + n]
+            out = out * np.uint64(factor) + h[i:i + n]
     return mix64(out)
 
 
+def _digests(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Digest of every window in 96 bits: a long and, by another factor, an int."""
+    return _runs(h, window).view(np.int64), (_runs(h, window, 0xD1342543DE82EF95) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _window_least(values: np.ndarray, width: int) -> np.ndarray:
     """Place of the first smallest value of every ``width`` consecutive ones, by doubling."""
     places, done = np.arange(len(values)), 1
@@ -212,16 +217,20 @@ def _fresh_windows(passages: DataFrame, window: int, short: int, shard_words: in
     """Digest, id and start of every candidate window not seen before in its task's shard."""
 
     def run(batches):
-        hasher, shard, held, separator = Hasher(), SuffixAutomaton(), 0, 0
+        hasher, shard, held, separator, before = Hasher(), SuffixAutomaton(), 0, 0, np.zeros(0, np.int64)
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
+            known = np.concatenate([before, ids])
+            again = (np.diff(known, prepend=known[:1] - 1) == 0)[len(before):]
+            before = known[-1:]
             for at, _, bounds, h, starts, rows in _passages(batch, hasher, window, short):
                 if not len(starts):
                     continue
                 codes, seen = h.tolist(), []
                 edge = np.flatnonzero(np.diff(starts) > 1)  # the last starts of a text are no windows: passages end there
-                for first, last in zip(starts[np.concatenate([[0], edge + 1])].tolist(), starts[np.concatenate([edge, [-1]])].tolist()):
-                    if held > shard_words:
+                opens, ends = np.concatenate([[0], edge + 1]), np.concatenate([edge, [-1]])
+                for first, last, anew in zip(starts[opens].tolist(), starts[ends].tolist(), again[at + rows[opens]].tolist()):
+                    if held > shard_words or anew:  # texts of one id are not in the order of (id, start)
                         shard, held = SuffixAutomaton(), 0
                     separator -= 1  # matches never cross passages: no word hash is negative
                     stretch = codes[first:last + window]
@@ -230,10 +239,10 @@ def _fresh_windows(passages: DataFrame, window: int, short: int, shard_words: in
                 new = np.array(seen) < window
                 starts, rows = starts[new], rows[new]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_runs(h, window)[starts].view(np.int64)), pa.array(ids[at + rows]), pa.array(starts - bounds[rows], pa.int32())],
-                    names=["digest", "doc_id", "start"])
+                    [*[pa.array(d[starts]) for d in _digests(h, window)], pa.array(ids[at + rows]), pa.array(starts - bounds[rows], pa.int32())],
+                    names=["digest", "more", "doc_id", "start"])
 
-    return passages.sortWithinPartitions("doc_id").mapInArrow(run, "digest long, doc_id long, start int")
+    return passages.sortWithinPartitions("doc_id").mapInArrow(run, "digest long, more int, doc_id long, start int")
 
 
 def _cut(passages: DataFrame, window: int, short: int) -> DataFrame:
@@ -248,18 +257,25 @@ def _cut(passages: DataFrame, window: int, short: int) -> DataFrame:
                 repeats = np.zeros(len(h) + 1, bool)
                 repeats[starts] = True
                 count = pc.fill_null(pc.list_value_length(firsts), 0).to_numpy(zero_copy_only=False)
-                first = np.repeat(bounds[:-1], count) + firsts.flatten().to_numpy()
-                repeats[first[first < np.repeat(bounds[1:], count)]] = False
+                packed = firsts.flatten().to_numpy()
+                first = np.repeat(bounds[:-1], count) + (packed >> 32)
+                within = first + window <= np.repeat(bounds[1:], count)
+                first, more = first[within], packed[within].astype(np.int32)
+                if len(first):  # another text of the same id may have the first window
+                    repeats[first[_digests(h, window)[1][first] == more]] = False
                 starts = np.flatnonzero(repeats)
                 edges = np.zeros(len(h) + 1, np.int64)
                 edges[starts] += 1
                 edges[starts + window] -= 1
                 kept = np.cumsum(edges)[:-1] == 0
                 left = np.concatenate([[0], np.cumsum(kept)])[bounds]
-                removed = pa.array(np.diff(bounds) - np.diff(left), pa.int64())
+                removed = np.diff(bounds) - np.diff(left)
+                changed = pa.array(removed > 0)
+                sha = [hashlib.sha256(t).digest() for t in _joined(flat, bounds).filter(changed).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("sha"), removed, _joined(flat.filter(pa.array(kept)), left)],
-                    names=["doc_id", "sha", "n_removed", "kept_text"]).filter(pc.greater(removed, 0))
+                    [part.column("doc_id").filter(changed), pa.array(sha, pa.binary()), pa.array(removed, pa.int64()).filter(changed),
+                     _joined(flat.filter(pa.array(kept)), left).filter(changed)],
+                    names=["doc_id", "sha", "n_removed", "kept_text"])
 
     return passages.mapInArrow(run, "doc_id long, sha binary, n_removed long, kept_text string")
 
@@ -275,16 +291,17 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT, s
     anchors = real.select("doc_id", F.explode("anchors").alias("anchor"))
     shared = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     repeated = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("repeated"))
-    sought = repeated.join(marked.where("not copy").select(F.col("doc_id").alias("o_id"), "sha"), F.col("doc_id") == F.col("o_id")).drop("o_id")
+    sought = repeated.join(marked.where("not copy").select(F.col("doc_id").alias("o_id")), F.col("doc_id") == F.col("o_id"), "left_semi")
     # Used twice below in one plan: both uses read the same shuffle, and the second join finds it placed by id.
-    passages = _packed(docs).join(sought, F.col("t_id") == F.col("doc_id")).select("doc_id", "sha", "text", "repeated")
+    passages = _packed(docs).join(sought, F.col("t_id") == F.col("doc_id")).select("doc_id", "text", "repeated")
     new = _fresh_windows(passages, window, short, shard_words)
-    firsts = new.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("at")).groupBy(
-        F.col("at.doc_id").alias("f_id")).agg(F.collect_list("at.start").alias("firsts"))
-    cut = _cut(passages.join(firsts, F.col("doc_id") == F.col("f_id"), "left").select("doc_id", "sha", "text", "repeated", "firsts"), window, short)
-    changed = cut.dropDuplicates(["doc_id", "sha"]).unionByName(marked.where("copy").join(
+    firsts = new.groupBy("digest", "more").agg(F.min(F.struct("doc_id", "start")).alias("at")).groupBy(
+        F.col("at.doc_id").alias("f_id")).agg(
+        F.collect_list(F.shiftleft(F.col("at.start").cast("long"), 32).bitwiseOR(F.col("more").cast("long").bitwiseAND(0xFFFFFFFF))).alias("firsts"))
+    cut = _cut(passages.join(firsts, F.col("doc_id") == F.col("f_id"), "left").select("doc_id", "text", "repeated", "firsts"), window, short)
+    changed = cut.unionByName(marked.where("copy").join(
         real.select(F.col("doc_id").alias("n_id"), F.col("sha").alias("n_sha"), F.col("n_words").alias("n_removed")).distinct(),
-        (F.col("doc_id") == F.col("n_id")) & (F.col("sha") == F.col("n_sha"))).select("doc_id", "sha", "n_removed", F.lit("").alias("kept_text")))
+        (F.col("doc_id") == F.col("n_id")) & (F.col("sha") == F.col("n_sha"))).select("doc_id", "sha", "n_removed", F.lit("").alias("kept_text"))).dropDuplicates(["doc_id", "sha"])
     changed = changed.select(F.col("doc_id").alias("c_id"), F.col("sha").alias("c_sha"), "n_removed", "kept_text")
     out = described.select("doc_id", "n_words", "sha").join(changed, (F.col("doc_id") == F.col("c_id")) & (F.col("sha") == F.col("c_sha")), "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
