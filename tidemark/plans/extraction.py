@@ -115,7 +115,10 @@ m as (select 'books' as feed, unnest(['seen', 'duplicates', 'hash_mismatches', '
 
 @query("s39_integrity_report", f"with {REPORT_SQL} select feed, metric, cast(value as bigint) as value from m where value > 0 or metric not like 'rejected%'")
 def s39r(spark, sf):
-    """Books and trades of a feed: seen, repeated, altered, rejected by kind, accepted, and the accepted books' spread and depth."""
+    """Books and trades of a feed: seen, repeated, altered, rejected by kind, accepted, and the accepted books' spread and depth.
+
+    A repeated record has the same id and the same content; two records that only say the same both count.
+    """
     c = F.col
     altered = F.conv(F.substring(F.md5(c("event_id").cast("string")), 1, 8), 16, 10).cast("long") % 97 == 0
 
@@ -126,15 +129,16 @@ def s39r(spark, sf):
     books = books.unionByName(books.where("event_id % 13 = 0"))
     size = F.when(c("size") % 10 == 0, 0).otherwise(c("size"))
     trades = sealed(tb.trades(spark, sf).select("event_id", F.to_json(F.struct("market_slug", "price", size.alias("size"))).alias("wire")))
-    once = wire.parse_books(books.dropDuplicates(["sha256"]), "wire").withColumn("intact", F.sha2("wire", 256) == c("sha256"))
-    done = trades.dropDuplicates(["sha256"]).withColumn("intact", F.sha2("wire", 256) == c("sha256")).withColumn(
+    record = ["event_id", "sha256"]
+    once = wire.parse_books(books.dropDuplicates(record), "wire").withColumn("intact", F.sha2("wire", 256) == c("sha256"))
+    done = trades.dropDuplicates(record).withColumn("intact", F.sha2("wire", 256) == c("sha256")).withColumn(
         "rejects", F.when(F.get_json_object("wire", "$.size").cast("long") <= 0, F.array(F.lit("no_size"))).otherwise(F.array().cast("array<string>")))
 
     def report(feed, raw, parsed):
         kinds = parsed.where("intact").select(F.explode("rejects").alias("kind")).groupBy(F.concat(F.lit("rejected:"), "kind").alias("metric")).agg(F.count(F.lit(1)).alias("value"))
         sound = parsed.agg(F.count_if(~c("intact")).alias("hash_mismatches"), F.count_if(c("intact") & (F.size("rejects") == 0)).alias("accepted")).unpivot(
             [], ["hash_mismatches", "accepted"], "metric", "value")
-        seen = raw.agg(F.count(F.lit(1)).alias("seen"), (F.count(F.lit(1)) - F.countDistinct("sha256")).alias("duplicates")).unpivot([], ["seen", "duplicates"], "metric", "value")
+        seen = raw.agg(F.count(F.lit(1)).alias("seen"), (F.count(F.lit(1)) - F.countDistinct(F.struct(*record))).alias("duplicates")).unpivot([], ["seen", "duplicates"], "metric", "value")
         return kinds.unionByName(sound).unionByName(seen).select(F.lit(feed).alias("feed"), "metric", "value")
 
     kept = once.where(c("intact") & (F.size("rejects") == 0)).select("market_slug", F.round((bk.best(c("asks")) - bk.best(c("bids"))) * 10000).alias("spread"),
