@@ -200,3 +200,29 @@ def test_isotonic_hulls_merge_to_the_pooled_fit(spark, rows, hot):
     steps = cal.isotonic_steps(spark.createDataFrame(data, "p double, outcome int"), rows, hot).orderBy("start").collect()
     assert [(r.start, r.value) for r in steps] == [(p, pytest.approx(y / n)) for p, y, n in blocks]
     assert cal.isotonic_steps(spark.createDataFrame([], "p double, outcome int")).count() == 0
+
+
+@pytest.mark.parametrize("block, stretch", [(2048, 65_536), (5, 7)])
+def test_fan_out_is_made_where_blocks_meet(spark, block, stretch):
+    rng, rows = random.Random(8), sparse_series()
+    names = sorted({r[1] for r in rows})
+    shocks = {m: [(rng.randrange(60), f"{m}-{i}") for i in range(rng.randrange(4))] for m in names}
+    reads = {m: [(rng.randrange(60), None if rng.random() < 0.2 else rng.gauss(0, 1)) for _ in range(rng.randrange(9))] for m in names}
+    held = spark.createDataFrame([(m, [t for t, _ in shocks[m]], [i for _, i in shocks[m]], [t for t, _ in reads[m]], [v for _, v in reads[m]]) for m in names if m != "m7"],
+                                 "member string, incident_t array<long>, incident_id array<string>, reading_t array<long>, reading array<double>")
+    want = {}
+    for a, b, common, x, y in by_pair(rows):
+        c = corr(x, y)
+        if len(common) < 3 or math.isnan(c) or abs(c) < 0.3 or "m7" in (a, b):
+            continue
+        for source, target in ((a, b), (b, a)):
+            for t, i in shocks[source]:
+                inside = [v for u, v in reads[target] if t <= u <= t + 10]
+                if inside:
+                    known = [v for v in inside if v is not None]
+                    want[i, target] = (len(inside), sum(known) / len(known) if known else None)
+    found = pairs.fan_out(spark.createDataFrame(rows, SCHEMA), held, 0.3, 10, block=block, stretch=stretch).collect()
+    assert len(found) == len(want) > 50 and any(n > 0 and m is None for n, m in want.values())
+    for r in found:
+        n, mean = want[r["id"], r["member"]]
+        assert r["n"] == n and (r["mean"] == mean or r["mean"] == pytest.approx(mean))
