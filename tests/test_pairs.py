@@ -179,6 +179,34 @@ def test_permutations_keep_the_values_of_a_group(spark, group, block):
     assert np.mean(moved) == pytest.approx(32 * 31.5, rel=0.05)
 
 
+def test_groupings_share_one_order_and_slices_deal_as_one(spark, monkeypatch):
+    from tidemark.functions.hashing import uniform
+
+    rows = [("a" if i < 600 else "b" if i < 603 else None, f"r{i % 900:03}", float(i), i % 2) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g string, id string, p double, y byte").repartition(5)
+    drawn = {r.p: r.u for r in df.select("p", uniform(3, df.id, df.p).alias("u")).collect()}
+    found = []
+    for size in (1 << 20, 50):
+        monkeypatch.setattr(rs, "SLICE_ROWS", size)
+        held = rs.ranked_blocks(df, [[], ["g"]], ["id", "p"], ["p", "y"], 3, 64).collect()
+        found.append({(r["_grouping"], r["_g"], r["_block"]): (r["_n"], r["_size"], list(r["p"]), list(r["y"])) for r in held})
+    order = sorted(rows, key=lambda r: (drawn[r[2]], r[1], r[2]))
+    want = {}
+    for which, name, part in [(0, "", order), (1, "a", [r for r in order if r[0] == "a"]), (1, "b", [r for r in order if r[0] == "b"])]:
+        blocks = -(-len(part) // 64)
+        for b in range(blocks):
+            mine = part[b::blocks]
+            want[which, name, b] = (len(part), len(mine), [r[2] for r in mine], [r[3] for r in mine])
+    assert found == [want, want]
+
+
+def test_labels_travel_as_bits():
+    flags, other = np.array([0.0, 1, 1, 0, 1, 0, 0, 0, 1]), np.array([0.5, -1.0, np.nan])
+    assert len(rs.coded(flags)) == 3 and len(rs.coded(other)) == 25
+    for x in (flags, other, np.zeros(0)):
+        assert np.array_equal(rs.decoded(rs.coded(x), len(x)), x, equal_nan=True)
+
+
 @pytest.mark.parametrize("rows, hot", [(50_000, None), (3, None), (3, 4)])
 def test_isotonic_hulls_merge_to_the_pooled_fit(spark, rows, hot):
     from tidemark.operators import calibrate as cal

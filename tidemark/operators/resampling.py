@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Sequence
-from functools import lru_cache
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache, reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.functions.hashing import uniform
-from tidemark.operators.ordered import running
 
 # Cumulative Poisson(1) probabilities for 0..8.
 _POISSON = np.array([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
@@ -29,6 +31,8 @@ DIGESTS = 16_384
 # A multiplier and the Mersenne prime of a Lehmer generator, the permutations' round function.
 LEHMER, MERSENNE, ROUNDS = 1583458089, 2147483647, 4
 VECTOR_BLOCK, HELD_BYTES, BLOCK_ROWS, STRETCH = 250, 64_000_000, 4096, 128
+# Rows of a slice of the drawn order; a task holds and sorts one slice.
+SLICE_ROWS = 1 << 20
 
 
 def _short_digests(heads: np.ndarray, tails: np.ndarray, size: int) -> np.ndarray:
@@ -264,67 +268,155 @@ def drawn_bijection(size: int, seed: int, rep: int) -> np.ndarray:
     return bijection(size, round_keys(seed, rep))
 
 
-def ranked_blocks(df: DataFrame, group: Sequence[str], row: Sequence[str], columns: Sequence[str], seed: int,
+def _dealt(slices: pa.Table, groupings: int, columns: Sequence[str], schema: pa.Schema, block_rows: int) -> Iterator[pa.RecordBatch]:
+    """Rows of one slice, in order, as arrays: one row for every block that they are dealt to."""
+    carried = slices.filter(pc.is_valid(slices.column("_carry"))).select(["_carry"]).combine_chunks()
+    rows = slices.filter(pc.is_null(slices.column("_carry"))).combine_chunks()
+    starts: dict[tuple, tuple] = {}
+    for c in carried.column("_carry").to_pylist():
+        starts[c["which"], c["key"]] = (c["before"], c["n"])
+    for which in range(groupings):
+        known = np.flatnonzero(rows.column(f"_g{which}").is_valid().to_numpy(zero_copy_only=False))
+        if not len(known):
+            continue
+        keys = rows.column(f"_g{which}").combine_chunks().take(pa.array(known)).dictionary_encode()
+        names, group = keys.dictionary.to_pylist(), keys.indices.to_numpy()
+        before, n = (np.array([starts[which, name][i] for name in names], np.int64) for i in (0, 1))
+        by = np.argsort(group, kind="stable")
+        rank = np.empty(len(group), np.int64)
+        rank[by] = np.arange(len(group)) - np.searchsorted(group[by], group[by])
+        rank += before[group]
+        blocks = -(-n // block_rows)
+        block, at = rank % blocks[group], rank // blocks[group]
+        by = np.lexsort((at, block, group))
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(group[by]) != 0) | (np.diff(block[by]) != 0)]))
+        places = pa.array(np.append(first, len(by)), pa.int32())
+        held = [pa.ListArray.from_arrays(places, rows.column(c).combine_chunks().take(pa.array(known[by]))) for c in columns]
+        of = by[first]
+        plain = [np.full(len(of), which), keys.dictionary.take(pa.array(group[of])), n[group[of]], block[of], at[of]]
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) if isinstance(x, np.ndarray) else x.cast(f.type) for x, f in zip([*plain, *held], schema)], schema=schema)
+
+
+def ranked_blocks(df: DataFrame, groupings: Sequence[Sequence[str]], row: Sequence[str], columns: Sequence[str], seed: int,
                   block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rows of each group in an order drawn by digest, dealt to blocks whose sizes differ by one at most.
 
-    Per block: ``_n`` rows in the group, ``_blocks`` of it, ``_block``, ``_size`` and an array per column.
+    Per grouping (its place in ``groupings``), group (``_g``) and block: ``_n`` rows in the group,
+    ``_block``, ``_size`` and an array per column. Rows without a group are in no block.
+
+    All groupings share one order, so rows are cut once into slices of it; a slice is told how
+    many rows of each group lie before it, and what it deals to a block leaves as arrays.
     """
-    group = list(group)
-    drawn = df.select(*group, *row, *columns).withColumn("_u", uniform(seed, *[F.col(c) for c in row]))
-    ranked = running(drawn, group or ["_all"], "_u", list(row), {"_k": ("count", None)}) if group else running(
-        drawn.withColumn("_all", F.lit(1)), ["_all"], "_u", list(row), {"_k": ("count", None)}).drop("_all")
-    if group:
-        counted = ranked.join(df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")), group)
-    else:
-        counted = ranked.withColumn("_n", df.agg(F.count(F.lit(1))).scalar())
-    blocks = F.ceil(F.col("_n") / block_rows).cast("long")
-    placed = counted.withColumn("_blocks", blocks).withColumns({
-        "_block": F.pmod(F.col("_k") - 1, F.col("_blocks")), "_at": F.floor((F.col("_k") - 1) / F.col("_blocks")).cast("long")})
-    held = placed.groupBy(*group, "_n", "_blocks", "_block").agg(F.array_sort(F.collect_list(F.struct("_at", *columns))).alias("_rows"))
-    return held.select(*group, "_n", "_blocks", "_block", F.size("_rows").cast("long").alias("_size"),
-                       *[F.col("_rows").getField(c).alias(c) for c in columns])
+    c, spark = F.col, df.sparkSession
+    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // SLICE_ROWS))
+    def key(group: Sequence[str]) -> Column:
+        name = c(group[0]) if len(group) == 1 else F.to_json(F.struct(*group)) if group else F.lit("")
+        return F.when(reduce(and_, [c(g).isNotNull() for g in group], F.lit(True)), name.cast("string"))
+
+    keys = {f"_g{i}": key(group) for i, group in enumerate(groupings)}
+    # A draw has 32 bits; as a whole number it is half zeros on its way.
+    drawn = df.withColumn("_u", F.floor(uniform(seed, *[c(r) for r in row]) * F.lit(4294967296.0))).select(
+        *[k.alias(name) for name, k in keys.items()], *row, *[x for x in columns if x not in row], "_u",
+        F.floor(c("_u") * slices / F.lit(4294967296.0)).cast("int").alias("_slice"))
+    counted = drawn.select("_slice", F.explode(F.array(*[F.struct(F.lit(i).alias("which"), c(g).alias("key")) for i, g in enumerate(keys)])).alias("x")).where(
+        "x.key is not null").groupBy("x.which", "x.key", "_slice").agg(F.count(F.lit(1)).alias("here"))
+    group = Window.partitionBy("which", "key")
+    carry = counted.select("_slice", F.struct(
+        "which", "key", F.coalesce(F.sum("here").over(group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        F.sum("here").over(group).alias("n")).alias("_carry"))
+    both = drawn.unionByName(carry, allowMissingColumns=True)
+    schema = T.StructType([T.StructField("_grouping", T.IntegerType()), T.StructField("_g", T.StringType()), *[T.StructField(x, T.LongType()) for x in ("_n", "_block", "_at")],
+                           *[T.StructField(x, T.ArrayType(df.schema[x].dataType)) for x in columns]])
+    arrow, columns, count = to_arrow_schema(schema), list(columns), len(keys)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            number = batch.column("_slice").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
+            for at, to in zip(cuts, cuts[1:]):
+                if to == at:
+                    continue
+                if held and held[-1].column("_slice")[0].as_py() != number[at]:
+                    yield from _dealt(pa.Table.from_batches(held), count, columns, arrow, block_rows)
+                    held = []
+                held.append(batch.slice(at, to - at))
+        if held:
+            yield from _dealt(pa.Table.from_batches(held), count, columns, arrow, block_rows)
+
+    parts = both.repartition(slices, "_slice").sortWithinPartitions("_slice", "_u", *row).select("_slice", "_carry", *keys, *columns).mapInArrow(deal, schema)
+    whole = parts.groupBy("_grouping", "_g", "_n", "_block").agg(F.array_sort(F.collect_list(F.struct("_at", *columns))).alias("_rows"))
+    arrays = whole.select("_grouping", "_g", "_n", "_block", *[F.flatten(c("_rows").getField(x)).alias(x) for x in columns])
+    return arrays.withColumn("_size", F.size(columns[0]).cast("long"))
+
+
+def coded(values: np.ndarray) -> bytes:
+    """Numbers as bytes: a bit each if all are 0 or 1, else eight bytes each."""
+    if ((values == 0) | (values == 1)).all():
+        return b"b" + np.packbits(values != 0).tobytes()
+    return b"d" + values.astype("<f8").tobytes()
+
+
+def decoded(held: bytes, size: int) -> np.ndarray:
+    """The ``size`` numbers of :func:`coded`."""
+    if held[:1] == b"b":
+        return np.unpackbits(np.frombuffer(held, np.uint8, offset=1), count=size).astype(float)
+    return np.frombuffer(held, "<f8", offset=1)
 
 
 def permuted_losses(df: DataFrame, group: Sequence[str], row: Sequence[str], stay: Sequence[str], move: Sequence[str],
                     loss: Callable[..., np.ndarray], replicates: int, seed: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``rep``, ``kind``, ``loss`` and ``n``: summed losses when the ``move`` columns are permuted inside groups.
+    """:func:`permuted_losses_by` for one grouping."""
+    return permuted_losses_by(df, [group], row, stay, move, loss, replicates, seed, block_rows).drop("grouping")
+
+
+def permuted_losses_by(df: DataFrame, groupings: Sequence[Sequence[str]], row: Sequence[str], stay: Sequence[str], move: Sequence[str],
+                       loss: Callable[..., np.ndarray], replicates: int, seed: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``grouping``, ``rep``, ``kind``, ``loss`` and ``n``: summed losses when the ``move`` columns are permuted inside groups.
 
     Replicate ``rep`` turns the blocks of equal size round by a drawn number of places and
     permutes inside a block by a keyed bijection of ranks. Rows never move: each block meets the
     ``move`` columns of one other block per replicate, and ``loss(*stay, *move)`` runs in numpy;
     it gives a loss per row, or a table of them with one line per kind.
     """
-    group = list(group)
-    blocks = ranked_blocks(df, group, row, list(dict.fromkeys([*stay, *move])), seed, block_rows)
-    big = F.pmod("_n", "_blocks")
-    is_big = F.col("_block") < big
-    first, count = F.when(is_big, F.lit(0)).otherwise(big), F.when(is_big, big).otherwise(F.col("_blocks") - big)
-    turns = blocks.select(*group, "_block", *[F.col(m).alias(f"_m_{m}") for m in move], first.alias("_first"), count.alias("_count"),
-                          F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    turn = F.floor(uniform(seed, F.col("rep"), F.lit("turn")) * F.col("_count")).cast("long")
-    sent = turns.withColumn("_to", F.col("_first") + F.pmod(F.col("_block") - F.col("_first") - turn, F.col("_count")))
-    sent = sent.select(*[F.col(g).alias(f"_g_{g}") for g in group], "_to", "rep", *[f"_m_{m}" for m in move])
+    c, keys = F.col, ["_grouping", "_g"]
     stay, move = list(stay), list(move)
+    blocks = ranked_blocks(df, groupings, row, list(dict.fromkeys([*stay, *move])), seed, block_rows)
+    total = F.ceil(c("_n") / block_rows).cast("long")
+    big = F.pmod(c("_n"), total)
+    is_big = c("_block") < big
+    first, count = F.when(is_big, F.lit(0)).otherwise(big), F.when(is_big, big).otherwise(total - big)
+    codes = T.StructType([T.StructField("_grouping", T.IntegerType()), T.StructField("_g", T.StringType()),
+                          *[T.StructField(x, T.LongType()) for x in ("_block", "_first", "_count")], *[T.StructField(f"_m{i}", T.BinaryType()) for i in range(len(move))]])
+    arrow = to_arrow_schema(codes)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            moved = [pa.array([coded(x.values.to_numpy(zero_copy_only=False).astype(float)) for x in batch.column(m)], pa.binary()) for m in move]
+            yield pa.RecordBatch.from_arrays([*[batch.column(x).cast(arrow.field(x).type) for x in arrow.names[:5]], *moved], schema=arrow)
 
-    def numbers(table: pa.Table, name: str, i: int) -> np.ndarray:
-        return table.column(name)[i].values.to_numpy(zero_copy_only=False).astype(float)
+    names = [f"_m{i}" for i in range(len(move))]
+    turns = blocks.select(*keys, "_block", first.alias("_first"), count.alias("_count"), *dict.fromkeys(move)).mapInArrow(code, codes).withColumn(
+        "rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    turn = F.floor(uniform(seed, c("rep"), F.lit("turn")) * c("_count")).cast("long")
+    sent = turns.withColumn("_to", c("_first") + F.pmod(c("_block") - c("_first") - turn, c("_count"))).select(
+        c("_grouping").alias("_of"), c("_g").alias("_in"), "_to", "rep", *names)
 
     def run(own: pa.Table, others: pa.Table) -> pa.Table:
-        here = [numbers(own, c, 0) for c in stay]
-        size = own.column("_size")[0].as_py()
+        here = [own.column(x)[0].values.to_numpy(zero_copy_only=False).astype(float) for x in stay]
+        size, which = own.column("_size")[0].as_py(), own.column("_grouping")[0].as_py()
         reps = others.column("rep").to_pylist()
         out = []
         for i, rep in enumerate(reps):
             at = drawn_bijection(size, seed, rep)
-            lost = np.atleast_2d(loss(*here, *[numbers(others, f"_m_{m}", i)[at] for m in move])).sum(axis=1)
-            out += [(rep, kind, float(x), size) for kind, x in enumerate(lost)]
-        kinds = zip(("rep", "kind", "loss", "n"), zip(*out), (pa.int32(), pa.int32(), pa.float64(), pa.int64()))
+            lost = np.atleast_2d(loss(*here, *[decoded(others.column(m)[i].as_py(), size)[at] for m in names])).sum(axis=1)
+            out += [(which, rep, kind, float(x), size) for kind, x in enumerate(lost)]
+        kinds = zip(("grouping", "rep", "kind", "loss", "n"), zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int64()))
         return pa.table({name: pa.array(values, of) for name, values, of in kinds})
 
-    own = blocks.select(*group, "_block", "_size", *stay)
-    sums = own.groupBy(*group, "_block").cogroup(sent.groupBy(*[f"_g_{g}" for g in group], "_to")).applyInArrow(run, "rep int, kind int, loss double, n long")
-    return sums.groupBy("rep", "kind").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n"))
+    own = blocks.select(*keys, "_block", "_size", *stay)
+    sums = own.groupBy(*keys, "_block").cogroup(sent.groupBy("_of", "_in", "_to")).applyInArrow(run, "grouping int, rep int, kind int, loss double, n long")
+    return sums.groupBy("grouping", "rep", "kind").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n"))
 
 
 def uniform_sql(text: str) -> str:

@@ -231,14 +231,12 @@ select control, {s6('b')} as control_brier, {s6('(select avg(pow(model_p - outco
 def a30(spark, sf):
     """Brier score with labels permuted 100 times over all rows, in categories and in clusters, and with late forecasts."""
     c = F.col
-    # Labels travel once per replicate: a byte each.
+    # Labels travel once per replicate and control: a bit each.
     rows = op.resolved(tb.snapshots(spark, sf)).select("market_id", "category", "event_cluster", "ts_us", "rid", "model_p", c("outcome").cast("byte").alias("outcome"))
     real = rows.agg(F.avg(sc.squared_error(c("model_p"), c("outcome")))).scalar()
-    out = None
-    for name, group in CONTROLS:
-        p = rs.permuted_losses(rows, group, IDENT, ["model_p"], ["outcome"], squared, PERMUTATIONS, 5)
-        part = p.agg((F.sum("loss") / F.sum("n")).alias("b")).select(F.lit(name).alias("control"), "b")
-        out = part if out is None else out.unionByName(part)
+    p = rs.permuted_losses_by(rows, [group for _, group in CONTROLS], IDENT, ["model_p"], ["outcome"], squared, PERMUTATIONS, 5)
+    out = p.groupBy("grouping").agg((F.sum("loss") / F.sum("n")).alias("b")).select(
+        F.get(F.array(*[F.lit(name) for name, _ in CONTROLS]), c("grouping")).alias("control"), "b")
     late = running(rows, ["market_id"], "ts_us", ["rid"], {"prev": ("lag", c("model_p"))})
     shifted = late.agg(
         F.avg(sc.squared_error(F.coalesce("prev", "model_p"), c("outcome"))).alias("b")
